@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import byte_cnn, chosen_path, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op7_jaccard_join": chosen_path.query,
+        "op8_quality_classifier": byte_cnn.query,
         "op10_quality_rules": quality_rules.query,
     }
 
