@@ -140,7 +140,7 @@ def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     for r in range(texts.rows):
         if r in lone:
             w = lone[r]
-            one = mix(np.array([(w * _GRAM[: len(w)]).sum(dtype=np.uint64) + _GRAM[32 + len(w)]], np.uint64))
+            one = mix((w * _GRAM[: len(w)]).sum(dtype=np.uint64, keepdims=True) + _GRAM[32 + len(w) : 33 + len(w)])
         else:
             one = np.unique(grams[cut[r] : cut[r + 1]])
         size[r] = len(one)
