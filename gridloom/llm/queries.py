@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, chosen_path, mixing, pair_bpe, quality_rules, token_store
+from . import byte_cnn, chosen_path, mixing, pair_bpe, quality_rules, token_store, vector_join
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_pair_bpe": pair_bpe.query,
         "op7_jaccard_join": chosen_path.query,
         "op8_quality_classifier": byte_cnn.query,
+        "op9_vector_join": vector_join.query,
         "op10_quality_rules": quality_rules.query,
     }
 
