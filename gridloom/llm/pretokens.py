@@ -137,17 +137,19 @@ def gather(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.
 class WordTable:
     """Ids of the distinct pre-tokens that a task has met.
 
-    `encode` gets new words and returns (flat ids, bounds).  The table is emptied
-    when it holds `most` words, which bounds its memory and changes no result.
+    `encode` gets new words and returns (flat, bounds), a row of `flat` being an id or
+    an id with what else is known of it (`width` numbers).  The table is emptied when
+    it holds `most` words, which bounds its memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], width: int = 1, most: int = 1_000_000):
         self.encode, self.most = encode, most
+        self.none = np.zeros((0, width) if width > 1 else 0, np.int32)
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.bounds = self.none, np.zeros(1, np.int64)
 
     def look_up(self, words: pa.Array) -> np.ndarray:
         """For each word its entry in (flat, bounds)."""
@@ -168,7 +170,8 @@ class WordTable:
 
     def ids(self, pretokens: Pretokens) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of the piece, row bounds)."""
-        flat, bounds = gather(self.flat, self.bounds, which) if len(which := self.look_up(pretokens.words())) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        which = self.look_up(pretokens.words())
+        flat, bounds = gather(self.flat, self.bounds, which) if len(which) else (self.none, np.zeros(1, np.int64))
         return flat, bounds[pretokens.bounds]
 
 
