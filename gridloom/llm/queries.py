@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, chosen_path, main_text, mixing, pair_bpe, quality_rules, token_store, vector_join
+from . import byte_cnn, chosen_path, main_text, mixing, pair_bpe, quality_rules, token_counts, token_store, vector_join, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
         "op2_token_output": token_store.query,
+        "op3_token_counts": token_counts.query,
+        "op4_warc_derivatives": warc.query,
         "op5_main_text": main_text.query,
         "op6_pair_bpe": pair_bpe.query,
         "op7_jaccard_join": chosen_path.query,
