@@ -14,6 +14,7 @@ import heapq
 import json
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,12 @@ class PairTokenizer:
 WORD_FILE = "word_bpe_49k.json"
 
 
+@lru_cache(maxsize=2)
+def pair_tokenizer(tokenizer_json: str) -> PairTokenizer:
+    """One for all tasks of a worker process, so its tables and words are kept."""
+    return PairTokenizer(tokenizer_json)
+
+
 def _schema(frame: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), extra])
 
@@ -196,7 +203,7 @@ def encode(documents: DataFrame, tokenizer: str | None = None, column: str = "te
     frame = documents.drop("token_ids")
 
     def run(batches):
-        made = PairTokenizer(tokenizer_json)
+        made = pair_tokenizer(tokenizer_json)
         for batch in batches:
             for start, end, texts in Texts.of(batch.column(column)).parts():
                 flat, bounds = made.ids(texts)
@@ -226,7 +233,7 @@ def digests(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     tokenizer_json = tokenizer_text(tokenizer, WORD_FILE)
 
     def run(batches):
-        made = PairTokenizer(tokenizer_json)
+        made = pair_tokenizer(tokenizer_json)
         decimal = [str(k) for k in range(len(made.merges.tokens))].__getitem__
         for batch in batches:
             for start, end, texts in Texts.of(batch.column("text")).parts():

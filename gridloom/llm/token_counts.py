@@ -8,6 +8,7 @@ boundary goes to one section by an explicit rule, so counts add up to the whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -67,6 +68,12 @@ class Spans:
         return flat, bounds, np.diff(words.rows)
 
 
+@lru_cache(maxsize=2)
+def spans(tokenizer_json: str) -> Spans:
+    """One for all tasks of a worker process, so its word table is kept."""
+    return Spans(tokenizer_json)
+
+
 def allocate(starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """For each token [starts, ends) its section among the disjoint, rising [left, right)
     (-1: it overlaps none), and whether it crosses a boundary of that section."""
@@ -115,7 +122,7 @@ def _attribute(tokenizer_json: str, rule: str, given: bool):
         return table[:, 0], table[:, 1], table[:, 2]
 
     def run(batches):
-        made = Spans(tokenizer_json)
+        made = spans(tokenizer_json)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             wanted = batch.column("sections").to_pylist() if given else None
