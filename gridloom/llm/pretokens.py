@@ -8,11 +8,12 @@ single time and gathers the ids of all others from that table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bytesplit import Texts
 
@@ -142,30 +143,32 @@ class WordTable:
     it holds `most` words, which bounds its memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], width: int = 1, most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], width: int = 1, most: int = 400_000):
         self.encode, self.most = encode, most
         self.none = np.zeros((0, width) if width > 1 else 0, np.int32)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat, self.bounds = self.none, np.zeros(1, np.int64)
 
     def look_up(self, words: pa.Array) -> np.ndarray:
         """For each word its entry in (flat, bounds)."""
         if not len(words):
             return np.zeros(0, np.int64)
-        if len(self.index) > self.most:
+        if len(self.known) > self.most:
             self._clear()
         coded = words.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        new = [w for w in own if w not in self.index]
-        if new:
-            flat, bounds = self.encode(new)
-            self.index.update(zip(new, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(new)), strict=True))
+        own = coded.dictionary
+        place = pc.index_in(own, value_set=self.known)
+        new = own.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            flat, bounds = self.encode(new.to_numpy(zero_copy_only=False).tolist())
+            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
             self.bounds = np.concatenate((self.bounds, bounds[1:] + self.bounds[-1]))
             self.flat = np.concatenate((self.flat, flat))
-        place = np.fromiter((self.index[w] for w in own), np.int64, len(own))
         return place[coded.indices.to_numpy()]
 
     def ids(self, pretokens: Pretokens) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +210,9 @@ class ByteTokenizer:
         self.table = WordTable(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.made.encode_batch_fast(words, add_special_tokens=False)]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in got])))
-        return np.fromiter(chain.from_iterable(got), np.int32, int(bounds[-1])), bounds
+        # One encoding of all words, which are cut already; each token names its word.
+        (got,) = self.made.encode_batch([words], is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.int32), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, row bounds) of a piece."""
@@ -223,6 +226,12 @@ class ByteTokenizer:
         return np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
 
 
+@lru_cache(maxsize=2)
+def byte_tokenizer(tokenizer_json: str) -> ByteTokenizer:
+    """One tokenizer for all tasks of a worker process, so its word table is kept."""
+    return ByteTokenizer(tokenizer_json)
+
+
 def rows_with(texts: Texts, strings: tuple[str, ...]) -> list[int]:
     """Rows that hold one of `strings`."""
     raw = texts.data.tobytes()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import Texts
-from .pretokens import ByteTokenizer, tokenizer_text
+from .pretokens import byte_tokenizer, tokenizer_text
 from .shared import written
 
 MAGIC = b"GLTOK1"
@@ -129,7 +129,7 @@ def _write(tokenizer_json: str, store: Store):
     """mapInArrow over a sorted partition: its segments; before = ids ahead of it in the partition."""
 
     def run(batches):
-        made = ByteTokenizer(tokenizer_json)
+        made = byte_tokenizer(tokenizer_json)
         width = 2 if max(made.made.get_vocab_size(with_added_tokens=True), store.end + 1) <= 1 << 16 else 4
         part, before = TaskContext.get().partitionId(), 0
         keys, parts, sizes, held = [], [], [], 0
