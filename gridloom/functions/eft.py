@@ -39,8 +39,6 @@ def _pair(s: Column, c: Column) -> Column:
     return F.struct(s.alias("s"), c.alias("c"))
 
 
-_ZERO = (F.lit(0.0), F.lit(0.0))
-
 
 def sum2(values: Column) -> Column:
     """Compensated sum of an array of doubles."""
