@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytesplit import Texts
 from .labelled import class_shares, held_out_flag, platt, training_rows
+from .shared import aside, back
 
 
 @dataclass(frozen=True)
@@ -270,5 +271,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(documents: DataFrame, source: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shape: Shape = Shape()) -> DataFrame:
-    """The rows of `documents` that score at least `threshold`; fitted on `source` and `labels`."""
-    return score(documents, fit(source, labels, shape)).where(F.col("score") >= threshold).select(*documents.columns)
+    """The rows of `documents` that score at least `threshold`, with all their columns as
+    they were; fitted on `source` and `labels`."""
+    frame, own = aside(documents, ["score"])
+    return back(score(frame, fit(source, labels, shape)).where(F.col("score") >= threshold), own)

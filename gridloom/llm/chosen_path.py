@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .bytesplit import Texts, mix, shingle_sets
 from .components import components
-from .shared import written
+from .shared import aside, back, written
 
 SKETCH = 128
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ def _describe(join: Join):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for start, end, texts in Texts.of(batch.column("text")).parts():
                 flat, bounds = shingle_sets(texts, join.words)
                 sid, sketch, nodes = [], [], []
@@ -105,8 +106,8 @@ def _describe(join: Join):
                     nodes.append(np.concatenate([_children(x, own, join.branch) for x in roots]).view(np.int64) if len(own) else np.zeros(0, np.int64))
                 cut = np.concatenate(([0], np.cumsum([len(x) for x in nodes]))).astype(np.int32)
                 yield pa.record_batch(
-                    [ids.slice(start, end - start), pa.array(sid, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(nodes)))],
-                    names=["doc_id", "sid", "n", "sketch", "nodes"],
+                    [ids.slice(start, end - start), keys.slice(start, end - start), pa.array(sid, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(nodes)))],
+                    names=["doc_id", "text_key", "sid", "n", "sketch", "nodes"],
                 )
 
     return run
@@ -286,8 +287,18 @@ def classes(documents: DataFrame, join: Join = Join()) -> DataFrame:
     links to its copies.  A null doc_id is kept; it is never a class id unless
     the whole class has none.
     """
+    return _linked(documents, join).select(
+        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"),
+    )
+
+
+def _linked(documents: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, text_key, sid, n, c, class_id, n_links) of every row: c is the set that
+    names its class; sid is null without words, and then c, class_id and n_links are."""
     texts = documents.select("doc_id", "text")
-    described = written(texts.mapInArrow(_describe(join), "doc_id long, sid binary, n long, sketch binary, nodes array<long>"), "sets")
+    described = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(join), "doc_id long, text_key long, sid binary, n long, sketch binary, nodes array<long>")
+    described = written(described, "sets")
     sets = written(
         described.where("sid is not null").groupBy("sid").agg(
             F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")
@@ -316,11 +327,8 @@ def classes(documents: DataFrame, join: Join = Join()) -> DataFrame:
     per_set = sets.select("sid", "rep", "copies").join(final.withColumnRenamed("v", "sid"), "sid", "left").join(links, "sid", "left")
     per_set = written(per_set.select("sid", F.coalesce("c", "sid").alias("c"), "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
     names = written(per_set.groupBy("c").agg(F.min("rep").alias("class_id")), "names")
-    per_set = written(per_set.join(names, "c").select("sid", "class_id", "n_links"), "named")
-    return described.select("doc_id", "sid", "n").join(per_set, "sid", "left").select(
-        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"),
-    )
+    per_set = written(per_set.join(names, "c").select("sid", "c", "class_id", "n_links"), "named")
+    return described.select("doc_id", "text_key", "sid", "n").join(per_set, "sid", "left")
 
 
 def _tokens(join: Join):
@@ -371,9 +379,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row of each class: the one whose doc_id is the class id (of repeated rows
-    with that id, one).  Rows without words stay."""
-    named = classes(documents, join).where(F.col("class_id").eqNullSafe(F.col("doc_id")))
-    chosen = written(named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "kept")
-    kept = documents.join(chosen.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class, with all its columns: of the rows with the smallest doc_id
+    one, by a hash of the text.  A class without any doc_id keeps one row too.  Rows
+    without words are similar to nothing and all stay.
+    """
+    rows = _linked(documents, join).where(F.col("sid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    chosen = written(rows.groupBy("c").agg(F.first("class_id").alias("one_id"), F.min("text_key").alias("one_key")), "kept")
+    frame, own = aside(documents, ["one_id", "one_key", "text_key"])
+    frame = frame.withColumn("text_key", F.xxhash64("text"))
+    words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    kept = frame.where(words).join(chosen.drop("c"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key")))
+    kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return back(kept, own).unionByName(back(frame.where(~words), own))

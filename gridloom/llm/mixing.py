@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import aside, back, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -172,15 +172,16 @@ def _taken(rows: DataFrame, goals: DataFrame, draws: DataFrame) -> DataFrame:
 def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: the rows of `documents`, each as often as it is taken, one
     partition range for each shard and in a random order inside it."""
-    frame = documents
+    frame, own = aside(documents, ["mix_size", "mix_block", "mix_order", "mix_text", "mix_rank", "mix_words", "mix_draw", "mix_draws", "mix_place", "mix_from", "mix_shard", "mix_key"])
     rows = written(_placed(documents.select("doc_id", "text", "source"), mix).drop("text"), "rows")
     _, draws = _plan(rows, mix)
-    placed = _placed(frame, mix).alias("r").join(draws.alias("d"), F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("mix_block") == F.col("block")))
-    mine = F.filter("draws", lambda u: (u["low"] <= F.col("mix_rank")) & (F.col("mix_rank") <= u["high"]))
-    out = placed.select("r.*", F.explode(mine).alias("mix_draw"))
+    draws = draws.select(F.col("source").alias("mix_from"), F.col("block").alias("mix_place"), F.col("draws").alias("mix_draws"))
+    placed = _placed(frame, mix).join(draws, F.col("source").eqNullSafe(F.col("mix_from")) & (F.col("mix_block") == F.col("mix_place")))
+    mine = F.filter("mix_draws", lambda u: (u["low"] <= F.col("mix_rank")) & (F.col("mix_rank") <= u["high"]))
+    out = placed.withColumn("mix_draw", F.explode(mine))
     out = out.withColumn("mix_shard", F.col("mix_draw.shard")).withColumn("mix_key", F.xxhash64("doc_id", "mix_draw.pass", "mix_rank", F.lit(mix.seed + 4)))
     # Shards are ranges; a range of keys inside a shard keeps partitions even.
-    return out.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key").select(*documents.columns)
+    return back(out.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key"), own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

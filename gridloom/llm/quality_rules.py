@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytesplit import SPACE, Texts, Words, mix
 from .labelled import class_shares, platt, training_rows
+from .shared import aside, back
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -248,5 +249,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(documents: DataFrame, source: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of `documents` that pass; the model is fitted on `source` and `labels`."""
-    return score(documents, fit(source, labels, rules)).where(F.col("kept")).select(*documents.columns)
+    """The rows of `documents` that pass, with all their columns as they were; the model
+    is fitted on `source` and `labels`."""
+    frame, own = aside(documents, [*(c.split()[0] for c in BASE_COLUMNS.split(", ")), "prob", "kept"])
+    return back(score(frame, fit(source, labels, rules)).where(F.col("kept")), own)

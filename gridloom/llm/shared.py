@@ -25,3 +25,25 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """`name`, with underscores behind it until no column is called that."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def aside(frame: DataFrame, names: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """`frame` with columns that bear one of `names` renamed, and (new, old) of all its
+    columns in order, with which `back` gives them their names again."""
+    clash = {n.lower() for n in names}
+    pairs = []
+    for c in frame.columns:
+        pairs.append((fresh(f"{c}__own", *frame.columns, *names) if c.lower() in clash else c, c))
+    return frame.select(*[frame[old].alias(new) for new, old in pairs]), pairs
+
+
+def back(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    return frame.select(*[frame[new].alias(old) for new, old in pairs])

@@ -12,7 +12,7 @@ segments.  A segment is a file image that stands alone:
 
 Boundary k is where document k + 1 begins.  A select structure (the samples and a
 short scan) finds any boundary, so there is no table of 64-bit offsets: a document
-costs 2 bits and its low half, and an eighth of a bit for samples.
+costs its low half, two to three bits, and an eighth of a bit for samples.
 
 Segments are rows of a Parquet table in the shared folder, whose commit protocol
 keeps exactly one copy of each when executors are lost; `export` writes the images
