@@ -9,6 +9,7 @@ about one megabyte of text, so a task's memory does not follow the batch.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,8 @@ BASE_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long,
 @dataclass(frozen=True)
 class Rules:
     """bits: log2 of the buckets of each n-gram family.  per_class: most training
-    rows of each label.  threshold: least probability of good quality to keep."""
+    rows of each label.  extract: least and most words (less one) of the extract that
+    each of them is also fitted on.  threshold: least probability of good quality to keep."""
 
     bits: int = 16
     per_class: int = 1000
@@ -41,6 +43,7 @@ class Rules:
     threshold: float = 0.5
     l2: float = 1e-3
     steps: int = 100
+    extract: tuple = (20, 90)
     seed: int = 11
 
 
@@ -131,12 +134,15 @@ def raw_scores(texts: Texts, words: Words, hashes: np.ndarray, model: RuleModel)
 
 
 def _features(rules: Rules):
-    """mapInArrow: each training text as its occupied buckets and their shares."""
+    """mapInArrow: each training text, and an extract of it, as occupied buckets and their
+    shares.  part is 0 for the text and 1 for the extract."""
 
     def run(batches):
         for batch in batches:
+            whole = Texts.of(batch.column("text"))
+            cut = [x for r in range(whole.rows) for x in (whole.row(r).decode(), _extract(whole.row(r), rules).decode())]
             found = []
-            for _, _, texts in Texts.of(batch.column("text")).parts():
+            for _, _, texts in Texts.of(cut).parts():
                 words = Words(texts)
                 hashes = words.hashes()
                 per = [list(gram_ids(texts, words, hashes, rules))]
@@ -149,21 +155,35 @@ def _features(rules: Rules):
                         where.append(u + (family << rules.bits))
                         share.append(c / max(len(own), 1))
                     found.append((np.concatenate(where).astype("<i4").tobytes(), np.concatenate(share).astype("<f4").tobytes()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["doc_id", "y", "ids", "shares"])
+            twice = pa.array(np.repeat(np.arange(batch.num_rows), 2))
+            part = pa.array(np.tile([0, 1], batch.num_rows).astype(np.int32))
+            yield pa.record_batch([batch.column("doc_id").take(twice), batch.column("y").take(twice), part, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["doc_id", "y", "part", "ids", "shares"])
 
     return run
 
 
+def _extract(text: bytes, rules: Rules) -> bytes:
+    """A run of words of a length and place that the text's own checksum decides."""
+    words = text.split()
+    rng = np.random.default_rng([zlib.crc32(text), rules.seed])
+    n = int(rng.integers(*rules.extract))
+    at = int(rng.integers(0, max(1, len(words) - n + 1)))
+    return b" ".join(words[at : at + n])
+
+
 def fit(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> RuleModel:
     """Fit on at most 2 * rules.per_class labelled rows that are not held out.
 
-    Executors turn the rows into hashed counts (at most 2 ** (bits + 1) buckets
-    a row); only those reach the driver.  Every fifth row calibrates.  Without
-    rows of both labels the model gives every text the smoothed share of good
-    rows (0.5 if there is none).
+    Short texts vary more than what a fit on whole documents allows for, so each row
+    is also seen as an extract of rules.extract words, and buckets that hardly occur
+    are not scaled up.  Executors turn the rows into hashed counts (at most
+    2 ** (bits + 1) buckets a row); only those reach the driver.  Every fifth row
+    calibrates.  Without rows of both labels the model gives every text the smoothed
+    share of good rows (0.5 if there is none).
     """
     rows = training_rows(documents, labels, "quality", rules.per_class, rules.seed)
-    rows = rows.mapInArrow(_features(rules), "doc_id long, y int, ids binary, shares binary").toArrow().sort_by("doc_id").slice(0, 2 * rules.per_class)
+    rows = rows.mapInArrow(_features(rules), "doc_id long, y int, part int, ids binary, shares binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("part", "ascending")]).slice(0, 4 * rules.per_class)
     no, yes = class_shares(labels, "quality")
     y = np.asarray(rows["y"].to_numpy(), dtype=np.int64)
     size = 2 << rules.bits
@@ -171,47 +191,58 @@ def fit(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Rule
     if not (y == 1).any() or not (y == 0).any():
         prior = float(np.log((yes + 1) / (no + 1)))
         return RuleModel(np.zeros((2, size // 2), np.float32), 0.0, 0.0, prior, rules)
-    ids = [np.frombuffer(x.as_py(), "<i4") for x in rows["ids"]]
-    share = [np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in rows["shares"]]
-    fold = np.arange(n) % 5 == 4
+    (ids, bounds), (share, _) = _flat(rows["ids"], "<i4"), _flat(rows["shares"], "<f4")
+    fold = np.arange(n) // 2 % 5 == 4  # a text and its extract stay together
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold = np.zeros(n, dtype=bool)
-    w, bias = _descend(ids, share, y, ~fold, size, rules)
+    w, bias = _descend(ids, share, bounds, y, ~fold, size, rules)
     check = fold if fold.any() else ~fold
-    z = np.array([bias + share[k] @ w[ids[k]] for k in np.flatnonzero(check)])
+    z = np.array([bias + share[a:b] @ w[ids[a:b]] for a, b in ((bounds[k], bounds[k + 1]) for k in np.flatnonzero(check))])
     own = y[check]
     balance = np.where(own == 1, yes / max((own == 1).sum(), 1), no / max((own == 0).sum(), 1))
     slope, offset = platt(z, own, balance / balance.mean())
     return RuleModel(w.reshape(2, -1).astype(np.float32), float(bias), slope, offset, rules)
 
 
-def _descend(ids, share, y, use, size, rules):
-    """Adam on the balanced logistic loss over all rows at once."""
-    rows = np.flatnonzero(use)
-    flat = np.concatenate([ids[k] for k in rows])
-    val = np.concatenate([share[k] for k in rows])
-    seg = np.concatenate(([0], np.cumsum([len(ids[k]) for k in rows])))
-    own = np.repeat(np.arange(len(rows)), np.diff(seg))
-    # Only buckets that occur are optimised.
-    used, flat = np.unique(flat, return_inverse=True)
-    scale = 1 / np.sqrt(np.bincount(flat, val * val, len(used)) / len(rows) + 1e-8)
-    val = val * scale[flat]
-    t = y[rows]
-    weight = np.where(t == 1, 0.5 / max((t == 1).mean(), 1e-9), 0.5 / max((t == 0).mean(), 1e-9)) / len(t)
-    w, bias = np.zeros(len(used)), 0.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column in a row, without copies of single rows, and row bounds."""
+    column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+    return data, (at - at[0]) // data.itemsize
+
+
+def _descend(ids, share, bounds, y, use, size, rules):
+    """Adam on the balanced logistic loss over all rows at once, added up over blocks of
+    rows so that temporaries stay small."""
+    n = len(y)
+    blocks = []
+    for r in range(0, n, 256):
+        e = min(r + 256, n)
+        blocks.append((slice(r, e), slice(bounds[r], bounds[e]), np.repeat(np.arange(e - r, dtype=np.int16), np.diff(bounds[r : e + 1]))))
+    square = np.zeros(size)
+    for rows, at, own in blocks:
+        square += np.bincount(ids[at], np.where(use[rows][own], share[at], 0.0) ** 2, size)
+    scale = 1 / np.sqrt(square / use.sum() + 1e-6)
+    good, bad = max((y[use] == 1).mean(), 1e-9), max((y[use] == 0).mean(), 1e-9)
+    weight = np.where(use, np.where(y == 1, 0.5 / good, 0.5 / bad), 0.0) / use.sum()
+    w, bias = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for k in range(1, rules.steps + 1):
-        z = bias + np.bincount(own, val * w[flat], len(rows))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - t)
-        grad, gb = np.bincount(flat, val * g[own], len(used)) + rules.l2 * w, g.sum()
+        scaled, grad, gb = (w * scale).astype(np.float32), np.zeros(size), 0.0
+        for rows, at, own in blocks:
+            z = bias + np.bincount(own, share[at] * scaled[ids[at]], rows.stop - rows.start)
+            g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[rows])
+            grad += np.bincount(ids[at], share[at] * g.astype(np.float32)[own], size)
+            gb += g.sum()
+        grad = grad * scale + rules.l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**k, 1 - 0.999**k
         w -= 0.05 * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    out = np.zeros(size)
-    out[used] = w * scale
-    return out, bias
+    return w * scale, bias
 
 
 def score(documents: DataFrame, model: RuleModel) -> DataFrame:
