@@ -14,13 +14,18 @@ from .rows import PANEL, Rows, eliminate, from_rows, solve_rows, to_rows
 
 @dataclass(frozen=True)
 class LU:
-    """A = P*L*U: packed holds U and the unit triangle L below; order[k] is the row of A
-    that became row k; `singular` says that a pivot was 0."""
+    """A = P*L*U: packed holds U and the unit triangle L below; `moves` has (i, k) for the
+    row i of A that became row k; `singular` says that a pivot was 0."""
 
     packed: Matrix
-    order: list[int]
+    moves: DataFrame
     singular: bool
 
+    @property
+    def order(self) -> list[int]:
+        """order[k] is the row of A that became row k."""
+        return [r["i"] for r in self.moves.orderBy("k").collect()]
+
     @property
     def lower(self) -> Matrix:
         wide = min(self.packed.rows, self.packed.cols)
@@ -33,9 +38,10 @@ class LU:
 
     def pivots(self) -> list[int]:
         """The order as a 1-based list of interchanges."""
-        at, out = list(range(len(self.order))), []
+        order = self.order
+        at, out = list(range(len(order))), []
         where = {v: k for k, v in enumerate(at)}
-        for k, want in enumerate(self.order):
+        for k, want in enumerate(order):
             p = where[want]
             out.append(p + 1)
             at[k], at[p] = at[p], at[k]
@@ -43,18 +49,16 @@ class LU:
         return out
 
 
-def relabel(a: Matrix, order: list[int], inverse: bool = False) -> Matrix:
-    """Rows reordered: row k of the result is row order[k] (or the other way round)."""
-    pairs = a.df.sparkSession.createDataFrame([(int(o), k) for k, o in enumerate(order)], "i long, k long")
-    if inverse:
-        pairs = pairs.select(F.col("k").alias("i"), F.col("i").alias("k"))
+def relabel(a: Matrix, moves: DataFrame, inverse: bool = False) -> Matrix:
+    """Rows reordered: row i becomes row k for each (i, k), or the other way round."""
+    pairs = moves.select(F.col("k").alias("i"), F.col("i").alias("k")) if inverse else moves
     return Matrix(a.df.join(pairs, "i").select(F.col("k").alias("i"), "j", "v"), a.rows, a.cols)
 
 
 def lu(a: Matrix, pivot: bool = True, panel: int = PANEL) -> LU:
     """Factorises an m x n matrix; with pivot=False rows stay in place."""
-    packed, order, singular = eliminate(to_rows(a), "partial" if pivot else "none", panel)
-    return LU(from_rows(packed), order, singular)
+    packed, moves, singular = eliminate(to_rows(a), "partial" if pivot else "none", panel)
+    return LU(from_rows(packed), moves, singular)
 
 
 def solve_triangular(a: Matrix, b: Matrix, alpha: float = 1.0, uplo: str = "lower", side: str = "left", trans: bool = False, unit: bool = False, panel: int = PANEL) -> Matrix:
@@ -79,8 +83,8 @@ def lu_solve(f: LU, b: Matrix, trans: bool = False) -> Matrix:
     """X with A*X = B, or A^T*X = B (U^T, then L^T, then the rows put back)."""
     if trans:
         y = solve_triangular(f.packed, b, uplo="upper", trans=True)
-        return relabel(solve_triangular(f.packed, y, uplo="lower", trans=True, unit=True), f.order, inverse=True)
-    y = solve_triangular(f.packed, relabel(b, f.order), uplo="lower", unit=True)
+        return relabel(solve_triangular(f.packed, y, uplo="lower", trans=True, unit=True), f.moves, inverse=True)
+    y = solve_triangular(f.packed, relabel(b, f.moves), uplo="lower", unit=True)
     return solve_triangular(f.packed, y, uplo="upper")
 
 

@@ -95,6 +95,13 @@ def times_small(rows: Rows, b: np.ndarray) -> Rows:
     return Rows(map_rows(rows.df, rows.cols, lambda _, x: x @ b), rows.rows, b.shape[1])
 
 
+def levels(frame: DataFrame, ways: int) -> list[int]:
+    """Widths of the levels of a tree over a frame's tasks, down to `ways`: one more level
+    where the session is set to many partitions."""
+    wide = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) > ways * ways
+    return [ways * ways, ways] if wide else [ways]
+
+
 def reduce_tree(frame: DataFrame, width: int, start: Callable, merge: Callable, shape: tuple[int, int], ways: int = 8) -> np.ndarray:
     """Folds rows to one small matrix: start(block) in each batch, merge(x, y) within a
     task and then over a tree of `ways` inputs each."""
@@ -119,9 +126,7 @@ def reduce_tree(frame: DataFrame, width: int, start: Callable, merge: Callable,
             yield pa.record_batch([pa.array([total.shape[0]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["n", "m"])
 
     parts = frame.select("a").mapInArrow(local, "n int, m binary")
-    count = parts.rdd.getNumPartitions()
-    while count > ways:
-        count = -(-count // ways)
+    for count in levels(frame, ways):
         parts = parts.repartition(count).mapInArrow(join, "n int, m binary")
     out = None
     for r in parts.collect():
@@ -187,7 +192,7 @@ def tournament(active: DataFrame, left: int, right: int, width: int, ways: int =
     """Row numbers of good pivots for the columns [left, right), in pivot order.
 
     Every task keeps the rows that partial pivoting picks among its own, then the
-    picks meet in a tree.  With all rows in one task this is partial pivoting.
+    picks meet in a tree.  If all rows are in one task, this is partial pivoting.
     """
     most = right - left
     check_shared(ways, most, most)
@@ -213,9 +218,7 @@ def tournament(active: DataFrame, left: int, right: int, width: int, ways: int =
         return local
 
     parts = active.select("i", "a").mapInArrow(run(True), "i long, a array<double>")
-    count = parts.rdd.getNumPartitions()
-    while count > ways:
-        count = -(-count // ways)
+    for count in levels(active, ways):
         parts = parts.repartition(count).mapInArrow(run(False), "i long, a array<double>")
     got = parts.collect()
     if not got:
@@ -224,64 +227,69 @@ def tournament(active: DataFrame, left: int, right: int, width: int, ways: int =
     return [int(x) for x in names]
 
 
-def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[Rows, list[int], bool]:
-    """(packed factors by position, order, singular): A[order] = L*U with unit L.
+def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[Rows, DataFrame, bool]:
+    """(packed factors by position, moves, singular): L*U with unit L is A with row i at
+    position k for each (i, k) of `moves`.
 
     pivot: partial (by tournament), none, or cholesky (L*L^T of a symmetric positive
     definite A, L packed in the lower triangle; raises ArithmeticError otherwise).
     """
     m, n = rows.rows, rows.cols
-    state, order, singular = rows.df.select("i", "a"), [], False
-    done: set[int] = set()
+    state, singular = rows.df.select("i", F.lit(None).cast("long").alias("k"), "a"), False
     for left in range(0, min(m, n), panel):
         right = min(left + panel, m, n)
-        if pivot == "partial":
-            active = state.where(~F.col("i").isin(list(done))) if done else state
-            picked = tournament(active, left, right, n)
-        else:
-            picked = list(range(left, right))
-        names, x = collect_small(state.where(F.col("i").isin(picked)), n, len(picked))
+        active = state.where("k is null")
+        picked = tournament(active, left, right, n) if pivot == "partial" else list(range(left, right))
+        names, x = collect_small(active.where(F.col("i").isin(picked)), n, len(picked))
         x = x[[int(np.flatnonzero(names == p)[0]) for p in picked]]
-        order += picked
         if pivot == "cholesky":
             try:
                 corner = np.linalg.cholesky(x[:, left:right])
             except np.linalg.LinAlgError:
                 raise ArithmeticError("the matrix is not positive definite") from None
-            top = solve_small(corner, x[:, right:], True, False)
-            upper = corner.T
+            top, upper = solve_small(corner, x[:, right:], True, False), corner.T
             x[:, left:right], x[:, right:] = corner, 0.0
         else:
-            packed, _ = lu_in_place(x[:, left:right], False)
-            singular |= bool((np.diag(packed) == 0).any())
-            top = solve_small(packed, x[:, right:], True, True)
-            upper = packed
-            x[:, left:right], x[:, right:] = packed, top
-        places = {p: k for k, p in enumerate(picked)}
-        behind = done | set(picked)
-
-        def step(i, a, left=left, right=right, top=top, upper=upper, x=x, places=places, old=frozenset(done)):
-            a = a.copy()
-            rest = np.array([int(v) not in places and int(v) not in old for v in i], bool)
+            upper, _ = lu_in_place(x[:, left:right], False)
+            singular |= bool((np.diag(upper) == 0).any())
+            top = solve_small(upper, x[:, right:], True, True)
+            x[:, left:right], x[:, right:] = upper, top
+        state = cut(state.mapInArrow(_step(picked, x, upper, top, left, right, n), "i long, k long, a array<double>"), "panel")
+    if m > n and pivot == "partial":
+        from .matrix import Vector
+        from .sorting import sort_vector
+
+        # The rows that were no pivots follow in their order.
+        rest = sort_vector(Vector(state.where("k is null").select("i", F.col("i").cast("double").alias("v")), m)).df
+        moves = state.where("k is not null").select("i", "k").unionByName(rest.select(F.col("v").cast("long").alias("i"), (F.col("i") + n).alias("k")))
+        state = state.drop("k").join(cut(moves, "moves"), "i")
+    else:
+        state = state.withColumn("k", F.coalesce("k", "i"))
+    return Rows(state.select(F.col("k").alias("i"), "a"), m, n), state.select("i", "k"), singular
+
+
+def _step(picked: list[int], x: np.ndarray, upper: np.ndarray, top: np.ndarray, left: int, right: int, width: int):
+    """mapInArrow: the pivot rows take their place, all rows without one are reduced."""
+    places = {p: r for r, p in enumerate(picked)}
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, k = batch.column("i").to_pylist(), batch.column("k").to_pylist()
+            a = block(batch, "a", width).copy()
+            own = [r for r, i in enumerate(names) if k[r] is None and i in places]
+            rest = np.array([r for r, i in enumerate(names) if k[r] is None and i not in places], np.int64)
             part = solve_small(upper.T, a[rest, left:right].T, True, False).T
             part[~np.isfinite(part)] = 0.0
             a[rest, left:right] = part
-            a[np.ix_(rest, np.arange(right, n))] -= part @ top
-            for r in np.flatnonzero([int(v) in places for v in i]):
-                a[r] = np.concatenate((a[r, :left], x[places[int(i[r])], left:]))
-            return a
+            a[rest, right:] -= part @ top
+            for r in own:
+                a[r, left:] = x[places[names[r]], left:]
+                k[r] = left + places[names[r]]
+            yield pa.record_batch([batch.column("i"), pa.array(k, pa.int64()), arrays(a)], names=["i", "k", "a"])
 
-        state = cut(map_rows(state, n, step), "panel")
-        done = behind
-    left_over = []
-    if m > len(order):
-        left_over = [r["i"] for r in state.where(~F.col("i").isin(order)).select("i").orderBy("i").collect()] if pivot == "partial" else list(range(len(order), m))
-    order += left_over
-    if order != list(range(m)):
-        spark = state.sparkSession
-        moved = spark.createDataFrame(list(zip(order, range(m), strict=True)), "i long, k long")
-        state = state.join(moved, "i").select(F.col("k").alias("i"), "a")
-    return Rows(state, m, n), order, singular
+    return run
 
 
 def solve_rows(t: Rows, b: Rows, lower: bool, unit: bool = False, panel: int = PANEL) -> Rows:

@@ -22,12 +22,12 @@ def _eye(a: Matrix):
 
 def _lu(t: Tables, pivot: bool = True):
     f = factor.lu(t.h, pivot)
-    return shown(factor.relabel(mult(1.0, f.lower, f.upper), f.order, inverse=True))
+    return shown(factor.relabel(mult(1.0, f.lower, f.upper), f.moves, inverse=True))
 
 
 def _lu_tall(t: Tables):
     f = factor.lu(t.e)
-    return shown(factor.relabel(mult(1.0, f.lower, f.upper), f.order, inverse=True))
+    return shown(factor.relabel(mult(1.0, f.lower, f.upper), f.moves, inverse=True))
 
 
 def _lu_solve(trans: bool):
