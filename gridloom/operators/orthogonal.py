@@ -67,8 +67,9 @@ def _flip(a: Matrix, rows: bool, cols: bool) -> Matrix:
     return Matrix(a.df.select(i.alias("i"), j.alias("j"), "v"), a.rows, a.cols)
 
 
-def qr(a: Matrix) -> Orthogonal:
-    """A = Q*R for rows >= cols; R's diagonal is not negative."""
+def qr(a: Matrix | Rows) -> Orthogonal:
+    """A = Q*R for rows >= cols; R's diagonal is not negative.  A table in row layout is
+    not shuffled."""
     if a.rows < a.cols:
         raise ShapeError((a.rows, a.cols))
     q, r = qr_rows(to_rows(a))
@@ -116,7 +117,7 @@ def mult_q(f: Orthogonal, c: Matrix, side: str = "left", trans: bool = False) ->
     return mult(1.0, f.q, c, trans_a=trans) if side == "left" else mult(1.0, c, f.q, trans_b=trans)
 
 
-def least_squares(a: Matrix, b: Matrix, trans: bool = False) -> Matrix:
+def least_squares(a: Matrix | Rows, b: Matrix, trans: bool = False) -> Matrix:
     """X that minimises |A*X - B| for a tall A, or with trans the smallest X with
     A^T*X = B."""
     f = qr(a)

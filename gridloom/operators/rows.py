@@ -48,8 +48,15 @@ def arrays(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def to_rows(a: Matrix) -> Rows:
+def from_arrays(table: DataFrame, i: str, values: str, rows: int, cols: int) -> Rows:
+    """A table with an array of `cols` numbers in each row, as it lies: no shuffle."""
+    return Rows(table.select(F.col(i).cast("long").alias("i"), F.transform(values, lambda v: v.cast("double")).alias("a")), rows, cols)
+
+
+def to_rows(a: Matrix | Rows) -> Rows:
     """One shuffle by row; rows without cells become zero rows."""
+    if isinstance(a, Rows):
+        return a
     width = a.cols
     every = a.df.sparkSession.range(a.rows).select(F.col("id").alias("i"))
     cells = a.df.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("v").alias("v"))

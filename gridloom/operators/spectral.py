@@ -54,8 +54,11 @@ def _signed(v: np.ndarray) -> np.ndarray:
     return np.where(top < 0, -1.0, 1.0)
 
 
-def svd(a: Matrix, vectors: bool = True) -> SVD:
-    """Singular values and vectors; only the shorter side must be at most SMALL."""
+def svd(a: Matrix | Rows, vectors: bool = True) -> SVD:
+    """Singular values and vectors.  Up to SMALL columns (or rows) the shorter side is
+    decomposed in one piece; a tall table in row layout is not shuffled."""
+    if isinstance(a, Rows) and (a.rows < a.cols or a.cols > SMALL):
+        a = from_rows(a)
     if a.rows < a.cols:
         f = svd(a.T, vectors)
         return SVD(f.v, f.s, f.u)
@@ -70,7 +73,7 @@ def svd(a: Matrix, vectors: bool = True) -> SVD:
     return SVD(from_rows(times_small(q, u * sign)), vector_of(spark, s), matrix_of(spark, vt.T * sign))
 
 
-def singular_values(a: Matrix) -> DataFrame:
+def singular_values(a: Matrix | Rows) -> DataFrame:
     return svd(a, vectors=False).s.df
 
 

@@ -98,13 +98,17 @@ def _update(t: Tables):
     return shown(mult(1.0, low, low, trans_b=True))
 
 
+def _operand(t: Tables, form: str):
+    return t.e_rows if form == "qr" else t.e if form == "ql" else t.e.T
+
+
 def _product(form: str):
-    return lambda t: shown(orthogonal.product(orthogonal.FORMS[form](t.e if form in ("qr", "ql") else t.e.T)))
+    return lambda t: shown(orthogonal.product(orthogonal.FORMS[form](_operand(t, form))))
 
 
 def _orthonormal(form: str):
     def make(t: Tables):
-        q = orthogonal.build(orthogonal.FORMS[form](t.e if form in ("qr", "ql") else t.e.T))
+        q = orthogonal.build(orthogonal.FORMS[form](_operand(t, form)))
         return _eye(mult(1.0, q, q, trans_a=True) if form in ("qr", "ql") else mult(1.0, q, q, trans_b=True))
 
     return make
@@ -124,7 +128,7 @@ def _mult_q(form: str):
 
 def _least_squares(t: Tables):
     """e^T*(e*X) for the X nearest to the labels: e^T*x."""
-    x = orthogonal.least_squares(t.e, Matrix(t.x.df.select("i", F.lit(0).cast("long").alias("j"), "v"), t.n, 1))
+    x = orthogonal.least_squares(t.e_rows, Matrix(t.x.df.select("i", F.lit(0).cast("long").alias("j"), "v"), t.n, 1))
     return shown(mult(1.0, t.e, mult(1.0, t.e, x), trans_a=True))
 
 
@@ -214,7 +218,7 @@ QUERIES = {
     "ql_mult": (_mult_q("ql"), _G),
     "rq_mult": (_mult_q("rq"), _G),
     "qr_solve": (_least_squares, cells("e x", "SELECT e.j AS i, CAST(0 AS BIGINT) AS j, sum(e.v * x.v) AS v FROM e JOIN x ON e.i = x.i GROUP BY 1")),
-    "qr_solve_min_norm": (lambda t: shown(mult(1.0, t.e, orthogonal.least_squares(t.e, t.b, trans=True), trans_a=True)), _B),
+    "qr_solve_min_norm": (lambda t: shown(mult(1.0, t.e, orthogonal.least_squares(t.e_rows, t.b, trans=True), trans_a=True)), _B),
     "lq_solve": (lambda t: shown(mult(1.0, t.e.T, orthogonal.min_norm(t.e.T, t.b))), _B),
     "house": (_house, _NOTHING),
     "house_apply": (_house_gram, _HH),

@@ -6,7 +6,7 @@ from ..operators import blocks, extended
 from ..operators import products as pr
 from ..operators.matrix import Matrix, column_of, make_triangular, triangle
 from ..operators.rows import gram as row_gram
-from ..operators.rows import matrix_of, times_small, to_rows
+from ..operators.rows import matrix_of, times_small
 from ..operators.rows import from_rows as rows_matrix
 from .tables import Tables, cells, entries, number, rounded, shown
 
@@ -27,8 +27,8 @@ QUERIES = {
     "mult_absolute": (lambda t: shown(pr.mult(1.0, t.g, t.g, abs_a=True, abs_b=True)), cells("g", "SELECT a.i, b.j, sum(abs(a.v) * abs(b.v)) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2")),
     "mult_tiles": (lambda t: shown(blocks.from_blocks(blocks.mult(blocks.to_blocks(t.g, 16), blocks.to_blocks(t.h, 16)))), cells("g h", _GG.format("g", "h"))),
     "transpose_tiles": (lambda t: shown(blocks.from_blocks(blocks.transpose(blocks.to_blocks(t.e, 32)))), cells("e", "SELECT j AS i, i AS j, v FROM e")),
-    "mult_small_side": (lambda t: shown(rows_matrix(times_small(to_rows(t.e), row_gram(to_rows(t.e))))), cells("e g", _GG.format("e", "g"))),
-    "gram_rows": (lambda t: shown(matrix_of(t.spark, row_gram(to_rows(t.e)))), cells("g", "SELECT * FROM g")),
+    "mult_small_side": (lambda t: shown(rows_matrix(times_small(t.e_rows, row_gram(t.e_rows)))), cells("e g", _GG.format("e", "g"))),
+    "gram_rows": (lambda t: shown(matrix_of(t.spark, row_gram(t.e_rows))), cells("g", "SELECT * FROM g")),
     "gram_table": (lambda t: shown(t.g), cells("g", "SELECT * FROM g")),
     "mult_sym_left": (lambda t: shown(pr.mult_sym(1.0, make_triangular(t.g, "lower"), t.h)), cells("g h", _GG.format("g", "h"))),
     "mult_sym_right_upper": (lambda t: shown(pr.mult_sym(1.0, make_triangular(t.g, "upper"), t.e, uplo="upper", side="right")), cells("e g", _GG.format("e", "g"))),

@@ -33,7 +33,7 @@ def _around(q: Matrix, b: Matrix, p: Matrix) -> Matrix:
 
 
 def _svd(t: Tables):
-    f = spectral.svd(t.e)
+    f = spectral.svd(t.e_rows)
     return shown(mult(1.0, mult_diag(f.u, 1.0, f.s, "right"), f.v, trans_b=True))
 
 
@@ -90,8 +90,8 @@ _Z = [0.1 * (1 + k % 5) for k in range(20)]
 
 QUERIES = {
     "svd": (_svd, _E),
-    "svd_orthonormal": (lambda t: _eye((lambda u: mult(1.0, u, u, trans_a=True))(spectral.svd(t.e).u)), _I),
-    "singular_values": (lambda t: rounded(spectral.singular_values(t.e).agg(F.sum(F.col("v") * F.col("v")).alias("value")), 4), number("e", "(SELECT sum(v * v) FROM e)", 4)),
+    "svd_orthonormal": (lambda t: _eye((lambda u: mult(1.0, u, u, trans_a=True))(spectral.svd(t.e_rows).u)), _I),
+    "singular_values": (lambda t: rounded(spectral.singular_values(t.e_rows).agg(F.sum(F.col("v") * F.col("v")).alias("value")), 4), number("e", "(SELECT sum(v * v) FROM e)", 4)),
     "eigen_sym": (_eigen, _G),
     "eigenvalue_trace": (lambda t: rounded(spectral.eigen_sym(t.g, vectors=False).values.df.agg(F.sum("v").alias("value")), 4), number("g", "(SELECT sum(v) FROM g WHERE i = j)", 4)),
     "eigen_selected_index": (lambda t: spectral.eigen_sym_selected(t.g, first=10, last=20).select("i", F.round("v", 6).alias("v")), None),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.elementwise import plus
 from ..operators.matrix import Matrix, Vector, from_arrays, from_table, identity, vector_from
 from ..operators.products import gram
+from ..operators.rows import Rows
+from ..operators.rows import from_arrays as rows_of
 
 WIDTH = 64
 
@@ -36,6 +38,11 @@ class Tables:
     def e(self) -> Matrix:
         return from_arrays(self.table("embeddings"), "vec_id", "embedding", self.n, WIDTH)
 
+    @cached_property
+    def e_rows(self) -> Rows:
+        """e as it lies in the table."""
+        return rows_of(self.table("embeddings"), "vec_id", "embedding", self.n, WIDTH)
+
     @cached_property
     def g(self) -> Matrix:
         return gram(self.table("embeddings"), "embedding", WIDTH)
