@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import cut
 from .matrix import Matrix, ShapeError, Vector
 
 
@@ -16,7 +17,8 @@ def sort_vector(x: Vector, ascending: bool = True, absolute: bool = False) -> Ve
     """
     key = F.abs("v") if absolute else F.col("v")
     ranged = x.df.withColumn("key", key if ascending else -key).repartitionByRange("key", "i").sortWithinPartitions("key", "i")
-    ranged = ranged.withColumn("part", F.spark_partition_id())
+    # Written once, so that both uses below see the same ranges.
+    ranged = cut(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("key", "i")))
     counts = ranged.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))

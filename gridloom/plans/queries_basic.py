@@ -76,6 +76,10 @@ QUERIES = {
         lambda t: shown(mx.dense(mx.submatrix(t.s, 0, 0, 5, 50))),
         cells("s", "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, coalesce(s.v, 0.0) AS v FROM range(5) a(r) CROSS JOIN range(50) b(r) LEFT JOIN s ON s.i = a.r AND s.j = b.r"),
     ),
+    "pretty_print": (
+        lambda t: mx.pretty(t.g, 3).select("i", *[(F.round(f"c{k}", 6) + 0.0).alias(f"c{k}") for k in range(3)]),
+        sql("g", "SELECT i, " + ", ".join(f"round(max(CASE WHEN j = {k} THEN v END), 6) + 0.0 AS c{k}" for k in range(3)) + " FROM g WHERE i < 3 AND j < 3 GROUP BY i"),
+    ),
     # views and access
     "get_element": (lambda t: mx.get(t.g, -1, 3).select((F.round("v", 6) + 0.0).alias("value")), number("g", "(SELECT v FROM g WHERE i = 63 AND j = 3)")),
     "get_at": (lambda t: mx.get_at(t.g, 200).select((F.round("v", 6) + 0.0).alias("value")), number("g", "(SELECT v FROM g WHERE i = 8 AND j = 3)")),

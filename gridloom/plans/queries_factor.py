@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import compat
 from ..operators import butterfly, factor, orthogonal, small
 from ..operators.elementwise import mult_diag
 from ..operators.matrix import Matrix, Vector, column_of, make_triangular
@@ -227,6 +228,11 @@ QUERIES = {
     "givens_rows": (lambda t: shown(orthogonal.givens_rows(t.g, 0.6, 0.8, 2, 5)), cells("g", "SELECT g.i, g.j, CASE g.i WHEN 2 THEN 0.6 * g.v + 0.8 * o.v WHEN 5 THEN 0.6 * g.v - 0.8 * o.v ELSE g.v END AS v FROM g JOIN g o ON o.j = g.j AND o.i = CASE g.i WHEN 2 THEN 5 WHEN 5 THEN 2 ELSE g.i END")),
     "givens_columns": (lambda t: shown(orthogonal.givens_columns(t.e, 0.6, 0.8, 0, 1)), cells("e", "SELECT e.i, e.j, CASE e.j WHEN 0 THEN 0.6 * e.v + 0.8 * o.v WHEN 1 THEN 0.6 * e.v - 0.8 * o.v ELSE e.v END AS v FROM e JOIN e o ON o.i = e.i AND o.j = CASE e.j WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE e.j END")),
     "givens_sequence": (lambda t: shown(orthogonal.givens_sequence(t.e, [(0.6, 0.8)], 0, "right")), cells("e", "SELECT e.i, e.j, CASE e.j WHEN 0 THEN 0.6 * e.v + 0.8 * o.v WHEN 1 THEN 0.6 * e.v - 0.8 * o.v ELSE e.v END AS v FROM e JOIN e o ON o.i = e.i AND o.j = CASE e.j WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE e.j END")),
+    "compat_gemm": (lambda t: shown(compat.gemm("T", "N", 1.0, t.e, t.e, 1.0, t.eye)), _H),
+    "compat_syrk": (lambda t: shown(compat.syrk("L", "T", 1.0, t.e)), cells("g", "SELECT * FROM g WHERE i >= j")),
+    "compat_trsm": (lambda t: shown(compat.trmm("L", "U", "N", "N", 1.0, t.h, compat.trsm("L", "U", "N", "N", 1.0, t.h, t.b))), _B),
+    "compat_posv": (lambda t: shown(compat.symm("L", "L", 1.0, t.h, compat.posv("L", t.h, t.b))), _B),
+    "compat_getrs": (lambda t: shown(compat.gemm("T", "N", 1.0, t.h, compat.getrs("T", compat.getrf(t.h), t.b))), _B),
     "butterfly": (_butterfly, _NOTHING),
     "butterfly_two_sided": (_butterfly2, _NOTHING),
 }

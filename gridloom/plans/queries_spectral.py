@@ -83,6 +83,17 @@ def _dqds(t: Tables):
     return rounded(_vector(r, "s").df.agg(F.sum(F.col("v") * F.col("v")).alias("value")), 4)
 
 
+def _secular_vectors(t: Tables):
+    """V*diag(values)*V^T = diag(d) + 0.7*z*z^T."""
+    n = len(_D)
+    k = t.spark.range(n).select(F.col("id").alias("i"))
+    pick = lambda values: F.array(*[F.lit(v) for v in values])[F.col("i").cast("int")]
+    cells_ = k.select(F.lit(0).cast("long").alias("key"), "i", F.col("i").alias("j"), pick(_D).alias("v")).unionByName(k.select(F.lit(0).cast("long").alias("key"), "i", F.lit(n).cast("long").alias("j"), pick(_Z).alias("v")))
+    r = small.each(cells_, n, n + 1, lambda x: small.rank_one_eigen(x[:, :n].diagonal(), x[:, n], 0.7))
+    v, d = small.part(r, "vectors", n, n), small.part(r, "values", n, 1)
+    return shown(mult(1.0, mult_diag(v, 1.0, Vector(d.df.select("i", "v"), n), "right"), v, trans_b=True))
+
+
 _BAND = "SELECT i, j, v FROM g WHERE i = j UNION ALL SELECT i, i + 1 AS j, v FROM w WHERE i < 63"
 _D = [float((7 * k) % 23) for k in range(20)]
 _OFF = [1.0 + k % 3 for k in range(19)]
@@ -109,6 +120,10 @@ QUERIES = {
         lambda t: spectral.sturm_counts(t.spark, [float(k) for k in range(10)], [0.0] * 9, t.spark.range(20).select((F.col("id") / 2 - 0.25).alias("x"))),
         "SELECT r / 2 - 0.25 AS x, CAST((SELECT count(*) FROM range(10) d(q) WHERE q < r / 2 - 0.25) AS INTEGER) AS count FROM range(20) t(r)",
     ),
+    "secular_vectors": (
+        _secular_vectors,
+        "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, round(0.7 * 0.01 * (1 + a.r % 5) * (1 + b.r % 5) + CASE WHEN a.r = b.r THEN (7 * a.r) % 23 ELSE 0 END, 6) + 0.0 AS v FROM range(20) a(r), range(20) b(r)",
+    ),
     "secular_roots": (
         lambda t: rounded(spectral.secular_roots(t.spark, [float(k) for k in range(20)], _Z, 0.7).agg(F.sum("v").alias("value"))),
         f"SELECT round({sum(range(20)) + 0.7 * sum(z * z for z in _Z)}, 6) + 0.0 AS value",
