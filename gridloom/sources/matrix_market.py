@@ -13,7 +13,7 @@ class FormatError(ValueError):
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(block, at, line): lines with their place, by file block and inside it."""
+    """(file, block, at, line): lines with their place, by file, block of the file and inside it."""
     text = spark.read.text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
 
@@ -23,29 +23,29 @@ def read(spark: SparkSession, path: str, mirror: bool = False) -> Matrix:
 
     Indices are 1-based in the file.  Symmetric coordinate files give the stored
     triangle (`mirror`: both); symmetric array files are packed by columns of the lower
-    triangle.  Only the banner and the size line reach the driver.
+    triangle.  A folder is read as its files one after another by name.  Only the banner and the size line reach the driver.
     """
     lines = _lines(spark, path)
-    banner = lines.where(F.col("line").startswith("%%MatrixMarket")).orderBy("block", "at").select("line").first()
+    banner = lines.where(F.col("line").startswith("%%MatrixMarket")).orderBy("file", "block", "at").select("line").first()
     if banner is None:
         raise FormatError("no banner")
     _, what, form, field, shape = (banner["line"].lower().split() + [""] * 5)[:5]
     if what != "matrix" or form not in ("coordinate", "array") or field not in ("real", "integer", "pattern", "double") or shape not in ("general", "symmetric"):
         raise FormatError(banner["line"])
     data = lines.where((F.col("line") != "") & ~F.col("line").startswith("%"))
-    first = data.orderBy("block", "at").limit(1).first()
+    first = data.orderBy("file", "block", "at").limit(1).first()
     sizes = [int(x) for x in first["line"].split()]
     rows, cols = sizes[0], sizes[1]
-    data = data.where(~((F.col("block") == first["block"]) & (F.col("at") == first["at"])))
+    data = data.where(~((F.col("file") == first["file"]) & (F.col("block") == first["block"]) & (F.col("at") == first["at"])))
     words = F.split("line", r"\s+")
     if form == "coordinate":
         value = F.lit(1.0) if field == "pattern" else words[2].cast("double")
         out = data.select((words[0].cast("long") - 1).alias("i"), (words[1].cast("long") - 1).alias("j"), value.alias("v"))
     else:
-        inside = data.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("at")))
-        counts = data.groupBy("block").count()
-        before = counts.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))
-        placed = inside.join(F.broadcast(before), "block").select((F.col("before") + F.col("n") - 1).alias("k"), F.col("line").cast("double").alias("v"))
+        inside = data.withColumn("n", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+        counts = data.groupBy("file", "block").count()
+        before = counts.select("file", "block", (F.sum("count").over(Window.orderBy("file", "block")) - F.col("count")).alias("before"))
+        placed = inside.join(before, ["file", "block"]).select((F.col("before") + F.col("n") - 1).alias("k"), F.col("line").cast("double").alias("v"))
         if shape == "symmetric":
             # Column j of the packed lower triangle begins at j*n - j*(j-1)/2.
             n = rows
