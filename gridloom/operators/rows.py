@@ -242,7 +242,8 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
     definite A, L packed in the lower triangle; raises ArithmeticError otherwise).
     """
     m, n = rows.rows, rows.cols
-    state, singular = rows.df.select("i", F.lit(None).cast("long").alias("k"), "a"), False
+    # Written first: every step reads it more than once.
+    state, singular = cut(rows.df.select("i", F.lit(None).cast("long").alias("k"), "a"), "rows"), False
     for left in range(0, min(m, n), panel):
         right = min(left + panel, m, n)
         active = state.where("k is null")
@@ -304,6 +305,7 @@ def solve_rows(t: Rows, b: Rows, lower: bool, unit: bool = False, panel: int = P
     right-hand sides of the rows that come after."""
     n, k = t.rows, b.cols
     state = t.df.select("i", "a").join(b.df.select("i", F.col("a").alias("b")), "i").select("i", F.concat("a", "b").alias("a"))
+    state = cut(state, "solve")
     starts = list(range(0, n, panel))
     for left in starts if lower else reversed(starts):
         right = min(left + panel, n)
@@ -319,6 +321,6 @@ def solve_rows(t: Rows, b: Rows, lower: bool, unit: bool = False, panel: int = P
             return a
 
         state = map_rows(state, n + k, step)
-        if (left // panel) % 8 == 7:
+        if len(starts) > 1:
             state = cut(state, "solve")
-    return Rows(map_rows(cut(state, "solve"), n + k, lambda _, a: a[:, n:]), n, k)
+    return Rows(map_rows(state, n + k, lambda _, a: a[:, n:]), n, k)
