@@ -263,8 +263,9 @@ def _exact(join: Join):
 
 def _pair_up(members: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """Members (key, blocks, fields) gathered into one row per block and, for keys of
-    several blocks, one row per pair of blocks.  The rows are blocks, so their number
-    is small, and the block of a member is its hash: no key meets in one task."""
+    several blocks, one row per pair of blocks that both have members.  The rows are
+    blocks, so their number is small, and the block of a member is its hash: no key
+    meets in one task."""
     block = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts"))
     packed = members.withColumn("block", block).groupBy(key, "parts", "block").agg(F.collect_list(F.struct(*fields)).alias("members"))
     lone = packed.where("parts = 1").select(F.array("members").alias("blocks"))
@@ -272,7 +273,7 @@ def _pair_up(members: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame
     several = (
         packed.where("parts > 1").withColumn("other", other)
         .groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list("members").alias("blocks")).select("blocks")
+        .agg(F.collect_list("members").alias("blocks")).where("i = j or size(blocks) = 2").select("blocks")
     )
     return lone, several
 

@@ -357,6 +357,19 @@ def test_classes_by_brute_force(spark):
     assert all((got[d]["class_id"], got[d]["n_links"]) == (c, n) for d, c, n in zip(ids, names, links, strict=True))
 
 
+def test_links_count_once_where_blocks_are_empty(spark):
+    """Groups of a few long sets, with more blocks than members."""
+    rng = random.Random(6)
+    texts = []
+    for n in (2, 2, 2, 3, 3, 5):
+        base = prose(rng, 60).split()
+        texts += [" ".join([*base, f"end{k}"]) for k in range(n)]
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: r for r in chosen_path.classes(docs(spark, texts), chosen_path.Join(block_tokens=20)).collect()}
+    names, links = by_hand(texts, ids)
+    assert max(links) == 4 and [(got[d]["class_id"], got[d]["n_links"]) for d in ids] == list(zip(names, links, strict=True))
+
+
 def test_keep_one_of_each_class(spark):
     texts = [t for t in near_texts(4)[:60]]
     ids = [k if k % 9 else None for k in range(len(texts))]
