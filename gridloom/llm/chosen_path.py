@@ -67,11 +67,18 @@ _MUL = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Two bits of each min-hash of a set."""
+    """Two bits of each min-hash of a set, from all of its bits: the low bits of a
+    product only depend on the low bits of its factors, so those of two tokens would
+    agree in every min-hash or in none."""
     x = (tokens >> np.uint64(17)).astype(np.uint32)
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 1024):
         np.minimum(low, ((x[None, k : k + 1024] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=low)
+    low ^= low >> np.uint32(16)
+    low *= np.uint32(0x85EBCA6B)
+    low ^= low >> np.uint32(13)
+    low *= np.uint32(0xC2B2AE35)
+    low ^= low >> np.uint32(16)
     return ((low & np.uint32(3)).astype(np.uint8).reshape(-1, 4) * np.array([1, 4, 16, 64], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
 
 

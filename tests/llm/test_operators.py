@@ -370,6 +370,17 @@ def test_links_count_once_where_blocks_are_empty(spark):
     assert max(links) == 4 and [(got[d]["class_id"], got[d]["n_links"]) for d in ids] == list(zip(names, links, strict=True))
 
 
+def test_sketches_of_tiny_sets_agree():
+    """Pairs of 4 and 5 tokens, exactly at the similarity."""
+    join, rng, missed = chosen_path.Join(), np.random.default_rng(5), 0
+    p = join.similarity + (1 - join.similarity) / 4
+    least = chosen_path.SKETCH * (p - join.slack * (p * (1 - p) / chosen_path.SKETCH) ** 0.5)
+    for tokens in rng.integers(0, 2**64, (10_000, 5), dtype=np.uint64):
+        x = np.frombuffer(chosen_path._sketch(tokens[:4]), np.uint8) ^ np.frombuffer(chosen_path._sketch(tokens), np.uint8)
+        missed += sum(((x >> s) & 3 == 0).sum() for s in (0, 2, 4, 6)) < least
+    assert missed <= 2
+
+
 def test_keep_one_of_each_class(spark):
     texts = [t for t in near_texts(4)[:60]]
     ids = [k if k % 9 else None for k in range(len(texts))]
