@@ -4,7 +4,7 @@ A sparse matrix is the same coordinate table; its compressed forms are tables wi
 row for each major index.  Triangular solves and incomplete factorisations repeat a
 fixed-point sweep, a join and an aggregation over all rows at once; as the recurrences
 are triangular, the sweeps end with the exact result after as many steps as the longest
-chain of dependencies, and stop earlier once nothing changes.
+chain of dependencies (two a row in a factorisation), and stop earlier once nothing changes.
 """
 
 from __future__ import annotations
@@ -145,12 +145,16 @@ class Preconditioner:
     apply: Callable[[Vector], Vector]
 
 
-def _sweep(a: Matrix, limit: int, tolerance: float) -> Matrix:
+def _sweep(a: Matrix, limit: int | None, tolerance: float) -> Matrix:
     """ILU(0) by fixed-point sweeps on A's pattern: below the diagonal
-    f_ij = (a_ij - sum_k<j f_ik*f_kj)/f_jj, else f_ij = a_ij - sum_k<i f_ik*f_kj."""
+    f_ij = (a_ij - sum_k<j f_ik*f_kj)/f_jj, else f_ij = a_ij - sum_k<i f_ik*f_kj.
+
+    A chain of dependencies takes two steps a row, so 2*rows sweeps are always enough;
+    a smaller limit that is reached before nothing changes is an error."""
     base = cut(a.df, "pattern")
     f = base
-    for _ in range(limit):
+    enough = 2 * a.rows
+    for _ in range(enough if limit is None else min(limit, enough)):
         low = f.where("i > j").select("i", F.col("j").alias("k"), F.col("v").alias("x"))
         up = f.where("i <= j").select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
         sums = low.join(up, "k").where(F.col("k") < F.least("i", "j")).join(base.select("i", "j"), ["i", "j"], "left_semi").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
@@ -162,11 +166,15 @@ def _sweep(a: Matrix, limit: int, tolerance: float) -> Matrix:
         f = step.select("i", "j", "v")
         if gap is None or gap <= tolerance:
             break
+    else:
+        if limit is not None and limit < enough:
+            raise ArithmeticError(f"incomplete factors still change after {limit} sweeps")
     return Matrix(f, a.rows, a.cols)
 
 
-def ilu0(a: Matrix, sweeps: int = 200, tolerance: float = 1e-15) -> Matrix:
-    """L (unit, below the diagonal) and U of A on its own pattern; the diagonal must be stored."""
+def ilu0(a: Matrix, sweeps: int | None = None, tolerance: float = 1e-15) -> Matrix:
+    """L (unit, below the diagonal) and U of A on its own pattern; the diagonal must be stored.
+    sweeps: most sweeps, an error if they do not suffice; None is as many as it takes."""
     if not has_diagonal(a).first()["value"]:
         raise ArithmeticError("ILU(0) needs every diagonal cell")
     return _sweep(a, sweeps, tolerance)
@@ -178,7 +186,7 @@ def ilu_preconditioner(a: Matrix) -> Preconditioner:
     return Preconditioner(f, f, True, lambda x: solve_triangular(f, solve_triangular(f, x, 1.0, "lower", unit=True), 1.0, "upper"))
 
 
-def ic0(a: Matrix, uplo: str = "lower", sweeps: int = 200, tolerance: float = 1e-15) -> Matrix:
+def ic0(a: Matrix, uplo: str = "lower", sweeps: int | None = None, tolerance: float = 1e-15) -> Matrix:
     """L with L*L^T = A on A's pattern, from one triangle: the unit factor of ILU(0) times
     the roots of its pivots."""
     from .matrix import mirrored

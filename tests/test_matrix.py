@@ -165,3 +165,15 @@ def test_customary_names(a, square):
 def test_views(square):
     x = array(square)
     assert np.allclose(values(diagonal(square, 2)), np.diag(x, 2)) and np.allclose(array(make_triangular(square, "upper", unit=True)), np.triu(x, 1) + np.eye(20))
+
+
+def test_incomplete_factors_end_or_say_so(spark):
+    """The tridiagonal (-1, 2, -1): pivot i is (i + 2)/(i + 1), each from the one before."""
+    n = 9
+    cells = [(i, j, 2.0 if i == j else -1.0) for i in range(n) for j in range(max(i - 1, 0), min(i + 2, n))]
+    chain = Matrix(spark.createDataFrame(cells, "i long, j long, v double").coalesce(1), n, n)
+    got = {r["i"]: r["v"] for r in sparse.ilu0(chain).df.where("i = j").collect()}
+    assert np.allclose([got[i] for i in range(n)], [(i + 2) / (i + 1) for i in range(n)], rtol=1e-12, atol=0)
+    for factor_of in (sparse.ilu0, sparse.ic0):
+        with pytest.raises(ArithmeticError):
+            factor_of(chain, sweeps=3)
