@@ -2,7 +2,8 @@
 
 Each source is dealt into blocks by a hash of doc_id.  Its target decides how
 many passes over its blocks the mix takes: whole passes, then a prefix of the
-permuted blocks, ending inside one block.  Every (source, pass, block) is a unit,
+permuted blocks, ending inside one block; rows behind that still fit and the one
+row that then comes nearest fill it up.  Every (source, pass, block) is a unit,
 and the units of a source are its quota.  A binary tree splits the quotas among
 the output shards: at each node a multivariate hypergeometric draw gives the left
 child its exact number of units of every source.  Each shard then takes its own
@@ -72,6 +73,38 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return table.select("s", "source", "source_size", F.least("limit", F.col("weight") * F.col("level")).alias("target"))
 
 
+def _behind(place, rank):
+    """Whether a row comes after a rank of a block in its source's order."""
+    return (F.col("place") > place) | ((F.col("place") == place) & (F.col("mix_rank") > rank))
+
+
+def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
+    """(s, lack, from_place, from_rank, to_place, to_rank, left): a source takes its rows of at
+    most `lack` words behind one rank and not behind another, and then lacks `left`.
+
+    A step ends at the first row that no longer fits; the next goes on behind it with what
+    is lacking.  Such rows get smaller from step to step, so in a permuted order the steps are few.
+    As before, only block sums and the rows of one block are ordered."""
+    done, far = None, 2**31 - 1
+    while True:
+        fits = spare.join(state, "s").where(_behind(F.col("from_place"), F.col("from_rank")) & (F.col("mix_size") <= F.col("lack")))
+        upto = Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        sums = fits.groupBy("s", "place").agg(F.sum("mix_size").alias("words"), F.first("lack").alias("lack")).withColumn("end", F.sum("words").over(upto))
+        over = F.when(F.col("end") > F.col("lack"), F.struct("place", (F.col("end") - F.col("words")).alias("start")))
+        ends = written(sums.groupBy("s").agg(F.min(over).alias("m"), F.max("end").alias("whole")).select("s", "whole", F.col("m.place").alias("to_place"), F.col("m.start").alias("start")), "ends")
+        ranks = Window.partitionBy("s").orderBy("mix_rank").rowsBetween(Window.unboundedPreceding, 0)
+        last = fits.join(ends.where("start is not null").select("s", F.col("to_place").alias("place"), "start"), ["s", "place"]).withColumn("run", F.col("start") + F.sum("mix_size").over(ranks))
+        last = last.where(F.col("run") <= F.col("lack")).groupBy("s").agg(F.max("mix_rank").alias("to_rank"), F.max("run").alias("run"))
+        used = F.when(F.col("start").isNull(), F.col("whole")).otherwise(F.coalesce("run", "start"))
+        rank = F.coalesce("to_rank", F.when(F.col("to_place") == F.col("from_place"), F.col("from_rank")).otherwise(0))
+        step = state.join(ends, "s").join(last, "s", "left").select("s", "lack", "from_place", "from_rank", F.coalesce("to_place", F.lit(far)).alias("to_place"), rank.alias("to_rank"), (F.col("lack") - used).alias("left"))
+        step = written(step, "steps")
+        done = step if done is None else done.unionByName(step)
+        state = step.where(F.col("to_place") < far).select("s", F.col("left").alias("lack"), F.col("to_place").alias("from_place"), F.col("to_rank").alias("from_rank"))
+        if not state.limit(1).count():
+            return done
+
+
 def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     """(s, source, block, pass, low, high): what each unit takes of its block, by rank."""
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -80,30 +113,38 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     blocks = blocks.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("s", "b.source", "block", "words", "rows", "full", "rest")
     order = Window.partitionBy("s").orderBy(F.xxhash64("s", "block", F.lit(mix.seed + 2)), "block")
     blocks = blocks.withColumn("end", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = written(blocks.withColumn("start", F.col("end") - F.col("words")), "blocks")
+    blocks = written(blocks.withColumn("place", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("words")), "blocks")
     whole = F.col("end") <= F.col("rest")
     inside = (F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))
 
-    # The block in which a source's last pass ends: rows up to a rank, then the one row
-    # outside that brings the source nearest to its target.
+    # The block in which a source's last pass ends: rows up to a rank, then rows behind
+    # it that still fit, then the one row outside that brings the source nearest to its target.
     open_ = blocks.where(~whole & (F.col("rest") > 0))
     outside = rows.alias("r").join(open_.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("mix_block") == F.col("block")))
-    outside = outside.select("s", "o.source", "block", "mix_rank", "mix_size", "rest", "start", inside.alias("inside"), (inside & (F.col("start") + F.col("mix_words") <= F.col("rest"))).alias("taken"))
+    outside = outside.select("s", "o.source", "block", "place", "mix_rank", "mix_size", "rest", "start", inside.alias("inside"), (inside & (F.col("start") + F.col("mix_words") <= F.col("rest"))).alias("taken"))
     cut = written(
-        outside.where("inside").groupBy("s", "source", "block").agg(
+        outside.where("inside").groupBy("s", "source", "block", "place").agg(
             F.count(F.when(F.col("taken"), 1)).cast("int").alias("high"),
             (F.first("rest") - F.first("start") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("mix_size"))), F.lit(0))).alias("lack"),
         ),
         "cuts",
     )
+    spare = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "place", "mix_rank", "mix_size"), "spare")
+    steps = _steps(spare, cut.select("s", "lack", F.col("place").alias("from_place"), F.col("high").alias("from_rank"))).groupBy("s")
+    steps = cut.select("s", F.col("lack").alias("first")).join(steps.agg(F.min("left").alias("left"), F.collect_list(F.struct("lack", "from_place", "from_rank", "to_place", "to_rank")).alias("steps")), "s", "left")
+    fits = F.exists("steps", lambda t: (F.col("mix_size") <= t["lack"]) & _behind(t["from_place"], t["from_rank"]) & ~_behind(t["to_place"], t["to_rank"]))
+    spare = spare.join(steps, "s").select("s", "source", "block", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
+    spare = written(spare, "fitted")
+    # Ranks that follow each other are one range.
+    apart = F.col("mix_rank") - F.row_number().over(Window.partitionBy("s", "block").orderBy("mix_rank"))
+    fill = spare.where("taken").withColumn("apart", apart).groupBy("s", "source", "block", "apart").agg(F.min("mix_rank").alias("low"), F.max("mix_rank").alias("high")).drop("apart")
     gap = F.abs(F.col("mix_size") - F.col("lack"))
-    spare = outside.where("not taken").join(cut.select("s", "lack"), "s").where(gap < F.col("lack"))
-    top = spare.groupBy("s", "source").agg(F.min(F.struct(gap.alias("gap"), "block", F.col("mix_rank").alias("low"))).alias("m")).select("s", "source", "m.block", "m.low", F.col("m.low").alias("high"))
+    top = spare.where("not taken").where(gap < F.col("lack")).groupBy("s", "source").agg(F.min(F.struct(gap.alias("gap"), "block", F.col("mix_rank").alias("low"))).alias("m")).select("s", "source", "m.block", "m.low", F.col("m.low").alias("high"))
 
     passes = F.sequence(F.lit(1), F.col("full") + whole.cast("int"))
     units = blocks.where(F.col("full") + whole.cast("int") > 0).select("s", "source", "block", F.explode(passes).alias("pass"), F.lit(1).alias("low"), F.col("rows").alias("high"))
     last = goals.select("s", (F.col("full") + 1).alias("pass"))
-    for part in (cut.where("high > 0").select("s", "source", "block", F.lit(1).alias("low"), "high"), top):
+    for part in (cut.where("high > 0").select("s", "source", "block", F.lit(1).alias("low"), "high"), fill, top):
         units = units.unionByName(part.join(last, "s").select("s", "source", "block", "pass", "low", "high"))
     return written(units, "units")
 

@@ -77,6 +77,18 @@ def test_mix_meets_its_targets(spark, hot):
     assert out.columns[-2:] == ["mix_draws", "block"] and out.count() == sum(len(r["draws"]) for r in got)
 
 
+def test_mix_fills_up_behind_a_long_document(spark):
+    """A fifth of each source's words in one document, at which its last pass may end."""
+    rng = random.Random(1)
+    names = [chr(97 + k) for k in range(16)]
+    sources = [s for s in names for _ in range(61)]
+    texts = [prose(rng, rng.randint(1, 20) if k % 61 else 150) for k in range(len(sources))]
+    got = mixing.assign(docs(spark, texts, sources), mixing.Mix(weights=(1, 3))).collect()
+    for s in names:
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * len(r["draws"]) for r in own) - own[0]["target"]) <= 10
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([(1, 700), (2, 3), (3, 0)], "s long, q long")
     got = mixing._tree(quotas, mixing.Mix()).groupBy("s").agg(F.sum("q").alias("q")).collect()
