@@ -2,15 +2,19 @@
 
 A text is the set of its 5-word shingles.  Identical sets are one class.  Each
 run splits the sets recursively on sampled shared tokens: at a node, a set goes
-down every token x of it with h(node, x) < branch / |set|, so two sets that
-share most tokens share children.  Small buckets are compared by brute force;
-large ones are split again, unless splitting leaves as many rows as before -
-then the bucket is a cluster of similar sets and is compared in blocks.  Runs
-repeat until the target recall.
+down every token x of its sample with h(node, x) < branch / |sample|, so two sets
+that share most tokens share children.  The sample of a set are its smallest
+token hashes; it goes along with the set as a narrow column, so that no level
+reads the texts again.  Buckets of at most `small` sets are compared by brute
+force.  Of a larger one every member is compared with a few pivots: a bucket that
+hangs together by them is done, one whose members have too much in common for a
+split to help is compared in blocks, and the others are split again.  Runs repeat
+until the target recall.
 
 The bucket comparison uses two bits of each of 128 min-hashes and only yields
 spanning edges, never all pairs.  The groups so joined are then compared
-exactly, in blocks of the full sets: that gives the links and their number.
+exactly, in blocks of the full sets: that gives the links and their number.  Only
+this step reads texts again, once.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytesplit import Texts, mix, shingle_sets
 from .components import components
-from .shared import aside, back, written
+from .shared import aside, back, spent, written
 
 SKETCH = 128
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,31 +38,53 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Join:
-    """branch: expected sampled tokens of a set at a node.  small: sets in a bucket
-    that is compared without further splitting.  block, block_tokens: most sets
-    and shingles in one block of a comparison.  loss: chance that the sketch
-    misses a pair exactly at the similarity (in standard deviations: slack)."""
+    """recall: of a pair just at the similarity, over all runs, if one of its sets
+    holds the other (others are found more often).  branch: expected sampled tokens of
+    a set at a node.  sample: tokens of a set that paths choose from.  small: sets in a
+    bucket that is compared without further splitting.  pivots: sets that members of a
+    larger bucket are compared with.  pays: a bucket is split if its members would share
+    at most so many children on average, else comparing them now is no dearer.  depth:
+    levels of splitting; what is still large and not done at the last is compared in
+    blocks, whatever its size.  block, block_tokens: most sets and shingles in one block
+    of a comparison, tile: sets of it at once.  slack: a pair at the similarity may
+    fall short of the expected agreement of sketches by so many standard deviations."""
 
     words: int = 5
     similarity: float = 0.8
-    recall: float = 0.9995
-    branch: float = 3.0
+    recall: float = 0.999
+    branch: float = 2.5
+    sample: int = 48
     small: int = 512
+    pivots: int = 4
+    pays: float = 0.9
     depth: int = 6
-    block: int = 1024
-    block_tokens: int = 400_000
+    block: int = 4096
+    block_tokens: int = 1_600_000
+    tile: int = 1024
     slack: float = 4.5
     seed: int = 1
 
     def runs(self) -> int:
-        """Runs for the target recall.  A pair at the similarity shares at least
-        `similarity` of the larger set, so its common children at a node are about
-        Poisson(similarity * branch); s is the chance that a line of common nodes
-        goes on to any depth."""
-        mean, s = self.similarity * self.branch, 1.0
-        for _ in range(200):
-            s = 1 - math.exp(-mean * s)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - s)))
+        """Runs for the target recall.  A pair shares Binomial(sample, similarity) tokens
+        of the larger set's sample, so its common children at a node are about Poisson;
+        s is the chance that a line of common nodes goes on to any depth."""
+        m, p = self.sample, self.similarity
+        chance, on = [], []
+        for k in range(m + 1):
+            s = 1.0
+            for _ in range(200):
+                s = 1 - math.exp(-self.branch * k / m * s)
+            chance.append(math.comb(m, k) * p**k * (1 - p) ** (m - k))
+            on.append(s)
+        runs = 1
+        while sum(c * (1 - s) ** runs for c, s in zip(chance, on, strict=True)) > 1 - self.recall:
+            runs += 1
+        return runs
+
+    def least(self) -> float:
+        """Equal values among those of two sketches that make a candidate pair."""
+        p = self.similarity + (1 - self.similarity) / 4
+        return SKETCH * (p - self.slack * math.sqrt(p * (1 - p) / SKETCH))
 
 
 _rng = np.random.default_rng(77)
@@ -82,10 +108,17 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return ((low & np.uint32(3)).astype(np.uint8).reshape(-1, 4) * np.array([1, 4, 16, 64], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
 
 
-def _children(node: np.uint64, tokens: np.ndarray, branch: float) -> np.ndarray:
-    """The child nodes that a set takes at a node."""
-    h = mix(tokens ^ node)
-    return mix(h[h < np.uint64(min(branch / len(tokens), 1.0) * (2**64 - 1025))] + np.uint64(1))
+def _children(nodes: np.ndarray, sets: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, child) for every child that set sets[k] takes at nodes[k].  tokens: the
+    samples of all sets, one after another, sizes of them each."""
+    start = np.cumsum(sizes) - sizes
+    many = sizes[sets]
+    at = np.repeat(np.arange(len(sets)), many)
+    token = tokens[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[sets][at]]
+    h = mix(token ^ nodes[at])
+    below = np.minimum(branch / np.maximum(many, 1), 1.0) * (2.0**64 - 4096)
+    taken = np.flatnonzero(h.astype(np.float64) < below[at])
+    return sets[at[taken]], mix(h[taken] + np.uint64(1))
 
 
 def _roots(join: Join) -> np.ndarray:
@@ -97,49 +130,75 @@ def _sid(tokens: np.ndarray) -> bytes:
 
 
 def _describe(join: Join):
-    """mapInArrow: doc_id, set id, size, sketch and first-level nodes of each text."""
-    roots = _roots(join)
+    """mapInArrow: set id, size, sketch and sample of each text, without the text."""
 
     def run(batches):
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("text_key")
+            keys = [batch.column(c) for c in ("doc_id", "text_key", "row_key")]
             for start, end, texts in Texts.of(batch.column("text")).parts():
                 flat, bounds = shingle_sets(texts, join.words)
-                sid, sketch, nodes = [], [], []
-                for r in range(texts.rows):
-                    own = flat[bounds[r] : bounds[r + 1]]
-                    sid.append(_sid(own) if len(own) else None)
-                    sketch.append(_sketch(own) if len(own) else None)
-                    nodes.append(np.concatenate([_children(x, own, join.branch) for x in roots]).view(np.int64) if len(own) else np.zeros(0, np.int64))
-                cut = np.concatenate(([0], np.cumsum([len(x) for x in nodes]))).astype(np.int32)
+                own = [flat[bounds[r] : bounds[r + 1]] for r in range(texts.rows)]
+                made = [[_sid(x), _sketch(x), x[: join.sample].tobytes()] if len(x) else [None] * 3 for x in own]
+                sid, sketch, sample = (pa.array([m[k] for m in made], pa.binary()) for k in range(3))
                 yield pa.record_batch(
-                    [ids.slice(start, end - start), keys.slice(start, end - start), pa.array(sid, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(nodes)))],
-                    names=["doc_id", "text_key", "sid", "n", "sketch", "nodes"],
+                    [*(k.slice(start, end - start) for k in keys), sid, pa.array(np.diff(bounds), pa.int64()), sketch, sample],
+                    names=["doc_id", "text_key", "row_key", "sid", "n", "sketch", "sample"],
                 )
 
     return run
 
 
-def _split(join: Join):
-    """mapInArrow: a text with the nodes its set is in -> rows (sid, parent, node)."""
+def _sampled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of a batch one after another, and their sizes."""
+    raw = batch.column("sample").to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64)
+
+
+def _paths(join: Join, root: bool):
+    """mapInArrow: sets with their samples, and the nodes they are in (root: those of
+    the runs) -> rows (sid, node) of the children."""
+    roots = _roots(join)
 
     def run(batches):
         for batch in batches:
-            want, parents = batch.column("sid"), batch.column("nodes")
-            sid, up, down = [], [], []
-            for start, end, texts in Texts.of(batch.column("text")).parts():
-                flat, bounds = shingle_sets(texts, join.words)
-                for r in range(texts.rows):
-                    own = flat[bounds[r] : bounds[r + 1]]
-                    key = want[start + r].as_py()
-                    if not len(own) or _sid(own) != key:
-                        continue
-                    for p in parents[start + r].as_py():
-                        found = _children(np.int64(p).view(np.uint64), own, join.branch).view(np.int64)
-                        sid += [key] * len(found)
-                        up += [p] * len(found)
-                        down += found.tolist()
-            yield pa.record_batch([pa.array(sid, pa.binary()), pa.array(up, pa.int64()), pa.array(down, pa.int64())], names=["sid", "parent", "node"])
+            if not batch.num_rows:
+                continue
+            tokens, sizes = _sampled(batch)
+            if root:
+                sets, nodes = np.repeat(np.arange(batch.num_rows), len(roots)), np.tile(roots, batch.num_rows)
+            else:
+                held = batch.column("nodes")
+                sets = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+                nodes = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(sets), 1 << 16):
+                own, child = _children(nodes[k : k + (1 << 16)], sets[k : k + (1 << 16)], tokens, sizes, join.branch)
+                yield pa.record_batch([batch.column("sid").take(pa.array(own)), pa.array(child.view(np.int64))], names=["sid", "node"])
+
+    return run
+
+
+def _stars(join: Join):
+    """mapInArrow: members of large buckets with the bucket's pivots -> per member the
+    pivots that it is a candidate pair with (bits of mask; hub is the first) and its
+    mean agreement with all."""
+    least = join.least()
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pivots = batch.column("pivots").flatten()
+            sid, n, sketch = (pivots.field(k) for k in range(3))
+            mine = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, 1, -1)
+            theirs = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(batch.num_rows, join.pivots, -1)
+            apart = mine ^ theirs
+            agree = SKETCH - np.bitwise_count((apart | (apart >> 1)) & np.uint8(0x55)).sum(axis=2, dtype=np.int64)
+            a, b = batch.column("n").to_numpy()[:, None], n.to_numpy(zero_copy_only=False).reshape(agree.shape)
+            near = (agree >= least) & (np.minimum(a, b) >= join.similarity * np.maximum(a, b) - 1e-9)
+            mask = (near << np.arange(join.pivots)).sum(axis=1)
+            first = np.arange(batch.num_rows) * join.pivots + near.argmax(axis=1)
+            hub = sid.take(pa.array(first, mask=mask == 0))
+            yield pa.record_batch([batch.column("node"), batch.column("sid"), pa.array(mask, pa.int32()), hub, pa.array(agree.mean(axis=1))], names=["node", "sid", "mask", "hub", "agree"])
 
     return run
 
@@ -176,35 +235,47 @@ def _blocks(column, k: int):
     return column[k].as_py()
 
 
+def _tiles(sides: list, most: int):
+    """The comparisons of one block with itself, or of two, as tiles of at most `most`
+    members: one list for a tile with itself, two else."""
+    cut = [[s[k : k + most] for k in range(0, len(s), most)] for s in sides]
+    for i, a in enumerate(cut[0]):
+        if len(sides) == 1:
+            yield [a]
+        for b in cut[0][i + 1 :] if len(sides) == 1 else cut[1]:
+            yield [a, b]
+
+
 def _near(join: Join):
     """mapInArrow: blocks of one bucket -> spanning edges of the pairs whose sketches agree."""
-    p = join.similarity + (1 - join.similarity) / 4
-    least = SKETCH * (p - join.slack * math.sqrt(p * (1 - p) / SKETCH))
+    least = join.least()
 
     def bits(members):
         raw = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
         two = np.stack([(raw >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(members), -1)
         return np.concatenate([(two == v).astype(np.float32) for v in range(4)], axis=1)
 
+    def edges(sides):
+        b = [bits(s) for s in sides]
+        n = [np.array([m["n"] for m in s], np.float64) for s in sides]
+        same = b[0] @ b[-1].T >= least
+        same &= np.minimum(n[0][:, None], n[-1][None, :]) >= join.similarity * np.maximum(n[0][:, None], n[-1][None, :]) - 1e-9
+        if len(sides) == 1:
+            np.fill_diagonal(same, False)
+        if not same.any():
+            return
+        label = _two_sided(same, len(sides))
+        ids = [m["sid"] for s in sides for m in s]
+        for v in np.flatnonzero(label != np.arange(len(label))):
+            yield ids[label[v]], ids[v]
+
     def run(batches):
         for batch in batches:
-            left, right = [], []
+            found = []
             for k in range(batch.num_rows):
-                sides = _blocks(batch.column("blocks"), k)
-                b = [bits(s) for s in sides]
-                n = [np.array([m["n"] for m in s], np.float64) for s in sides]
-                same = b[0] @ b[-1].T >= least
-                same &= np.minimum(n[0][:, None], n[-1][None, :]) >= join.similarity * np.maximum(n[0][:, None], n[-1][None, :]) - 1e-9
-                if len(sides) == 1:
-                    np.fill_diagonal(same, False)
-                if not same.any():
-                    continue
-                label = _two_sided(same, len(sides))
-                ids = [m["sid"] for s in sides for m in s]
-                for v in np.flatnonzero(label != np.arange(len(label))):
-                    left.append(ids[label[v]])
-                    right.append(ids[v])
-            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                for sides in _tiles(_blocks(batch.column("blocks"), k), join.tile):
+                    found += edges(sides)
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -237,33 +308,35 @@ def _exact(join: Join):
     """mapInArrow: blocks of full sets -> (sid, root, links): links of a member into
     the block pair, counted with copies, and a spanning edge."""
 
+    def links(sides):
+        sets = [[np.frombuffer(m["tokens"], np.uint64) for m in s] for s in sides]
+        copies = [np.array([m["copies"] for m in s], np.int64) for s in sides]
+        lone = len(sides) == 1
+        common = _shared_counts(sets[0], sets[0] if lone else sets[1]).astype(np.float64)
+        size = [np.array([len(x) for x in s], np.float64) for s in sets]
+        linked = common / (size[0][:, None] + size[-1][None, :] - common) >= join.similarity
+        if lone:
+            np.fill_diagonal(linked, False)
+        if not linked.any():
+            return
+        label = _two_sided(linked, len(sides))
+        ids = [m["sid"] for s in sides for m in s]
+        count = linked @ copies[-1]
+        if not lone:
+            count = np.concatenate([count, linked.T @ copies[0]])
+        for v in np.flatnonzero(count):
+            yield ids[v], ids[label[v]], int(count[v])
+
     def run(batches):
         for batch in batches:
-            sid, root, links = [], [], []
+            found = []
             for k in range(batch.num_rows):
-                sides = []
-                for block in _blocks(batch.column("blocks"), k):
-                    sides.append(list({m["sid"]: m for m in block}.values()))
-                sets = [[np.frombuffer(m["tokens"], np.uint64) for m in s] for s in sides]
-                copies = [np.array([m["copies"] for m in s], np.int64) for s in sides]
-                lone = len(sides) == 1
-                common = _shared_counts(sets[0], sets[0] if lone else sets[1]).astype(np.float64)
-                size = [np.array([len(x) for x in s], np.float64) for s in sets]
-                linked = common / (size[0][:, None] + size[-1][None, :] - common) >= join.similarity
-                if lone:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
-                    continue
-                label = _two_sided(linked, len(sides))
-                ids = [m["sid"] for s in sides for m in s]
-                count = linked @ copies[-1]
-                if not lone:
-                    count = np.concatenate([count, linked.T @ copies[0]])
-                for v in np.flatnonzero(count):
-                    sid.append(ids[v])
-                    root.append(ids[label[v]])
-                    links.append(int(count[v]))
-            yield pa.record_batch([pa.array(sid, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64())], names=["sid", "root", "links"])
+                # Split joins may bring the text of a repeated row twice.
+                sides = [list({m["sid"]: m for m in block}.values()) for block in _blocks(batch.column("blocks"), k)]
+                for tile in _tiles(sides, join.tile):
+                    found += links(tile)
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.record_batch(columns, names=["sid", "root", "links"])
 
     return run
 
@@ -295,89 +368,136 @@ def classes(documents: DataFrame, join: Join = Join()) -> DataFrame:
     links to its copies.  A null doc_id is kept; it is never a class id unless
     the whole class has none.
     """
-    return _linked(documents, join).select(
+    return _rows(*_linked(documents, join)).select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"),
     )
 
 
-def _linked(documents: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, text_key, sid, n, c, class_id, n_links) of every row: c is the set that
-    names its class; sid is null without words, and then c, class_id and n_links are."""
-    texts = documents.select("doc_id", "text")
-    described = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(join), "doc_id long, text_key long, sid binary, n long, sketch binary, nodes array<long>")
-    described = written(described, "sets")
-    sets = written(
-        described.where("sid is not null").groupBy("sid").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")
-        ),
-        "classes",
-    )
-    buckets = _buckets(texts, sets, join)
-    members = buckets.withColumn("parts", F.ceil(F.col("size") / join.block).cast("long")).join(sets.select("sid", "n", "sketch"), "sid")
-    lone, several = _pair_up(members, "node", ["sid", "n", "sketch"])
-    near = lone.mapInArrow(_near(join), "a binary, b binary").unionByName(several.mapInArrow(_near(join), "a binary, b binary"))
-    groups = components(near)
+def _keyed(documents: DataFrame) -> DataFrame:
+    """`documents` with text_key, a hash of the text, and row_key, one of id and text."""
+    return documents.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
+def _rows(described: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, text_key, row_key, sid, n, c, class_id, n_links) of every row; sid is null
+    without words, and then c, class_id and n_links are."""
+    return described.select("doc_id", "text_key", "row_key", "sid", "n").join(named.hint("merge"), "sid", "left")
 
-    # Exact comparison inside each candidate group, on full sets.
-    known = groups.join(sets.select(F.col("sid").alias("v"), "rep", "copies", "n"), "v")
-    known = written(known.select(F.col("v").alias("sid"), F.col("c").alias("group"), "rep", "copies", "n"), "groups")
-    size = written(known.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / join.block_tokens), F.ceil(F.count("*") / join.block)).cast("long").alias("parts")), "sizes")
-    known = known.join(size, "group")
-    full = texts.join(known, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid", "group", "copies", "parts")
+
+def _linked(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key, row_key, sid, n, ...), and (sid, c, class_id, n_links) of
+    every set, where c is the set that names its class; both are written."""
+    texts = _keyed(documents.select("doc_id", "text"))
+    shape = "doc_id long, text_key long, row_key long, sid binary, n long, sketch binary, sample binary"
+    described = written(texts.mapInArrow(_describe(join), shape), "described")
+    first = F.first(F.struct("n", "sketch", "sample")).alias("f")
+    sets = described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.count("*").alias("copies"), first)
+    sets = written(sets.select("sid", "rep", "row_key", "copies", "f.*"), "sets")
+    near = _candidates(sets, join)
+    groups = components(near)
+    spent(near)
+
+    # Exact comparison inside each candidate group, on full sets.  A set is found again
+    # by the row it was taken from, so null and repeated ids do no harm.
+    known = groups.join(sets.select(F.col("sid").alias("v"), "row_key", "copies", "n"), "v")
+    known = written(known.select(F.col("v").alias("sid"), F.col("c").alias("group"), "row_key", "copies", "n"), "groups")
+    size = known.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / join.block_tokens), F.ceil(F.count("*") / join.block)).cast("long").alias("parts"))
+    size = written(size, "sizes")
+    known_parts = written(known.join(size, "group").select("row_key", "sid", "group", "copies", "parts"), "parts")
+    full = texts.select("row_key", "text").join(known_parts.hint("merge"), "row_key").select("text", "sid", "group", "copies", "parts")
     full = full.mapInArrow(_tokens(join), "sid binary, group binary, copies long, parts long, tokens binary")
     lone, several = _pair_up(full, "group", ["sid", "copies", "tokens"])
     shape = "sid binary, root binary, links long"
     found = written(lone.mapInArrow(_exact(join), shape).unionByName(several.mapInArrow(_exact(join), shape)), "links")
     final = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    spent(known, size, known_parts)
 
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     per_set = sets.select("sid", "rep", "copies").join(final.withColumnRenamed("v", "sid"), "sid", "left").join(links, "sid", "left")
     per_set = written(per_set.select("sid", F.coalesce("c", "sid").alias("c"), "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
     names = written(per_set.groupBy("c").agg(F.min("rep").alias("class_id")), "names")
-    per_set = written(per_set.join(names, "c").select("sid", "c", "class_id", "n_links"), "named")
-    return described.select("doc_id", "text_key", "sid", "n").join(per_set, "sid", "left")
+    named = written(per_set.join(names, "c").select("sid", "c", "class_id", "n_links"), "named")
+    spent(found, sets, per_set, names)
+    return described, named
 
 
 def _tokens(join: Join):
     """mapInArrow: the full shingle set of each wanted text."""
 
     def run(batches):
+        last = None
         for batch in batches:
             for start, end, texts in Texts.of(batch.column("text")).parts():
                 flat, bounds = shingle_sets(texts, join.words)
                 own = batch.slice(start, end - start)
                 raw = [flat[bounds[r] : bounds[r + 1]] for r in range(texts.rows)]
-                right = pa.array([len(x) > 0 and _sid(x) == s.as_py() for x, s in zip(raw, own.column("sid"), strict=True)], pa.bool_())
+                right = []
+                for x, s in zip(raw, own.column("sid").to_pylist(), strict=True):
+                    # A repeated row comes right behind itself; another row of the same key has another set.
+                    right.append(s != last and len(x) > 0 and _sid(x) == s)
+                    last = s if right[-1] else last
                 out = pa.record_batch([*(own.column(c) for c in ("sid", "group", "copies", "parts")), pa.array([x.tobytes() for x in raw], pa.binary())], names=["sid", "group", "copies", "parts", "tokens"])
-                yield out.filter(right)
+                yield out.filter(pa.array(right, pa.bool_()))
 
     return run
 
 
-def _buckets(texts: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """(sid, node, size) of every bucket to compare."""
-    done = []
-    paths = sets.select("sid", F.explode("nodes").alias("node"))
+def _candidates(sets: DataFrame, join: Join) -> DataFrame:
+    """Written (a, b): edges between sets that the buckets find, enough to join all of them."""
+    every = (1 << join.pivots) - 1
+    edges, compare, used = [], [], []
+    paths = sets.select("sid", "sample").mapInArrow(_paths(join, True), "sid binary, node long")
     for level in range(join.depth):
-        sizes = written(paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-        last = level == join.depth - 1
-        done.append(paths.join(sizes if last else sizes.where(F.col("size") <= join.small), "node").select("sid", "node", "size"))
-        large = sizes.where(F.col("size") > join.small)
-        if last or not large.limit(1).count():
+        sizes = written(paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        shared = written(paths.join(sizes.hint("merge"), "node").select("sid", "node", "size"), "shared")
+        spent(sizes, *([paths] if level else []))
+        used.append(shared)
+        compare.append(shared.where(F.col("size") <= join.small))
+        large = shared.where(F.col("size") > join.small)
+        if not large.limit(1).count():
+            break
+        members = written(large.join(sets.select("sid", "n", "sketch").hint("merge"), "sid").select("node", "size", "sid", "n", "sketch"), "members")
+        pick = [F.min(F.struct(F.xxhash64("sid", "node", F.lit(k)).alias("h"), "sid", "n", "sketch")).alias(f"p{k}") for k in range(join.pivots)]
+        pivots = members.groupBy("node").agg(F.first("size").alias("size"), *pick)
+        pivots = written(pivots.select("node", "size", F.array(*[F.struct(f"p{k}.sid", f"p{k}.n", f"p{k}.sketch") for k in range(join.pivots)]).alias("pivots")), "pivots")
+        stars = members.join(pivots.drop("size").hint("merge"), "node").mapInArrow(_stars(join), "node long, sid binary, mask int, hub binary, agree double")
+        stars = written(stars, "stars")
+        spent(members)
+        # All members hang on pivots, and the pivots on each other by members with several.
+        judged = stars.groupBy("node").agg(F.min("mask").alias("least"), F.collect_set("mask").alias("masks"), F.avg("agree").alias("agree"))
+        reach = F.lit(1)
+        for _ in range(join.pivots - 1):
+            reach = F.aggregate("masks", reach, lambda acc, m: F.when(acc.bitwiseAND(m) != 0, acc.bitwiseOR(m)).otherwise(acc))
+        alike = F.greatest((F.col("agree") / SKETCH - 0.25) / 0.75, F.lit(0.0))
+        held = 2 * alike / (1 + alike)
+        state = F.when((F.col("least") > 0) & (reach == every), "done").when((held * join.branch <= join.pays) & F.lit(level < join.depth - 1), "split").otherwise("compare")
+        judged = written(judged.join(pivots, "node").select("node", "masks", "pivots", state.alias("state")), "judged")
+        spent(pivots)
+        edges.append(stars.where("hub is not null").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
+        bit = lambda m, k: F.shiftright(m, k).bitwiseAND(F.lit(1)) == 1
+        mask = judged.select("pivots", F.explode("masks").alias("mask"))
+        for k in range(join.pivots):
+            for q in range(k + 1, join.pivots):
+                edges.append(mask.where(bit(F.col("mask"), k) & bit(F.col("mask"), q)).select(F.col("pivots")[k]["sid"].alias("a"), F.col("pivots")[q]["sid"].alias("b")))
+        used += [stars, judged]
+        compare.append(large.join(judged.where("state = 'compare'").select("node").hint("merge"), "node").select("sid", "node", "size"))
+        split = judged.where("state = 'split'").select("node")
+        if not split.limit(1).count():
             break
-        inside = written(paths.join(large, "node").select("sid", "node", "size"), "large")
-        wanted = written(inside.groupBy("sid").agg(F.collect_list("node").alias("nodes")), "wanted").join(sets.select("sid", "rep"), "sid")
-        split = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid", "nodes")
-        below = written(split.mapInArrow(_split(join), "sid binary, parent long, node long").distinct(), "below")
-        # A bucket whose children hold as many rows as it does is a cluster, compared as it is.
-        rows = below.groupBy("parent", "node").agg(F.count("*").alias("m")).where("m > 1").groupBy("parent").agg(F.sum("m").alias("kept"))
-        judged = written(large.join(rows, F.col("node") == F.col("parent"), "left").select("node", "size", (F.coalesce("kept", F.lit(0)) >= F.col("size")).alias("cluster")), "judged")
-        done.append(inside.join(judged.where("cluster").select("node"), "node").select("sid", "node", "size"))
-        paths = below.join(judged.where("not cluster").select(F.col("node").alias("parent")), "parent").select("sid", "node")
-    out = done[0]
-    for part in done[1:]:
+        again = large.join(split.hint("merge"), "node").groupBy("sid").agg(F.collect_list("node").alias("nodes"))
+        paths = written(again.join(sets.select("sid", "sample").hint("merge"), "sid").mapInArrow(_paths(join, False), "sid binary, node long").distinct(), "paths")
+    buckets = compare[0]
+    for part in compare[1:]:
+        buckets = buckets.unionByName(part)
+    members = buckets.withColumn("parts", F.ceil(F.col("size") / join.block).cast("long")).join(sets.select("sid", "n", "sketch").hint("merge"), "sid")
+    for blocks in _pair_up(members, "node", ["sid", "n", "sketch"]):
+        edges.append(blocks.mapInArrow(_near(join), "a binary, b binary"))
+    out = edges[0]
+    for part in edges[1:]:
         out = out.unionByName(part)
+    out = written(out.where("a != b").distinct(), "near")
+    spent(*used)
     return out
 
 
@@ -389,13 +509,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
     """One row of each class, with all its columns: of the rows with the smallest doc_id
     one, by a hash of the text.  A class without any doc_id keeps one row too.  Rows
-    without words are similar to nothing and all stay.
+    without words are similar to nothing and all stay, whatever else they hold.
     """
-    rows = _linked(documents, join).where(F.col("sid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = written(rows.groupBy("c").agg(F.first("class_id").alias("one_id"), F.min("text_key").alias("one_key")), "kept")
-    frame, own = aside(documents, ["one_id", "one_key", "text_key"])
-    frame = frame.withColumn("text_key", F.xxhash64("text"))
+    linked = _linked(documents, join)
+    rows = _rows(*linked).where("sid is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "text_key")
+    chosen = rows.groupBy("c").agg(F.min(order).alias("m")).select(F.col("m.row_key").alias("row_key"), F.col("m.text_key").alias("text_key"))
+    chosen = written(chosen, "kept")
+    spent(*linked)
+    frame, own = aside(documents, ["text_key", "row_key"])
+    frame = _keyed(frame)
     words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    kept = frame.where(words).join(chosen.drop("c"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key")))
-    kept = kept.dropDuplicates(["doc_id", "text_key"])
+    # Both steps need a row's key together, so the rows are shuffled once.
+    kept = frame.where(words).join(chosen.hint("merge"), ["row_key", "text_key"], "left_semi").dropDuplicates(["row_key", "text_key"])
     return back(kept, own).unionByName(back(frame.where(~words), own))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import spent, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,22 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated before their shuffle.  Only the number of changed labels
     reaches the driver.
     """
-    both = written(
-        edges.where(F.col("a") != F.col("b")).select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where(F.col("a") != F.col("b"))).distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("c")), "labels")
+    a, b = F.col("a"), F.col("b")
+    apart = edges.where(a != b)
+    both = written(apart.select("a", "b").unionByName(apart.select(b.alias("a"), a.alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy(a.alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("c")), "labels")
     while True:
         # Label of my label, then the least such label around me.
         up = labels.alias("x").join(labels.select(F.col("v").alias("p"), F.col("c").alias("cc")).alias("y"), F.col("x.c") == F.col("y.p")).select("v", "c", "cc")
         up = written(up, "labels")
-        near = both.join(up.select(F.col("v").alias("b"), F.col("cc").alias("m")), "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("m"))
-        step = written(
-            up.join(written(near, "least").withColumnRenamed("v", "w"), F.col("v") == F.col("w"))
-            .select("v", "c", F.least("cc", "m").alias("d")),
-            "labels",
-        )
-        changed = step.where(F.col("c") != F.col("d")).limit(1).count()
-        labels = step.select("v", F.col("d").alias("c"))
-        if not changed:
-            return labels
+        near = written(both.join(up.select(F.col("v").alias("b"), F.col("cc").alias("m")), "b").groupBy(a.alias("v")).agg(F.min("m").alias("m")), "least")
+        step = written(up.join(near.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("v", F.least("cc", "m").alias("c"), (F.col("c") != F.least("cc", "m")).alias("moved")), "labels")
+        spent(labels, up, near)
+        moved, labels = step.where("moved").limit(1).count(), step
+        if not moved:
+            spent(both)
+            return labels.select("v", "c")

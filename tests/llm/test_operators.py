@@ -359,11 +359,11 @@ def by_hand(texts, ids):
     return name, [len(x) for x in links]
 
 
-def test_classes_by_brute_force(spark):
+@pytest.mark.parametrize("join", [chosen_path.Join(), chosen_path.Join(small=24, block=32, tile=16), chosen_path.Join(small=4, pays=9, depth=4, block=16, tile=5), chosen_path.Join(small=4, pivots=2, pays=0, block_tokens=300)])
+def test_classes_by_brute_force(spark, join):
     texts = near_texts()
     ids = list(range(len(texts)))
     random.Random(9).shuffle(ids)
-    join = chosen_path.Join(small=24, block=16)
     got = {r["doc_id"]: r for r in chosen_path.classes(docs(spark, texts, ids=ids), join).collect()}
     names, links = by_hand(texts, ids)
     assert all((got[d]["class_id"], got[d]["n_links"]) == (c, n) for d, c, n in zip(ids, names, links, strict=True))
