@@ -25,17 +25,15 @@ from .shared import aside, back
 class Shape:
     """A chunk is two neighbouring halves, so chunks overlap by half.
 
-    per_class and chunks bound what is fitted: at most per_class rows of each
-    label, and of each row at most `chunks` of its chunks, spread evenly over
-    the text.  Scoring always covers every chunk of every text.
+    per_class bounds what is fitted: at most per_class rows of each label.  Fitting,
+    calibration and scoring cover every chunk of every text they see.
     """
 
     filters: int = 32
     width: int = 6
     half: int = 128
     per_class: int = 1000
-    chunks: int = 6
-    epochs: int = 24
+    epochs: int = 12
     batch: int = 128
     rate: float = 0.02
     l2: float = 1e-5
@@ -119,28 +117,20 @@ def logits(texts: Texts, net: Network, tables: list[np.ndarray]) -> np.ndarray:
     return mean @ net.out + net.offset
 
 
-def _samples(shape: Shape):
-    """mapInArrow: of each training text, evenly spread chunks (all, if it has few)."""
+def _chunks(texts: Texts, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, owner): all chunks of every text, with the bytes that windows look
+    ahead.  What lies behind a text is zero."""
+    data, bounds = _halves(texts, shape)
+    data = np.concatenate([data, np.zeros(shape.half, np.uint8)])
+    count = np.maximum(np.diff(bounds) - 1, 1)
+    owner = np.repeat(np.arange(texts.rows), count)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + bounds[:-1][owner]) * shape.half
     size = 2 * shape.half + shape.width
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for _, _, texts in Texts.of(batch.column("text")).parts():
-                data, bounds = _halves(texts, shape)
-                data = np.concatenate([data, np.zeros(shape.half, np.uint8)])
-                for r in range(texts.rows):
-                    starts = np.arange(bounds[r], max(bounds[r + 1] - 1, bounds[r] + 1))
-                    starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), shape.chunks)).astype(int))]
-                    own = []
-                    for s in starts * shape.half:
-                        piece = data[s : s + size].copy()
-                        piece[max(int(bounds[r + 1]) * shape.half - s, 0) :] = 0
-                        own.append(piece.tobytes())
-                    found.append(b"".join(own))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "chunks"])
-
-    return run
+    x = np.lib.stride_tricks.sliding_window_view(data, size)[start].copy()
+    left = bounds[1:][owner] * shape.half - start
+    short = np.flatnonzero(left < size)
+    x[short] *= np.arange(size)[None, :] < left[short, None]
+    return x, owner
 
 
 def _forward(x: np.ndarray, net: Network, tables) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Netw
     Without rows of both labels every text gets the smoothed share of label 1.
     """
     rows = training_rows(documents, labels, "quality", shape.per_class, shape.seed)
-    table = rows.mapInArrow(_samples(shape), "doc_id long, y int, chunks binary").toArrow().sort_by("doc_id").slice(0, 2 * shape.per_class)
+    table = rows.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text").toArrow().sort_by("doc_id")
     no, yes = class_shares(labels, "quality")
     y = np.asarray(table["y"].to_numpy(), dtype=np.int64)
     rng = np.random.default_rng(shape.seed)
@@ -175,10 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Netw
     )
     if not (y == 1).any() or not (y == 0).any():
         return net
-    size = 2 * shape.half + shape.width
-    parts = [np.frombuffer(v.as_py(), np.uint8).reshape(-1, size) for v in table["chunks"]]
-    owner = np.repeat(np.arange(len(y)), [len(p) for p in parts])
-    x = np.concatenate(parts)
+    texts = Texts.of(table["text"].cast(pa.large_string()))
+    x, owner = _chunks(texts, shape)
     # Filters start as detectors of windows seen in the training texts, half from each label.
     for f in range(shape.filters):
         own = np.flatnonzero(y[owner] == f % 2)
@@ -190,11 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Netw
         fold = np.zeros(len(y), dtype=bool)
     _train(net, x, owner, y, np.flatnonzero(~fold), rng)
     check = np.flatnonzero(fold if fold.any() else ~fold)
-    mine = np.flatnonzero(np.isin(owner, check))
-    top, _ = _forward(x[mine], net, _pairs(net))
-    count = np.bincount(owner[mine], minlength=len(y))[:, None]
-    mean = np.stack([np.bincount(owner[mine], top[:, f], len(y)) for f in range(shape.filters)], 1) / np.maximum(count, 1)
-    z, own = (mean @ net.out + net.offset)[check], y[check]
+    tables = _pairs(net)
+    z, own = np.concatenate([logits(part, net, tables) for _, _, part in texts.parts()])[check], y[check]
     balance = np.where(own == 1, yes / max((own == 1).sum(), 1), no / max((own == 0).sum(), 1))
     net.slope, net.shift = platt(z, own, balance / balance.mean())
     return net
@@ -242,7 +227,9 @@ def _train(net: Network, x, owner, y, use, rng) -> None:
 def score(documents: DataFrame, net: Network) -> DataFrame:
     """All columns of `documents` but one named score, plus score (double, 0 to 1).
 
-    Null and empty texts are scored as one chunk of zeros.
+    Null and empty texts are scored as one chunk of zeros.  A text of any length is
+    scored from all of its chunks; it is then a piece of its own.  Repeated rows are
+    scored one by one, alike.
     """
     frame = documents.select(*[c for c in documents.columns if c != "score"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + ", score double"
@@ -272,6 +259,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep(documents: DataFrame, source: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, shape: Shape = Shape()) -> DataFrame:
     """The rows of `documents` that score at least `threshold`, with all their columns as
-    they were; fitted on `source` and `labels`."""
+    they were; fitted on `source` and `labels`.  A score equal to the threshold is kept;
+    all copies of a row stay or none; null and empty texts are scored like others."""
     frame, own = aside(documents, ["score"])
     return back(score(frame, fit(source, labels, shape)).where(F.col("score") >= threshold), own)

@@ -1,4 +1,8 @@
-"""HTML as a tree of block elements with the text that each owns."""
+"""HTML as a tree of block elements with the text that each owns.
+
+Time is linear in the page, however broken it is: tags are looked for up to the last
+">" only, and what is open is known by name, not by looking through the stack.
+"""
 
 from __future__ import annotations
 
@@ -33,23 +37,30 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 CONTROLS = frozenset("input select textarea button".split())
+STOPS_P = CLOSES_P | {"td", "th", "li", "button"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>",
-    re.S,
-)
+_OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+_LOOSE = r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>"
+_TOKEN = re.compile(_OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|" + _LOOSE, re.S)
+#: Without quotes: for pages in which quotes stay open to the end again and again.
+_PLAIN = re.compile(_OTHER + r"|(?!)()()()|" + _LOOSE, re.S)
+OPEN_QUOTES = 16
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 
 
 class Page:
     """tag, attrs, parent, level of each block element; blocks of (owner, text) in page
-    order; link and control counts by element.  Element 0 is the page itself."""
+    order; link and control counts by element; title, the first title's source.  Element 0
+    is the page itself."""
 
     def __init__(self, source: str):
         self.tag, self.attrs, self.parent, self.level = ["#page"], [""], [-1], [0]
         self.blocks: list[tuple[int, str]] = []
         self.linked = [0]
         self.controls = [0]
+        self.title: str | None = None
         self._stack: list[tuple[str, int]] = [("#page", 0)]
+        self._places: dict[str, list[int]] = {}
         self._run: list[str] = []
         self._links = 0
         self._parse(source)
@@ -75,35 +86,32 @@ class Page:
     def _stack_owner(self) -> int:
         return self._stack[-1][1]
 
+    def _cut(self, k: int) -> None:
+        """Ends what is open from place k of the stack on."""
+        for tag, _ in self._stack[k:]:
+            self._places[tag].pop()
+        del self._stack[k:]
+
+    def _innermost(self, tags) -> int:
+        """Place of the innermost open element of these, or 0."""
+        return max((own[-1] for t in tags if (own := self._places.get(t))), default=0)
+
     def _close_to(self, tag: str) -> None:
         """Ends the innermost open `tag` and all inside it, if one is open."""
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k][0] == tag:
-                self._flush()
-                del self._stack[k:]
-                return
+        if k := self._innermost((tag,)):
+            self._flush()
+            self._cut(k)
 
     def _open(self, tag: str, attrs: str) -> None:
         self._flush()
-        if tag in CLOSES_P:
-            for k in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[k][0]
-                if name == "p":
-                    del self._stack[k:]
-                    break
-                if name in CLOSES_P or name in ("td", "th", "li", "button"):
-                    break
+        if tag in CLOSES_P and (k := self._innermost(("p",))) and k >= self._innermost(STOPS_P):
+            self._cut(k)
         if tag in ENDS:
             ended, fence = ENDS[tag]
-            for k in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[k][0]
-                if name in ended:
-                    del self._stack[k:]
-                    break
-                if name in fence:
-                    break
+            if (k := self._innermost(ended)) > self._innermost(fence):
+                self._cut(k)
         if len(self._stack) > 1 and self._stack[-1][0] == "head" and tag not in IN_HEAD:
-            del self._stack[-1]
+            self._cut(len(self._stack) - 1)
         if tag == "body":
             self._close_to("head")
         self.parent.append(self._stack[-1][1])
@@ -113,15 +121,16 @@ class Page:
         self.linked.append(0)
         self.controls.append(0)
         if tag not in VOID:
+            self._places.setdefault(tag, []).append(len(self._stack))
             self._stack.append((tag, len(self.tag) - 1))
 
     def _parse(self, source: str) -> None:
         at, n = 0, len(source)
-        lower = None
-        while at < n:
-            m = _TOKEN.search(source, at)
+        last = source.rfind(">") + 1  # no tag ends behind it
+        token, loose = _TOKEN, 0
+        while at < last:
+            m = token.search(source, at, last)
             if m is None:
-                self._text(source[at:])
                 break
             if m.start() > at:
                 self._text(source[at : m.start()])
@@ -129,8 +138,15 @@ class Page:
             name = m[2] or m[5]
             if not name:
                 if m[0].startswith("<![CDATA["):
-                    self._text(html.escape(m[0][9:].removesuffix("]]>")))
+                    whole = m[0].endswith("]]>")
+                    self._text(html.escape(m[0][9:-3] if whole else source[m.start() + 9 :]))
+                    at = at if whole else n
+                elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = n
                 continue
+            if m[5]:
+                loose += 1
+                token = _PLAIN if loose >= OPEN_QUOTES else token
             tag, attrs, ends = name.lower(), m[3] or m[6] or "", m[1] or m[4]
             if tag in INLINE:
                 if tag == "a":
@@ -141,7 +157,7 @@ class Page:
                     self.controls[self._stack[-1][1]] += 1
                 continue
             if ends:
-                if tag == "p" and not any(t == "p" for t, _ in self._stack):
+                if tag == "p" and not self._places.get("p"):
                     self._flush()
                 self._close_to(tag)
                 continue
@@ -150,17 +166,21 @@ class Page:
             if tag in RAW:
                 if attrs.endswith("/") and tag in ("svg", "math"):
                     continue
-                if lower is None:
-                    lower = source.lower() if len(source.lower()) == n else None
-                end = (lower or source).find(f"</{tag}", at)
-                if end < 0:
-                    at = n
-                else:
-                    at = source.find(">", end) + 1 or n
+                end = _RAW_ENDS[tag].search(source, at)
+                if tag == "title" and self.title is None:
+                    self.title = source[at : end.start() if end else n]
+                at = source.find(">", end.end()) + 1 or n if end else n
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in self._stack):
+            if tag in ("html", "body") and self._places.get(tag):
                 continue
             self._open(tag, attrs)
+        if at < n:
+            # Behind the last ">" only a comment or CDATA can start; neither ends there.
+            text, mark, rest = re.match(r"(.*?)(?:(<!--|<!\[CDATA\[)(.*))?\Z", source[at:], re.S).groups()
+            if text:
+                self._text(text)
+            if mark == "<![CDATA[":
+                self._text(html.escape(rest))
         self._flush()
 
     def text(self) -> str:

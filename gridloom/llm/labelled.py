@@ -17,7 +17,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     Held-out ids never take part.  Ids labelled twice with different values,
     null labels and values other than 0 and 1 are left out.  The choice is by a
     hash of the id, so reruns agree.  `per_class` bounds the ids, which makes
-    the label side safe to broadcast; a doc_id that occurs twice is read once.
+    the label side safe to broadcast.  Of the rows of a repeated doc_id one is taken,
+    by a hash of the text; that is settled before the shuffle, so an id with a third
+    of all rows sends one of each task.  Texts are whole.
     """
     clean = (
         labels.select("doc_id", F.col(label).alias("y"))
@@ -31,7 +33,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     for y in (0, 1):
         part = clean.where(F.col("y") == y).orderBy("order", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")
+    return found.groupBy("doc_id", "y").agg(one).select("doc_id", "m.text", "y")
 
 
 def class_shares(labels: DataFrame, label: str) -> tuple[int, int]:

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .html_tree import Page
 
@@ -194,14 +195,14 @@ def node_labels(page: Page, text: str) -> np.ndarray:
 
 
 def fit(labelled: Iterable[tuple[str, str]] | DataFrame | None = None, train: Train = Train()) -> TreeModel:
-    """Fits on (html, text) pairs: given, the first train.pages rows of a DataFrame, or
-    made by `labelled_pages`.  At most train.pages pages reach the driver."""
+    """Fits on (html, text) pairs: given, train.pages rows of a DataFrame (those of
+    the smallest hash, so reruns agree), or made by `labelled_pages`.  At most train.pages pages reach the driver."""
     if labelled is None:
         from .labelled_pages import made
 
         labelled = made(train.pages, train.seed)
     elif isinstance(labelled, DataFrame):
-        labelled = [(r["html"] or "", r["text"] or "") for r in labelled.select("html", "text").limit(train.pages).collect()]
+        labelled = [(r["html"] or "", r["text"] or "") for r in labelled.select("html", "text").orderBy(F.xxhash64("html", "text"), "html", "text").limit(train.pages).collect()]
     pairs = list(labelled)[: train.pages]
     pages = [Page(source) for source, _ in pairs]
     names: dict[str, int] = {}
@@ -260,8 +261,9 @@ def extract(pages: DataFrame, model: TreeModel, column: str = "html") -> DataFra
     """The columns of `pages` but `column`, text and n_chars, plus text (string, empty if
     there is no main text) and n_chars (long, its code points).
 
-    Null and empty pages give empty texts.  Rows are kept one for one; columns named
-    text or n_chars are replaced.
+    Null and empty pages give empty texts.  Rows are kept one for one, repeated ones alike;
+    a page of any length is worked through whole, in time that follows its length; an
+    element at exactly one half is content.  Columns named text or n_chars are replaced.
     """
     rest = [c for c in pages.columns if c not in (column, "text", "n_chars")]
     frame = pages.select(*rest, column)

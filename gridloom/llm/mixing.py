@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate hypergeometric splitting tree.
 
-Each source is dealt into blocks by a hash of doc_id.  Its target decides how
+Each source is dealt into blocks by a hash of doc_id and text.  Its target decides how
 many passes over its blocks the mix takes: whole passes, then a prefix of the
 permuted blocks, ending inside one block; rows behind that still fit and the one
 row that then comes nearest fill it up.  Every (source, pass, block) is a unit,
@@ -9,19 +9,22 @@ the output shards: at each node a multivariate hypergeometric draw gives the lef
 child its exact number of units of every source.  Each shard then takes its own
 range of the source's permuted units and shuffles its rows locally.
 
-Only tables of blocks (a fixed number for each source) are ordered or split; rows
-meet them by a join on (source, block), so a source with most of the rows is
-spread over all of its blocks.
+The number of blocks follows the square root of the number of rows, so that neither
+the blocks of a source nor the rows of a block, which are ordered in one task each,
+outgrow it: 200,000 of each at 40 billion rows.  Targets order one row for each source.
+Rows meet their draws by a join on (source, block), so a source with most of the rows is
+spread over all of its blocks.  Texts are shuffled once, to their shards.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import aside, back, written
+from .shared import aside, back, spent, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,27 +32,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Mix:
     """weights repeat over the sources in code point order, null last.  most_repeats
-    bounds how often a document is taken.  levels: log2 of the number of shards."""
+    bounds how often a document is taken.  least_blocks: blocks of a source at least.
+    levels: log2 of the number of shards.  shared: rows of the table of blocks that may be
+    broadcast; a larger one is joined by a shuffle of the rows it meets."""
 
     weights: tuple = (1, 2, 3)
     most_repeats: int = 3
-    blocks: int = 256
+    least_blocks: int = 256
     levels: int = 4
+    shared: int = 200_000
     seed: int = 17
 
+    def blocks(self, rows: int) -> int:
+        return max(self.least_blocks, math.isqrt(rows))
 
-def _placed(documents: DataFrame, mix: Mix) -> DataFrame:
-    """`documents` with mix_size (words), mix_block, and inside the block mix_rank
-    (from 1) and mix_words (running words) in a permuted order."""
+
+def _dealt(documents: DataFrame, mix: Mix, blocks: int) -> DataFrame:
+    """`documents` with mix_size (words) and mix_block."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    frame = documents.withColumn("mix_size", size).withColumn("mix_block", F.pmod(F.xxhash64("doc_id", F.lit(mix.seed)), F.lit(mix.blocks)).cast("int"))
+    return documents.withColumn("mix_size", size).withColumn("mix_block", F.pmod(F.xxhash64("doc_id", "text", F.lit(mix.seed)), F.lit(blocks)).cast("int"))
+
+
+def _ranked(dealt: DataFrame, mix: Mix) -> DataFrame:
+    """With mix_rank (from 1) and mix_words (running words) in a permuted order of the block."""
     order = Window.partitionBy("source", "mix_block").orderBy("mix_order", "doc_id", "mix_size", "mix_text")
-    return (
-        frame.withColumn("mix_order", F.xxhash64("doc_id", F.lit(mix.seed + 1))).withColumn("mix_text", F.xxhash64("text"))
-        .withColumn("mix_rank", F.row_number().over(order))
-        .withColumn("mix_words", F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("mix_order", "mix_text")
-    )
+    ranked = dealt.withColumn("mix_rank", F.row_number().over(order)).withColumn("mix_words", F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.drop("mix_order", "mix_text")
+
+
+def _order(mix: Mix) -> list:
+    return [F.xxhash64("doc_id", F.lit(mix.seed + 1)).alias("mix_order"), F.xxhash64("text").alias("mix_text")]
+
+
+def _rows(documents: DataFrame, mix: Mix, blocks: int) -> DataFrame:
+    """Written (doc_id, source, mix_size, mix_block, mix_rank, mix_words), one row for each of
+    `documents`, without the texts."""
+    narrow = _dealt(documents.select("doc_id", "text", "source"), mix, blocks)
+    return written(_ranked(narrow.select("doc_id", "source", "mix_size", "mix_block", *_order(mix)), mix), "rows")
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -106,7 +125,7 @@ def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
-    """(s, source, block, pass, low, high): what each unit takes of its block, by rank."""
+    """(s, source, block, pass, low, high, whole): what each unit takes of its block, by rank."""
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goals = goals.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     blocks = rows.groupBy("source", F.col("mix_block").alias("block")).agg(F.sum("mix_size").alias("words"), F.count("*").cast("int").alias("rows"))
@@ -129,12 +148,13 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
         ),
         "cuts",
     )
-    spare = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "place", "mix_rank", "mix_size"), "spare")
+    spare = open_rows = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "place", "mix_rank", "mix_size"), "spare")
     steps = _steps(spare, cut.select("s", "lack", F.col("place").alias("from_place"), F.col("high").alias("from_rank"))).groupBy("s")
     steps = cut.select("s", F.col("lack").alias("first")).join(steps.agg(F.min("left").alias("left"), F.collect_list(F.struct("lack", "from_place", "from_rank", "to_place", "to_rank")).alias("steps")), "s", "left")
     fits = F.exists("steps", lambda t: (F.col("mix_size") <= t["lack"]) & _behind(t["from_place"], t["from_rank"]) & ~_behind(t["to_place"], t["to_rank"]))
     spare = spare.join(steps, "s").select("s", "source", "block", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
-    spare = written(spare, "fitted")
+    spare = fitted = written(spare, "fitted")
+    spent(open_rows)
     # Ranks that follow each other are one range.
     apart = F.col("mix_rank") - F.row_number().over(Window.partitionBy("s", "block").orderBy("mix_rank"))
     fill = spare.where("taken").withColumn("apart", apart).groupBy("s", "source", "block", "apart").agg(F.min("mix_rank").alias("low"), F.max("mix_rank").alias("high")).drop("apart")
@@ -142,11 +162,13 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     top = spare.where("not taken").where(gap < F.col("lack")).groupBy("s", "source").agg(F.min(F.struct(gap.alias("gap"), "block", F.col("mix_rank").alias("low"))).alias("m")).select("s", "source", "m.block", "m.low", F.col("m.low").alias("high"))
 
     passes = F.sequence(F.lit(1), F.col("full") + whole.cast("int"))
-    units = blocks.where(F.col("full") + whole.cast("int") > 0).select("s", "source", "block", F.explode(passes).alias("pass"), F.lit(1).alias("low"), F.col("rows").alias("high"))
+    units = blocks.where(F.col("full") + whole.cast("int") > 0).select("s", "source", "block", F.explode(passes).alias("pass"), F.lit(1).alias("low"), F.col("rows").alias("high"), F.lit(True).alias("whole"))
     last = goals.select("s", (F.col("full") + 1).alias("pass"))
     for part in (cut.where("high > 0").select("s", "source", "block", F.lit(1).alias("low"), "high"), fill, top):
-        units = units.unionByName(part.join(last, "s").select("s", "source", "block", "pass", "low", "high"))
-    return written(units, "units")
+        units = units.unionByName(part.join(last, "s").select("s", "source", "block", "pass", "low", "high", F.lit(False).alias("whole")))
+    units = written(units, "units")
+    spent(blocks, cut, fitted)
+    return units
 
 
 def _tree(quotas: DataFrame, mix: Mix) -> DataFrame:
@@ -173,7 +195,7 @@ def _tree(quotas: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _draws(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
-    """(source, block, draws): for each block its units as structs (pass, shard, low, high)."""
+    """(source, block, draws): for each block its units as structs (pass, shard, low, high, whole)."""
     units = _units(rows, goals, mix)
     quotas = _tree(units.groupBy("s").agg(F.count("*").alias("q")), mix)
     upto = F.sum("q").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
@@ -181,7 +203,9 @@ def _draws(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     order = Window.partitionBy("s").orderBy(F.xxhash64("s", "pass", "block", "low", F.lit(mix.seed + 3)), "pass", "block", "low")
     placed = units.withColumn("place", F.row_number().over(order).cast("long")).withColumn("s", F.col("s").cast("long"))
     found = placed.join(ranges, ["s", "place"])
-    return written(found.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "low", "high"))).alias("draws")), "draws")
+    draws = written(found.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "low", "high", "whole"))).alias("draws")), "draws")
+    spent(units)
+    return draws
 
 
 def assign(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -192,7 +216,7 @@ def assign(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A null doc_id or source is a value like any other.  Repeated rows are dealt
     one by one.  No source has a target if there are no rows.
     """
-    rows = written(_placed(documents.select("doc_id", "text", "source"), mix).drop("text"), "rows")
+    rows = _rows(documents, mix, mix.blocks(documents.count()))
     goals, draws = _plan(rows, mix)
     return _taken(rows, goals, draws)
 
@@ -211,18 +235,34 @@ def _taken(rows: DataFrame, goals: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: the rows of `documents`, each as often as it is taken, one
-    partition range for each shard and in a random order inside it."""
-    frame, own = aside(documents, ["mix_size", "mix_block", "mix_order", "mix_text", "mix_rank", "mix_words", "mix_draw", "mix_draws", "mix_place", "mix_from", "mix_shard", "mix_key"])
-    rows = written(_placed(documents.select("doc_id", "text", "source"), mix).drop("text"), "rows")
-    _, draws = _plan(rows, mix)
-    draws = draws.select(F.col("source").alias("mix_from"), F.col("block").alias("mix_place"), F.col("draws").alias("mix_draws"))
-    placed = _placed(frame, mix).join(draws, F.col("source").eqNullSafe(F.col("mix_from")) & (F.col("mix_block") == F.col("mix_place")))
-    mine = F.filter("mix_draws", lambda u: (u["low"] <= F.col("mix_rank")) & (F.col("mix_rank") <= u["high"]))
-    out = placed.withColumn("mix_draw", F.explode(mine))
-    out = out.withColumn("mix_shard", F.col("mix_draw.shard")).withColumn("mix_key", F.xxhash64("doc_id", "mix_draw.pass", "mix_rank", F.lit(mix.seed + 4)))
-    # Shards are ranges; a range of keys inside a shard keeps partitions even.
-    return back(out.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key"), own)
+    """The mix itself: the rows of `documents`, each as often as it is taken, in equal
+    numbers of partitions for each shard and in a random order inside them.
+
+    A unit that takes its whole block needs no ranks, so its rows go straight to
+    their shard; only rows of the blocks in which a source's last pass ends are
+    ranked again.  No rows, no mix: the result is empty.
+    """
+    frame, own = aside(documents, ["mix_size", "mix_block", "mix_order", "mix_text", "mix_rank", "mix_words", "mix_draw", "mix_draws", "mix_place", "mix_from", "mix_part", "mix_key"])
+    blocks = mix.blocks(documents.count())
+    rows = _rows(documents, mix, blocks)
+    goals, draws = _plan(rows, mix)
+    spent(rows, goals)
+    how = "broadcast" if draws.count() <= mix.shared else "merge"
+    dealt = _dealt(frame, mix, blocks)
+
+    def meeting(units):
+        table = draws.select(F.col("source").alias("mix_from"), F.col("block").alias("mix_place"), units.alias("mix_draws")).where(F.size("mix_draws") > 0)
+        return dealt.join(table.hint(how), F.col("source").eqNullSafe(F.col("mix_from")) & (F.col("mix_block") == F.col("mix_place")))
+
+    whole = meeting(F.filter("draws", lambda u: u["whole"])).withColumn("mix_rank", F.lit(0)).withColumn("mix_draw", F.explode("mix_draws"))
+    part = meeting(F.filter("draws", lambda u: ~u["whole"]))
+    part = _ranked(part.select("*", *_order(mix)), mix).drop("mix_words")
+    part = part.withColumn("mix_draw", F.explode(F.filter("mix_draws", lambda u: (u["low"] <= F.col("mix_rank")) & (F.col("mix_rank") <= u["high"]))))
+    out = whole.unionByName(part).withColumn("mix_key", F.xxhash64("doc_id", "text", "mix_draw.pass", "mix_rank", F.lit(mix.seed + 4)))
+    shards = 1 << mix.levels
+    each = -(-int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    out = out.withColumn("mix_part", (F.col("mix_draw.shard") * each + F.pmod("mix_key", F.lit(each))).cast("int"))
+    return back(out.repartitionById(shards * each, F.col("mix_part")).sortWithinPartitions("mix_part", "mix_key"), own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

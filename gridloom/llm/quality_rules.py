@@ -183,7 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Rule
     """
     rows = training_rows(documents, labels, "quality", rules.per_class, rules.seed)
     rows = rows.mapInArrow(_features(rules), "doc_id long, y int, part int, ids binary, shares binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("part", "ascending")]).slice(0, 4 * rules.per_class)
+    rows = rows.sort_by([("doc_id", "ascending"), ("part", "ascending")])
     no, yes = class_shares(labels, "quality")
     y = np.asarray(rows["y"].to_numpy(), dtype=np.int64)
     size = 2 << rules.bits
@@ -250,7 +250,9 @@ def score(documents: DataFrame, model: RuleModel) -> DataFrame:
     prob (double) and kept (boolean).
 
     Null and empty texts have no words, fail the base rules and are not kept.
-    Columns named like the results are replaced by them.
+    Columns named like the results are replaced by them.  A text of any length is
+    counted and scored whole; it is then a piece of its own.  A probability equal to
+    the threshold is kept.  Repeated rows are scored one by one, alike.
     """
     made = [*(c.split()[0] for c in BASE_COLUMNS.split(", ")), "prob", "kept"]
     rest = [c for c in documents.columns if c not in made]
@@ -281,6 +283,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep(documents: DataFrame, source: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of `documents` that pass, with all their columns as they were; the model
-    is fitted on `source` and `labels`."""
+    is fitted on `source` and `labels`.  Rows are judged one by one by their whole text
+    (see `score`): all copies of a row stay or none; null and empty texts go."""
     frame, own = aside(documents, [*(c.split()[0] for c in BASE_COLUMNS.split(", ")), "prob", "kept"])
     return back(score(frame, fit(source, labels, rules)).where(F.col("kept")), own)

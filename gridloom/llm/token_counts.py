@@ -146,33 +146,38 @@ def _attribute(tokenizer_json: str, rule: str, given: bool):
     return run
 
 
-def attribute(documents: DataFrame, sections: DataFrame | None = None, how: Count = Count()) -> DataFrame:
+def attribute(documents: DataFrame, sections: DataFrame | str | None = None, how: Count = Count()) -> DataFrame:
     """(doc_id, section, start, end, n_tokens, n_crossing): tokens of each section of each
     row of `documents` (doc_id, text); n_crossing of them reach over its boundaries.
 
-    `sections` has (doc_id, section, start, end): half-open spans in characters; without
-    it the lines of a text are its sections.  Tokens that overlap no section are counted
+    `sections` has half-open spans in characters: the name of a column of `documents`, an
+    array of structs (section, start, end), or a table (doc_id, section, start, end), in which
+    every row of an id has the id's spans; without either the lines of a text are its
+    sections.  Only a column can give sections to rows without an id, or different ones to
+    rows that share an id.  The spans of a row are held together, like its text.  Tokens that overlap no section are counted
     in a row whose section is null, if there are any.  Sections without tokens have a
-    row with 0.  Null texts are empty; repeated rows are counted each.  Sections with
-    a null are left out; of two that overlap the earlier keeps the common part.
+    row with 0.  Null texts are empty; repeated rows are counted each, whatever their ids;
+    texts of any length are encoded whole.  Sections with a null are left out; of two that overlap the earlier keeps the common part.
     """
     frame = documents.select("doc_id", "text")
-    if sections is not None:
+    if isinstance(sections, str):
+        frame = documents.select("doc_id", "text", F.col(sections).alias("sections"))
+    elif sections is not None:
         own = sections.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("section", "start", "end")).alias("sections"))
         frame = frame.join(own, "doc_id", "left").select("doc_id", "text", "sections")
     return frame.mapInArrow(_attribute(tokenizer_text(how.tokenizer, "byte_bpe_50k.json"), how.rule, sections is not None), _SCHEMA)
 
 
-def join_fields(rows: DataFrame, key: str, fields: list[str], between: str = "\n") -> tuple[DataFrame, DataFrame]:
-    """(documents, sections) for counting fields: the fields joined into one text, and the
-    span of each (section k is fields[k]); a null field is empty."""
+def join_fields(rows: DataFrame, key: str, fields: list[str], between: str = "\n") -> DataFrame:
+    """(doc_id, text, sections) for counting fields with `attribute(..., "sections")`: the
+    fields joined into one text, and the span of each (section k is fields[k]); a null
+    field is empty.  The spans go with the row, so the key may be null or repeated."""
     values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     spans, at = [], F.lit(0)
     for k, v in enumerate(values):
         spans.append(F.struct(F.lit(k).alias("section"), at.cast("long").alias("start"), (at + F.char_length(v)).cast("long").alias("end")))
         at = at + F.char_length(v) + len(between)
-    whole = rows.select(F.col(key).alias("doc_id"), F.concat_ws(between, *values).alias("text"), F.array(*spans).alias("spans"))
-    return whole.select("doc_id", "text"), whole.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.section", "s.start", "s.end")
+    return rows.select(F.col(key).alias("doc_id"), F.concat_ws(between, *values).alias("text"), F.array(*spans).alias("sections"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

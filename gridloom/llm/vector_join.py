@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Search:
-    """stripe, group: most candidates and queries in a cell on average, which bounds its
-    memory.  spread: as many stripes are made, even if they are smaller, as long as
+    """stripe, group: most candidates and queries in a cell on average; both are less for
+    wide vectors, so that those of a cell fill at most `cell_bytes` as doubles.  spread: as many stripes are made, even if they are smaller, as long as
     each keeps `least` candidates.  tile, rows: candidates and queries of one product."""
 
     k: int = 5
@@ -33,6 +33,7 @@ class Search:
     least: int = 512
     tile: int = 4096
     rows: int = 1024
+    cell_bytes: int = 1 << 26
 
 
 def usable(vector: str = "embedding"):
@@ -42,7 +43,8 @@ def usable(vector: str = "embedding"):
 
 
 class Quantised:
-    """Unit rows as int8 with a scale each, and the norms that bound the error."""
+    """Unit rows as int8 with a scale each, and the norms that bound the error.  Rows come
+    scaled by `scaled`, so no square over- or underflows."""
 
     def __init__(self, matrix: np.ndarray):
         self.norm = np.sqrt((matrix * matrix).sum(axis=1))
@@ -66,6 +68,12 @@ def tile_bounds(a: Quantised, rows: slice, b: Quantised, cols: slice) -> tuple[n
     return near, a.kept[rows, None] * b.lost[None, cols] + a.lost[rows, None] + 1e-9
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to one half at least:
+    the cosine stays the same to the last bit."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
@@ -104,6 +112,11 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray,
     """For each query a heap of its k nearest candidates with another id: (score, -id)."""
     k = search.k
     vectors, owners = distinct_rows(candidates, ids, k + 1)
+    # Vectors of one id stand together: only its nearest counts for the k-th lower bound.
+    head = np.array([o[0] for o in owners])
+    order = np.argsort(head, kind="stable")
+    vectors, owners, head = vectors[order], [owners[c] for c in order], head[order]
+    queries, vectors = scaled(queries), scaled(vectors)
     lone = np.array([o[0] if len(o) == 1 else 0 for o in owners])
     single = np.array([len(o) == 1 for o in owners])
     a, b = Quantised(queries), Quantised(vectors)
@@ -115,7 +128,10 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray,
             cols = slice(left, min(left + search.tile, len(vectors)))
             near, off = tile_bounds(a, rows, b, cols)
             own = single[None, cols] & (lone[None, cols] == mine[:, None])
-            low = np.where(own, -np.inf, near - off)
+            low = np.where(head[None, cols] == mine[:, None], -np.inf, near - off)
+            first = np.flatnonzero(np.concatenate(([True], head[cols][1:] != head[cols][:-1])))
+            if len(first) < low.shape[1]:
+                low = np.maximum.reduceat(low, first, axis=1)
             size = low.shape[1]
             least = np.partition(low, size - k, axis=1)[:, size - k] if size >= k else np.full(len(mine), -np.inf)
             held = np.array([heaps[top + r][0][0] if len(heaps[top + r]) == k else -np.inf for r in range(len(mine))])
@@ -158,14 +174,19 @@ def search(queries: DataFrame, candidates: DataFrame, how: Search = Search()) ->
     the smaller id.  A query without candidates has no row.
 
     Candidates are copied once for each group of queries and queries once for each
-    stripe: that is the join's whole shuffle.
+    stripe: that is the join's whole shuffle.  Both are placed by a hash of the row, so a
+    task that runs again deals them alike; repeated rows are dropped first, before the
+    shuffle if they are in one task.
     """
-    fit = lambda frame: frame.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable())
+    fit = lambda frame: frame.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable()).dropDuplicates()
     left, right = fit(queries), fit(candidates)
-    groups = max(1, math.ceil(left.count() / how.group))
-    rows = right.count()
-    stripes = max(1, math.ceil(rows / how.stripe), min(how.spread, rows // how.least))
-    number = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    sides = left.select(F.lit(0).alias("side"), "embedding").unionByName(right.select(F.lit(1).alias("side"), "embedding"))
+    found = {r["side"]: (r["n"], r["width"]) for r in sides.groupBy("side").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).collect()}
+    n_left, rows = (found.get(k, (0, 1))[0] for k in (0, 1))
+    most = max(how.least, how.cell_bytes // (8 * max((w for _, w in found.values()), default=1)))
+    groups = max(1, math.ceil(n_left / min(how.group, most)))
+    stripes = max(1, math.ceil(rows / min(how.stripe, most)), min(how.spread, rows // how.least))
+    number = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.withColumn("part", number(groups)).withColumn("stripe", every(stripes)).withColumn("width", F.size("embedding"))
     right = right.withColumn("stripe", number(stripes)).withColumn("part", every(groups)).withColumn("width", F.size("embedding"))

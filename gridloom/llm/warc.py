@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_tree import Page
+from .shared import written
 
 RECORD = "record_id string, type string, date string, target_uri string, headers map<string,string>, block binary"
 _ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("date", pa.string()), ("target_uri", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -32,10 +33,12 @@ OWN = {"WARC-Record-ID": "record_id", "WARC-Type": "type", "WARC-Date": "date",
 
 @dataclass(frozen=True)
 class Crawl:
-    """What a page table lacks to be responses."""
+    """What a page table lacks to be responses.  shared: keys of repeated rows that may be
+    broadcast; more are joined by a shuffle."""
 
     date: str = "2024-01-01T00:00:00Z"
     content_type: str = "text/html; charset=utf-8"
+    shared: int = 200_000
 
 
 def digest(data: bytes) -> str:
@@ -56,38 +59,75 @@ def _table(column) -> list[dict | None]:
 
 def responses(pages: DataFrame, crawl: Crawl = Crawl()) -> DataFrame:
     """Response records of (page_id, url, html), with page_id.  A null html is an empty
-    payload, a null url leaves the record without a target."""
+    payload, a null url leaves the record without a target.
+
+    A record's id is made from page_id, url and the payload's digest.  Rows that are
+    repeated in all three also enter their place in the input, so no two records share
+    an id; they are found by counting narrow keys, and without any nothing is joined.
+    """
+    frame = pages.select("page_id", "url", "html")
+    key = F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", F.coalesce("html", F.lit("")))
+    again = written(frame.groupBy(key.alias("row_key")).count().where("count > 1").select("row_key", F.lit(True).alias("again")), "repeated")
+    n = again.count()
+    if n:
+        frame = frame.withColumn("row_key", key).join(again.hint("broadcast" if n <= crawl.shared else "merge"), "row_key", "left").select("page_id", "url", "html", F.coalesce("again", F.lit(False)).alias("again"))
+    else:
+        frame = frame.withColumn("again", F.lit(False))
 
     def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for key, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            for key, url, page, again in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "again")), strict=True):
+                at += 1
                 payload = (page or "").encode()
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: {crawl.content_type}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                 headers = {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block)}
-                rows.append({"record_id": record_id("response", key, url), "type": "response", "date": crawl.date, "target_uri": url, "headers": headers, "block": block})
+                name = record_id("response", key, url, headers["WARC-Payload-Digest"], *([part, at] if again else []))
+                rows.append({"record_id": name, "type": "response", "date": crawl.date, "target_uri": url, "headers": headers, "block": block})
             out = _batch(rows)
             yield pa.record_batch([batch.column("page_id"), *out.columns], names=["page_id", *_ARROW.names])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id long, {RECORD}")
+    return frame.mapInArrow(run, f"page_id long, {RECORD}")
 
 
-def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, header fields and payload of an HTTP response block."""
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bool]:
+    """Status line, header fields and payload of an HTTP response block, and whether the
+    payload's encoding could be undone.  Of a broken one what comes before the fault is left."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap and not block.startswith(b"HTTP/"):
-        return "", [], block
+        return "", [], block, True
     lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("latin-1").split("\r\n")
     fields = [(a.strip(), b.strip()) for a, sep, b in (x.partition(":") for x in lines[1:]) if sep]
     names = {a.lower(): b.lower() for a, b in fields}
     if names.get("transfer-encoding") == "chunked":
         payload = _unchunk(payload)
+    right = True
     if names.get("content-encoding") in ("gzip", "x-gzip", "deflate"):
+        payload, right = _inflate(payload)
+    return lines[0], fields, payload, right
+
+
+def _inflate(data: bytes) -> tuple[bytes, bool]:
+    """All members of a gzip or zlib stream, or a bare deflate stream."""
+    out, rest, kind = [], data, 47
+    while rest:
+        member = zlib.decompressobj(kind)
         try:
-            payload = zlib.decompressobj(47).decompress(payload)
+            # In pieces, so that a fault only costs what follows it.
+            for k in range(0, len(rest), 4096):
+                out.append(member.decompress(rest[k : k + 4096]))
+                if member.eof:
+                    rest = member.unused_data + rest[k + 4096 :]
+                    break
+            else:
+                return b"".join(out), member.eof
         except zlib.error:
-            pass
-    return lines[0], fields, payload
+            if kind == 47 and rest is data and not any(out):
+                out, kind = [], -15
+                continue
+            return b"".join(out), False
+    return b"".join(out), True
 
 
 def _unchunk(data: bytes) -> bytes:
@@ -107,34 +147,35 @@ def _unchunk(data: bytes) -> bytes:
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([\w-]+)""", re.I)
 
 
+_META = re.compile(rb"<meta\b[^>]*>", re.I)
+
+
 def decoded(payload: bytes, content_type: str) -> str:
-    """Text of a payload: its declared character set, else UTF-8; odd bytes are replaced."""
-    m = _CHARSET.search(content_type.encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
+    """Text of a payload: the character set of its header, else of its first meta element that
+    names one, else UTF-8; odd bytes are replaced."""
+    m = _CHARSET.search(content_type.encode("latin-1", "replace"))
+    m = m or next((x for y in _META.finditer(payload, 0, payload.rfind(b">") + 1) if (x := _CHARSET.search(y[0]))), None)
     try:
         return payload.decode(m[1].decode() if m else "utf-8", "replace")
     except LookupError:
         return payload.decode("utf-8", "replace")
 
 
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-
-
 def derive(record: dict) -> tuple[dict, dict]:
     """The metadata and conversion records of one response."""
     import html
 
-    status, fields, payload = http_parts(record["block"] or b"")
+    status, fields, payload, right = http_parts(record["block"] or b"")
     source = record["headers"] or {}
     names = {a.lower(): b for a, b in fields}
     text = decoded(payload, names.get("content-type", ""))
     page = Page(text)
     plain = page.text()
-    title = _TITLE.search(text)
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
     lines = [("http-status-line", status), *((f"http-header-{a.lower()}", b) for a, b in fields)]
     lines += [(f"source-{a.lower()}", b) for a, b in sorted(source.items())]
-    lines += [("payload-length", str(len(payload))), ("payload-digest-matches", str(digest(payload) == payload_digest).lower())]
-    lines += [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("text-length", str(len(plain)))]
+    lines += [("payload-length", str(len(payload))), ("payload-decoded", str(right).lower()), ("payload-digest-matches", str(digest(payload) == payload_digest).lower())]
+    lines += [("title", " ".join(html.unescape(page.title or "").split())), ("text-length", str(len(plain)))]
     made = []
     for kind, content_type, block in (
         ("metadata", "application/warc-fields", "".join(f"{a}: {b}\r\n" for a, b in lines).encode()),
@@ -178,7 +219,8 @@ def record_bytes(record: dict) -> bytes:
 
 
 def parse_records(stream) -> Iterator[dict]:
-    """Records of a WARC byte stream (an object with read and readline)."""
+    """Records of a WARC byte stream (an object with read and readline).  A record without
+    a proper length has an empty block; the reader goes on at the next record's first line."""
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -193,7 +235,8 @@ def parse_records(stream) -> Iterator[dict]:
             last = name.strip()
             headers[last] = value.strip()
         names = {a.lower(): a for a in headers}
-        block = stream.read(int(headers.get(names.get("content-length", ""), 0)))
+        length = headers.get(names.get("content-length", ""), "")
+        block = stream.read(int(length) if re.fullmatch("[0-9]+", length) else 0)
         row = {c: headers.pop(names[a.lower()], None) if a.lower() in names else None for a, c in OWN.items()}
         headers.pop(names.get("content-length", ""), None)
         yield row | {"headers": headers, "block": block}

@@ -1,19 +1,23 @@
 """The ten operators on small fixtures, against brute force or an exact round trip."""
 
+import gzip
 import hashlib
+import io
 import os
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_cnn, chosen_path, labelled_pages, main_text, mixing, pair_bpe, pretokens, quality_rules, token_counts, token_store, vector_join, warc
-from gridloom.llm.bytesplit import Texts
+from gridloom.llm import byte_cnn, chosen_path, html_tree, labelled_pages, main_text, mixing, pair_bpe, pretokens, quality_rules, token_counts, token_store, vector_join, warc
+from gridloom.llm.bytesplit import Texts, Words
 from gridloom.llm.components import components
+from gridloom.llm.labelled import training_rows
 from gridloom.llm.html_tree import Page
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,8 +176,13 @@ def test_counts_of_lines_and_fields(spark):
     rows = token_counts.attribute(docs(spark, ["one\ntwo three\n", "", None])).collect()
     assert sorted((r["doc_id"], r["section"], r["start"], r["end"]) for r in rows) == [(0, 0, 0, 4), (0, 1, 4, 14), (1, 0, 0, 0), (2, 0, 0, 0)]
     frame = spark.createDataFrame([(1, "user", "hello there"), (2, None, "x")], "conv_id long, role string, text string")
-    whole, spans = token_counts.join_fields(frame, "conv_id", ["role", "text"])
-    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in token_counts.attribute(whole, spans).collect()}
+    joined = token_counts.join_fields(frame, "conv_id", ["role", "text"])
+    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in token_counts.attribute(joined, "sections").collect()}
+    same = token_counts.attribute(joined, joined.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*"))
+    assert got == {(r["doc_id"], r["section"]): r["n_tokens"] for r in same.collect()}
+    odd = spark.createDataFrame([(None, "user", "hello there"), (None, "a", "x y z"), (7, "b", "one"), (7, "longer", "two words")], "conv_id long, role string, text string")
+    counts = token_counts.attribute(token_counts.join_fields(odd, "conv_id", ["role", "text"]), "sections").where("section is not null")
+    assert counts.count() == 8 and counts.where("n_tokens = 0").count() == 0
     assert got[1, 0] == 1 and got[1, 1] == 2 and got[2, 0] == 0 and got[1, None] == 1
     with pytest.raises(ValueError):
         token_counts.Count("nearest")
@@ -207,11 +216,28 @@ def test_derivatives_are_linked(spark, tmp_path):
 
 
 def test_http_bodies():
-    gz = __import__("gzip").compress(b"<p>x</p>")
-    status, fields, body = warc.http_parts(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nX:\r\n y\r\n\r\n" + gz)
-    assert body == b"<p>x</p>" and ("X", "y") in fields and status == "HTTP/1.1 200 OK"
+    pack = lambda kind, data: b"HTTP/1.1 200 OK\r\nContent-Encoding: " + kind + b"\r\nX:\r\n y\r\n\r\n" + data
+    gz = gzip.compress(b"<p>x</p>")
+    status, fields, body, right = warc.http_parts(pack(b"gzip", gz))
+    assert body == b"<p>x</p>" and ("X", "y") in fields and status == "HTTP/1.1 200 OK" and right
+    assert warc.http_parts(pack(b"gzip", gz + gzip.compress(b"more" * 5000)))[2:] == (b"<p>x</p>" + b"more" * 5000, True)
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert warc.http_parts(pack(b"deflate", bare.compress(b"abc" * 9) + bare.flush()))[2:] == (b"abc" * 9, True)
+    assert warc.http_parts(pack(b"deflate", zlib.compress(b"abc" * 9)))[2:] == (b"abc" * 9, True)
+    assert warc.http_parts(pack(b"gzip", b"no gzip at all"))[2:] == (b"", False)
+    assert not warc.http_parts(pack(b"gzip", gzip.compress(random.Random(1).randbytes(40_000))[:20_000]))[3]
     assert warc.http_parts(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n")[2] == b"abc"
     assert warc.decoded("é".encode("latin-1"), "text/html; charset=iso-8859-1") == "é"
+    late = b"<!-- " + b"x" * 9000 + b" --><meta name=a><meta charset=iso-8859-1>" + "é".encode("latin-1")
+    assert warc.decoded(late, "text/html").endswith("é")
+
+
+def test_broken_records_do_not_stop_the_reader():
+    good = warc.record_bytes({"record_id": "<urn:x>", "type": "response", "date": "d", "target_uri": "u", "headers": {}, "block": b"abc"})
+    for length in (b"many", b"-5", b""):
+        bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + length + b"\r\n\r\nlost\r\n\r\n"
+        got = list(warc.parse_records(io.BytesIO(bad + good)))
+        assert [bytes(r["block"]) for r in got] == [b"", b"abc"] and got[1]["record_id"] == "<urn:x>"
 
 
 # 5: main text
@@ -256,6 +282,21 @@ def test_messages_are_exact(tree):
     assert np.allclose(got, [sum(w for y, w in weights if y[k]) / total for k in range(n)])
 
 
+@pytest.mark.parametrize("page", ["<a ", "<x>", "</y>", "<!", "<a \"'>", "<p><b '>", "İ<script>x</script>", "<title>", "<meta ", "<div></div>", "<li><td>"])
+def test_time_is_linear_in_hostile_pages(page):
+    for head in ("", "<p><button>" + "<x>" * 30_000, "a > b "):
+        start = time.time()
+        html_tree.Page(head + page * 30_000)
+        warc.decoded((head + page * 30_000).encode(), "")
+        assert time.time() - start < 5
+
+
+def test_pages_hold_their_text_behind_odd_letters():
+    assert html_tree.Page("<p>İ</p><SCRIPT>x</SCRIPT><p>kept</p>").text() == "İ\nkept"
+    assert html_tree.Page("a<!-- b > c <p>d").text() == "a" and html_tree.Page("a<![CDATA[<b> & c").text() == "a<b> & c"
+    assert html_tree.Page("<p>1 < 2 and <b").text() == "1 < 2 and <b"
+
+
 def test_odd_markup():
     assert Page("<p>a<!-- <p>no</p> --><b>c").text() == "ac"
     assert Page("<ul><li>a<li>b</ul>c").text() == "a\nb\nc"
@@ -393,6 +434,45 @@ def test_sketches_of_tiny_sets_agree():
     assert missed <= 2
 
 
+def test_recall_at_the_defaults():
+    """Pairs exactly at the similarity, through paths and sketches at the production
+    parameters; a shared node at the first level is enough, and one is asked for at the second."""
+    join, rng = chosen_path.Join(), np.random.default_rng(9)
+    roots, found, deep, n = chosen_path._roots(join), 0, 0, 600
+    least = join.least()
+    for _ in range(n):
+        tokens = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        pair = [np.sort(tokens[:81]), np.sort(np.concatenate([tokens[:72], tokens[81:]]))]  # 72 of 90
+        held = []
+        for own in pair:
+            sample = own[: join.sample]
+            _, first = chosen_path._children(roots, np.zeros(len(roots), np.int64), sample, np.array([len(sample)]), join.branch)
+            _, second = chosen_path._children(first, np.zeros(len(first), np.int64), sample, np.array([len(sample)]), join.branch)
+            held.append((set(first.tolist()), set(second.tolist())))
+        x = np.frombuffer(chosen_path._sketch(pair[0]), np.uint8) ^ np.frombuffer(chosen_path._sketch(pair[1]), np.uint8)
+        near = sum(((x >> s) & 3 == 0).sum() for s in (0, 2, 4, 6)) >= least
+        found += near and bool(held[0][0] & held[1][0])
+        deep += near and bool(held[0][1] & held[1][1])
+    assert found >= 0.995 * n and deep >= 0.99 * n
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6])
+def test_buckets_with_a_common_passage(spark, share):
+    """Many texts share a passage without being near; near copies among them are found."""
+    rng = random.Random(12)
+    passage = prose(rng, int(150 * share)).split()
+    texts = []
+    for k in range(160):
+        own = prose(rng, 150 - len(passage)).split()
+        texts.append(" ".join(passage + own))
+        if k % 20 == 0:
+            texts.append(" ".join([*passage, *own[:-1], f"end{k}"]))
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: r for r in chosen_path.classes(docs(spark, texts), chosen_path.Join(small=16)).collect()}
+    names, links = by_hand(texts, ids)
+    assert sum(links) == 16 and [(got[d]["class_id"], got[d]["n_links"]) for d in ids] == list(zip(names, links, strict=True))
+
+
 def test_keep_one_of_each_class(spark):
     texts = [t for t in near_texts(4)[:60]]
     ids = [k if k % 9 else None for k in range(len(texts))]
@@ -531,6 +611,61 @@ def test_network_reads_the_whole_text(spark):
     assert a != b
 
 
+def test_logits_equal_a_plain_convolution():
+    """Every window of every half, the largest of each two halves, the mean over them."""
+    rng = np.random.default_rng(2)
+    shape = byte_cnn.Shape(filters=5, half=16, width=6)
+    net = byte_cnn.Network(rng.normal(size=(6, 256, 5)), rng.normal(size=5), rng.normal(size=5), 0.3, 1.0, 0.0, shape)
+    texts = ["", "a", "short text", "x" * 16, "long text é " * 30, None]
+    got = byte_cnn.logits(Texts.of(texts), net, byte_cnn._pairs(net))
+    for text, z in zip(texts, got, strict=True):
+        data = (text or "").encode()
+        n = -(-(len(data) + 5) // 16)
+        data += bytes(n * 16 + 6 - len(data))
+        tops = []
+        for half in range(n):
+            own = [max(0.0, *(net.bias[f] + sum(net.filters[j, data[p + j], f] for j in range(6)) for p in range(half * 16, half * 16 + 16) if p + 6 <= n * 16)) for f in range(5)]
+            tops.append(np.array(own))
+        chunks = [np.maximum(a, b) for a, b in zip(tops, tops[1:])] or tops
+        assert z == pytest.approx(np.mean(chunks, axis=0) @ net.out + 0.3, abs=1e-4)
+
+
+def test_all_chunks_of_a_text_are_fitted():
+    shape = byte_cnn.Shape()
+    texts = Texts.of(["", "x" * 10, "y" * 100_000])
+    x, owner = byte_cnn._chunks(texts, shape)
+    assert list(np.bincount(owner)) == [1, 1, -(-100_005 // 128) - 1] and (x[owner == 2] == ord("y")).any(axis=1).all()
+    assert (x[1, :10] == ord("x")).all() and not x[0].any() and not x[1, 10:].any()
+
+
+def test_raw_scores_equal_a_plain_sum():
+    rules = quality_rules.Rules(bits=8)
+    model = quality_rules.RuleModel(np.random.default_rng(3).normal(size=(2, 256)).astype(np.float32), 0.25, 1.0, 0.0, rules)
+    texts = Texts.of(["", "one", "two words here", "é x\n\ty é", "z" * 500])
+    words = Words(texts)
+    hashes = words.hashes()
+    got = quality_rules.raw_scores(texts, words, hashes, model)
+    for r in range(texts.rows):
+        alone = Texts.of([texts.row(r).decode()])
+        own = Words(alone)
+        sums, counts = [0.0, 0.0], [0, 0]
+        for family, _, ids in quality_rules.gram_ids(alone, own, own.hashes(), rules):
+            for i in ids.tolist():
+                sums[family] += float(model.weights[family][i])
+                counts[family] += 1
+        data = texts.row(r)
+        assert counts[1] == sum(max(len(data) - k + 1, 0) for k in (2, 3, 4)) and counts[0] == sum(max(len(data.split()) - k + 1, 0) for k in (1, 2))
+        assert got[r] == pytest.approx(0.25 + sum(s / max(c, 1) for s, c in zip(sums, counts, strict=True)))
+
+
+def test_one_text_of_a_repeated_id_is_fitted(spark):
+    frame, labels = labelled(spark, 60)
+    again = frame.unionByName(frame.where("doc_id < 30").withColumn("text", F.concat("text", F.lit(" again")))).unionByName(frame.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    rows = training_rows(again, labels, "quality", 20, 3).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) <= 40
+    assert sorted(map(str, rows)) == sorted(map(str, training_rows(again.repartition(7), labels, "quality", 20, 3).collect()))
+
+
 @pytest.mark.parametrize("which", ["none", "one class", "nulls"])
 def test_models_without_labels(spark, which):
     frame, labels = labelled(spark, 40)
