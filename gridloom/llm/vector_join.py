@@ -170,7 +170,7 @@ def search(queries: DataFrame, candidates: DataFrame, how: Search = Search()) ->
     Both take (vec_id, embedding).  Rows without an id and vectors that are null,
     zero or hold null or non-finite components take no part; vectors only meet
     those of their own length.  A candidate with the query's id is its own and left
-    out; an id with several rows counts once, by its nearest vector.  Ties go to
+    out; an id with several rows counts once, by its nearest vector, on either side.  Ties go to
     the smaller id.  A query without candidates has no row.
 
     Candidates are copied once for each group of queries and queries once for each

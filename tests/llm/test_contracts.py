@@ -42,7 +42,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("own")).repartition(3, F.rand(2)).write.parquet(f"{top}/pages.parquet")
     rng = np.random.default_rng(8)
     vectors = [(None if k % 5 == 0 and k % 50 else 50 if k % 5 == 1 else k, rng.normal(size=6).tolist()) for k in range(200)]
-    vectors += [vectors[50]] * 5 + [(100, None), (150, [0.0] * 6), (51, [float("inf")] * 6), (52, [1e200] * 6), (53, [1e-200] * 6), (200, [1e180, -1e180, 0, 0, 0, 1.0])]
+    vectors += [vectors[50]] * 5 + [(100, None), (150, [0.0] * 6), (51, [float("inf")] * 6), (52, [1e200] * 6), (53, [1e-200] * 6), (200, [1e180, -1e180, 0.0, 0.0, 0.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("part", F.lit(1)).repartition(3, F.rand(3)).write.parquet(f"{top}/embeddings.parquet")
     for name in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{top}/{name}.parquet").limit(0).write.parquet(f"{top}/empty/{name}.parquet")

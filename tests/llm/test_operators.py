@@ -505,13 +505,12 @@ def nearest_by_hand(rows, k):
     out = {}
     for i, v in fine:
         if i % 50 == 0:
-            best = {}
+            best = out.setdefault(i, {})
             for j, w in fine:
                 if j != i and len(w) == len(v):
                     s = (v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))
                     best[j] = max(best.get(j, -9), s)
-            out[i] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
-    return out
+    return {i: sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k] for i, best in out.items()}
 
 
 def test_nearest_by_brute_force(spark):
