@@ -9,30 +9,34 @@ from ..functions.cut import cut
 from .matrix import Matrix, ShapeError, Vector
 
 
-def sort_vector(x: Vector, ascending: bool = True, absolute: bool = False) -> Vector:
-    """Elements in order; equal ones by their index.
+def ranked(x: DataFrame, ascending: bool = True, absolute: bool = False) -> DataFrame:
+    """(i, v, k): every element of (i, v) with its place k in order; equal ones by their index.
 
     The order is global: rows are ranged by value and ranked inside the ranges, whose
     sizes are summed first, so no task sees all rows.
     """
     key = F.abs("v") if absolute else F.col("v")
-    ranged = x.df.withColumn("key", key if ascending else -key).repartitionByRange("key", "i").sortWithinPartitions("key", "i")
+    ranged = x.select("i", "v").withColumn("key", key if ascending else -key).repartitionByRange("key", "i").sortWithinPartitions("key", "i")
     # Written once, so that both uses below see the same ranges.
     ranged = cut(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("key", "i")))
     counts = ranged.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    return Vector(inside.join(F.broadcast(before), "part").select((F.col("before") + F.col("n") - 1).alias("i"), "v"), x.size)
+    return inside.join(before, "part").select("i", "v", (F.col("before") + F.col("n") - 1).cast("long").alias("k"))
+
+
+def sort_vector(x: Vector, ascending: bool = True, absolute: bool = False) -> Vector:
+    """Elements in order; equal ones by their index."""
+    return Vector(ranked(x.df, ascending, absolute).select(F.col("k").alias("i"), "v"), x.size)
 
 
 def sort_eigen(d: Vector, u: Matrix | None = None, v: Matrix | None = None, c: Matrix | None = None, ascending: bool = False):
     """(d, u, v, c): d sorted, and with it the columns of u, the rows of v and the columns of c."""
-    order = Window.orderBy(F.col("v").asc() if ascending else F.col("v").desc(), "i")
-    moved = d.df.select("i", "v", (F.row_number().over(order) - 1).cast("long").alias("to"))
-    move = moved.select(F.col("i").alias("old"), "to")
+    moved = ranked(d.df, ascending)
+    move = moved.select(F.col("i").alias("old"), F.col("k").alias("to"))
     cols = lambda a: a and Matrix(a.df.join(move, F.col("j") == F.col("old")).select("i", F.col("to").alias("j"), "v"), a.rows, a.cols)
     rows = lambda a: a and Matrix(a.df.join(move, F.col("i") == F.col("old")).select(F.col("to").alias("i"), "j", "v"), a.rows, a.cols)
-    return Vector(moved.select(F.col("to").alias("i"), "v"), d.size), cols(u), rows(v), cols(c)
+    return Vector(moved.select(F.col("k").alias("i"), "v"), d.size), cols(u), rows(v), cols(c)
 
 
 def compose(pivots: list[int], n: int, backward: bool = False) -> list[int]:
@@ -81,5 +85,4 @@ def pivot_symmetric(a: Matrix, pivots: list[int], uplo: str = "lower", backward:
 
 def pivot_sort(x: Vector, ascending: bool = False) -> DataFrame:
     """(k, p): 1-based index of the k-th element by absolute value, ties by index."""
-    order = Window.orderBy(F.abs("v").asc() if ascending else F.abs("v").desc(), "i")
-    return x.df.select((F.row_number().over(order) - 1).cast("long").alias("k"), (F.col("i") + 1).alias("p"))
+    return ranked(x.df, ascending, absolute=True).select("k", (F.col("i") + 1).alias("p"))

@@ -1,8 +1,9 @@
 """Eigenvalues and singular values.
 
 The long side of a matrix stays distributed: it is reduced by TSQR to a triangle with
-the short side's size, whose decomposition is small.  Symmetric matrices with both
-sides long are decomposed by block Jacobi sweeps over pairs of row blocks.
+the short side's size.  Symmetric matrices of any size, and matrices with both sides
+long, are decomposed by block Jacobi sweeps over pairs of row blocks; single eigenvalues
+come from a tridiagonal form by bisection, where each is a row of its own.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cut import cut
+from ..functions.cut import cut, spent
 from .matrix import Matrix, ShapeError, Vector, mirrored
 from .orthogonal import qr_rows, tsqr
-from .rows import Rows, from_rows, matrix_of, small, times_small, to_rows
+from .rows import Rows, check_shared, from_rows, map_rows, matrix_of, times_small, to_rows
+from .sorting import ranked
 
-#: Both sides up to this are decomposed in one piece.
+#: Most columns of a triangle that is left by TSQR and decomposed in one piece; beyond it
+#: the same factors come from Jacobi sweeps.
 SMALL = 2048
 
 
@@ -81,20 +84,24 @@ def eigen_sym(a: Matrix, uplo: str = "lower", vectors: bool = True) -> Eigen:
     """All eigenvalues of a symmetric matrix from one triangle."""
     if a.rows != a.cols:
         raise ShapeError((a.rows, a.cols))
-    full, spark = mirrored(a, uplo), a.df.sparkSession
-    if a.rows > SMALL:
-        return _jacobi_eigen(full, vectors)
-    d, v = np.linalg.eigh(small(full, SMALL))
-    return Eigen(vector_of(spark, d), matrix_of(spark, v * _signed(v)) if vectors else None)
+    return _jacobi_eigen(mirrored(a, uplo), vectors)
 
 
 def eigen_sym_selected(a: Matrix, uplo: str = "lower", first: int | None = None, last: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
-    """(i, v): eigenvalues with index in [first, last) or value in [low, high]."""
-    frame = eigen_sym(a, uplo, vectors=False).values.df
-    if first is not None or last is not None:
-        frame = frame.where((F.col("i") >= (first or 0)) & (F.col("i") < (a.rows if last is None else last)))
-    if low is not None:
-        frame = frame.where(F.col("v") >= low)
+    """(i, v): eigenvalues with index in [first, last) and value in [low, high].  Only those
+    are computed, from the tridiagonal form."""
+    from .condensed import tridiagonal
+
+    f = tridiagonal(a, uplo, vectors=False)
+    first, last = first or 0, a.rows if last is None else last
+    spark = a.df.sparkSession
+    if low is not None or high is not None:
+        # A value just outside by rounding is sorted out below.
+        ends = [float(low) - 1e-9 * (1 + abs(low)) if low is not None else -np.inf, float(high) + 1e-9 * (1 + abs(high)) if high is not None else np.inf]
+        below = dict(_counts_below(*_bands(f.d, f.e), np.array(ends)))
+        first, last = max(first, below[ends[0]]), min(last, below[ends[1]])
+    frame = bisect(spark, f.d, f.e, first, max(first, last))
+    frame = frame.where(F.col("v") >= low) if low is not None else frame
     return frame.where(F.col("v") <= high) if high is not None else frame
 
 
@@ -111,20 +118,27 @@ def _rounds(n: int):
 
 def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int) -> DataFrame:
     """(i, a) with rows made orthogonal to each other by rotations: one-sided Jacobi on
-    row blocks of `width`.  A task holds two blocks; sweeps end when no pair of blocks
-    turned by more than the tolerance."""
+    row blocks of `width`.  A task holds two blocks; sweeps end when no pair of rows is
+    off by more than the tolerance (rows that are rounding errors of the whole don't
+    count), and ArithmeticError is raised if that takes too many."""
     count = max(2, -(-rows.rows // width))
     count += count % 2
-    state, n = rows.df.select("i", "a"), rows.cols
+    n = rows.cols
+    state = cut(rows.df.select("i", "a", F.lit(0.0).alias("off")), "jacobi")
+    whole = state.agg(F.sum(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x))).first()[0] or 0.0
+    least = max(n, rows.rows) * 2.0**-53 * np.sqrt(whole)
 
     def turn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
         x = np.stack(frame["a"].to_numpy()) if len(frame) else np.zeros((0, n))
         g = x @ x.T
         size = np.sqrt(np.maximum(np.diag(g), 1e-300))
-        off = np.abs(g / size[:, None] / size[None, :] - np.diag(np.diag(g) / size**2)).max(initial=0.0)
+        real = size > least
+        close = np.abs(g / size[:, None] / size[None, :]) * real[:, None] * real[None, :]
+        np.fill_diagonal(close, 0.0)
+        off = close.max(initial=0.0)
         if off > tolerance:
-            d, v = np.linalg.eigh(g)
+            _, v = np.linalg.eigh(g)
             x = v[:, ::-1].T @ x
         return pd.DataFrame({"i": frame["i"].to_numpy(), "a": list(x), "off": np.full(len(frame), off)})
 
@@ -133,87 +147,149 @@ def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int) -> Dat
         for pairs in _rounds(count):
             partner = {b: k for k, pair in enumerate(pairs) for b in pair}
             key = F.create_map(*[F.lit(x) for kv in partner.items() for x in kv])[F.floor(F.col("i") / width).cast("int")]
-            state = cut(state.select("i", "a").groupBy(key.alias("pair")).applyInPandas(turn, "i long, a array<double>, off double"), "jacobi")
+            old, state = state, cut(state.select("i", "a").groupBy(key.alias("pair")).applyInPandas(turn, "i long, a array<double>, off double"), "jacobi")
+            spent(old)
             worst = max(worst, state.agg(F.max("off")).first()[0] or 0.0)
         if worst <= tolerance:
-            break
-    return state.select("i", "a")
+            return state.select("i", "a")
+    raise ArithmeticError(f"rows are not orthogonal after {sweeps} sweeps")
 
 
-def _jacobi_svd(a: Matrix, vectors: bool, width: int = 256, tolerance: float = 1e-13, sweeps: int = 20) -> SVD:
+def _signs(a: Matrix) -> DataFrame:
+    """(j, sign): the sign of each column's largest component, the first of equals."""
+    return a.df.groupBy("j").agg(F.when(F.max_by("v", F.struct(F.abs("v"), -F.col("i"))) < 0, -1.0).otherwise(1.0).alias("sign"))
+
+
+def _turned(a: Matrix, signs: DataFrame) -> Matrix:
+    return Matrix(a.df.join(signs, "j").select("i", "j", (F.col("v") * F.col("sign")).alias("v")), a.rows, a.cols)
+
+
+def _completed(a: Matrix, missing: list[int]) -> Matrix:
+    """Orthonormal columns with those of `missing`, which have no cells, filled up to an
+    orthonormal set: random ones less their part in the others, then QR."""
+    from .elementwise import plus
+    from .matrix import normal
+    from .products import mult
+
+    if not missing:
+        return a
+    check_shared(len(missing), len(missing))
+    have = Matrix(cut(a.df, "have"), a.rows, a.cols)
+    fill = normal(a.df.sparkSession, a.rows, len(missing), 5)
+    for _ in range(2):
+        fill = plus(1.0, fill, -1.0, mult(1.0, have, mult(1.0, have, fill, trans_a=True)))
+        fill = from_rows(qr_rows(to_rows(fill))[0])
+    to = F.array(*[F.lit(int(c)) for c in missing])[F.col("j").cast("int")].cast("long")
+    return Matrix(have.df.unionByName(fill.df.select("i", to.alias("j"), "v")), a.rows, a.cols)
+
+
+def _width(n: int) -> int:
+    """Rows of a Jacobi block: a task holds two."""
+    return min(256, max(16, -(-n // 4)))
+
+
+def _jacobi_svd(a: Matrix, vectors: bool, width: int | None = None, tolerance: float = 1e-13, sweeps: int = 60) -> SVD:
     """SVD with both sides long.  Rows of A^T (columns of A) are made orthogonal: they are
-    then s*u; the right vectors follow as A^T*u/s."""
+    then s*u; the right vectors follow as A^T*u/s.  Where s is 0 to working precision, the
+    vectors fill up the others to an orthonormal set."""
     from .products import mult
 
-    turned = _orthogonalise(to_rows(a.T), tolerance, sweeps, width)
-    sized = turned.withColumn("v", F.sqrt(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x)))
-    ranked = cut(_ranked(sized, F.col("v").desc(), a.cols), "ranked")
-    s = Vector(ranked.select(F.col("k").alias("i"), "v"), a.cols)
+    turned = _orthogonalise(to_rows(a.T), tolerance, sweeps, width or _width(a.cols))
+    sized = cut(turned.withColumn("v", F.sqrt(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x))), "sized")
+    order = cut(ranked(sized.select("i", "v"), ascending=False), "ranked")
+    s = Vector(order.select(F.col("k").alias("i"), "v"), a.cols)
     if not vectors:
         return SVD(None, s, None)
-    unit = ranked.where("v > 0").select(F.col("k").alias("j"), "v", F.posexplode("a").alias("i", "x"))
-    u = Matrix(unit.select(F.col("i").cast("long").alias("i"), "j", (F.col("x") / F.col("v")).alias("v")), a.rows, a.cols)
+    top = order.agg(F.max("v")).first()[0] or 0.0
+    real = F.col("v") > max(a.rows, a.cols) * 2.0**-52 * top
+    missing = [r["k"] for r in order.where(~real).select("k").collect()]
+    unit = sized.where(real).select("i", "v", "a").join(order.select("i", F.col("k").alias("j")), "i").select("j", "v", F.posexplode("a").alias("i", "x"))
+    u = Matrix(cut(unit.select(F.col("i").cast("long").alias("i"), "j", (F.col("x") / F.col("v")).alias("v")), "u"), a.rows, a.cols)
     raw = mult(1.0, a, u, trans_a=True)
-    cells = raw.df.join(s.df.where("v > 0").select(F.col("i").alias("j"), F.col("v").alias("s")), "j")
-    return SVD(u, s, Matrix(cells.select("i", "j", (F.col("v") / F.col("s")).alias("v")), a.cols, a.cols))
-
-
-def _ranked(frame: DataFrame, order, n: int) -> DataFrame:
-    """`frame` with its rank k; only (i, v) of the n rows is ordered in one place."""
-    from pyspark.sql import Window
-
-    keys = frame.select("i", "v").withColumn("k", (F.row_number().over(Window.orderBy(order, "i")) - 1).cast("long"))
-    return frame.join(keys.select("i", "k"), "i")
+    cells = raw.df.join(s.df.where(real).select(F.col("i").alias("j"), F.col("v").alias("s")), "j")
+    v = Matrix(cells.select("i", "j", (F.col("v") / F.col("s")).alias("v")), a.cols, a.cols)
+    u, v = _completed(u, missing), Matrix(cut(_completed(v, missing).df, "v"), a.cols, a.cols)
+    signs = _signs(v)
+    return SVD(_turned(u, signs), s, _turned(v, signs))
 
 
 def _jacobi_eigen(a: Matrix, vectors: bool) -> Eigen:
-    """The left vectors of a symmetric A are its eigenvectors (up to equal |values|);
-    a shift makes all values positive first, so that none share an absolute value."""
-    from pyspark.sql import Window
-
+    """The left vectors of a symmetric A are its eigenvectors (up to equal |values|); a shift
+    makes all values positive first, far from 0, so that none share an absolute value."""
     from .elementwise import plus
     from .matrix import identity
     from .reductions import norm
 
-    shift = float(norm(a, "inf").first()[0])
-    f = _jacobi_svd(plus(1.0, a, shift, identity(a.df.sparkSession, a.rows)), True)
-    order = Window.orderBy("v")
-    found = f.s.df.select(F.col("i").alias("old"), (F.col("v") - shift).alias("v")).withColumn("i", (F.row_number().over(order) - 1).cast("long"))
-    values = Vector(found.select("i", "v"), a.rows)
+    shift = 2 * float(norm(a, "inf").first()[0]) or 1.0
+    raised = plus(1.0, a, shift, identity(a.df.sparkSession, a.rows))
+    turned = _orthogonalise(to_rows(raised), 1e-13, 60, _width(a.rows))
+    sized = cut(turned.withColumn("v", F.sqrt(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x))), "sized")
+    order = cut(ranked(sized.select("i", "v")), "ranked")
+    values = Vector(order.select(F.col("k").alias("i"), (F.col("v") - shift).alias("v")), a.rows)
     if not vectors:
         return Eigen(values, None)
-    cells = f.u.df.join(found.select(F.col("old").alias("j"), F.col("i").alias("new")), "j")
-    return Eigen(values, Matrix(cells.select("i", F.col("new").alias("j"), "v"), a.rows, a.rows))
+    unit = sized.join(order.select("i", F.col("k").alias("j")), "i").select("j", "v", F.posexplode("a").alias("i", "x"))
+    u = Matrix(unit.select(F.col("i").cast("long").alias("i"), "j", (F.col("x") / F.col("v")).alias("v")), a.rows, a.rows)
+    return Eigen(values, _turned(u, _signs(u)))
+
+
+# Tridiagonal and bidiagonal matrices.  Their bands are vectors, which every task gets.
+
+
+def _numbers(x: Vector | list, size: int | None = None) -> np.ndarray:
+    """A vector as an array; absent elements are 0."""
+    if not isinstance(x, Vector):
+        return np.array(x, np.float64)
+    check_shared(x.size)
+    out = np.zeros(x.size)
+    got = x.df.select("i", "v").toArrow()
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out
 
 
-# Tridiagonal matrices
+def _bands(d: Vector | list, e: Vector | list) -> tuple[np.ndarray, np.ndarray]:
+    d, e = _numbers(d), _numbers(e)
+    if len(e) != max(len(d) - 1, 0):
+        raise ShapeError((len(d), len(e)))
+    return d, e
 
 
-def sturm_counts(spark, d: list[float], e: list[float], points: DataFrame) -> DataFrame:
+def _below(d: np.ndarray, e: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each x how many eigenvalues of the tridiagonal (d, e) are below it."""
+    q, count, e2 = np.ones(len(x)), np.zeros(len(x), np.int64), np.concatenate(([0.0], e * e))
+    for m in range(len(d)):
+        q = np.where(np.abs(q) < 1e-290, -1e-290, q)
+        q = d[m] - x - e2[m] / q
+        count += q < 0
+    return count
+
+
+def _counts_below(d: np.ndarray, e: np.ndarray, x: np.ndarray):
+    return zip(x.tolist(), np.where(x == np.inf, len(d), np.where(x == -np.inf, 0, _below(d, e, np.nan_to_num(x)))).tolist(), strict=True)
+
+
+def sturm_counts(spark, d: Vector | list, e: Vector | list, points: DataFrame) -> DataFrame:
     """(x, count): how many eigenvalues of the tridiagonal (d, e) are below each x of
-    `points`; the recurrence is a fold over an array, so any number of points is one
-    narrow pass."""
-    pairs = F.array(*[F.struct(F.lit(float(a)).alias("d"), F.lit(float(b) ** 2).alias("e2")) for a, b in zip(d, [0.0, *e], strict=True)])
+    `points`; any number of points is one narrow pass."""
+    diag, off = _bands(d, e)
 
-    def step(acc, p):
-        last = F.when(F.abs(acc["q"]) < 1e-290, -1e-290).otherwise(acc["q"])
-        q = p["d"] - F.col("x") - F.when(p["e2"] == 0, 0.0).otherwise(p["e2"] / last)
-        return F.struct(q.alias("q"), (acc["n"] + (q < 0).cast("int")).alias("n"))
+    def count(batches):
+        for frame in batches:
+            yield pd.DataFrame({"x": frame["x"], "count": _below(diag, off, frame["x"].to_numpy(np.float64)).astype(np.int32)})
 
-    return points.select("x", F.aggregate(pairs, F.struct(F.lit(1.0).alias("q"), F.lit(0).alias("n")), step, lambda acc: acc["n"]).alias("count"))
+    return points.select(F.col("x").cast("double").alias("x")).mapInPandas(count, "x double, count int")
 
 
-def bisect(spark, d: list[float], e: list[float], first: int = 0, last: int | None = None, steps: int = 60) -> DataFrame:
+def bisect(spark, d: Vector | list, e: Vector | list, first: int = 0, last: int | None = None, steps: int = 64) -> DataFrame:
     """(i, v): eigenvalues first <= i < last of a symmetric tridiagonal matrix, ascending.
-    Each is a row with its own interval; all are halved together, `steps` times."""
-    n = len(d)
+    Each is a row with its own interval, which is halved `steps` times."""
+    diag, off = _bands(d, e)
+    n = len(diag)
     last = n if last is None else last
-    size = [abs(x) for x in e]
-    reach = [abs(a) + b for a, b in zip([*size, 0.0], [0.0, *size], strict=True)]
-    low = min((x - r for x, r in zip(d, reach, strict=True)), default=0.0) - 1e-9
-    high = max((x + r for x, r in zip(d, reach, strict=True)), default=0.0) + 1e-9
-    e2 = np.array([0.0, *[x * x for x in e]])
-    diag = np.array(d, np.float64)
+    size = np.abs(off)
+    reach = np.concatenate((size, [0.0])) + np.concatenate(([0.0], size)) if n else np.zeros(0)
+    wide = np.abs(diag).max(initial=0.0) + reach.max(initial=0.0)
+    low, high = (diag - reach).min(initial=0.0) - 1e-12 * wide - 1e-300, (diag + reach).max(initial=0.0) + 1e-12 * wide + 1e-300
 
     def halve(batches):
         for frame in batches:
@@ -221,35 +297,191 @@ def bisect(spark, d: list[float], e: list[float], first: int = 0, last: int | No
             a, b = np.full(len(k), low), np.full(len(k), high)
             for _ in range(steps):
                 x = (a + b) / 2
-                q, count = np.ones(len(k)), np.zeros(len(k), np.int64)
-                for m in range(n):
-                    q = np.where(np.abs(q) < 1e-290, -1e-290, q)
-                    q = diag[m] - x - e2[m] / q
-                    count += q < 0
-                below = count > k
+                below = _below(diag, off, x) > k
                 b, a = np.where(below, x, b), np.where(below, a, x)
             yield pd.DataFrame({"i": k, "v": (a + b) / 2})
 
     return spark.range(first, last).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
 
 
-def secular_roots(spark, d: list[float], z: list[float], rho: float) -> DataFrame:
-    """(i, v): roots of 1 + rho*sum(z^2/(d - x)) for ascending d and rho > 0: the
-    eigenvalues of diag(d) + rho*z*z^T.  Each root is a row with its own interval."""
-    base, w = np.array(d, np.float64), np.array(z, np.float64) ** 2
-    ends = np.append(base[1:], base[-1] + rho * w.sum())
+def _band(d: Vector, e: Vector, symmetric: bool) -> Matrix:
+    up = e.df.select("i", (F.col("i") + 1).alias("j"), "v")
+    out = d.df.select("i", F.col("i").alias("j"), "v").unionByName(up)
+    return Matrix(out.unionByName(up.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")) if symmetric else out, d.size, d.size)
+
+
+def tridiagonal_eigen(d: Vector, e: Vector, vectors: bool = True) -> Eigen:
+    """Of the symmetric tridiagonal matrix (d, e): values by bisection if they are all that
+    is wanted, else both by Jacobi sweeps."""
+    if not vectors:
+        return Eigen(Vector(bisect(d.df.sparkSession, d, e), d.size), None)
+    return _jacobi_eigen(_band(d, e, True), True)
+
+
+def bidiagonal_values(d: Vector, e: Vector, steps: int = 128) -> DataFrame:
+    """(i, v): singular values of the upper bidiagonal (d, e), descending.  They are the
+    upper half of the eigenvalues of the tridiagonal matrix with a zero diagonal and
+    d0, e0, d1, e1, ... beside it, whose Sturm counts keep small ones accurate; the
+    interval is halved until it is as narrow as the value's own rounding."""
+    diag, off = _bands(d, e)
+    n = len(diag)
+    beside = np.zeros(max(2 * n - 1, 0))
+    beside[0::2], beside[1::2] = diag, off
+    zero, high = np.zeros(2 * n), 2 * np.abs(beside).max(initial=0.0)
+
+    def halve(batches):
+        for frame in batches:
+            k = frame["i"].to_numpy()
+            a, b = np.zeros(len(k)), np.full(len(k), high)
+            for _ in range(steps):
+                # By the geometric mean once the lower end is known, so that small values keep their digits.
+                x = np.where(a > 0, np.sqrt(a) * np.sqrt(b), b / 16)
+                below = _below(zero, beside, x) > 2 * n - 1 - k
+                b, a = np.where(below, x, b), np.where(below, a, x)
+            yield pd.DataFrame({"i": k, "v": np.where(a > 0, (a + b) / 2, 0.0)})
+
+    return d.df.sparkSession.range(n).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
+
+
+def bidiagonal_svd(d: Vector, e: Vector, vectors: bool = True) -> SVD:
+    """Of the upper bidiagonal matrix (d, e)."""
+    if not vectors:
+        return SVD(None, Vector(bidiagonal_values(d, e), d.size), None)
+    return _jacobi_svd(_band(d, e, False), True)
+
+
+# The secular equation: eigenvalues of diag(d) + rho*z*z^T
+
+
+@dataclass(frozen=True)
+class _Secular:
+    """d ascending, z turned so that equal d's share one; kept: places that have a root of
+    their own; turns: (p, q, c, s) done to z, in order; order: place -> index."""
+
+    d: np.ndarray
+    z: np.ndarray
+    kept: np.ndarray
+    turns: list
+    order: np.ndarray
+    rho: float
+
+
+def _secular(d: np.ndarray, z: np.ndarray, rho: float) -> _Secular:
+    """Sorts d and takes out what has no root of its own: places where z is 0 to working
+    precision, and all but one of places whose d are so close that turning one z into the
+    other changes nothing else."""
+    order = np.argsort(d, kind="stable")
+    d, z = d[order].copy(), z[order].copy()
+    n = len(d)
+    scale = max(np.abs(d).max(initial=0.0), abs(rho) * float(z @ z))
+    tiny = 8 * 2.0**-53 * scale
+    turns, last = [], None
+    kept = np.abs(rho * z) * np.sqrt(float(z @ z)) > tiny
+    for k in range(n):
+        if not kept[k]:
+            z[k] = 0.0
+            continue
+        if last is not None:
+            r = np.hypot(z[last], z[k])
+            c, s = z[k] / r, z[last] / r
+            if abs((d[k] - d[last]) * c * s) <= tiny:
+                turns.append((last, k, c, s))
+                d[last], d[k] = d[last] * c * c + d[k] * s * s, d[last] * s * s + d[k] * c * c
+                z[last], z[k], kept[last] = 0.0, r, False
+        last = k
+    return _Secular(d, z, np.flatnonzero(kept), turns, order, rho)
+
+
+def _offsets(spark, p: _Secular) -> tuple[np.ndarray, np.ndarray]:
+    """For each kept place the pole that its root is nearest to and the offset from it."""
+    base, w, rho = p.d[p.kept], p.z[p.kept] ** 2, p.rho
+    ends = np.append(base[1:], (base[-1:] + rho * w.sum()))
 
     def find(batches):
         for frame in batches:
             k = frame["i"].to_numpy()
-            # Offsets from the left pole keep the differences accurate.
-            gap = base[None, :] - base[k][:, None]
-            a, b = np.zeros(len(k)), ends[k] - base[k]
-            for _ in range(200):
-                x = (a + b) / 2
+
+            def value(pole, x):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    f = 1 + rho * np.where(w[None, :] > 0, w[None, :] / (gap - x[:, None]), 0.0).sum(axis=1)
+                    return 1 + rho * (w[None, :] / (base[None, :] - base[pole][:, None] - x[:, None])).sum(axis=1)
+
+            gap = ends[k] - base[k]
+            # The pole on whose side of the middle the root lies; the last has only its own.
+            right = (value(k, gap / 2) < 0) & (k < len(base) - 1)
+            pole = np.where(right, np.minimum(k + 1, len(base) - 1), k)
+            a, b = np.where(right, -gap / 2, 0.0), np.where(right, 0.0, np.where(k < len(base) - 1, gap / 2, gap))
+            for _ in range(160):
+                # Towards a pole by the geometric mean, so that a small offset keeps its digits.
+                near = np.where(right, -np.sqrt(np.maximum(a * np.minimum(b, -1e-300), 0.0)), np.sqrt(np.maximum(b * np.maximum(a, 1e-300), 0.0)))
+                wide = np.where(right, a < 4 * b, b > 4 * a)
+                x = np.where(wide, near, (a + b) / 2)
+                f = value(pole, x)
                 a, b = np.where(f < 0, x, a), np.where(f < 0, b, x)
-            yield pd.DataFrame({"i": k, "v": base[k] + (a + b) / 2})
+            yield pd.DataFrame({"i": k, "pole": pole, "x": (a + b) / 2})
+
+    got = spark.range(len(base)).select(F.col("id").alias("i")).mapInPandas(find, "i long, pole long, x double").toPandas().sort_values("i")
+    return got["pole"].to_numpy(np.int64), got["x"].to_numpy(np.float64)
+
+
+def rank_one_eigen(spark, d: Vector | list, z: Vector | list, rho: float, vectors: bool = True) -> Eigen:
+    """Eigenvalues, ascending, and vectors of diag(d) + rho*z*z^T for any rho.
+
+    Each root of the secular equation is a row with its own interval, found as an offset
+    from a pole.  z is then replaced by the one whose roots these are exactly, so the
+    vectors (z_k / (d_k - root)), each made in its own row, are orthogonal.
+    """
+    d, z, rho = _numbers(d), _numbers(z), float(rho)
+    check_shared(len(d), 4)
+    n, sign = len(d), 1.0
+    if rho < 0:
+        d, rho, sign = -d, -rho, -1.0
+    p = _secular(d, z, rho)
+    base = p.d[p.kept]
+    pole, x = _offsets(spark, p) if len(base) else (np.zeros(0, np.int64), np.zeros(0))
+    values = p.d.copy()
+    values[p.kept] = base[pole] + x
+    rank = np.argsort(sign * values, kind="stable")
+    out = Vector(vector_of(spark, sign * values[rank]).df, n)
+    if not vectors:
+        return Eigen(out, None)
+    own = np.full(n, -1)
+    own[p.kept] = np.arange(len(base))
 
-    return spark.range(len(d)).select(F.col("id").alias("i")).mapInPandas(find, "i long, v double")
+    def weights(batches):
+        """zhat_j^2 = prod over roots of (root - d_j) / prod over other poles of (d_i - d_j)."""
+        for frame in batches:
+            j = frame["i"].to_numpy()
+            up = np.abs(base[pole][None, :] - base[j][:, None] + x[None, :])
+            down = np.abs(base[None, :] - base[j][:, None])
+            down[np.arange(len(j)), j] = rho
+            yield pd.DataFrame({"i": j, "v": np.exp(0.5 * (np.log(up) - np.log(down)).sum(axis=1))})
+
+    zhat = np.zeros(0)
+    if len(base):
+        got = spark.range(len(base)).select(F.col("id").alias("i")).mapInPandas(weights, "i long, v double").toPandas().sort_values("i")
+        zhat = np.copysign(got["v"].to_numpy(np.float64), p.z[p.kept])
+
+    def columns(i, _):
+        a = np.zeros((len(i), n))
+        for r, place in enumerate(rank[i]):
+            k = own[place]
+            if k < 0:
+                a[r, place] = 1.0
+            else:
+                v = zhat / (base - base[pole[k]] - x[k])
+                a[r, p.kept] = v / np.linalg.norm(v)
+        for q, k, c, s in reversed(p.turns):
+            a[:, q], a[:, k] = c * a[:, q] + s * a[:, k], c * a[:, k] - s * a[:, q]
+        back = np.empty_like(a)
+        back[:, p.order] = a
+        return back
+
+    rows = map_rows(spark.range(n).select(F.col("id").alias("i"), F.array(F.lit(0.0)).alias("a")), 1, columns)
+    v = from_rows(Rows(cut(rows, "vectors"), n, n)).T
+    return Eigen(out, _turned(v, _signs(v)))
+
+
+def secular_roots(spark, d: Vector | list, z: Vector | list, rho: float) -> DataFrame:
+    """(i, v): the eigenvalues of diag(d) + rho*z*z^T, ascending: roots of
+    1 + rho*sum(z^2/(d - x)), and those d that have none of their own."""
+    return rank_one_eigen(spark, d, z, rho, vectors=False).values.df

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import compat
-from ..operators import butterfly, factor, orthogonal, small
-from ..operators.elementwise import mult_diag
-from ..operators.matrix import Matrix, Vector, column_of, make_triangular
+from ..operators import butterfly, factor, orthogonal, pivoted
+from ..operators.elementwise import mult_diag, plus
+from ..operators.matrix import Matrix, column_of, make_triangular
 from ..operators.products import mult, mult_trm, mvmult_trm
-from .tables import WIDTH, Tables, cells, entries, shown
+from .tables import WIDTH, Tables, cells, checked, entries, faults, shown, sql, where_not
 
 _G, _H, _B, _I = (cells(u, f"SELECT * FROM {u}") for u in ("g", "h", "b", "eye"))
 _E = cells("e", "SELECT * FROM e")
@@ -60,43 +60,47 @@ def _ldl(uplo: str):
     return make
 
 
-def _pivoted(how: str):
-    """The factors of h put together again and the order undone."""
+def _indefinite(t: Tables) -> Matrix:
+    """g without its diagonal: no pivot of one is possible at the start."""
+    return Matrix(t.g.df.where("i != j"), WIDTH, WIDTH)
 
-    def make(t: Tables):
-        r = small.each(small.keyed(t.h), WIDTH, WIDTH, small.SOLVERS[how])
-        low = small.part(r, "l", WIDTH, WIDTH)
-        d = small.part(r, "d", WIDTH, WIDTH)
-        left = low if how == "cholesky" else mult(1.0, low, d) if how == "bunch_kaufman" else mult_diag(low, 1.0, Vector(d.df.select("i", "v"), WIDTH), "right")
-        whole = mult(1.0, left, low, trans_b=True)
-        order = small.part(r, "order", WIDTH, 1).df.select("i", F.col("v").cast("long").alias("o"))
-        moved = whole.df.join(order, "i").select(F.col("o").alias("p"), "j", "v").join(order.select(F.col("i").alias("j"), F.col("o").alias("q")), "j")
-        return shown(Matrix(moved.select(F.col("p").alias("i"), F.col("q").alias("j"), "v"), WIDTH, WIDTH))
 
-    return make
+_M = "SELECT i, j, CASE WHEN i = j THEN 0.0 ELSE v END AS v FROM g"
 
 
-def _pivoted_solve(how: str):
-    def make(t: Tables):
-        both = t.h.df.unionByName(t.b.df.select("i", (F.col("j") + WIDTH).alias("j"), "v"))
-        x = small.part(small.solve(small.keyed(Matrix(both, WIDTH, WIDTH + 2)), WIDTH, 2, how), "x", WIDTH, 2)
-        return shown(mult(1.0, t.h, x))
+def _rebuilt(f: pivoted.Pivoted, *wrong):
+    """The matrix from its factors, with the factor's shape checked."""
+    other = F.col("i") < F.col("j") if f.uplo == "lower" else F.col("i") > F.col("j")
+    whole = pivoted.rebuilt(f)
+    return faults(shown(whole), where_not(f.factor, other), where_not(f.d, F.abs(F.col("i") - F.col("j")) > 1), *wrong)
 
-    return make
 
+def _cholesky_pivoted(t: Tables):
+    f = pivoted.cholesky(make_triangular(t.h, "lower"))
+    # The largest diagonal comes first, so L's own never rises.
+    diag = f.factor.df.where("i = j").select("i", "v")
+    rising = diag.alias("a").join(diag.alias("b"), F.expr("b.i = a.i + 1")).where("b.v > a.v * (1 + 1e-9)").agg(F.count("*").alias("n"))
+    return _rebuilt(f, rising)
 
-def _pivoted_inverse(how: str):
-    return lambda t: _eye(mult(1.0, t.h, small.part(small.inverse(small.keyed(t.h), WIDTH, how), "inverse", WIDTH, WIDTH)))
 
+def _bunch_kaufman(uplo: str):
+    def make(t: Tables):
+        f = pivoted.bunch_kaufman(make_triangular(_indefinite(t), uplo), uplo)
+        few = t.spark.range(1).select(F.lit(0 if min(f.pivots) < 0 else 1).alias("n"))  # some block of two
+        return _rebuilt(f, few)
 
-def _update(t: Tables):
-    def kernel(x):
-        import numpy as np
+    return make
 
-        return {"l": small.cholesky_update(np.linalg.cholesky(x), np.arange(1.0, len(x) + 1))}
 
-    low = small.part(small.each(small.keyed(t.h), WIDTH, WIDTH, kernel), "l", WIDTH, WIDTH)
-    return shown(mult(1.0, low, low, trans_b=True))
+def _update(sign: float):
+    """h + w*w^T, or h + w*w^T - w*w^T = h by a downdate of its factor."""
+
+    def make(t: Tables):
+        low = pivoted.cholesky_update(factor.cholesky(t.h), t.w)
+        low = pivoted.cholesky_update(low, t.w, sign=-1.0) if sign < 0 else low
+        return faults(shown(mult(1.0, low, low, trans_b=True)), where_not(low, F.col("i") < F.col("j")))
+
+    return make
 
 
 def _operand(t: Tables, form: str):
@@ -116,17 +120,27 @@ def _orthonormal(form: str):
 
 
 def _mult_q(form: str):
-    """Q^T*(Q*R) = R, whose R^T*R is g; likewise for the other forms."""
+    """Q^T*A is the triangle of which there is only one with a positive diagonal and the
+    Gram matrix g; likewise for the other forms."""
 
     def make(t: Tables):
         a = t.e if form in ("qr", "ql") else t.e.T
         f = orthogonal.FORMS[form](a)
         r = orthogonal.mult_q(f, a, trans=True) if form in ("qr", "ql") else orthogonal.mult_q(f, a, side="right", trans=True)
-        return shown(mult(1.0, r, r, trans_a=True) if form in ("qr", "ql") else mult(1.0, r, r, trans_b=True))
+        whole = mult(1.0, r, r, trans_a=True) if form in ("qr", "ql") else mult(1.0, r, r, trans_b=True)
+        other = F.col("i") > F.col("j") if form in ("qr", "rq") else F.col("i") < F.col("j")
+        return faults(shown(whole), where_not(Matrix(r.df.where(F.abs("v") > 1e-7), r.rows, r.cols), other), where_not(r, (F.col("i") == F.col("j")) & (F.col("v") < 0)))
 
     return make
 
 
+def _min_norm(x: Matrix, a: Matrix, t: Tables):
+    """A*X, and whether X is the smallest: A^T*y with A*A^T*y = B, found by Cholesky."""
+    y = factor.cholesky_solve(factor.cholesky(mult(1.0, a, a, trans_b=True)), t.b)
+    apart = plus(1.0, x, -1.0, mult(1.0, a, y, trans_a=True)).df.where(F.abs("v") > 1e-8).agg(F.count("*").alias("n"))
+    return faults(shown(mult(1.0, a, x)), apart)
+
+
 def _least_squares(t: Tables):
     """e^T*(e*X) for the X nearest to the labels: e^T*x."""
     x = orthogonal.least_squares(t.e_rows, Matrix(t.x.df.select("i", F.lit(0).cast("long").alias("j"), "v"), t.n, 1))
@@ -134,9 +148,9 @@ def _least_squares(t: Tables):
 
 
 def _house(t: Tables):
-    """All but the first column's rest, which the reflector makes 0."""
+    """The first column of H*h: its norm with the other sign, and nothing below."""
     v, tau, _ = orthogonal.reflector(column_of(t.h, 0))
-    return _eye(Matrix(orthogonal.apply_reflector(t.h, v, tau).df.where("j = 0 and i > 0"), WIDTH, WIDTH))
+    return _eye(Matrix(orthogonal.apply_reflector(t.h, v, tau).df.where("j = 0"), WIDTH, WIDTH))
 
 
 def _house_gram(t: Tables, many: bool = False):
@@ -158,23 +172,34 @@ def _hyperbolic(t: Tables):
 _HH = cells("h", "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM h a JOIN h b ON a.j = b.i GROUP BY 1, 2")
 
 
-def _butterfly(t: Tables):
-    """U*(V*h) solved back: (U^T*h*V) keeps (U*x)-products; shown is U*h beside its definition."""
-    d = butterfly.generate(t.spark, WIDTH, 2, 3)
-    u = butterfly.apply(t.eye, d, 2)
-    return _eye(Matrix(mult(1.0, u, t.h).df.unionByName(butterfly.apply(t.h, d, 2).with_values(-F.col("v")).df).groupBy("i", "j").agg(F.sum("v").alias("v")), WIDTH, WIDTH))
+def _diagonals(t: Tables, scale: float):
+    """Given diagonals for two levels, which SQL can make as well."""
+    pairs = t.spark.range(2 * WIDTH).select((F.col("id") % 2).cast("int").alias("level"), F.floor(F.col("id") / 2).cast("long").alias("i"))
+    return pairs.select("level", "i", (1 + (F.col("i") + F.col("level")) / scale).alias("r"))
+
 
+def _butterfly_sql(source: str, trans: bool, scale: int, name: str) -> str:
+    """Tables name0, name1: the levels done one after another to the table `source`."""
+    out = []
+    for step, level in enumerate((0, 1) if trans else (1, 0)):
+        half = 32 >> level
+        r = "(1 + ({0}.i + " + f"{level}) / {scale}.0)"
+        before, after = ("", f" * {r.format('a')}") if trans else (f" * {r.format('x')}", "")
+        low = f"((a.i // {half}) % 2 = 0)"
+        own, other = f"x.v{before}", f"y.v{before.replace('x.i', 'y.i')}"
+        out.append(
+            f"{name}{step} AS (SELECT a.i, x.j, (CASE WHEN {low} THEN {own} + {other} ELSE {other} - {own} END) / sqrt(2.0){after} AS v FROM range(64) q(r) "
+            f"JOIN (SELECT CAST(r AS BIGINT) AS i FROM range(64) z(r)) a ON a.i = q.r JOIN {source} x ON x.i = a.i JOIN {source} y ON y.j = x.j AND y.i = CASE WHEN {low} THEN a.i + {half} ELSE a.i - {half} END)"
+        )
+        source = f"{name}{step}"
+    return ", " + ", ".join(out)
 
-def _butterfly2(t: Tables):
-    """U^T*h*V less the product of the parts: nothing."""
-    d, e = butterfly.generate(t.spark, WIDTH, 2, 3), butterfly.generate(t.spark, WIDTH, 2, 4)
-    u, v = butterfly.apply(t.eye, d, 2), butterfly.apply(t.eye, e, 2)
-    plain = mult(1.0, mult(1.0, u, t.h, trans_a=True), v)
-    made = butterfly.two_sided(t.h, d, e, 2)
-    return _eye(Matrix(plain.df.unionByName(made.with_values(-F.col("v")).df).groupBy("i", "j").agg(F.sum("v").alias("v")), WIDTH, WIDTH))
 
+_BUTTERFLY = sql("h", _butterfly_sql("h", False, 100, "u") + " SELECT i, j, round(v, 6) + 0.0 AS v FROM u1")
+_BUTTERFLY2 = sql(
+    "h", _butterfly_sql("h", True, 100, "u") + ", t AS (SELECT j AS i, i AS j, v FROM u1)" + _butterfly_sql("t", True, 50, "w") + " SELECT j AS i, i AS j, round(v, 6) + 0.0 AS v FROM w1"
+)
 
-_NOTHING = "SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS v WHERE false"
 
 QUERIES = {
     "lu": (_lu, _H),
@@ -187,18 +212,20 @@ QUERIES = {
     "cholesky_upper": (_cholesky("upper"), _H),
     "cholesky_solve": (lambda t: shown(mult(1.0, t.h, factor.cholesky_solve(factor.cholesky(t.h), t.b))), _B),
     "cholesky_inverse": (lambda t: _eye(mult(1.0, t.h, factor.cholesky_inverse(factor.cholesky(t.h)))), _I),
-    "cholesky_pivoted": (_pivoted("cholesky"), _H),
-    "cholesky_pivoted_solve": (_pivoted_solve("cholesky"), _B),
-    "cholesky_update": (_update, cells("h w", "SELECT h.i, h.j, h.v + a.v * b.v AS v FROM h JOIN w a ON a.i = h.i JOIN w b ON b.i = h.j")),
+    "cholesky_pivoted": (_cholesky_pivoted, checked("h", "SELECT * FROM h")),
+    "cholesky_pivoted_solve": (lambda t: shown(mult(1.0, t.h, pivoted.solve(pivoted.cholesky(t.h), t.b))), _B),
+    "cholesky_update": (_update(1.0), checked("h w", "SELECT h.i, h.j, h.v + a.v * b.v AS v FROM h JOIN w a ON a.i = h.i JOIN w b ON b.i = h.j")),
+    "cholesky_downdate": (_update(-1.0), checked("h", "SELECT * FROM h")),
     "ldl_lower": (_ldl("lower"), _H),
     "ldl_upper": (_ldl("upper"), _H),
     "ldl_solve": (lambda t: shown(mult(1.0, t.h, factor.ldl_solve(factor.ldl(t.h), t.b))), _B),
     "ldl_inverse": (lambda t: _eye(mult(1.0, t.h, factor.ldl_inverse(factor.ldl(t.h, "upper")))), _I),
-    "ldl_pivoted": (_pivoted("ldl"), _H),
-    "ldl_pivoted_solve": (_pivoted_solve("ldl"), _B),
-    "ldl_pivoted_inverse": (_pivoted_inverse("ldl"), _I),
-    "bunch_kaufman": (_pivoted("bunch_kaufman"), _H),
-    "bunch_kaufman_solve": (_pivoted_solve("bunch_kaufman"), _B),
+    "ldl_pivoted": (lambda t: _rebuilt(pivoted.ldl(make_triangular(t.h, "lower"))), checked("h", "SELECT * FROM h")),
+    "ldl_pivoted_solve": (lambda t: shown(mult(1.0, t.h, pivoted.solve(pivoted.ldl(t.h), t.b))), _B),
+    "ldl_pivoted_inverse": (lambda t: _eye(mult(1.0, t.h, pivoted.inverse(pivoted.ldl(t.h)))), _I),
+    "bunch_kaufman": (_bunch_kaufman("lower"), checked("g", _M)),
+    "bunch_kaufman_upper": (_bunch_kaufman("upper"), checked("g", _M)),
+    "bunch_kaufman_solve": (lambda t: shown(mult(1.0, _indefinite(t), pivoted.solve(pivoted.bunch_kaufman(_indefinite(t)), t.b))), _B),
     "triangular_inverse": (lambda t: _eye(mult_trm(1.0, t.h, factor.triangular_inverse(t.h))), _I),
     "solve_trm_left": (lambda t: shown(mult_trm(0.5, t.h, factor.solve_triangular(t.h, t.b, 2.0))), _B),
     "solve_trm_right_trans": (
@@ -214,14 +241,14 @@ QUERIES = {
     "lq_build": (_orthonormal("lq"), _I),
     "ql_build": (_orthonormal("ql"), _I),
     "rq_build": (_orthonormal("rq"), _I),
-    "qr_mult": (_mult_q("qr"), _G),
-    "lq_mult": (_mult_q("lq"), _G),
-    "ql_mult": (_mult_q("ql"), _G),
-    "rq_mult": (_mult_q("rq"), _G),
+    "qr_mult": (_mult_q("qr"), checked("g", "SELECT * FROM g")),
+    "lq_mult": (_mult_q("lq"), checked("g", "SELECT * FROM g")),
+    "ql_mult": (_mult_q("ql"), checked("g", "SELECT * FROM g")),
+    "rq_mult": (_mult_q("rq"), checked("g", "SELECT * FROM g")),
     "qr_solve": (_least_squares, cells("e x", "SELECT e.j AS i, CAST(0 AS BIGINT) AS j, sum(e.v * x.v) AS v FROM e JOIN x ON e.i = x.i GROUP BY 1")),
-    "qr_solve_min_norm": (lambda t: shown(mult(1.0, t.e, orthogonal.least_squares(t.e_rows, t.b, trans=True), trans_a=True)), _B),
-    "lq_solve": (lambda t: shown(mult(1.0, t.e.T, orthogonal.min_norm(t.e.T, t.b))), _B),
-    "house": (_house, _NOTHING),
+    "qr_solve_min_norm": (lambda t: _min_norm(orthogonal.least_squares(t.e_rows, t.b, trans=True), t.e.T, t), checked("b", "SELECT * FROM b")),
+    "lq_solve": (lambda t: _min_norm(orthogonal.min_norm(t.e.T, t.b), t.e.T, t), checked("b", "SELECT * FROM b")),
+    "house": (_house, cells("h", "SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, -sqrt(sum(v * v)) AS v FROM h WHERE j = 0")),
     "house_apply": (_house_gram, _HH),
     "house_mult": (lambda t: _house_gram(t, True), _HH),
     "hyperbolic_apply": (_hyperbolic, cells("h", "SELECT a.i, b.j, sum(a.v * CASE WHEN a.j < 63 THEN b.v ELSE -b.v END) AS v FROM h a JOIN h b ON a.j = b.i GROUP BY 1, 2")),
@@ -233,6 +260,6 @@ QUERIES = {
     "compat_trsm": (lambda t: shown(compat.trmm("L", "U", "N", "N", 1.0, t.h, compat.trsm("L", "U", "N", "N", 1.0, t.h, t.b))), _B),
     "compat_posv": (lambda t: shown(compat.symm("L", "L", 1.0, t.h, compat.posv("L", t.h, t.b))), _B),
     "compat_getrs": (lambda t: shown(compat.gemm("T", "N", 1.0, t.h, compat.getrs("T", compat.getrf(t.h), t.b))), _B),
-    "butterfly": (_butterfly, _NOTHING),
-    "butterfly_two_sided": (_butterfly2, _NOTHING),
+    "butterfly": (lambda t: shown(butterfly.apply(t.h, _diagonals(t, 100.0), 2)), _BUTTERFLY),
+    "butterfly_two_sided": (lambda t: shown(butterfly.two_sided(t.h, _diagonals(t, 100.0), _diagonals(t, 50.0), 2)), _BUTTERFLY2),
 }

@@ -116,3 +116,52 @@ def shown(a: Matrix | Vector) -> DataFrame:
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select((F.round("value", digits) + 0.0).alias("value"))
+
+
+# Checks of more than one product
+
+
+def faults(frame: DataFrame, *counts: DataFrame) -> DataFrame:
+    """`frame` (i, j, v) and one more row (-1, -1, the sum of the counts): what must be 0 if
+    the factors have the shape that they claim."""
+    every = counts[0].select("n")
+    for c in counts[1:]:
+        every = every.unionByName(c.select("n"))
+    one = every.agg(F.sum("n").cast("double").alias("v")).select(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), "v")
+    return frame.unionByName(one)
+
+
+def checked(uses: str, body: str) -> str:
+    """cells, and the row that `faults` adds."""
+    return cells(uses, f"{body} UNION ALL SELECT -1 AS i, -1 AS j, 0.0 AS v")
+
+
+def where_not(a: Matrix, wrong) -> DataFrame:
+    """How many cells are not 0 where `wrong` holds."""
+    return a.df.where(wrong).where(F.abs("v") > 1e-9).agg(F.count("*").alias("n"))
+
+
+def not_orthonormal(q: Matrix, rows: bool = False) -> DataFrame:
+    """How many cells of Q^T*Q (of Q*Q^T) are not those of the identity."""
+    from ..operators.products import mult
+
+    g, n = mult(1.0, q, q, trans_a=not rows, trans_b=rows), q.rows if rows else q.cols
+    right = F.sum(F.when((F.col("i") == F.col("j")) & (F.abs(F.col("v") - 1) <= 1e-8), 1).otherwise(0))
+    wrong = F.sum(F.when((F.col("i") != F.col("j")) & (F.abs("v") > 1e-8), 1).otherwise(0))
+    return g.df.agg((F.coalesce(wrong, F.lit(0)) + n - F.coalesce(right, F.lit(0))).alias("n"))
+
+
+def power_means(values: DataFrame, n: int, square: bool = False) -> DataFrame:
+    """(k, v) for k = 1..4: the k-th root of the mean of v^k (of v^2k), which together tell
+    a set of values from others."""
+    x = F.col("v") * F.col("v") if square else F.col("v")
+    sums = values.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), x.alias("x")).groupBy("k").agg(F.sum(F.pow("x", "k")).alias("s"))
+    root = F.signum("s") * F.pow(F.abs("s") / n, 1.0 / F.col("k"))
+    return sums.select(F.col("k").cast("long").alias("k"), (F.round(root, 5) + 0.0).alias("v"))
+
+
+def power_means_sql(uses: str, body: str, n: int) -> str:
+    """The same of the eigenvalues of the matrix that `body` gives: traces of its powers."""
+    trace = "SELECT {k} AS k, sum(a.v * b.v) AS s FROM {x} a JOIN {y} b ON a.i = b.j AND a.j = b.i"
+    traces = " UNION ALL ".join(["SELECT 1 AS k, sum(v) AS s FROM m WHERE i = j", *(trace.format(k=k, x=x, y=y) for k, x, y in ((2, "m", "m"), (3, "p", "m"), (4, "p", "p")))])
+    return sql(uses, f", m AS ({body}), p AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY 1, 2), t AS ({traces}) SELECT CAST(k AS BIGINT) AS k, round(sign(s) * pow(abs(s) / {n}, 1.0 / k), 5) + 0.0 AS v FROM t")
