@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import cut
 from .elementwise import solve_diag
 from .matrix import Matrix, ShapeError, Vector, as_column, diagonal, identity, make_triangular, mirrored
-from .rows import PANEL, Rows, eliminate, from_rows, solve_rows, to_rows
+from .rows import NARROW_BYTES, PANEL, Rows, eliminate, from_rows, matrix_of, solve_narrow, solve_rows, to_rows
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,7 @@ class LU:
     packed: Matrix
     moves: DataFrame
     singular: bool
+    rows: Rows | None = None  # packed, in row layout
 
     @property
     def order(self) -> list[int]:
@@ -58,7 +61,7 @@ def relabel(a: Matrix, moves: DataFrame, inverse: bool = False) -> Matrix:
 def lu(a: Matrix, pivot: bool = True, panel: int = PANEL) -> LU:
     """Factorises an m x n matrix; with pivot=False rows stay in place."""
     packed, moves, singular = eliminate(to_rows(a), "partial" if pivot else "none", panel)
-    return LU(from_rows(packed), moves, singular)
+    return LU(from_rows(packed), moves, singular, packed)
 
 
 def solve_triangular(a: Matrix, b: Matrix, alpha: float = 1.0, uplo: str = "lower", side: str = "left", trans: bool = False, unit: bool = False, panel: int = PANEL) -> Matrix:
@@ -67,12 +70,26 @@ def solve_triangular(a: Matrix, b: Matrix, alpha: float = 1.0, uplo: str = "lowe
         return solve_triangular(a, b.T, alpha, uplo, "left", not trans, unit, panel).T
     if a.rows != a.cols or b.rows != a.rows:
         raise ShapeError((a.rows, a.cols, b.rows, b.cols))
+    if _narrow(b):
+        return matrix_of(a.df.sparkSession, alpha * solve_narrow(to_rows(a), _dense(b), uplo == "lower", unit, trans, panel))
     half = a.where(F.col("i") >= F.col("j")) if uplo == "lower" else a.where(F.col("i") <= F.col("j"))
     half = half.T if trans else half
     out = from_rows(solve_rows(to_rows(half), to_rows(b), (uplo == "lower") != trans, unit, panel))
     return out.with_values(alpha * F.col("v")) if alpha != 1 else out
 
 
+def _narrow(b: Matrix) -> bool:
+    return 8 * b.rows * b.cols <= NARROW_BYTES
+
+
+def _dense(b: Matrix) -> np.ndarray:
+    """A narrow right-hand side as an array."""
+    out = np.zeros((b.rows, b.cols))
+    cells = b.df.select("i", "j", "v").toArrow()
+    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
+    return out
+
+
 def mvsolve_trm(alpha: float, a: Matrix, x: Vector, uplo: str = "lower", trans: bool = False, unit: bool = False) -> Vector:
     """alpha*op(A)^-1*x."""
     out = solve_triangular(a, as_column(x), alpha, uplo, "left", trans, unit)
@@ -81,6 +98,13 @@ def mvsolve_trm(alpha: float, a: Matrix, x: Vector, uplo: str = "lower", trans:
 
 def lu_solve(f: LU, b: Matrix, trans: bool = False) -> Matrix:
     """X with A*X = B, or A^T*X = B (U^T, then L^T, then the rows put back)."""
+    spark = f.packed.df.sparkSession
+    if f.rows is not None and _narrow(b):
+        if trans:
+            y = solve_narrow(f.rows, _dense(b), False, trans=True)
+            return relabel(matrix_of(spark, solve_narrow(f.rows, y, True, unit=True, trans=True)), f.moves, inverse=True)
+        y = solve_narrow(f.rows, _dense(relabel(b, f.moves)), True, unit=True)
+        return matrix_of(spark, solve_narrow(f.rows, y, False))
     if trans:
         y = solve_triangular(f.packed, b, uplo="upper", trans=True)
         return relabel(solve_triangular(f.packed, y, uplo="lower", trans=True, unit=True), f.moves, inverse=True)
@@ -101,6 +125,11 @@ def cholesky(a: Matrix, uplo: str = "lower", panel: int = PANEL) -> Matrix:
 
 
 def cholesky_solve(factor: Matrix, b: Matrix, uplo: str = "lower") -> Matrix:
+    if _narrow(b):
+        rows = to_rows(factor)
+        rows = Rows(cut(rows.df, "factor"), rows.rows, rows.cols)
+        y = solve_narrow(rows, _dense(b), uplo == "lower", trans=uplo == "upper")
+        return matrix_of(factor.df.sparkSession, solve_narrow(rows, y, uplo == "lower", trans=uplo == "lower"))
     y = solve_triangular(factor, b, uplo=uplo, trans=uplo == "upper")
     return solve_triangular(factor, y, uplo=uplo, trans=uplo == "lower")
 

@@ -54,22 +54,22 @@ def from_arrays(table: DataFrame, i: str, values: str, rows: int, cols: int) ->
 
 
 def to_rows(a: Matrix | Rows) -> Rows:
-    """One shuffle by row; rows without cells become zero rows."""
+    """One shuffle by row; rows without cells become zero rows, a null value is 0."""
     if isinstance(a, Rows):
         return a
     width = a.cols
     every = a.df.sparkSession.range(a.rows).select(F.col("id").alias("i"))
-    cells = a.df.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("v").alias("v"))
+    cells = a.df.groupBy("i").agg(F.collect_list(F.struct("j", F.coalesce("v", F.lit(0.0)).alias("v"))).alias("c"))
 
     def run(batches):
         for batch in batches:
             out = np.zeros((batch.num_rows, width))
-            j, v = batch.column("j"), batch.column("v")
-            sizes = np.diff(j.offsets.to_numpy()) if len(j) else np.zeros(0, np.int64)
-            out[np.repeat(np.arange(batch.num_rows), sizes), j.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
+            cells_ = batch.column("c")
+            sizes, flat = cells_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), cells_.flatten()
+            out[np.repeat(np.arange(batch.num_rows), sizes), flat.field("j").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
             yield pa.record_batch([batch.column("i"), arrays(out)], names=["i", "a"])
 
-    filled = every.join(cells, "i", "left").select("i", F.coalesce("j", F.array().cast("array<bigint>")).alias("j"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+    filled = every.join(cells, "i", "left").select("i", "c")
     return Rows(filled.mapInArrow(run, "i long, a array<double>"), a.rows, a.cols)
 
 
@@ -103,10 +103,14 @@ def times_small(rows: Rows, b: np.ndarray) -> Rows:
 
 
 def levels(frame: DataFrame, ways: int) -> list[int]:
-    """Widths of the levels of a tree over a frame's tasks, down to `ways`: one more level
-    where the session is set to many partitions."""
-    wide = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) > ways * ways
-    return [ways * ways, ways] if wide else [ways]
+    """Widths of the levels of a tree over a frame's tasks, down to `ways`, each at most
+    `ways` times narrower than the one before.  The session's partitions stand for the number
+    of tasks, which is not known before a plan runs."""
+    width, out = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    while width > ways:
+        width = max(ways, -(-width // ways))
+        out.append(width)
+    return out or [ways]
 
 
 def reduce_tree(frame: DataFrame, width: int, start: Callable, merge: Callable, shape: tuple[int, int], ways: int = 8) -> np.ndarray:
@@ -244,11 +248,11 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
     m, n = rows.rows, rows.cols
     # Written first: every step reads it more than once.
     state, singular = cut(rows.df.select("i", F.lit(None).cast("long").alias("k"), "a"), "rows"), False
+    done = []  # pivot rows are left in the table of their panel and not written again
     for left in range(0, min(m, n), panel):
         right = min(left + panel, m, n)
-        active = state.where("k is null")
-        picked = tournament(active, left, right, n) if pivot == "partial" else list(range(left, right))
-        names, x = collect_small(active.where(F.col("i").isin(picked)), n, len(picked))
+        picked = tournament(state, left, right, n) if pivot == "partial" else list(range(left, right))
+        names, x = collect_small(state.where(F.col("i").isin(picked)), n, len(picked))
         x = x[[int(np.flatnonzero(names == p)[0]) for p in picked]]
         if pivot == "cholesky":
             try:
@@ -262,13 +266,17 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
             singular |= bool((np.diag(upper) == 0).any())
             top = solve_small(upper, x[:, right:], True, True)
             x[:, left:right], x[:, right:] = upper, top
-        state = cut(state.mapInArrow(_step(picked, x, upper, top, left, right, n), "i long, k long, a array<double>"), "panel")
+        table = cut(state.mapInArrow(_step(picked, x, upper, top, left, right, n), "i long, k long, a array<double>"), "panel")
+        done.append(table.where("k is not null"))
+        state = table.where("k is null")
+    for part in done:
+        state = state.unionByName(part)
     if m > n and pivot == "partial":
         from .matrix import Vector
         from .sorting import sort_vector
 
         # The rows that were no pivots follow in their order.
-        rest = sort_vector(Vector(state.where("k is null").select("i", F.col("i").cast("double").alias("v")), m)).df
+        rest = sort_vector(Vector(table.where("k is null").select("i", F.col("i").cast("double").alias("v")), m)).df
         moves = state.where("k is not null").select("i", "k").unionByName(rest.select(F.col("v").cast("long").alias("i"), (F.col("i") + n).alias("k")))
         state = state.drop("k").join(cut(moves, "moves"), "i")
     else:
@@ -300,6 +308,57 @@ def _step(picked: list[int], x: np.ndarray, upper: np.ndarray, top: np.ndarray,
     return run
 
 
+#: Most bytes of right-hand sides that are solved together on the driver's side.
+NARROW_BYTES = 32 << 20
+
+
+def solve_narrow(t: Rows, b: np.ndarray, lower: bool, unit: bool = False, trans: bool = False, panel: int = PANEL) -> np.ndarray:
+    """op(T)^-1 * B for a triangle of T and a narrow B.  T stays where it is and is not
+    written again: for each panel, tasks multiply their rows with what is solved already,
+    and only the panel's corner and these sums are gathered.  The other triangle is not used,
+    so packed factors will do."""
+    n, k = b.shape
+    x = b.astype(np.float64, copy=True)
+    starts = list(range(0, n, panel))
+    table = t.df.select("i", "a")
+    if len(starts) > 1:
+        # Sorted once, so that a panel's rows are found by the files' own statistics.
+        table = cut(table.repartitionByRange("i").sortWithinPartitions("i"), "triangle")
+    forward = lower != trans
+    for left in starts if forward else reversed(starts):
+        right = min(left + panel, n)
+        known = slice(0, left) if forward else slice(right, n)
+
+        def sums(batches, left=left, right=right, known=known):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                i, a = batch.column("i").to_numpy(), block(batch, "a", n)
+                own = (i >= left) & (i < right)
+                if trans:
+                    rest = (i >= known.start) & (i < known.stop)
+                    if rest.any():
+                        yield pa.record_batch([pa.array([-1]), arrays((a[rest, left:right].T @ x[i[rest]]).reshape(1, -1))], names=["i", "a"])
+                    if own.any():
+                        yield pa.record_batch([pa.array(i[own]), arrays(a[own, left:right])], names=["i", "a"])
+                elif own.any():
+                    yield pa.record_batch([pa.array(i[own]), arrays(np.hstack((a[own, left:right], a[own][:, known] @ x[known])))], names=["i", "a"])
+
+        part = table if trans else table.where(F.col("i").between(left, right - 1))
+        if trans:
+            part = table.where(F.col("i") >= left) if lower else table.where(F.col("i") < right)
+        corner, off = np.zeros((right - left, right - left)), np.zeros((right - left, k))
+        for r in part.mapInArrow(sums, "i long, a array<double>").collect():
+            if r["i"] < 0:
+                off += np.array(r["a"]).reshape(right - left, k)
+            else:
+                corner[r["i"] - left] = r["a"][: right - left]
+                if not trans:
+                    off[r["i"] - left] = r["a"][right - left :]
+        x[left:right] = solve_small(corner.T if trans else corner, x[left:right] - off, forward, unit)
+    return x
+
+
 def solve_rows(t: Rows, b: Rows, lower: bool, unit: bool = False, panel: int = PANEL) -> Rows:
     """T^-1 * B for a triangle: each step solves one panel of rows and takes it off the
     right-hand sides of the rows that come after."""

@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut
+from .applied import Triangle, fits, gathered, table
 from .elementwise import mult_diag, plus
-from .matrix import Matrix, ShapeError, Vector, identity
+from .matrix import Matrix, ShapeError, Vector, column_of, identity, row_of
 from .products import mult, mvmult, triangular
 
 
@@ -25,6 +27,26 @@ from .products import mult, mvmult, triangular
 TOGETHER = 4
 
 
+def at(a: Matrix, p: int, by: str = "row") -> DataFrame:
+    """(i, j, v): the p-th stored cell in the order of the compressed form.  Counts of the
+    major indices find the one that holds it, so only its cells are ordered."""
+    major, minor = ("i", "j") if by == "row" else ("j", "i")
+    places = pointers(a if by == "row" else a.T).where((F.col("start") <= p) & (F.col("start") + F.col("size") > p)).select(F.col("k").alias(major), "start")
+    own = a.df.join(places, major)
+    order = Window.partitionBy(major).orderBy(minor)
+    return own.withColumn("n", F.row_number().over(order) - 1 + F.col("start")).where(F.col("n") == p).select("i", "j", "v")
+
+
+def stored(a: Matrix, row: int, col: int) -> DataFrame:
+    """One row (value): whether the cell is stored, even if as 0."""
+    return a.df.where((F.col("i") == row) & (F.col("j") == col)).agg((F.count("*") > 0).alias("value"))
+
+
+def vector(a: Matrix, k: int, by: str = "row") -> Vector:
+    """The k-th row (column) as a sparse vector of its stored cells."""
+    return row_of(a, k) if by == "row" else column_of(a, k)
+
+
 def compress(a: Matrix, by: str = "row") -> DataFrame:
     """(k, cells): array of (index, v) by index, for each row (CSR) or column (CSC) that
     has cells."""
@@ -103,19 +125,23 @@ scale_by = mult_diag
 spmv = mvmult
 
 
-def solve_triangular(a: Matrix, b: Vector, alpha: float = 1.0, uplo: str = "lower", trans: bool = False, unit: bool = False, most: int | None = None) -> Vector:
-    """alpha*op(A)^-1*b for a sparse triangle: x <- D^-1*(alpha*b - N*x) until nothing changes."""
+def solve_triangular(a: Matrix, b: Vector, alpha: float = 1.0, uplo: str = "lower", trans: bool = False, unit: bool = False) -> Vector:
+    """alpha*op(A)^-1*b for a sparse triangle.  Up to `applied.SHARED_VECTOR` unknowns blocks
+    of rows are substituted in tasks; beyond, x <- D^-1*(alpha*b - N*x) is swept over tables.
+    Either way until nothing changes."""
     if a.rows != a.cols or b.size != a.rows:
         raise ShapeError((a.rows, a.cols, b.size))
     half = triangular(a, uplo, unit)
     half = half.T if trans else half
     n = a.rows
+    if fits(n):
+        return table(a.df.sparkSession, alpha * Triangle(half, (uplo == "lower") != trans, unit)(gathered(b)))
     d = half.df.where("i = j").select("i", F.col("v").alias("d"))
     off = cut(half.df.where("i != j").select("i", "j", "v"), "off")
     right = a.df.sparkSession.range(n).select(F.col("id").alias("i")).join(b.df, "i", "left").join(d, "i").select("i", (alpha * F.coalesce("v", F.lit(0.0))).alias("b"), "d")
     right = cut(right, "right")
     x = right.select("i", (F.col("b") / F.col("d")).alias("x"))
-    for _ in range(0, most or n, TOGETHER):
+    for _ in range(0, n, TOGETHER):
         old = x
         for _ in range(TOGETHER):
             moved = off.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
@@ -137,13 +163,18 @@ def solve_matrix(a: Matrix, b: Matrix, uplo: str = "lower", trans: bool = False,
 
 @dataclass(frozen=True)
 class Preconditioner:
-    """apply(x) is M^-1*x."""
+    """apply(x) is M^-1*x; array() gives the same on arrays, with its tables made once."""
 
     lower: Matrix
     upper: Matrix
     unit: bool
     apply: Callable[[Vector], Vector]
 
+    def array(self) -> Callable[[np.ndarray], np.ndarray]:
+        first = Triangle(triangular(self.lower, "lower", self.unit), True, self.unit)
+        second = Triangle(triangular(self.upper, "upper", False), False, False)
+        return lambda x: second(first(x))
+
 
 def _sweep(a: Matrix, limit: int | None, tolerance: float) -> Matrix:
     """ILU(0) by fixed-point sweeps on A's pattern: below the diagonal
@@ -201,4 +232,5 @@ def ic0(a: Matrix, uplo: str = "lower", sweeps: int | None = None, tolerance: fl
 def ic_preconditioner(a: Matrix, uplo: str = "lower") -> Preconditioner:
     f = ic0(a, uplo)
     first, second = (False, True) if uplo == "lower" else (True, False)
-    return Preconditioner(f, f.T, False, lambda x: solve_triangular(f, solve_triangular(f, x, 1.0, uplo, trans=first), 1.0, uplo, trans=second))
+    low, high = (f, f.T) if uplo == "lower" else (f.T, f)
+    return Preconditioner(low, high, False, lambda x: solve_triangular(f, solve_triangular(f, x, 1.0, uplo, trans=first), 1.0, uplo, trans=second))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import iterative, sparse
-from ..operators.matrix import Matrix, Vector, from_table, vector_from
-from ..operators.products import mvmult
+from ..operators.matrix import Matrix, Vector, append, from_table, vector_from
+from ..operators.products import mvmult, mvmult_sym, mvmult_trm
 from .tables import Tables, shown, sql
 
 #: Users by day of the month: the number of their events.
@@ -55,6 +56,28 @@ def _back(t: Tables, solve):
     return mvmult(1.0, a, x).df.select("i", (F.round("v", 4) + 0.0).alias("v"))
 
 
+def _orders_ring(t: Tables) -> tuple[Matrix, Vector]:
+    """The same on a ring of all orders, and a right-hand side."""
+    orders = t.table("orders").select(F.col("o_orderkey").cast("long").alias("i"))
+    n = t.size("orders", "o_orderkey")
+    ring = orders.select("i", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    cells_ = ring.select("i", F.pmod(F.col("i") + F.col("d"), F.lit(n)).alias("j"), F.when(F.col("d") == 0, 6.0 + F.col("i") % 3).otherwise(-1.0).alias("v"))
+    return Matrix(cells_, n, n), vector_from(orders, "i", F.col("i") % 7 + 1.0, n)
+
+
+_ORDERS = "SELECT CAST(o_orderkey AS BIGINT) AS i, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS v FROM orders"
+
+
+def _orders_back(solve, triangle: bool = False):
+    def make(t: Tables):
+        a, b = _orders_ring(t)
+        x = solve(a, b)
+        a = a.where(F.col("i") >= F.col("j")) if triangle else a
+        return mvmult(1.0, a, x).df.select("i", (F.round("v", 4) + 0.0).alias("v"))
+
+    return make
+
+
 def _ic(t: Tables):
     """L*L^T on the pattern of A's lower triangle."""
     a = _nations(t)
@@ -73,6 +96,21 @@ def _ilu(t: Tables):
 
 
 QUERIES = {
+    "sparse_at": (lambda t: shown(Matrix(sparse.at(_u(t), 17), _u(t).rows, 32)), f"WITH {_U} SELECT i, j, v FROM (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS n FROM u) q WHERE n = 17"),
+    "sparse_stored": (lambda t: sparse.stored(_nations(t), 0, 24).unionByName(sparse.stored(_nations(t), 0, 2)), "SELECT true AS value UNION ALL SELECT false AS value"),
+    "sparse_vector": (lambda t: shown(sparse.vector(_u(t), 3, "column")), f"WITH {_U} SELECT i, v FROM u WHERE j = 3"),
+    "sparse_append": (lambda t: shown(append(Matrix(_u(t).df.where("j < 10"), _u(t).rows, 32), _u(t).df.where("j >= 10"))), f"WITH {_U} SELECT i, j, v FROM u"),
+    "sparse_mvmult_sym": (
+        lambda t: shown(mvmult_sym(1.0, _orders_ring(t)[0].where(F.col("i") >= F.col("j")), _orders_ring(t)[1])),
+        f"WITH x AS ({_ORDERS}), n AS (SELECT count(*) AS n FROM x) SELECT x.i, (6.0 + x.i % 3) * x.v - p.v - q.v AS v FROM n, x JOIN x p ON p.i = (x.i + 1) % (SELECT n FROM n) JOIN x q ON q.i = (x.i + (SELECT n FROM n) - 1) % (SELECT n FROM n)",
+    ),
+    "sparse_mvmult_trm": (
+        lambda t: shown(mvmult_trm(1.0, _orders_ring(t)[0], _orders_ring(t)[1])),
+        f"WITH x AS ({_ORDERS}), n AS (SELECT count(*) AS n FROM x) SELECT x.i, (6.0 + x.i % 3) * x.v - CASE WHEN x.i > 0 THEN coalesce(p.v, 0.0) ELSE 0.0 END - CASE WHEN x.i = (SELECT n FROM n) - 1 THEN (SELECT v FROM x WHERE i = 0) ELSE 0.0 END AS v FROM x LEFT JOIN x p ON p.i = x.i - 1",
+    ),
+    "sparse_solve_orders": (_orders_back(lambda a, b: sparse.solve_triangular(a, b), True), _ORDERS),
+    "conjugate_gradient_orders": (_orders_back(lambda a, b: iterative.conjugate_gradient(a, b, uplo=None, control=iterative.Control(smult=1e-13)).x), _ORDERS),
+    "gmres_orders": (_orders_back(lambda a, b: iterative.gmres(a, b, control=iterative.Control(smult=1e-12, restart=12)).x), _ORDERS),
     "sparse_compress_rows": (
         lambda t: sparse.compress(_u(t)).select("k", F.size("cells").cast("long").alias("n"), F.element_at("cells", 1)["index"].alias("first"), F.element_at("cells", -1)["v"].alias("last")),
         f"WITH {_U} SELECT i AS k, count(*) AS n, min(j) AS first, arg_max(v, j) AS last FROM u GROUP BY i",
@@ -83,7 +121,11 @@ QUERIES = {
         lambda t: sparse.pointers(_u(t).T),
         f"WITH {_U}, n AS (SELECT CAST(k.r AS BIGINT) AS k, count(u.v) AS size FROM range(32) k(r) LEFT JOIN u ON u.j = k.r GROUP BY 1) SELECT k, CAST(sum(size) OVER (ORDER BY k) - size AS BIGINT) AS start, size FROM n",
     ),
-    "sparse_sorted": (lambda t: shown(sparse.sort_cells(_u(t), "column")), f"WITH {_U} SELECT i, j, v FROM u ORDER BY j, i"),
+    "sparse_sorted": (
+        # The place of each cell in the order in which the rows come out.
+        lambda t: sparse.sort_cells(_u(t), "column").df.withColumn("at", F.monotonically_increasing_id()).select("i", "j", "v", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("n")),
+        f"WITH {_U} SELECT i, j, v, row_number() OVER (ORDER BY j, i) - 1 AS n FROM u",
+    ),
     "sparse_has_diagonal": (lambda t: sparse.has_diagonal(_nations(t)), "SELECT true AS value"),
     "sparse_spy": (lambda t: sparse.spy(_nations(t)), f"WITH {_R} SELECT CAST(a.q AS BIGINT) AS i, string_agg(CASE WHEN r.v IS NULL THEN '.' ELSE 'x' END, '' ORDER BY b.q) AS line FROM range(25) a(q) CROSS JOIN range(25) b(q) LEFT JOIN r ON r.i = a.q AND r.j = b.q GROUP BY 1"),
     "sparse_count": (lambda t: sparse.count(t.s), sql("s", "SELECT count(*) AS value FROM s")),
