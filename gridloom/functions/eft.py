@@ -39,7 +39,6 @@ def _pair(s: Column, c: Column) -> Column:
     return F.struct(s.alias("s"), c.alias("c"))
 
 
-
 def sum2(values: Column) -> Column:
     """Compensated sum of an array of doubles."""
 
@@ -61,8 +60,9 @@ def dot2(pairs: Column) -> Column:
     return F.aggregate(pairs, _pair(F.lit(0.0), F.lit(0.0)), step, lambda acc: acc["s"] + acc["c"])
 
 
-def sumk(values: Column, k: int) -> Column:
-    """Sum of an array as if in k-fold precision: k - 1 levels of errors are kept."""
+def sumk(values: Column, k: int, parts: bool = False) -> Column:
+    """Sum of an array as if in k-fold precision: k - 1 levels of errors are kept.  parts:
+    the levels themselves, as an array of k numbers, whose sum it is."""
 
     def step(acc, x):
         levels, carry = [], x
@@ -74,6 +74,8 @@ def sumk(values: Column, k: int) -> Column:
     start = F.struct(*[F.lit(0.0).alias(f"s{n}") for n in range(k - 1)], F.lit(0.0).alias("rest"))
 
     def finish(acc):
+        if parts:
+            return F.array(*[acc[f"s{n}"] for n in range(k - 1)], acc["rest"])
         total = acc["rest"]
         for n in reversed(range(k - 1)):
             total = total + acc[f"s{n}"]

@@ -50,6 +50,18 @@ def svd2x2(f: Column, g: Column, h: Column) -> tuple[Column, Column]:
     return F.when(large == 0, 0.0).otherwise(F.abs(f) * (F.abs(h) / large)), large
 
 
+def svd2x2_vectors(f: Column, g: Column, h: Column) -> tuple[Column, Column, Column, Column]:
+    """(cl, sl, cr, sr): the left and right vectors of the largest singular value of
+    [[f, g], [0, h]], so that [[cl, sl], [-sl, cl]] * A * [[cr, -sr], [sr, cr]] is
+    diagonal.  The right one is the first eigenvector of A^T*A, the left one A times it."""
+    top = F.greatest(F.abs(f), F.abs(g), F.abs(h))
+    f, g, h = (F.when(top == 0, 0.0).otherwise(x / top) for x in (f, g, h))
+    cr, sr = sym_eigen2x2_vector(f * f, f * g, g * g + h * h)
+    x, y = f * cr + g * sr, h * sr
+    norm = F.hypot(x, y)
+    return F.when(norm == 0, 1.0).otherwise(x / norm), F.when(norm == 0, 0.0).otherwise(y / norm), cr, sr
+
+
 def discriminant(a: Column, b: Column, c: Column) -> Column:
     """b*b - a*c with the rounding errors of both products put back."""
     p, dp = two_prod(b, b)

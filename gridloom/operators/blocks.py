@@ -1,8 +1,10 @@
 """Dense tiles: the layout for large dense products.
 
-A tile is one row (bi, bj, nr, nc, data) with its elements row by row as doubles.  The
-product joins tiles on the inner index; each task sums what it makes for a tile before
-the shuffle, so each task sends a tile at most once for each time its sums are full.
+A tile is one row (bi, bj, nr, nc, data) with its elements row by row as doubles.  A
+product is cut into a grid of cells: bands of output tiles, and slabs of the inner index
+where there are too few output tiles for all tasks or a band would be too large for one.
+A tile is copied once for each cell of its row (column) of the grid; slabs are summed as a
+sorted stream, so a task holds one tile of the result at a time.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .matrix import Matrix, ShapeError
 
 SIDE = 256
-#: Bytes of tile sums that a task holds before it passes them on.
-HELD = 128 << 20
+#: Most bytes of the tiles of either factor in one cell of the grid, on average.
+HELD = 64 << 20
 _SCHEMA = "bi int, bj int, nr int, nc int, data binary"
 _NAMES = ["bi", "bj", "nr", "nc", "data"]
 
@@ -75,43 +77,83 @@ def transpose(b: Blocks) -> Blocks:
     return Blocks(b.df.mapInArrow(run, _SCHEMA), b.cols, b.rows, b.side)
 
 
-def _sums(held: dict[tuple[int, int], np.ndarray]):
-    tiles = [(i, j, t) for (i, j), t in held.items()]
-    for k in range(0, len(tiles), 16):
-        yield _batch(tiles[k : k + 16])
+def grid(a: Blocks, b: Blocks, tasks: int) -> tuple[int, int, int]:
+    """(bands of rows, bands of columns, slabs of the inner index).  Bands are cut as long as
+    tasks lack work, where it costs the fewest copies; slabs are the rest."""
+    height, width, depth = (-(-n // a.side) for n in (a.rows, b.cols, a.cols))
+    tile = 8 * a.side * a.side
+    p = q = s = 1
+    while p * q * s < tasks or max(-(-height // p), -(-width // q)) * -(-depth // s) * tile > HELD:
+        # Copies of the left factor grow with q, of the right one with p.
+        options = [(a.rows * a.cols * q + b.rows * b.cols * 2 * p, 0)] * (p < height) + [(a.rows * a.cols * 2 * q + b.rows * b.cols * p, 1)] * (q < width)
+        if not options or (min(-(-height // p), -(-width // q)) == 1 and max(height // p, width // q) <= 1):
+            if s >= depth:
+                break
+            s = min(2 * s, depth)
+        elif min(options)[1] == 0:
+            p = min(2 * p, height)
+        else:
+            q = min(2 * q, width)
+    return p, q, s
 
 
 def mult(a: Blocks, b: Blocks, alpha: float = 1.0) -> Blocks:
     """alpha*A*B."""
     if a.cols != b.rows or a.side != b.side:
         raise ShapeError((a.rows, a.cols, b.rows, b.cols))
-    left = a.df.select("bi", F.col("bj").alias("k"), "nr", F.col("nc").alias("ka"), F.col("data").alias("x"))
-    right = b.df.select(F.col("bi").alias("k"), "bj", "nc", F.col("data").alias("y"))
-
-    def products(batches):
-        held: dict[tuple[int, int], np.ndarray] = {}
-        size = 0
+    side, rows, cols, inner = a.side, a.rows, b.cols, a.cols
+    spark = a.df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p, q, s = grid(a, b, tasks)
+    height, width, depth = (-(-n // side) for n in (rows, cols, inner))
+    band = lambda column, of, n: F.floor(F.col(column) * n / of).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.df.withColumn("p", band("bi", height, p)).withColumn("s", band("bj", depth, s)).withColumn("q", every(q))
+    right = b.df.withColumn("q", band("bj", width, q)).withColumn("s", band("bi", depth, s)).withColumn("p", every(p))
+
+    def laid_out(table: pa.Table) -> tuple[np.ndarray, int, int]:
+        """The tiles of a cell side by side, and the place of the first."""
+        bi, bj = table["bi"].to_numpy(), table["bj"].to_numpy()
+        nr, nc = table["nr"].to_numpy(), table["nc"].to_numpy()
+        i0, j0 = int(bi.min()), int(bj.min())
+        out = np.zeros((int((bi * side + nr).max()) - i0 * side, int((bj * side + nc).max()) - j0 * side))
+        for i, j, r, c, data in zip(bi.tolist(), bj.tolist(), nr.tolist(), nc.tolist(), table["data"], strict=True):
+            out[(i - i0) * side : (i - i0) * side + r, (j - j0) * side : (j - j0) * side + c] = np.frombuffer(data.as_buffer()).reshape(r, c)
+        return out, i0, j0
+
+    empty = _batch([])
+
+    def product(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.Table.from_batches([empty])
+        (u, i0, k0), (v, l0, j0) = laid_out(x), laid_out(y)
+        # Tiles that are missing at either end are zero.
+        low, high = max(k0, l0) * side, min(k0 * side + u.shape[1], l0 * side + v.shape[0])
+        if low >= high:
+            return pa.Table.from_batches([empty])
+        w = alpha * (u[:, low - k0 * side : high - k0 * side] @ v[low - l0 * side : high - l0 * side])
+        tiles = [(i0 + i // side, j0 + j // side, np.ascontiguousarray(w[i : i + side, j : j + side])) for i in range(0, w.shape[0], side) for j in range(0, w.shape[1], side)]
+        return pa.Table.from_batches([_batch(tiles)])
+
+    keys = ("p", "q", "s")
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, _SCHEMA)
+    if s == 1:
+        return Blocks(parts, rows, cols, side)
+
+    def summed(batches):
+        held = None
         for batch in batches:
-            columns = [batch.column(c) for c in ("bi", "bj", "nr", "ka", "nc", "x", "y")]
-            for r in range(batch.num_rows):
-                bi, bj, nr, ka, nc, x, y = (c[r].as_py() for c in columns)
-                tile = np.frombuffer(x).reshape(nr, ka) @ np.frombuffer(y).reshape(ka, nc)
-                if (bi, bj) in held:
-                    held[bi, bj] += tile
-                else:
-                    held[bi, bj] = tile
-                    size += tile.nbytes
-                if size > HELD:
-                    yield from _sums(held)
-                    held, size = {}, 0
-        yield from _sums(held)
-
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        nr, nc = table["nr"][0].as_py(), table["nc"][0].as_py()
-        out = np.zeros((nr, nc))
-        for data in table["data"]:
-            out += np.frombuffer(data.as_py()).reshape(nr, nc)
-        return pa.Table.from_batches([_batch([(key[0].as_py(), key[1].as_py(), alpha * out)])])
-
-    parts = left.join(right, "k").select("bi", "bj", "nr", "ka", "nc", "x", "y").mapInArrow(products, _SCHEMA)
-    return Blocks(parts.groupBy("bi", "bj").applyInArrow(total, _SCHEMA), a.rows, b.cols, a.side)
+            for bi, bj, nr, nc, data in zip(*(batch.column(c) for c in _NAMES), strict=True):
+                place, tile = (bi.as_py(), bj.as_py()), np.frombuffer(data.as_buffer()).reshape(nr.as_py(), nc.as_py())
+                if held is not None and held[0] == place:
+                    held[1][: tile.shape[0], : tile.shape[1]] += tile
+                    continue
+                if held is not None:
+                    yield _batch([(*held[0], held[1])])
+                full = np.zeros((min(side, rows - place[0] * side), min(side, cols - place[1] * side)))
+                full[: tile.shape[0], : tile.shape[1]] = tile
+                held = (place, full)
+        if held is not None:
+            yield _batch([(*held[0], held[1])])
+
+    return Blocks(parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(summed, _SCHEMA), rows, cols, side)

@@ -34,28 +34,25 @@ def add_constant(a: Matrix, alpha: float, uplo: str | None = None, unit: bool =
 
 
 def scale_factors(source: float, target: float) -> list[float]:
-    """Factors whose product is target / source, none of which over- or underflows."""
-    if source == 0 or math.isnan(source) or math.isnan(target):
+    """Factors whose product is target / source, none of which over- or underflows: the
+    quotient of the two fractions, then its power of two in steps a double can hold."""
+    if source == 0 or not math.isfinite(source) or math.isnan(target):
         raise ValueError("scale_to needs a finite, non-zero source")
-    small, out = 2.0**-1022, []
-    while True:
-        low = source * small
-        if low == source:
-            out.append(target / source)
-            break
-        high = target / (1 / small)
-        if high == target:
-            out.append(target)
-            break
-        if abs(low) > abs(target) and target != 0:
-            out.append(small)
-            source = low
-        elif abs(high) > abs(source):
-            out.append(1 / small)
-            target = high
+    if target == 0 or math.isinf(target):
+        return [target / source]
+    (top, up), (bottom, down) = math.frexp(target), math.frexp(source)
+    steps, power = [top / bottom], up - down
+    while power:
+        step = max(-1000, min(1000, power))
+        steps.append(math.ldexp(1.0, step))
+        power -= step
+    # Steps that a double can hold together are one factor.
+    out = steps[:1]
+    for x in steps[1:]:
+        if 2.0**-1000 < abs(out[-1] * x) < 2.0**1000:
+            out[-1] *= x
         else:
-            out.append(target / source)
-            break
+            out.append(x)
     return out
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.eft import two_prod, two_sum
+from ..functions.eft import sumk, two_prod, two_sum
 from .factor import solve_triangular as plain_solve
 from .matrix import Matrix, ShapeError, Vector, as_column, mirrored, triangle
 from .products import triangular
@@ -27,17 +27,18 @@ def _fold_pairs(pairs):
 
 
 def fold(frame: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, v) from (keys, at, s, c) with at in [0, n)."""
+    """(keys, v) from (keys, at, s, c) with at in [0, n).  Groups are folded in the order of at,
+    so reruns agree to the last bit."""
     while True:
-        frame = frame.groupBy(*keys, F.floor(F.col("at") / CHUNK).alias("at")).agg(_fold_pairs(F.collect_list(F.struct("s", "c"))).alias("r")).select(*keys, "at", "r.s", "r.c")
+        frame = frame.groupBy(*keys, F.floor(F.col("at") / CHUNK).alias("part")).agg(_fold_pairs(F.sort_array(F.collect_list(F.struct("at", "s", "c")))).alias("r")).select(*keys, F.col("part").alias("at"), "r.s", "r.c")
         n = -(-n // CHUNK)
         if n <= 1:
             return frame.select(*keys, (F.col("s") + F.col("c")).alias("v"))
 
 
-def _scalar(frame: DataFrame, n: int, alpha: float = 1.0) -> DataFrame:
+def _scalar(frame: DataFrame, n: int, alpha: float = 1.0, start: float = 0.0) -> DataFrame:
     out = fold(frame.withColumn("one", F.lit(1)), ["one"], n)
-    return out.agg((alpha * F.coalesce(F.sum("v"), F.lit(0.0))).alias("value"))
+    return out.agg((start + alpha * F.coalesce(F.sum("v"), F.lit(0.0))).alias("value"))
 
 
 def total(x: Vector, alpha: float = 1.0, absolute: bool = False) -> DataFrame:
@@ -45,17 +46,49 @@ def total(x: Vector, alpha: float = 1.0, absolute: bool = False) -> DataFrame:
     return _scalar(x.df.select(F.col("i").alias("at"), (F.abs("v") if absolute else F.col("v")).alias("s"), F.lit(0.0).alias("c")), x.size, alpha)
 
 
-def dot(x: Vector, y: Vector, alpha: float = 1.0) -> DataFrame:
+def dot(x: Vector, y: Vector, alpha: float = 1.0, start: float = 0.0) -> DataFrame:
+    """start + alpha * x.y"""
     if x.size != y.size:
         raise ShapeError((x.size, y.size))
     p, e = two_prod(F.col("a"), F.col("b"))
     both = x.df.select("i", F.col("v").alias("a")).join(y.df.select("i", F.col("v").alias("b")), "i")
-    return _scalar(both.select(F.col("i").alias("at"), p.alias("s"), e.alias("c")), x.size, alpha)
+    return _scalar(both.select(F.col("i").alias("at"), p.alias("s"), e.alias("c")), x.size, alpha, start)
+
+
+def k_fold_sum(x: Vector, k: int = 3) -> DataFrame:
+    """One row (value): the sum as if in k-fold precision.  A group of CHUNK elements leaves
+    k numbers, its sums of errors of errors; these are summed like elements until one
+    group is left."""
+    if k < 2:
+        raise ValueError("k must be 2 at least")
+    frame, n = x.df.select(F.col("i").alias("at"), "v"), x.size
+    while True:
+        values = F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda c: c["v"])
+        groups = frame.groupBy(F.floor(F.col("at") / CHUNK).alias("part"))
+        if n <= CHUNK:
+            return groups.agg(sumk(values, k).alias("value")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+        parts = groups.agg(sumk(values, k, parts=True).alias("p")).select("part", F.posexplode("p").alias("q", "v"))
+        frame, n = parts.select((F.col("part") * k + F.col("q")).alias("at"), "v"), -(-n // CHUNK) * k
 
 
 def nrm2(x: Vector) -> DataFrame:
+    """Elements are scaled by a power of two, which changes no digit and keeps squares in range."""
+    top = x.df.agg(F.max(F.abs("v")).alias("top")).select(F.when(F.col("top") > 0, F.pow(F.lit(2.0), F.floor(F.log2("top")))).otherwise(1.0).alias("unit"))
+    scaled = x.df.crossJoin(F.broadcast(top)).select("i", (F.col("v") / F.col("unit")).alias("v"))
     p, e = two_prod(F.col("v"), F.col("v"))
-    return _scalar(x.df.select(F.col("i").alias("at"), p.alias("s"), e.alias("c")), x.size).select(F.sqrt("value").alias("value"))
+    value = _scalar(scaled.select(F.col("i").alias("at"), p.alias("s"), e.alias("c")), x.size)
+    return value.crossJoin(F.broadcast(top)).select((F.sqrt("value") * F.col("unit")).alias("value"))
+
+
+def scale(x: Matrix | Vector, beta: float) -> DataFrame:
+    """beta*x with what rounding loses: the columns of x, v and its error dv."""
+    p, e = two_prod(F.lit(float(beta)), F.col("v"))
+    return x.df.select(*[c for c in x.df.columns if c != "v"], p.alias("v"), e.alias("dv"))
+
+
+def mvupdate_trm(beta: float, a: Matrix, alpha: float, x: Vector, y: Vector, uplo: str = "lower") -> Matrix:
+    """beta*A + alpha*x*y^T on a triangle, each element rounded once."""
+    return mvupdate(beta, a, alpha, x, y, uplo)
 
 
 def axpby(beta: float, y: Vector, alpha: float, x: Vector) -> Vector:

@@ -62,8 +62,10 @@ def index(k: int, n: int) -> int:
 
 
 def from_table(table: DataFrame, i: str | Column, j: str | Column, v: str | Column, rows: int, cols: int) -> Matrix:
-    """Sums of v by (i, j); the pre-aggregation happens before the shuffle."""
+    """Sums of v by (i, j); the pre-aggregation happens before the shuffle.  Rows without i, j
+    or v are no cells and are left out."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
+    table = table.where(c(i).isNotNull() & c(j).isNotNull() & c(v).isNotNull())
     cells = table.select(c(i).cast("long").alias("i"), c(j).cast("long").alias("j"), c(v).cast("double").alias("v"))
     return Matrix(cells.groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols)
 
@@ -167,6 +169,12 @@ def set_value(a: Matrix, row: int, col: int, value: float) -> Matrix:
     return Matrix(rest.unionByName(one), a.rows, a.cols)
 
 
+def set_at(a: Matrix, k: int, value: float) -> Matrix:
+    """The element at a linear index, columns first, replaced."""
+    k = index(k, a.size)
+    return set_value(a, k % a.rows, k // a.rows, value)
+
+
 def submatrix(a: Matrix, row: int, col: int, rows: int = -1, cols: int = -1) -> Matrix:
     """The rectangle from (row, col); negative extents reach to the end."""
     row, col = index(row, a.rows), index(col, a.cols)

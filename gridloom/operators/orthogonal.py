@@ -12,7 +12,7 @@ from ..functions.cut import cut
 from .elementwise import plus
 from .matrix import Matrix, ShapeError, Vector, as_column
 from .products import mult
-from .rows import Rows, check_shared, from_rows, map_rows, matrix_of, reduce_tree, solve_small, times_small, to_rows
+from .rows import Rows, check_shared, collect_small, from_rows, map_rows, matrix_of, reduce_tree, solve_small, times_small, to_rows
 
 
 @dataclass(frozen=True)
@@ -136,6 +136,76 @@ def min_norm(a: Matrix, b: Matrix) -> Matrix:
     return least_squares(a.T, b, trans=True)
 
 
+def solve(f: Orthogonal, b: Matrix, trans: bool = False) -> Matrix:
+    """With A of any of the forms: X that minimises |A*X - B| for a tall A (qr, ql), the
+    smallest X with A*X = B for a wide one (lq, rq); with trans the same of A^T."""
+    from .factor import solve_triangular
+
+    uplo = "upper" if f.form in ("qr", "rq") else "lower"
+    tall = f.form in ("qr", "ql")
+    if tall != trans:  # least squares: project, then the triangle
+        y = mult(1.0, f.q, b, trans_a=tall)
+        return solve_triangular(f.factor, y, uplo=uplo, trans=trans)
+    return mult(1.0, f.q, solve_triangular(f.factor, b, uplo=uplo, trans=trans), trans_a=not tall)
+
+
+@dataclass(frozen=True)
+class Reflectors:
+    """A = Q*R with Q = H1*H2*... = I - Y*T*Y^T, all of its columns: y unit lower trapezoidal,
+    t a small upper triangle, taus on its diagonal."""
+
+    y: Matrix
+    t: np.ndarray
+    r: Matrix
+
+    @property
+    def taus(self) -> np.ndarray:
+        return np.diag(self.t).copy()
+
+    def blocks(self, size: int) -> list[np.ndarray]:
+        """The T of each `size` reflectors on their own."""
+        return [self.t[k : k + size, k : k + size] for k in range(0, len(self.t), size)]
+
+
+def reflectors(a: Matrix | Rows) -> Reflectors:
+    """Reflector form of a tall matrix, got from the thin Q of TSQR: Q less a diagonal of
+    signs is Y*U for a triangle U, where the signs are picked as the top of Q is eliminated,
+    so that no pivot is small.  Only the top square is on the driver."""
+    rows = to_rows(a)
+    n, spark = rows.cols, a.df.sparkSession
+    check_shared(n, n)
+    q, r = qr_rows(rows)
+    q = Rows(cut(q.df, "q"), q.rows, n)
+    top = collect_small(q.df.where(F.col("i") < n), n, n)[1]
+    signs = np.zeros(n)
+    for k in range(n):
+        signs[k] = -1.0 if top[k, k] >= 0 else 1.0
+        top[k, k] -= signs[k]
+        top[k + 1 :, k] /= top[k, k]
+        top[k + 1 :, k + 1 :] -= np.outer(top[k + 1 :, k], top[k, k + 1 :])
+    low, upper = np.tril(top, -1) + np.eye(n), np.triu(top)
+    # T = -U*S*Y1^-T
+    t = np.triu(-solve_small(low, (upper * signs).T, True, True).T)
+    below = solve_small(upper.T, np.eye(n), True, False).T
+
+    def y(i, x):
+        out = x @ below
+        mine = i < n
+        out[mine] = low[i[mine]]
+        return out
+
+    y_rows = Rows(cut(map_rows(q.df, n, y), "y"), rows.rows, n)
+    return Reflectors(from_rows(y_rows).where((F.col("i") > F.col("j")) | (F.col("i") == F.col("j"))), t, matrix_of(spark, np.triu(signs[:, None] * r)))
+
+
+def update_qr(f: Reflectors, c: Matrix, side: str = "left", trans: bool = False) -> Matrix:
+    """Q*C, Q^T*C, C*Q or C*Q^T with the whole Q, by two products with Y."""
+    t = matrix_of(c.df.sparkSession, f.t.T if trans else f.t)
+    if side == "right":
+        return plus(1.0, c, -1.0, mult(1.0, mult(1.0, mult(1.0, c, f.y), t), f.y, trans_b=True))
+    return plus(1.0, c, -1.0, mult(1.0, f.y, mult(1.0, t, mult(1.0, f.y, c, trans_a=True))))
+
+
 # Reflectors
 
 

@@ -52,9 +52,15 @@ def iamin(x: Vector, base: int = 0) -> DataFrame:
     return x.df.agg((F.min_by("i", F.struct(F.abs("v"), "i")) + base).alias("value"))
 
 
-def norm(a: Matrix, which: str = "one") -> DataFrame:
+def norm(a: Matrix, which: str = "one", uplo: str | None = None, unit: bool = False, symmetric: bool = False) -> DataFrame:
     """one: largest column sum, inf: largest row sum, frobenius; two: the largest
-    singular value."""
+    singular value.  uplo: of a triangle, with ones on its diagonal if unit, or of the
+    symmetric matrix of which it is the stored half."""
+    if uplo is not None:
+        from .matrix import mirrored
+        from .products import triangular
+
+        a = mirrored(a, uplo) if symmetric else triangular(a, uplo, unit)
     if which in ("one", "inf"):
         sums = a.df.groupBy("j" if which == "one" else "i").agg(F.sum(F.abs("v")).alias("s"))
         return sums.agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("value"))

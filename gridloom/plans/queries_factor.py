@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import compat
 from ..operators import butterfly, factor, orthogonal, pivoted
 from ..operators.elementwise import mult_diag, plus
-from ..operators.matrix import Matrix, column_of, make_triangular
+from ..operators.matrix import Matrix, Vector, column_of, make_triangular
 from ..operators.products import mult, mult_trm, mvmult_trm
-from .tables import WIDTH, Tables, cells, checked, entries, faults, shown, sql, where_not
+from ..operators.rows import matrix_of
+from .tables import WIDTH, Tables, cells, checked, entries, faults, number, rounded, shown, sql, where_not
 
 _G, _H, _B, _I = (cells(u, f"SELECT * FROM {u}") for u in ("g", "h", "b", "eye"))
 _E = cells("e", "SELECT * FROM e")
@@ -201,7 +202,95 @@ _BUTTERFLY2 = sql(
 )
 
 
+def _solved(form: str, trans: bool):
+    """Least squares give e^T*(e*X) = e^T*B, smallest solutions B itself."""
+
+    def make(t: Tables):
+        tall = form in ("qr", "ql")
+        a = t.e if tall else t.e.T
+        f = orthogonal.FORMS[form](a)
+        if tall == trans:
+            x = orthogonal.solve(f, t.b, trans)
+            return _min_norm(x, t.e.T, t)
+        labels = Matrix(t.x.df.select("i", F.lit(0).cast("long").alias("j"), "v"), t.n, 1)
+        return shown(mult(1.0, t.e, mult(1.0, t.e, orthogonal.solve(f, labels, trans)), trans_a=True))
+
+    return make
+
+
+_NORMAL = cells("e x", "SELECT e.j AS i, CAST(0 AS BIGINT) AS j, sum(e.v * x.v) AS v FROM e JOIN x ON e.i = x.i GROUP BY 1")
+
+
+def _reflectors(t: Tables):
+    """e from its reflectors: Q*[R; 0], with their shape."""
+    f = orthogonal.reflectors(t.e_rows)
+    r = Matrix(f.r.df, t.n, WIDTH)
+    back = Matrix(orthogonal.update_qr(f, r).df, t.n, WIDTH)
+    again = orthogonal.update_qr(f, t.e, trans=True)
+    below = where_not(Matrix(again.df.where(F.abs("v") > 1e-7), t.n, WIDTH), F.col("i") > F.col("j"))
+    # Blocks of T are those of their own reflectors: I - Y*T*Y^T is orthogonal for each.
+    y = Matrix(f.y.df.where("j < 16"), t.n, 16)
+    tt = f.blocks(16)[0]
+    inner = mult(1.0, y, y, trans_a=True)
+    both = mult(1.0, mult(1.0, matrix_of(t.spark, tt), inner), matrix_of(t.spark, tt.T))
+    gap = plus(1.0, plus(1.0, matrix_of(t.spark, tt), 1.0, matrix_of(t.spark, tt.T)), -1.0, both)
+    return faults(shown(back), below, where_not(f.y, F.col("i") < F.col("j")), where_not(Matrix(gap.df.where(F.abs("v") > 1e-8), 16, 16), F.lit(True)))
+
+
+def _update_right(t: Tables):
+    """(C*Q)*Q^T = C with all of Q."""
+    f = orthogonal.reflectors(t.e_rows)
+    c = Matrix(t.e.T.df, WIDTH, t.n)
+    return shown(orthogonal.update_qr(f, orthogonal.update_qr(f, c, side="right"), side="right", trans=True))
+
+
+def _c0(t: Tables) -> Vector:
+    return column_of(t.g, 0)
+
+
+_GH = cells("g h", "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM h a JOIN g b ON a.j = b.i GROUP BY 1, 2")
+_MV = "SELECT {0} AS i, sum(a.v * w.v) AS v FROM {1} a JOIN w ON {2} = w.i GROUP BY 1"
+_UPPER = "(SELECT * FROM g WHERE i <= j)"
+
 QUERIES = {
+    "qr_reflectors": (_reflectors, checked("e", "SELECT * FROM e")),
+    "qr_update_right": (_update_right, _ET),
+    "qr_solve_form": (_solved("qr", False), _NORMAL),
+    "ql_solve": (_solved("ql", False), _NORMAL),
+    "ql_solve_transposed": (_solved("ql", True), checked("b", "SELECT * FROM b")),
+    "lq_solve_transposed": (_solved("lq", True), _NORMAL),
+    "rq_solve": (_solved("rq", False), checked("b", "SELECT * FROM b")),
+    "rq_solve_transposed": (_solved("rq", True), _NORMAL),
+    # customary names
+    "compat_axpy": (lambda t: shown(compat.axpy(2.0, t.w, _c0(t))), entries("g w", "SELECT g.i, g.v + 2.0 * w.v AS v FROM g JOIN w ON g.i = w.i WHERE g.j = 0")),
+    "compat_scal": (lambda t: shown(compat.scal(-3.0, t.w)), entries("w", "SELECT i, -3.0 * v AS v FROM w")),
+    "compat_copy": (lambda t: shown(compat.copy(t.w)), entries("w", "SELECT * FROM w")),
+    "compat_swap": (lambda t: shown(compat.swap(t.w, _c0(t))[1]), entries("w", "SELECT * FROM w")),
+    "compat_rot": (lambda t: shown(compat.rot(t.w, _c0(t), 0.6, 0.8)[0]), entries("g w", "SELECT w.i, 0.6 * w.v + 0.8 * g.v AS v FROM g JOIN w ON g.i = w.i WHERE g.j = 0")),
+    "compat_rotg": (
+        lambda t: t.spark.createDataFrame([(k, *map(float, compat.rotg(float(k), 4.0))) for k in range(4)], "k long, c double, s double, r double").select("k", *[F.round(x, 6).alias(x) for x in "csr"]),
+        "SELECT CAST(q AS BIGINT) AS k, round(q / sqrt(q * q + 16.0), 6) AS c, round(4.0 / sqrt(q * q + 16.0), 6) AS s, round(sqrt(q * q + 16.0), 6) AS r FROM range(4) t(q)",
+    ),
+    "compat_asum": (lambda t: rounded(compat.asum(_c0(t))), number("g", "(SELECT sum(abs(v)) FROM g WHERE j = 0)")),
+    "compat_nrm2": (lambda t: rounded(compat.nrm2(_c0(t))), number("g", "(SELECT sqrt(sum(v * v)) FROM g WHERE j = 0)")),
+    "compat_dot": (lambda t: rounded(compat.dot(t.w, _c0(t))), number("g w", "(SELECT sum(g.v * w.v) FROM g JOIN w ON g.i = w.i WHERE g.j = 0)")),
+    "compat_iamax": (lambda t: compat.iamax(_c0(t)), sql("g", "SELECT i AS value FROM g WHERE j = 0 ORDER BY abs(v) DESC, i LIMIT 1")),
+    "compat_gemv": (lambda t: shown(compat.gemv("T", 2.0, t.g, t.w, 0.5, _c0(t))), entries("g w", "SELECT q.i, 2.0 * q.v + 0.5 * g.v AS v FROM (" + _MV.format("a.j", "g", "a.i") + ") q JOIN g ON g.i = q.i AND g.j = 0")),
+    "compat_symv": (lambda t: shown(compat.symv("U", 1.0, make_triangular(t.g, "upper"), t.w)), entries("g w", _MV.format("a.i", "g", "a.j"))),
+    "compat_trmv": (lambda t: shown(compat.trmv("U", "T", "N", t.g, t.w)), entries("g w", _MV.format("a.j", _UPPER, "a.i"))),
+    "compat_trsv": (lambda t: shown(compat.trmv("U", "N", "N", t.h, compat.trsv("U", "N", "N", t.h, t.w))), entries("w", "SELECT * FROM w")),
+    "compat_ger": (lambda t: shown(compat.ger(0.5, t.w, _c0(t), t.g)), cells("g w", "SELECT g.i, g.j, g.v + 0.5 * w.v * c.v AS v FROM g JOIN w ON w.i = g.i JOIN g c ON c.i = g.j AND c.j = 0")),
+    "compat_syr": (lambda t: shown(compat.syr("L", 1.0, t.w, t.g)), cells("g w", "SELECT g.i, g.j, g.v + CASE WHEN g.i >= g.j THEN a.v * b.v ELSE 0.0 END AS v FROM g JOIN w a ON a.i = g.i JOIN w b ON b.i = g.j")),
+    "compat_syr2": (
+        lambda t: shown(compat.syr2("U", 1.0, t.w, _c0(t), t.g)),
+        cells("g w", "SELECT g.i, g.j, g.v + CASE WHEN g.i <= g.j THEN a.v * d.v + c.v * b.v ELSE 0.0 END AS v FROM g JOIN w a ON a.i = g.i JOIN w b ON b.i = g.j JOIN g c ON c.i = g.i AND c.j = 0 JOIN g d ON d.i = g.j AND d.j = 0"),
+    ),
+    "compat_symm": (lambda t: shown(compat.symm("R", "U", 1.0, make_triangular(t.g, "upper"), t.h)), _GH),
+    "compat_trmm": (lambda t: shown(compat.trmm("L", "U", "N", "N", 2.0, t.g, t.h)), cells("g h", "SELECT a.i, b.j, 2.0 * sum(a.v * b.v) AS v FROM " + _UPPER + " a JOIN h b ON a.j = b.i GROUP BY 1, 2")),
+    "compat_syr2k": (
+        lambda t: shown(compat.syr2k("L", "N", 1.0, t.g, t.h)),
+        cells("g h", "SELECT a.i, b.i AS j, sum(a.v * b.v) + sum(x.v * y.v) AS v FROM g a JOIN h b ON a.j = b.j JOIN h x ON x.i = a.i AND x.j = a.j JOIN g y ON y.i = b.i AND y.j = b.j WHERE a.i >= b.i GROUP BY 1, 2"),
+    ),
     "lu": (_lu, _H),
     "lu_unpivoted": (lambda t: _lu(t, False), _H),
     "lu_tall": (_lu_tall, _E),
