@@ -30,17 +30,34 @@ def sym_eigen2x2(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return first, other
 
 
+def _let(made, /, **values: Column) -> Column:
+    """made(struct of the named values), each computed once however often it is used."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), made)[0]
+
+
+def _vector(a: Column, b: Column, c: Column) -> Column:
+    """Struct (x, y): the unit eigenvector of the first eigenvalue, larger component positive."""
+
+    def pick(v):
+        big = v["x1"] * v["x1"] + v["y1"] * v["y1"] >= v["x2"] * v["x2"] + v["y2"] * v["y2"]
+        return F.struct(F.when(big, v["x1"]).otherwise(v["x2"]).alias("x"), F.when(big, v["y1"]).otherwise(v["y2"]).alias("y"))
+
+    def unit(v):
+        norm = F.hypot(v["x"], v["y"])
+        sign = F.when(F.when(F.abs(v["x"]) >= F.abs(v["y"]), v["x"]).otherwise(v["y"]) < 0, -1.0).otherwise(1.0)
+        return F.struct(F.when(norm == 0, 1.0).otherwise(sign * v["x"] / norm).alias("x"), F.when(norm == 0, 0.0).otherwise(sign * v["y"] / norm).alias("y"))
+
+    def two(v):
+        return _let(lambda w: pick(w), x1=v["b"], y1=v["first"] - v["a"], x2=v["first"] - v["c"], y2=v["b"])
+
+    made = _let(two, a=a, b=b, c=c, first=sym_eigen2x2(a, b, c)[0])
+    return F.transform(F.array(made), unit)[0]
+
+
 def sym_eigen2x2_vector(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     """(cs, sn): unit eigenvector of the first eigenvalue, its larger component positive."""
-    first, _ = sym_eigen2x2(a, b, c)
-    x1, y1 = b, first - a
-    x2, y2 = first - c, b
-    big = x1 * x1 + y1 * y1 >= x2 * x2 + y2 * y2
-    x, y = F.when(big, x1).otherwise(x2), F.when(big, y1).otherwise(y2)
-    norm = F.hypot(x, y)
-    sign = F.when(F.abs(x) >= F.abs(y), F.signum(x)).otherwise(F.signum(y))
-    cs = F.when(norm == 0, 1.0).otherwise(sign * x / norm)
-    return cs, F.when(norm == 0, 0.0).otherwise(sign * y / norm)
+    v = _vector(a, b, c)
+    return v["x"], v["y"]
 
 
 def svd2x2(f: Column, g: Column, h: Column) -> tuple[Column, Column]:
@@ -54,12 +71,21 @@ def svd2x2_vectors(f: Column, g: Column, h: Column) -> tuple[Column, Column, Col
     """(cl, sl, cr, sr): the left and right vectors of the largest singular value of
     [[f, g], [0, h]], so that [[cl, sl], [-sl, cl]] * A * [[cr, -sr], [sr, cr]] is
     diagonal.  The right one is the first eigenvector of A^T*A, the left one A times it."""
-    top = F.greatest(F.abs(f), F.abs(g), F.abs(h))
-    f, g, h = (F.when(top == 0, 0.0).otherwise(x / top) for x in (f, g, h))
-    cr, sr = sym_eigen2x2_vector(f * f, f * g, g * g + h * h)
-    x, y = f * cr + g * sr, h * sr
-    norm = F.hypot(x, y)
-    return F.when(norm == 0, 1.0).otherwise(x / norm), F.when(norm == 0, 0.0).otherwise(y / norm), cr, sr
+
+    def right(v):
+        part = lambda n: F.when(v["top"] == 0, 0.0).otherwise(v[n] / v["top"])
+        return _let(both, f=part("f"), g=part("g"), h=part("h"))
+
+    def both(v):
+        return _let(left, f=v["f"], g=v["g"], h=v["h"], r=_vector(v["f"] * v["f"], v["f"] * v["g"], v["g"] * v["g"] + v["h"] * v["h"]))
+
+    def left(v):
+        x, y = v["f"] * v["r"]["x"] + v["g"] * v["r"]["y"], v["h"] * v["r"]["y"]
+        norm = F.hypot(x, y)
+        return F.struct(F.when(norm == 0, 1.0).otherwise(x / norm).alias("cl"), F.when(norm == 0, 0.0).otherwise(y / norm).alias("sl"), v["r"]["x"].alias("cr"), v["r"]["y"].alias("sr"))
+
+    made = _let(right, f=f, g=g, h=h, top=F.greatest(F.abs(f), F.abs(g), F.abs(h)))
+    return made["cl"], made["sl"], made["cr"], made["sr"]
 
 
 def discriminant(a: Column, b: Column, c: Column) -> Column:

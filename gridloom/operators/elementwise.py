@@ -35,25 +35,21 @@ def add_constant(a: Matrix, alpha: float, uplo: str | None = None, unit: bool =
 
 def scale_factors(source: float, target: float) -> list[float]:
     """Factors whose product is target / source, none of which over- or underflows: the
-    quotient of the two fractions, then its power of two in steps a double can hold."""
+    quotient itself where that is safe, else powers of two that bring the source near 1,
+    the quotient of the fractions, and powers of two that lead to the target."""
     if source == 0 or not math.isfinite(source) or math.isnan(target):
         raise ValueError("scale_to needs a finite, non-zero source")
     if target == 0 or math.isinf(target):
         return [target / source]
     (top, up), (bottom, down) = math.frexp(target), math.frexp(source)
-    steps, power = [top / bottom], up - down
-    while power:
-        step = max(-1000, min(1000, power))
-        steps.append(math.ldexp(1.0, step))
-        power -= step
-    # Steps that a double can hold together are one factor.
-    out = steps[:1]
-    for x in steps[1:]:
-        if 2.0**-1000 < abs(out[-1] * x) < 2.0**1000:
-            out[-1] *= x
-        else:
-            out.append(x)
-    return out
+    if abs(up - down) < 1000 and min(up, down) > -1021:
+        return [target / source]
+
+    def powers(k: int) -> list[float]:
+        first = max(-1000, min(1000, k))
+        return [math.ldexp(1.0, x) for x in (first, k - first) if x]
+
+    return [*powers(-down), top / bottom, *powers(up)]
 
 
 def scale_to(a: Matrix, source: float, target: float, uplo: str | None = None) -> Matrix:

@@ -2,7 +2,7 @@
 
 `cells` is (key, i, j, v): a table of matrices that all have the given sizes.  Sides
 are at most SIDE, so a group is bounded; the work scales with the number of keys.
-Each operator returns long rows (key, part, i, j, v), part naming the factor.
+One large matrix is for `condensed`, `pivoted` and `spectral`.  Each operator returns long rows (key, part, i, j, v), part naming the factor.
 """
 
 from __future__ import annotations
@@ -149,6 +149,8 @@ def dqds(x: np.ndarray) -> dict[str, np.ndarray]:
                 if fine or s == 0.0:
                     break
             q[:n], e[: n - 1], shift = np.maximum(nq, 0.0), ne[: n - 1], shift + s
+        else:
+            raise ArithmeticError("a singular value did not converge")
         out.append(np.sqrt(max(q[n - 1] + shift, 0.0)))
         n -= 1
     return {"s": np.sort(np.array(out))[::-1]}

@@ -116,22 +116,22 @@ def _rounds(n: int):
         ring = [ring[0], ring[-1], *ring[1:-1]]
 
 
-def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int) -> DataFrame:
+def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int, beside: int = 0) -> DataFrame:
     """(i, a) with rows made orthogonal to each other by rotations: one-sided Jacobi on
-    row blocks of `width`.  A task holds two blocks; sweeps end when no pair of rows is
+    row blocks of `width`.  The last `beside` elements of a row only turn with the others.  A task holds two blocks; sweeps end when no pair of rows is
     off by more than the tolerance (rows that are rounding errors of the whole don't
     count), and ArithmeticError is raised if that takes too many."""
     count = max(2, -(-rows.rows // width))
     count += count % 2
-    n = rows.cols
+    n, whole_width = rows.cols - beside, rows.cols
     state = cut(rows.df.select("i", "a", F.lit(0.0).alias("off")), "jacobi")
-    whole = state.agg(F.sum(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x))).first()[0] or 0.0
+    whole = state.agg(F.sum(F.aggregate(F.slice("a", 1, n), F.lit(0.0), lambda t, x: t + x * x))).first()[0] or 0.0
     least = max(n, rows.rows) * 2.0**-53 * np.sqrt(whole)
 
     def turn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
-        x = np.stack(frame["a"].to_numpy()) if len(frame) else np.zeros((0, n))
-        g = x @ x.T
+        x = np.stack(frame["a"].to_numpy()) if len(frame) else np.zeros((0, whole_width))
+        g = x[:, :n] @ x[:, :n].T
         size = np.sqrt(np.maximum(np.diag(g), 1e-300))
         real = size > least
         close = np.abs(g / size[:, None] / size[None, :]) * real[:, None] * real[None, :]
@@ -190,27 +190,27 @@ def _width(n: int) -> int:
 
 def _jacobi_svd(a: Matrix, vectors: bool, width: int | None = None, tolerance: float = 1e-13, sweeps: int = 60) -> SVD:
     """SVD with both sides long.  Rows of A^T (columns of A) are made orthogonal: they are
-    then s*u; the right vectors follow as A^T*u/s.  Where s is 0 to working precision, the
-    vectors fill up the others to an orthonormal set."""
-    from .products import mult
-
-    turned = _orthogonalise(to_rows(a.T), tolerance, sweeps, width or _width(a.cols))
-    sized = cut(turned.withColumn("v", F.sqrt(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x))), "sized")
+    then s*u.  The identity beside them turns along and becomes V^T.  Where s is 0 to
+    working precision, columns of U fill up the others to an orthonormal set."""
+    m, n = a.rows, a.cols
+    rows = to_rows(a.T)
+    if vectors:
+        rows = Rows(map_rows(rows.df, m, lambda i, x: np.hstack((x, (i[:, None] == np.arange(n)[None, :]).astype(np.float64)))), n, m + n)
+    turned = _orthogonalise(rows, tolerance, sweeps, width or _width(n), n if vectors else 0)
+    sized = cut(turned.withColumn("v", F.sqrt(F.aggregate(F.slice("a", 1, m), F.lit(0.0), lambda t, x: t + x * x))), "sized")
     order = cut(ranked(sized.select("i", "v"), ascending=False), "ranked")
-    s = Vector(order.select(F.col("k").alias("i"), "v"), a.cols)
+    s = Vector(order.select(F.col("k").alias("i"), "v"), n)
     if not vectors:
         return SVD(None, s, None)
     top = order.agg(F.max("v")).first()[0] or 0.0
-    real = F.col("v") > max(a.rows, a.cols) * 2.0**-52 * top
+    real = F.col("v") > max(m, n) * 2.0**-52 * top
     missing = [r["k"] for r in order.where(~real).select("k").collect()]
-    unit = sized.where(real).select("i", "v", "a").join(order.select("i", F.col("k").alias("j")), "i").select("j", "v", F.posexplode("a").alias("i", "x"))
-    u = Matrix(cut(unit.select(F.col("i").cast("long").alias("i"), "j", (F.col("x") / F.col("v")).alias("v")), "u"), a.rows, a.cols)
-    raw = mult(1.0, a, u, trans_a=True)
-    cells = raw.df.join(s.df.where(real).select(F.col("i").alias("j"), F.col("v").alias("s")), "j")
-    v = Matrix(cells.select("i", "j", (F.col("v") / F.col("s")).alias("v")), a.cols, a.cols)
-    u, v = _completed(u, missing), Matrix(cut(_completed(v, missing).df, "v"), a.cols, a.cols)
+    placed = sized.join(order.select("i", F.col("k").alias("j")), "i").select("j", "v", F.posexplode("a").alias("i", "x"))
+    cells = cut(placed.select(F.col("i").cast("long").alias("i"), "j", "v", "x"), "placed")
+    u = Matrix(cells.where(F.col("i") < m).where(real).select("i", "j", (F.col("x") / F.col("v")).alias("v")), m, n)
+    v = Matrix(cells.where(F.col("i") >= m).select((F.col("i") - m).alias("i"), "j", F.col("x").alias("v")), n, n)
     signs = _signs(v)
-    return SVD(_turned(u, signs), s, _turned(v, signs))
+    return SVD(_turned(_completed(u, missing), signs), s, _turned(v, signs))
 
 
 def _jacobi_eigen(a: Matrix, vectors: bool) -> Eigen:

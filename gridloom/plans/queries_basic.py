@@ -52,6 +52,58 @@ def _two(make, names):
 
 
 
+def _eigen_faults(a, b, c):
+    first, _ = scalar.sym_eigen2x2(a, b, c)
+    x, y = scalar.sym_eigen2x2_vector(a, b, c)
+    off = F.abs(a * x + b * y - first * x) + F.abs(b * x + c * y - first * y)
+    return off, F.hypot(x, y) - 1, F.when(F.when(F.abs(x) >= F.abs(y), x).otherwise(y) < 0, 1.0).otherwise(0.0)
+
+
+def _svd_parts(f, g, h):
+    """Of [[f, g], [0, h]], turned from both sides."""
+    cl, sl, cr, sr = scalar.svd2x2_vectors(f, g, h)
+    p, q, r, s = f * cr + g * sr, g * cr - f * sr, h * sr, h * cr
+    return F.abs(cl * p + sl * r), F.abs(cl * s - sl * q), F.abs(cl * q + sl * s) + F.abs(cl * r - sl * p)
+
+
+def _between(*large: float):
+    """The embedding between numbers that cancel but swallow it in a plain sum."""
+    ends = [F.lit(x) for x in large]
+    return F.concat(F.array(*ends), F.transform("embedding", lambda v: v.cast("double")), F.array(*[-x for x in reversed(ends)]))
+
+
+def _norm_two(t: Tables):
+    """Of a matrix whose eigenvalues are 1..64."""
+    from .queries_spectral import _known
+
+    return rounded(rd.norm(mx.mirrored(_known(t), "lower"), "two"))
+
+
+def _drawn(make, low: float, high: float, mean: float, variance: float):
+    """What holds for independent elements of a distribution: range, mean and variance within
+    five deviations, quartiles, neighbours that don't correlate; and elements that only
+    depend on their position and the seed."""
+
+    def f(t: Tables):
+        a, n = make(t.spark, 200, 200, 7), 40000
+        kurtosis = 1.8 if low == 0 else 3.0
+        other = mx.submatrix(make(t.spark, 250, 220, 7), 0, 0, 200, 200).df.select("i", "j", F.col("v").alias("x"))
+        beside = a.df.select("i", (F.col("j") + 1).alias("j"), F.col("v").alias("y"))
+        both = a.df.join(other, ["i", "j"], "left").join(beside, ["i", "j"], "left")
+        near = lambda x, want, deviation: F.abs(x - want) < 5 * deviation
+        return both.agg(
+            F.count("*").alias("n"),
+            ((F.min("v") >= low) & (F.max("v") < high)).alias("inside"),
+            near(F.avg("v"), mean, (variance / n) ** 0.5).alias("mean"),
+            near(F.var_pop("v"), variance, variance * ((kurtosis - 1) / n) ** 0.5).alias("variance"),
+            near(F.avg(F.when(F.col("v") < mean, 1.0).otherwise(0.0)), 0.5, 0.5 / n**0.5).alias("spread"),
+            near(F.avg((F.col("v") - mean) * (F.col("y") - mean)), 0.0, variance / n**0.5).alias("apart"),
+            (F.sum(F.when(F.col("v") == F.col("x"), 0).otherwise(1)) == 0).alias("same"),
+        )
+
+    return f
+
+
 QUERIES = {
     # construction and round trips
     "from_table": (lambda t: shown(t.s), cells("s", "SELECT * FROM s")),
@@ -64,8 +116,10 @@ QUERIES = {
         lambda t: shown(mx.generate(t.spark, 30, 20, lambda i, j: i - 2.0 * j, uplo="lower", unit=True)),
         "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST(CASE WHEN a.r = b.r THEN 1.0 ELSE a.r - 2.0 * b.r END AS DOUBLE) AS v FROM range(30) a(r), range(20) b(r) WHERE a.r >= b.r",
     ),
-    "uniform_elements": (lambda t: shown(mx.uniform(t.spark, 50, 40, 7)), None),
-    "normal_elements": (lambda t: shown(mx.normal(t.spark, 50, 40, 7)), None),
+    "set_all": (lambda t: shown(mx.generate(t.spark, 30, 20, lambda i, j: F.lit(2.5))), "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, 2.5::DOUBLE AS v FROM range(30) a(r), range(20) b(r)"),
+    "uniform_elements": (_drawn(mx.uniform, 0.0, 1.0, 0.5, 1 / 12), "SELECT CAST(40000 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same"),
+    "normal_elements": (_drawn(mx.normal, -7.0, 7.0, 0.0, 1.0), "SELECT CAST(40000 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same"),
+    "set_at": (lambda t: shown(mx.set_at(t.g, 200, -1.5)), cells("g", "SELECT i, j, CASE WHEN i = 8 AND j = 3 THEN -1.5 ELSE v END AS v FROM g")),
     "make_triangular": (lambda t: shown(mx.make_triangular(t.g, "lower")), cells("g", "SELECT * FROM g WHERE i >= j")),
     "make_triangular_unit": (lambda t: shown(mx.make_triangular(t.g, "upper", unit=True)), cells("g", "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE v END AS v FROM g WHERE i <= j")),
     "market_array": (lambda t: shown(_market(t, "array")), cells("g", "SELECT * FROM g")),
@@ -130,7 +184,9 @@ QUERIES = {
     "norm_one": (lambda t: rounded(rd.norm(t.e, "one")), number("e", "(SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY j) q)")),
     "norm_inf": (lambda t: rounded(rd.norm(t.e, "inf")), number("e", "(SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY i) q)")),
     "norm_frobenius": (lambda t: rounded(rd.norm(t.e, "frobenius")), number("e", "(SELECT sqrt(sum(v * v)) FROM e)")),
-    "norm_two": (lambda t: rounded(rd.norm(t.e, "two")), None),
+    "norm_two": (_norm_two, "SELECT 64.0::DOUBLE AS value"),
+    "norm_triangle": (lambda t: rounded(rd.norm(t.g, "inf", "lower", unit=True)), number("g", "(SELECT max(s) FROM (SELECT i, sum(CASE WHEN i = j THEN 1.0 ELSE abs(v) END) AS s FROM g WHERE i >= j GROUP BY i) q)")),
+    "norm_symmetric": (lambda t: rounded(rd.norm(mx.make_triangular(t.g, "upper"), "frobenius", "upper", symmetric=True)), number("g", "(SELECT sqrt(sum(v * v)) FROM g)")),
     # vectors
     "axpy": (lambda t: shown(ew.axpy(t.x, 2.0, mx.column_of(t.e, 0))), entries("e x", "SELECT x.i, x.v + 2.0 * e.v AS v FROM x JOIN e ON e.i = x.i WHERE e.j = 0")),
     "axpby": (lambda t: shown(ew.axpby(0.5, t.x, -1.0, mx.column_of(t.e, 2))), entries("e x", "SELECT x.i, 0.5 * x.v - e.v AS v FROM x JOIN e ON e.i = x.i WHERE e.j = 2")),
@@ -151,22 +207,32 @@ QUERIES = {
         _two(lambda a, b, c: scalar.svd2x2(a, b, c), ("small", "large")),
         f"WITH {_TRIPLES} SELECT k, round(abs(sqrt((a + c) * (a + c) + b * b) - sqrt((a - c) * (a - c) + b * b)) / 2, 6) + 0.0 AS small, round((sqrt((a + c) * (a + c) + b * b) + sqrt((a - c) * (a - c) + b * b)) / 2, 6) + 0.0 AS large FROM p",
     ),
+    "sym_eigen2x2_vector": (
+        # |A*x - first*x|, |x| - 1 and the sign rule: all 0.
+        _two(lambda a, b, c: _eigen_faults(a, b, c), ("off", "unit", "sign")),
+        f"WITH {_TRIPLES} SELECT k, 0.0::DOUBLE AS off, 0.0::DOUBLE AS unit, 0.0::DOUBLE AS sign FROM p",
+    ),
+    "svd2x2_vectors": (
+        # The diagonal that the rotations leave, and what is left beside it.
+        _two(lambda a, b, c: _svd_parts(a, b, c), ("large", "small", "beside")),
+        f"WITH {_TRIPLES}, s AS (SELECT k, a, c, sqrt((a + c) * (a + c) + b * b) AS x, sqrt((a - c) * (a - c) + b * b) AS y FROM p) SELECT k, round((x + y) / 2, 6) + 0.0 AS large, round(abs(x - y) / 2, 6) + 0.0 AS small, 0.0::DOUBLE AS beside FROM s",
+    ),
     "discriminant": (_two(lambda a, b, c: (scalar.discriminant(a, b, c),), ("d",)), f"WITH {_TRIPLES} SELECT k, round(b * b - a * c, 6) + 0.0 AS d FROM p"),
     "quadratic_roots": (
         lambda t: _triples(t).where("a != 0 and b*b - a*c > 0.001").select("k", *[(F.round(f(*scalar.quadratic_roots(F.col("a"), F.col("b"), F.col("c"))), 6) + 0.0).alias(n) for f, n in ((F.least, "low"), (F.greatest, "high"))]),
         f"WITH {_TRIPLES}, r AS (SELECT k, (b - sqrt(b * b - a * c)) / a AS x, (b + sqrt(b * b - a * c)) / a AS y FROM p WHERE a != 0 AND b * b - a * c > 0.001) SELECT k, round(least(x, y), 6) + 0.0 AS low, round(greatest(x, y), 6) + 0.0 AS high FROM r",
     ),
     "compensated_sum": (
-        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.sum2(F.transform("embedding", lambda v: v.cast("double"))), 6) + 0.0).alias("v")),
+        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.sum2(_between(2.0**60)), 6) + 0.0).alias("v")),
         entries("e", "SELECT i, sum(v) AS v FROM e GROUP BY i"),
     ),
     "k_fold_sum": (
-        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.sumk(F.transform("embedding", lambda v: v.cast("double")), 3), 6) + 0.0).alias("v")),
+        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.sumk(_between(2.0**100, 2.0**60), 4), 6) + 0.0).alias("v")),
         entries("e", "SELECT i, sum(v) AS v FROM e GROUP BY i"),
     ),
     "compensated_dot": (
-        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.dot2(F.transform("embedding", lambda v: F.struct(v.cast("double").alias("a"), v.cast("double").alias("b")))), 6) + 0.0).alias("v")),
-        entries("e", "SELECT i, sum(v * v) AS v FROM e GROUP BY i"),
+        lambda t: t.table("embeddings").select(F.col("vec_id").alias("i"), (F.round(eft.dot2(F.transform(_between(2.0**30), lambda v: F.struct(v.alias("a"), F.abs(v).alias("b")))), 6) + 0.0).alias("v")),
+        entries("e", "SELECT i, sum(v * abs(v)) AS v FROM e GROUP BY i"),
     ),
     # order
     "sort_vector": (lambda t: shown(sorting.sort_vector(mx.column_of(t.e, 0))), entries("e", "SELECT row_number() OVER (ORDER BY v, i) - 1 AS i, v FROM e WHERE j = 0")),

@@ -343,6 +343,11 @@ QUERIES = {
     "hyperbolic_apply": (_hyperbolic, cells("h", "SELECT a.i, b.j, sum(a.v * CASE WHEN a.j < 63 THEN b.v ELSE -b.v END) AS v FROM h a JOIN h b ON a.j = b.i GROUP BY 1, 2")),
     "givens_rows": (lambda t: shown(orthogonal.givens_rows(t.g, 0.6, 0.8, 2, 5)), cells("g", "SELECT g.i, g.j, CASE g.i WHEN 2 THEN 0.6 * g.v + 0.8 * o.v WHEN 5 THEN 0.6 * g.v - 0.8 * o.v ELSE g.v END AS v FROM g JOIN g o ON o.j = g.j AND o.i = CASE g.i WHEN 2 THEN 5 WHEN 5 THEN 2 ELSE g.i END")),
     "givens_columns": (lambda t: shown(orthogonal.givens_columns(t.e, 0.6, 0.8, 0, 1)), cells("e", "SELECT e.i, e.j, CASE e.j WHEN 0 THEN 0.6 * e.v + 0.8 * o.v WHEN 1 THEN 0.6 * e.v - 0.8 * o.v ELSE e.v END AS v FROM e JOIN e o ON o.i = e.i AND o.j = CASE e.j WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE e.j END")),
+    "givens_sequence_turns": (
+        # Three rotations of neighbouring columns in turn: (c0, c1), (c1, c2), (c2, c3).
+        lambda t: shown(Matrix(orthogonal.givens_sequence(t.e, [(0.6, 0.8), (0.8, -0.6), (0.28, 0.96)], 0, "right").df.where("j < 4"), t.n, 4)),
+        cells("e", "SELECT i, j, CASE j WHEN 0 THEN b0 WHEN 1 THEN c1 WHEN 2 THEN 0.28 * c2 + 0.96 * x3 ELSE 0.28 * x3 - 0.96 * c2 END AS v FROM (SELECT *, 0.8 * b1 - 0.6 * x2 AS c1, 0.8 * x2 + 0.6 * b1 AS c2 FROM (SELECT i, x2, x3, 0.6 * x0 + 0.8 * x1 AS b0, 0.6 * x1 - 0.8 * x0 AS b1 FROM (SELECT i, max(CASE WHEN j = 0 THEN v END) AS x0, max(CASE WHEN j = 1 THEN v END) AS x1, max(CASE WHEN j = 2 THEN v END) AS x2, max(CASE WHEN j = 3 THEN v END) AS x3 FROM e GROUP BY i) p) q) r, (SELECT CAST(k AS BIGINT) AS j FROM range(4) z(k)) s"),
+    ),
     "givens_sequence": (lambda t: shown(orthogonal.givens_sequence(t.e, [(0.6, 0.8)], 0, "right")), cells("e", "SELECT e.i, e.j, CASE e.j WHEN 0 THEN 0.6 * e.v + 0.8 * o.v WHEN 1 THEN 0.6 * e.v - 0.8 * o.v ELSE e.v END AS v FROM e JOIN e o ON o.i = e.i AND o.j = CASE e.j WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE e.j END")),
     "compat_gemm": (lambda t: shown(compat.gemm("T", "N", 1.0, t.e, t.e, 1.0, t.eye)), _H),
     "compat_syrk": (lambda t: shown(compat.syrk("L", "T", 1.0, t.e)), cells("g", "SELECT * FROM g WHERE i >= j")),

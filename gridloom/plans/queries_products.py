@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import blocks, extended
 from ..operators import products as pr
-from ..operators.matrix import Matrix, column_of, make_triangular, triangle
+from ..operators.matrix import Matrix, Vector, column_of, make_triangular, triangle
 from ..operators.rows import gram as row_gram
 from ..operators.rows import matrix_of, times_small
 from ..operators.rows import from_rows as rows_matrix
-from .tables import Tables, cells, entries, number, rounded, shown
+from .tables import Tables, cells, entries, number, rounded, shown, sql
 
 _MV = "SELECT {0} AS i, sum(a.v * w.v) AS v FROM {1} a JOIN w ON {2} = w.i GROUP BY 1"
 _LOW = "(SELECT * FROM g WHERE i >= j)"
@@ -19,6 +21,63 @@ def _c0(t: Tables):
     return column_of(t.g, 0)
 
 
+# Numbers that a plain sum gets wrong: g rounded, plus or minus 2^50 in turn; SQL adds them up
+# as integers.
+
+
+def _m(t: Tables) -> Matrix:
+    return t.g.with_values(F.round("v", 0) + F.when((F.col("i") + F.col("j")) % 2 == 0, 2.0**50).otherwise(-(2.0**50)))
+
+
+def _wi(t: Tables) -> Vector:
+    """1, 1, 2, 2, ..., so that the large parts cancel."""
+    return Vector(t.w.df.select("i", (1 + F.floor(F.col("i") / 2)).cast("double").alias("v")), 64)
+
+
+def _wide(t: Tables) -> Matrix:
+    """64 x 3: _wi times 1, 2, 3."""
+    return Matrix(_wi(t).df.select("i", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("j"), "v").select("i", "j", (F.col("v") * (F.col("j") + 1)).alias("v")), 64, 3)
+
+
+def _flat(t: Tables) -> Vector:
+    """_m row by row."""
+    return Vector(_m(t).df.select((F.col("i") * 64 + F.col("j")).alias("i"), "v"), 4096)
+
+
+def _tiled(t: Tables) -> Vector:
+    """_wi for each row of _m."""
+    return Vector(t.spark.range(4096).select(F.col("id").alias("i"), (1 + F.floor(F.col("id") % 64 / 2)).cast("double").alias("v")), 4096)
+
+
+def _huge(t: Tables) -> Vector:
+    """_m row by row between +-2^100 and +-2^70."""
+    more = t.spark.range(4).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.col("id") + 4096).alias("i"), F.element_at(F.array(*[F.lit(x) for x in (2.0**100, 2.0**70, -(2.0**70), -(2.0**100))]), (F.col("id") + 1).cast("int")).alias("v"))
+    return Vector(_flat(t).df.select((F.col("i") + 2).alias("i"), "v").unionByName(more), 4100)
+
+
+def _near(t: Tables, offset: float = 0.0) -> Vector:
+    """2^30 + i."""
+    return Vector(t.w.df.select("i", (F.col("v") - 1 + offset).alias("v")), 64)
+
+
+def _against(t: Tables, times: float) -> Matrix:
+    """-(2^60 + (i + j) * 2^30) * times."""
+    ij = (F.col("i") + F.col("j")).cast("double")
+    return Matrix(t.g.df.select("i", "j", (-times * (2.0**60 + ij * 2.0**30)).alias("v")), 64, 64)
+
+
+_MI = ", mi AS (SELECT i, j, CAST(round(v) AS HUGEINT) + CASE WHEN (i + j) % 2 = 0 THEN 1125899906842624 ELSE -1125899906842624 END AS v FROM g), wi AS (SELECT CAST(r AS BIGINT) AS i, CAST(1 + r // 2 AS HUGEINT) AS v FROM range(64) z(r)), wide AS (SELECT i, CAST(k AS BIGINT) AS j, v * (k + 1) AS v FROM wi, range(3) y(k))"
+
+
+def _exact(body: str) -> str:
+    """body over mi, wi and wide, whose v are integers, however large."""
+    names = "i, j, " if " j," in body.split(" FROM")[0] or ".j," in body.split(" FROM")[0] else "i, "
+    return sql("g", f"{_MI} SELECT {names}CAST(v AS DOUBLE) AS v FROM ({body}) q")
+
+
+def _exact_number(expression: str) -> str:
+    return sql("g", f"{_MI} SELECT round(CAST({expression} AS DOUBLE), 6) + 0.0 AS value")
+
 
 QUERIES = {
     "mult_gram_supplier": (lambda t: shown(pr.mult(1.0, t.s, t.s, trans_b=True)), cells("s", "SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM s a JOIN s b ON a.j = b.j GROUP BY 1, 2")),
@@ -56,23 +115,42 @@ QUERIES = {
     ),
     "mvupdate_trm": (lambda t: shown(pr.mvupdate(0.0, make_triangular(t.g, "upper"), 1.0, t.w, t.w, "upper")), cells("w", "SELECT a.i, b.i AS j, a.v * b.v AS v FROM w a JOIN w b ON a.i <= b.i")),
     # extended precision
-    "ext_sum": (lambda t: rounded(extended.total(t.x, 2.0)), number("x", "(SELECT 2.0 * sum(v) FROM x)")),
-    "ext_asum": (lambda t: rounded(extended.total(column_of(t.e, 0), absolute=True)), number("e", "(SELECT sum(abs(v)) FROM e WHERE j = 0)")),
-    "ext_dot": (lambda t: rounded(extended.dot(t.x, column_of(t.e, 0), 3.0)), number("e x", "(SELECT 3.0 * sum(x.v * e.v) FROM e JOIN x ON e.i = x.i WHERE e.j = 0)")),
-    "ext_nrm2": (lambda t: rounded(extended.nrm2(column_of(t.e, 0))), number("e", "(SELECT sqrt(sum(v * v)) FROM e WHERE j = 0)")),
-    "ext_axpby": (lambda t: shown(extended.axpby(0.5, t.x, 2.0, column_of(t.e, 0))), entries("e x", "SELECT x.i, 0.5 * x.v + 2.0 * e.v AS v FROM x JOIN e ON x.i = e.i WHERE e.j = 0")),
-    "ext_mvmult": (lambda t: shown(extended.mvmult(1.0, t.e, t.w)), entries("e w", _MV.format("a.i", "e", "a.j"))),
-    "ext_mvmult_sym": (lambda t: shown(extended.mvmult_sym(1.0, make_triangular(t.g, "upper"), t.w, uplo="upper")), entries("g w", _MV.format("a.i", "g", "a.j"))),
-    "ext_mvmult_trm": (lambda t: shown(extended.mvmult_trm(1.0, t.g, t.w)), entries("g w", _MV.format("a.i", _LOW, "a.j"))),
-    "ext_mvupdate": (lambda t: shown(extended.mvupdate(1.0, t.g, 1.0, t.w, t.w)), cells("g w", "SELECT g.i, g.j, g.v + a.v * b.v AS v FROM g JOIN w a ON a.i = g.i JOIN w b ON b.i = g.j")),
+    "ext_sum": (lambda t: rounded(extended.total(_flat(t), 2.0)), _exact_number("(SELECT 2 * sum(v) FROM mi)")),
+    "ext_asum": (lambda t: rounded(extended.total(_flat(t), absolute=True)), _exact_number("(SELECT sum(abs(v)) FROM mi)")),
+    "ext_k_fold_sum": (lambda t: rounded(extended.k_fold_sum(_huge(t), 4)), _exact_number("(SELECT sum(v) FROM mi)")),
+    "ext_dot": (lambda t: rounded(extended.dot(_flat(t), _tiled(t), 3.0)), _exact_number("(SELECT 3 * sum(mi.v * wi.v) FROM mi JOIN wi ON mi.j = wi.i)")),
+    "ext_adot": (lambda t: rounded(extended.dot(_flat(t), _tiled(t), 1.0, 0.5)), _exact_number("(SELECT 0.5::DOUBLE + CAST(sum(mi.v * wi.v) AS DOUBLE) FROM mi JOIN wi ON mi.j = wi.i)")),
+    "ext_nrm2": (
+        lambda t: rounded(extended.nrm2(Vector(column_of(t.e, 0).df.select("i", (F.col("v") * 1e200).alias("v")), t.n)).select((F.col("value") / 1e200).alias("value"))),
+        number("e", "(SELECT sqrt(sum(v * v)) FROM e WHERE j = 0)"),
+    ),
+    "ext_axpby": (
+        lambda t: shown(extended.axpby(3.0, column_of(_m(t), 0), -1.0, Vector(t.w.df.select("i", F.when(F.col("i") % 2 == 0, 3 * 2.0**50).otherwise(-3 * 2.0**50).alias("v")), 64))),
+        entries("g", "SELECT i, 3.0 * round(v) AS v FROM g WHERE j = 0"),
+    ),
+    "ext_scale": (
+        lambda t: extended.scale(column_of(_m(t), 0), 3.0).select("i", ((F.col("v") - F.when(F.col("i") % 2 == 0, 3 * 2.0**50).otherwise(-3 * 2.0**50)) + F.col("dv") + 0.0).alias("v")),
+        entries("g", "SELECT i, 3.0 * round(v) AS v FROM g WHERE j = 0"),
+    ),
+    "ext_mvmult": (lambda t: shown(extended.mvmult(1.0, _m(t), _wi(t))), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i GROUP BY 1")),
+    "ext_mvmult_sym": (lambda t: shown(extended.mvmult_sym(1.0, make_triangular(_m(t), "upper"), _wi(t), uplo="upper")), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i GROUP BY 1")),
+    "ext_mvmult_trm": (lambda t: shown(extended.mvmult_trm(1.0, _m(t), _wi(t))), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i WHERE mi.i >= mi.j GROUP BY 1")),
+    "ext_mvupdate": (lambda t: shown(extended.mvupdate(1.0, _against(t, 1.0), 1.0, _near(t, 2.0**30), _near(t, 2.0**30))), cells("w", "SELECT a.i, b.i AS j, (a.v - 1) * (b.v - 1) AS v FROM w a, w b")),
+    "ext_mvupdate_trm": (
+        lambda t: shown(extended.mvupdate_trm(1.0, make_triangular(_against(t, 1.0), "upper"), 1.0, _near(t, 2.0**30), _near(t, 2.0**30), "upper")),
+        cells("w", "SELECT a.i, b.i AS j, (a.v - 1) * (b.v - 1) AS v FROM w a, w b WHERE a.i <= b.i"),
+    ),
     "ext_mvupdate2_sym": (
-        lambda t: shown(Matrix(extended.mvupdate2_sym(1.0, t.g, 1.0, t.w, _c0(t)).df.where(triangle("lower")), 64, 64)),
-        cells("g w", "SELECT g.i, g.j, g.v + a.v * d.v + c.v * b.v AS v FROM g JOIN w a ON a.i = g.i JOIN w b ON b.i = g.j JOIN g c ON c.i = g.i AND c.j = 0 JOIN g d ON d.i = g.j AND d.j = 0 WHERE g.i >= g.j"),
+        lambda t: shown(Matrix(extended.mvupdate2_sym(1.0, _against(t, 2.0), 1.0, _near(t, 2.0**30), _near(t, 2.0**30)).df.where(triangle("lower")), 64, 64)),
+        cells("w", "SELECT a.i, b.i AS j, 2 * (a.v - 1) * (b.v - 1) AS v FROM w a, w b WHERE a.i >= b.i"),
+    ),
+    "ext_mult": (lambda t: shown(extended.mult(1.0, _m(t), _wide(t))), _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i GROUP BY 1, 2")),
+    "ext_mult_sym": (lambda t: shown(extended.mult_sym(1.0, make_triangular(_m(t), "lower"), _wide(t))), _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i GROUP BY 1, 2")),
+    "ext_mult_trm": (lambda t: shown(extended.mult_trm(1.0, _m(t), _wide(t))), _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i WHERE mi.i >= mi.j GROUP BY 1, 2")),
+    "ext_update_trm": (
+        lambda t: shown(extended.update_trm(1.0, _m(t), Matrix(_wide(t).df, 64, 64))),
+        _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i WHERE mi.i >= wide.j GROUP BY 1, 2"),
     ),
-    "ext_mult": (lambda t: shown(extended.mult(1.0, t.e, t.e, 1.0, t.eye, trans_a=True)), cells("h", "SELECT * FROM h")),
-    "ext_mult_sym": (lambda t: shown(extended.mult_sym(1.0, make_triangular(t.g, "lower"), t.h)), cells("g h", _GG.format("g", "h"))),
-    "ext_mult_trm": (lambda t: shown(extended.mult_trm(1.0, t.g, t.h)), cells("g h", _GG.format(_LOW, "h"))),
-    "ext_update_trm": (lambda t: shown(extended.update_trm(1.0, t.g, t.h)), cells("g h", "SELECT * FROM (" + _GG.format("g", "h") + ") q WHERE i >= j")),
     "ext_solve_trm": (lambda t: shown(pr.mult_trm(1.0, t.h, extended.solve_trm(t.h, t.b))), cells("b", "SELECT * FROM b")),
     "ext_mvsolve_trm": (lambda t: shown(pr.mvmult_trm(1.0, t.h, extended.mvsolve_trm(1.0, t.h, t.w))), entries("w", "SELECT * FROM w")),
 }
