@@ -31,8 +31,8 @@ NAMES = {
 class _Maker:
     def __init__(self, rng: random.Random):
         self.rng = rng
-        self.hints = rng.random() < 0.9
-        self.semantic = rng.random() < 0.7
+        self.hints = rng.random() < 0.7
+        self.semantic = rng.random() < 0.6
         self.accents = rng.random() < 0.4
 
     def word(self) -> str:

@@ -43,7 +43,7 @@ class Train:
     """pages: how many labelled pages are made when none are given; also the most that
     `fit` takes of a given table."""
 
-    pages: int = 800
+    pages: int = 1200
     steps: int = 160
     rate: float = 0.1
     l2: float = 0.002

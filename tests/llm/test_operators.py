@@ -254,6 +254,18 @@ def test_main_text_of_unseen_pages(tree):
     assert np.mean([g == t for g, (_, t) in zip(got, pairs, strict=True)]) > 0.9
 
 
+@pytest.mark.parametrize(("semantic", "least"), [(True, 0.85), (False, 0.68)])
+def test_main_text_without_any_names(tree, semantic, least):
+    """Pages none of whose elements has a class, id or role that tells what it is."""
+    rng, pairs = random.Random(903), []
+    for _ in range(200):
+        maker = labelled_pages._Maker(rng)
+        maker.hints, maker.semantic = False, semantic
+        pairs.append(maker.page())
+    got = main_text.main_texts([a for a, _ in pairs], tree)
+    assert np.mean([g == t for g, (_, t) in zip(got, pairs, strict=True)]) > least
+
+
 def test_main_text_by_hand(spark, tree):
     page = (
         "<html><head><title>no</title><style>p{}</style></head><body><header class='site-header'><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></li></ul></nav>"
