@@ -91,7 +91,13 @@ def mult(
     alpha: float, a: Matrix, b: Matrix, beta: float = 0.0, c: Matrix | None = None,
     trans_a: bool = False, trans_b: bool = False, abs_a: bool = False, abs_b: bool = False,
 ) -> Matrix:
-    """beta*C + alpha*op(A)*op(B).  `blocks.mult` does the same with dense tiles."""
+    """beta*C + alpha*op(A)*op(B).  `blocks.mult` does the same with dense tiles.  Of A*A^T
+    and A^T*A, which are symmetric, one triangle is summed and then read both ways."""
+    if a is b and trans_a != trans_b and abs_a == abs_b:
+        half = _joined(_op(a, trans_a, abs_a), _op(b, trans_b, abs_b), alpha, "lower")
+        there, back = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+        both = half.df.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))).alias("at"), "v")
+        return _onto(beta, c, Matrix(both.select("at.i", "at.j", "v"), half.rows, half.cols))
     return _onto(beta, c, _joined(_op(a, trans_a, abs_a), _op(b, trans_b, abs_b), alpha))
 
 
