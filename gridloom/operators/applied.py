@@ -101,3 +101,48 @@ class Triangle:
             if same or self.blocks == 1:
                 break
         return x
+
+
+def incomplete_lu(a: Matrix, block: int = BLOCK) -> Matrix | None:
+    """ILU(0) of a matrix whose cells every task may hold (None: it has too many).  A task
+    eliminates the rows of its blocks one after another, with what other blocks' rows were
+    at the last sweep; a block only needs those before it, so sweeps end exactly."""
+    spark, n = a.df.sparkSession, a.rows
+    if not fits(a.df.count()):
+        return None
+    cells = a.df.select("i", "j", "v").toArrow().sort_by([("i", "ascending"), ("j", "ascending")])
+    i, j, given = (cells[c].to_numpy() for c in ("i", "j", "v"))
+    bounds = np.searchsorted(i, np.arange(n + 1))
+    pivot = np.full(n, -1)
+    pivot[i[i == j]] = np.flatnonzero(i == j)
+    factor, blocks = given.copy(), -(-n // block)
+
+    def run(batches):
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                own = factor.copy()
+                left, right = number * block, min((number + 1) * block, n)
+                for row in range(left, right):
+                    start, end = bounds[row], bounds[row + 1]
+                    columns, values = j[start:end], given[start:end].copy()
+                    for p in range(int(np.searchsorted(columns, row))):
+                        k = columns[p]
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            values[p] /= own[pivot[k]]
+                        behind = slice(pivot[k] + 1, bounds[k + 1])
+                        place = np.searchsorted(columns, j[behind])
+                        hit = (place < len(columns)) & (columns[np.minimum(place, len(columns) - 1)] == j[behind])
+                        values[place[hit]] -= values[p] * own[behind][hit]
+                    own[start:end] = values
+                at = slice(bounds[left], bounds[right])
+                yield pa.record_batch([pa.array(np.arange(at.start, at.stop)), pa.array(own[at])], names=["at", "v"])
+
+    for _ in range(blocks):
+        got = spark.range(0, blocks, 1, blocks).mapInArrow(run, "at long, v double").toArrow()
+        new = factor.copy()
+        new[got["at"].to_numpy()] = got["v"].to_numpy()
+        same = np.array_equal(new, factor, equal_nan=True)
+        factor = new
+        if same or blocks == 1:
+            break
+    return Matrix(spark.createDataFrame(pa.table({"i": i, "j": j, "v": factor})), n, a.cols)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut
-from .applied import Triangle, fits, gathered, table
+from .applied import Triangle, fits, gathered, incomplete_lu, table
 from .elementwise import mult_diag, plus
 from .matrix import Matrix, ShapeError, Vector, column_of, identity, row_of
 from .products import mult, mvmult, triangular
@@ -181,7 +181,10 @@ def _sweep(a: Matrix, limit: int | None, tolerance: float) -> Matrix:
     f_ij = (a_ij - sum_k<j f_ik*f_kj)/f_jj, else f_ij = a_ij - sum_k<i f_ik*f_kj.
 
     A chain of dependencies takes two steps a row, so 2*rows sweeps are always enough;
-    a smaller limit that is reached before nothing changes is an error."""
+    a smaller limit that is reached before nothing changes is an error.  Without a limit and
+    with cells that every task may hold, rows are eliminated in blocks instead."""
+    if limit is None and (made := incomplete_lu(a)) is not None:
+        return made
     base = cut(a.df, "pattern")
     f = base
     enough = 2 * a.rows

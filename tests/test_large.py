@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import blocks, condensed, elementwise, factor, iterative, orthogonal, pivoted, small, sorting, sparse, spectral
-from gridloom.operators.applied import Triangle, gathered, table
+from gridloom.operators.applied import Triangle, gathered, incomplete_lu, table
 from gridloom.operators.matrix import Matrix, Vector, from_table, make_triangular, vector_from
 from gridloom.operators.rows import levels, matrix_of, solve_narrow, to_rows
 from gridloom.operators.rows import small as array
@@ -180,6 +180,29 @@ def test_levels_follow_the_tasks(spark):
     assert found[0] == 12500 and found[-1] == 8 and all(a <= 8 * b for a, b in zip(found, found[1:]))
 
 
+def test_incomplete_factors_by_blocks(spark):
+    """Of a grid's matrix, against elimination on the pattern and against sweeps over tables."""
+    side = 12
+    n = side * side
+    x = np.zeros((n, n))
+    for k in range(n):
+        x[k, k] = 4 + k % 3
+        for q in ((k - 1) if k % side else -1, k + 1 if (k + 1) % side else -1, k - side, k + side):
+            if 0 <= q < n:
+                x[k, q] = -1.0 - (k + q) % 2
+    want, mask = x.copy(), x != 0
+    for i in range(1, n):
+        for k in range(i):
+            if mask[i, k]:
+                want[i, k] /= want[k, k]
+                own = mask[i] & (np.arange(n) > k)
+                want[i, own] -= want[i, k] * want[k, own]
+    a = matrix_of(spark, x).where(F.col("v") != 0)
+    for block in (16, 1000):
+        assert np.allclose(array(incomplete_lu(a, block)), want, atol=1e-12)
+    assert np.allclose(array(sparse.ilu0(a)), want, atol=1e-12)
+
+
 def test_sparse_triangles_by_blocks(spark):
     """A chain through all rows, over many blocks."""
     n = 500
