@@ -412,7 +412,7 @@ def by_hand(texts, ids):
     return name, [len(x) for x in links]
 
 
-@pytest.mark.parametrize("join", [chosen_path.Join(), chosen_path.Join(small=24, block=32, tile=16), chosen_path.Join(small=4, pays=9, depth=4, block=16, tile=5), chosen_path.Join(small=4, pivots=2, pays=0, block_tokens=300)])
+@pytest.mark.parametrize("join", [chosen_path.Join(), chosen_path.Join(small=4, pays=9, depth=4, block=16, tile=5), chosen_path.Join(small=24, pivots=2, pays=0, block_tokens=300, tile=16)])
 def test_classes_by_brute_force(spark, join):
     texts = near_texts()
     ids = list(range(len(texts)))
