@@ -116,6 +116,12 @@ def _rounds(n: int):
         ring = [ring[0], ring[-1], *ring[1:-1]]
 
 
+def _with_path(frame: DataFrame, table: DataFrame) -> DataFrame:
+    """`frame`, which only reads `table`, with that table's place."""
+    frame.written_to = table.written_to
+    return frame
+
+
 def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int, beside: int = 0) -> DataFrame:
     """(i, a) with rows made orthogonal to each other by rotations: one-sided Jacobi on
     row blocks of `width`.  The last `beside` elements of a row only turn with the others.  A task holds two blocks; sweeps end when no pair of rows is
@@ -140,17 +146,17 @@ def _orthogonalise(rows: Rows, tolerance: float, sweeps: int, width: int, beside
         if off > tolerance:
             _, v = np.linalg.eigh(g)
             x = v[:, ::-1].T @ x
+        off = max(off, frame["off"].max())  # rows carry the worst of the sweep along
         return pd.DataFrame({"i": frame["i"].to_numpy(), "a": list(x), "off": np.full(len(frame), off)})
 
     for _ in range(sweeps):
-        worst = 0.0
+        state = _with_path(state.withColumn("off", F.lit(0.0)), state)
         for pairs in _rounds(count):
             partner = {b: k for k, pair in enumerate(pairs) for b in pair}
             key = F.create_map(*[F.lit(x) for kv in partner.items() for x in kv])[F.floor(F.col("i") / width).cast("int")]
-            old, state = state, cut(state.select("i", "a").groupBy(key.alias("pair")).applyInPandas(turn, "i long, a array<double>, off double"), "jacobi")
+            old, state = state, cut(state.groupBy(key.alias("pair")).applyInPandas(turn, "i long, a array<double>, off double"), "jacobi")
             spent(old)
-            worst = max(worst, state.agg(F.max("off")).first()[0] or 0.0)
-        if worst <= tolerance:
+        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             return state.select("i", "a")
     raise ArithmeticError(f"rows are not orthogonal after {sweeps} sweeps")
 
@@ -185,7 +191,7 @@ def _completed(a: Matrix, missing: list[int]) -> Matrix:
 
 def _width(n: int) -> int:
     """Rows of a Jacobi block: a task holds two."""
-    return min(256, max(16, -(-n // 4)))
+    return min(256, max(32, -(-n // 4)))
 
 
 def _jacobi_svd(a: Matrix, vectors: bool, width: int | None = None, tolerance: float = 1e-13, sweeps: int = 60) -> SVD:
