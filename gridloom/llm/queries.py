@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, chosen_path, main_text, mixing, pair_bpe, quality_rules, token_counts, token_store, vector_join, warc
+from . import alignment, byte_cnn, centroids, chosen_path, main_text, mixing, pair_bpe, quality_rules, simhash, token_counts, token_store, vector_join, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,12 @@ def queries() -> dict:
         "op8_quality_classifier": byte_cnn.query,
         "op9_vector_join": vector_join.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_simhash": simhash.query,
+        "op12_alignment": alignment.query,
+        "op13_centroids": centroids.query,
     }
 
 
 def oracle_sql() -> dict:
     """Only what SQL can express on whole tables; the rest is tested against brute force."""
-    return {}
+    return {"op13_centroids": centroids.oracle_sql()}
