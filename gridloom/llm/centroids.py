@@ -60,7 +60,7 @@ class Centers:
         small = [max(map(abs, v), default=0) <= FLOAT_MOST for v in values]
         self.small = np.flatnonzero(small)
         self.large = np.flatnonzero(~np.array(small, bool))
-        self.matrix = np.array([values[k] for k in self.small], np.float64)
+        self.matrix = np.array([values[k] for k in self.small], np.float64).reshape(len(self.small), len(values[0]))
         self.norms = (self.matrix * self.matrix).sum(axis=1)
 
     @staticmethod
