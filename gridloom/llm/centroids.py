@@ -240,8 +240,8 @@ def oracle_sql(how: Clustering = Clustering()) -> str:
     parts = [
         f"""fit AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, v, list_dot_product(v, v) AS norm
-  FROM (SELECT vec_id, list_transform(embedding, x -> floor({how.scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
-        WHERE len(embedding) = {how.components} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {how.components}))""",
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: floor({how.scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE len(embedding) = {how.components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {how.components}))""",
         f"""c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('{how.salt}' || vec_id) AS h, v FROM fit ORDER BY h LIMIT {how.k}))""",
     ]
@@ -261,5 +261,5 @@ def oracle_sql(how: Clustering = Clustering()) -> str:
     last = how.rounds
     return f"""WITH {", ".join(parts)}
 SELECT f.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
-  sha256(array_to_string(list_transform(c.v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
 FROM a{last} a JOIN fit f USING (rid) JOIN c{last} c USING (cluster)"""
