@@ -47,7 +47,7 @@ def to_blocks(a: Matrix, side: int = SIDE) -> Blocks:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bi, bj = (int(x.as_py()) for x in key)
         tile = np.zeros((min(side, rows - bi * side), min(side, cols - bj * side)))
-        tile[table["i"].to_numpy(), table["j"].to_numpy()] = table["v"].to_numpy()
+        np.add.at(tile, (table["i"].to_numpy(), table["j"].to_numpy()), table["v"].to_numpy())
         return pa.Table.from_batches([_batch([(bi, bj, tile)])])
 
     return Blocks(cells.groupBy("bi", "bj").applyInArrow(run, _SCHEMA), rows, cols, side)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cut import cut
 from .elementwise import solve_diag
 from .matrix import Matrix, ShapeError, Vector, as_column, diagonal, identity, make_triangular, mirrored
-from .rows import NARROW_BYTES, PANEL, Rows, eliminate, from_rows, matrix_of, solve_narrow, solve_rows, to_rows
+from .rows import NARROW_BYTES, PANEL, Rows, check_shared, eliminate, from_rows, matrix_of, solve_narrow, solve_rows, to_rows
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class LU:
     @property
     def order(self) -> list[int]:
         """order[k] is the row of A that became row k."""
+        check_shared(self.packed.rows)
         return [r["i"] for r in self.moves.orderBy("k").collect()]
 
     @property
@@ -86,7 +87,7 @@ def _dense(b: Matrix) -> np.ndarray:
     """A narrow right-hand side as an array."""
     out = np.zeros((b.rows, b.cols))
     cells = b.df.select("i", "j", "v").toArrow()
-    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
+    np.add.at(out, (cells["i"].to_numpy(), cells["j"].to_numpy()), cells["v"].to_numpy())
     return out
 
 
@@ -97,7 +98,10 @@ def mvsolve_trm(alpha: float, a: Matrix, x: Vector, uplo: str = "lower", trans:
 
 
 def lu_solve(f: LU, b: Matrix, trans: bool = False) -> Matrix:
-    """X with A*X = B, or A^T*X = B (U^T, then L^T, then the rows put back)."""
+    """X with A*X = B, or A^T*X = B (U^T, then L^T, then the rows put back).  ArithmeticError
+    if a pivot was 0."""
+    if f.singular:
+        raise ArithmeticError("the matrix is singular")
     spark = f.packed.df.sparkSession
     if f.rows is not None and _narrow(b):
         if trans:
@@ -157,7 +161,8 @@ def _reversed(a: Matrix) -> Matrix:
 
 def ldl(a: Matrix, uplo: str = "lower", panel: int = PANEL) -> LDL:
     """Unpivoted L*D*L^T from the lower, or U*D*U^T from the upper triangle.  The upper
-    form is the lower one of the matrix read backwards."""
+    form is the lower one of the matrix read backwards.  ArithmeticError where a pivot is
+    0 and the column below it is not: such a matrix has no factors without pivoting."""
     full = mirrored(a, uplo)
     if uplo == "upper":
         f = ldl(_reversed(full), "lower", panel)
@@ -169,6 +174,9 @@ def ldl(a: Matrix, uplo: str = "lower", panel: int = PANEL) -> LDL:
 
 
 def ldl_solve(f: LDL, b: Matrix) -> Matrix:
+    """X with A*X = B; ArithmeticError if an element of D is 0."""
+    if f.d.df.agg(F.coalesce(F.count_if(F.col("v") != 0), F.lit(0))).first()[0] < f.d.size:
+        raise ArithmeticError("the matrix is singular")
     y = solve_triangular(f.factor, b, uplo=f.uplo, unit=True)
     return solve_triangular(f.factor, solve_diag(y, 1.0, f.d), uplo=f.uplo, trans=True, unit=True)
 

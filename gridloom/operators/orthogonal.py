@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut
+from . import qr_tree
 from .elementwise import plus
 from .matrix import Matrix, ShapeError, Vector, as_column
 from .products import mult
-from .rows import Rows, check_shared, collect_small, from_rows, map_rows, matrix_of, reduce_tree, solve_small, times_small, to_rows
+from .rows import SHARED_BYTES, Rows, check_shared, collect_small, from_rows, map_rows, matrix_of, reduce_tree, small, solve_small, to_rows
 
 
 @dataclass(frozen=True)
@@ -40,25 +41,20 @@ def tsqr(rows: Rows) -> np.ndarray:
     return _positive(r)
 
 
-def _inverse(r: np.ndarray) -> np.ndarray:
-    """Inverse of a small upper triangle; directions that vanish are left out."""
-    eye = np.eye(len(r))
-    odd = np.abs(np.diag(r)) <= np.abs(r).max(initial=0.0) * len(r) * 2.0**-53
-    t = r.copy()
-    t[odd] = eye[odd]
-    inverse = solve_small(t, eye, False, False)
-    inverse[:, odd] = 0.0
-    return inverse
+def qr_rows(a: Rows) -> tuple[Rows, np.ndarray]:
+    """(Q, R) of a tall matrix with few columns: one panel of reflector trees.  Q is
+    orthonormal whatever the rank is; R is an array."""
+    check_shared(a.cols, a.cols)
+    f = qr_tree.factor(a, max(a.cols, 1))
+    return qr_tree.thin_q(f), _square(f.r.df, a.cols)
 
 
-def qr_rows(a: Rows) -> tuple[Rows, np.ndarray]:
-    """(Q, R) of a tall matrix: R by TSQR, Q = A*R^-1, both done twice, which makes Q
-    orthogonal to working precision."""
-    r1 = tsqr(a)
-    q = times_small(a, _inverse(r1))
-    q = Rows(cut(q.df, "q"), a.rows, a.cols)
-    r2 = tsqr(q)
-    return times_small(q, _inverse(r2)), r2 @ r1
+def _square(rows: DataFrame, n: int) -> np.ndarray:
+    """n rows (i, a) of n numbers as an array."""
+    out = np.zeros((n, n))
+    for r in rows.collect():
+        out[r["i"]] = r["a"]
+    return out
 
 
 def _flip(a: Matrix, rows: bool, cols: bool) -> Matrix:
@@ -67,13 +63,13 @@ def _flip(a: Matrix, rows: bool, cols: bool) -> Matrix:
     return Matrix(a.df.select(i.alias("i"), j.alias("j"), "v"), a.rows, a.cols)
 
 
-def qr(a: Matrix | Rows) -> Orthogonal:
-    """A = Q*R for rows >= cols; R's diagonal is not negative.  A table in row layout is
-    not shuffled."""
+def qr(a: Matrix | Rows, panel: int = qr_tree.PANEL) -> Orthogonal:
+    """A = Q*R for rows >= cols, both of any length; R's diagonal is not negative, and Q is
+    orthonormal whatever the rank is.  A table in row layout is not shuffled."""
     if a.rows < a.cols:
         raise ShapeError((a.rows, a.cols))
-    q, r = qr_rows(to_rows(a))
-    return Orthogonal(from_rows(q), matrix_of(a.df.sparkSession, np.triu(r)), "qr")
+    f = qr_tree.factor(to_rows(a), panel)
+    return Orthogonal(from_rows(qr_tree.thin_q(f)), from_rows(f.r), "qr")
 
 
 def lq(a: Matrix) -> Orthogonal:
@@ -120,15 +116,7 @@ def mult_q(f: Orthogonal, c: Matrix, side: str = "left", trans: bool = False) ->
 def least_squares(a: Matrix | Rows, b: Matrix, trans: bool = False) -> Matrix:
     """X that minimises |A*X - B| for a tall A, or with trans the smallest X with
     A^T*X = B."""
-    f = qr(a)
-    r = np.zeros((a.cols, a.cols))
-    for row in f.factor.df.collect():
-        r[row["i"], row["j"]] = row["v"]
-    spark = a.df.sparkSession
-    inverse = matrix_of(spark, _inverse(r))
-    if trans:
-        return mult(1.0, f.q, mult(1.0, inverse, b, trans_a=True))
-    return mult(1.0, inverse, mult(1.0, f.q, b, trans_a=True))
+    return solve(qr(a), b, trans)
 
 
 def min_norm(a: Matrix, b: Matrix) -> Matrix:
@@ -138,15 +126,25 @@ def min_norm(a: Matrix, b: Matrix) -> Matrix:
 
 def solve(f: Orthogonal, b: Matrix, trans: bool = False) -> Matrix:
     """With A of any of the forms: X that minimises |A*X - B| for a tall A (qr, ql), the
-    smallest X with A*X = B for a wide one (lq, rq); with trans the same of A^T."""
-    from .factor import solve_triangular
+    smallest X with A*X = B for a wide one (lq, rq); with trans the same of A^T.
+
+    Of a rank-deficient A it is the smallest of the X that minimise |A*X - B|: the triangle's
+    pseudo-inverse takes the place of its inverse, as far as the triangle may be sent to all tasks.
+    A longer one is substituted, and a zero on its diagonal raises ArithmeticError."""
+    tall, n = f.form in ("qr", "ql"), f.factor.rows
+    spark = b.df.sparkSession
+
+    def through(c: Matrix) -> Matrix:
+        from .factor import solve_triangular
+
+        if 8 * n * n > SHARED_BYTES:
+            return solve_triangular(f.factor, c, uplo="upper" if f.form in ("qr", "rq") else "lower", trans=trans)
+        t = small(f.factor, n)
+        return mult(1.0, matrix_of(spark, np.linalg.pinv(t.T if trans else t, rcond=max(n, 1) * 2.0**-52)), c)
 
-    uplo = "upper" if f.form in ("qr", "rq") else "lower"
-    tall = f.form in ("qr", "ql")
     if tall != trans:  # least squares: project, then the triangle
-        y = mult(1.0, f.q, b, trans_a=tall)
-        return solve_triangular(f.factor, y, uplo=uplo, trans=trans)
-    return mult(1.0, f.q, solve_triangular(f.factor, b, uplo=uplo, trans=trans), trans_a=not tall)
+        return through(mult(1.0, f.q, b, trans_a=tall))
+    return mult(1.0, f.q, through(b), trans_a=not tall)
 
 
 @dataclass(frozen=True)

@@ -54,7 +54,8 @@ def from_arrays(table: DataFrame, i: str, values: str, rows: int, cols: int) ->
 
 
 def to_rows(a: Matrix | Rows) -> Rows:
-    """One shuffle by row; rows without cells become zero rows, a null value is 0."""
+    """One shuffle by row; rows without cells become zero rows, a null value is 0, repeated
+    cells are summed."""
     if isinstance(a, Rows):
         return a
     width = a.cols
@@ -66,7 +67,8 @@ def to_rows(a: Matrix | Rows) -> Rows:
             out = np.zeros((batch.num_rows, width))
             cells_ = batch.column("c")
             sizes, flat = cells_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), cells_.flatten()
-            out[np.repeat(np.arange(batch.num_rows), sizes), flat.field("j").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
+            # Repeated cells are summed, as joins do.
+            np.add.at(out, (np.repeat(np.arange(batch.num_rows), sizes), flat.field("j").to_numpy(zero_copy_only=False)), flat.field("v").to_numpy(zero_copy_only=False))
             yield pa.record_batch([batch.column("i"), arrays(out)], names=["i", "a"])
 
     filled = every.join(cells, "i", "left").select("i", "c")
@@ -158,7 +160,7 @@ def small(a: Matrix, most: int = 2048) -> np.ndarray:
         raise ShapeError(f"{a.rows} x {a.cols} is larger than {most}")
     out = np.zeros((a.rows, a.cols))
     cells = a.df.select("i", "j", "v").toArrow()
-    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
+    np.add.at(out, (cells["i"].to_numpy(), cells["j"].to_numpy()), cells["v"].to_numpy())
     return out
 
 
@@ -174,7 +176,8 @@ def matrix_of(spark, array: np.ndarray) -> Matrix:
 
 
 def lu_in_place(x: np.ndarray, pivot: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(packed L and U, row order) of a small matrix; a zero pivot leaves its column."""
+    """(packed L and U, row order) of a small matrix.  A zero pivot with a zero column below
+    leaves both; below it a number that is not zero has no quotient: ArithmeticError."""
     x = x.copy()
     m, n = x.shape
     order = np.arange(m)
@@ -184,11 +187,20 @@ def lu_in_place(x: np.ndarray, pivot: bool) -> tuple[np.ndarray, np.ndarray]:
             if p != k:
                 x[[k, p]], order[[k, p]] = x[[p, k]], order[[p, k]]
         if x[k, k] != 0:
-            x[k + 1 :, k] /= x[k, k]
-            x[k + 1 :, k + 1 :] -= np.outer(x[k + 1 :, k], x[k, k + 1 :])
+            with np.errstate(all="ignore"):  # what is not finite goes on as it is
+                x[k + 1 :, k] /= x[k, k]
+                x[k + 1 :, k + 1 :] -= np.outer(x[k + 1 :, k], x[k, k + 1 :])
+        elif x[k + 1 :, k].any():
+            raise ArithmeticError(f"pivot {k} is zero, but not the column below it")
     return x, order
 
 
+def no_zeros(diagonal: np.ndarray) -> None:
+    """ArithmeticError if a triangle with this diagonal has no inverse."""
+    if (diagonal == 0).any():
+        raise ArithmeticError("the triangle is singular: its diagonal has a zero")
+
+
 def solve_small(t: np.ndarray, b: np.ndarray, lower: bool, unit: bool) -> np.ndarray:
     """Substitution with a small triangle; the other triangle is not read."""
     x, n = b.copy(), len(t)
@@ -244,6 +256,8 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
 
     pivot: partial (by tournament), none, or cholesky (L*L^T of a symmetric positive
     definite A, L packed in the lower triangle; raises ArithmeticError otherwise).
+    A zero pivot above a column that is not zero has no factors: ArithmeticError.  Values
+    that are not finite are no errors; they go through as arithmetic has them.
     """
     m, n = rows.rows, rows.cols
     # Written first: every step reads it more than once.
@@ -266,7 +280,10 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
             singular |= bool((np.diag(upper) == 0).any())
             top = solve_small(upper, x[:, right:], True, True)
             x[:, left:right], x[:, right:] = upper, top
-        table = cut(state.mapInArrow(_step(picked, x, upper, top, left, right, n), "i long, k long, a array<double>"), "panel")
+        table = cut(state.mapInArrow(_step(picked, x, upper, top, left, right, n), "i long, k long, a array<double>, odd boolean"), "panel")
+        if pivot != "cholesky" and (np.diag(upper) == 0).any() and table.where("odd").limit(1).count():
+            raise ArithmeticError(f"a pivot of the columns {left} to {right - 1} is zero, but not the column below it")
+        table = table.drop("odd")
         done.append(table.where("k is not null"))
         state = table.where("k is null")
     for part in done:
@@ -285,8 +302,10 @@ def eliminate(rows: Rows, pivot: str = "partial", panel: int = PANEL) -> tuple[R
 
 
 def _step(picked: list[int], x: np.ndarray, upper: np.ndarray, top: np.ndarray, left: int, right: int, width: int):
-    """mapInArrow: the pivot rows take their place, all rows without one are reduced."""
+    """mapInArrow: the pivot rows take their place, all rows without one are reduced.  odd: a
+    row whose part under a zero pivot is not zero, so that no multiple of the pivots makes it."""
     places = {p: r for r, p in enumerate(picked)}
+    zero = np.diag(upper) == 0
 
     def run(batches):
         for batch in batches:
@@ -296,14 +315,24 @@ def _step(picked: list[int], x: np.ndarray, upper: np.ndarray, top: np.ndarray,
             a = block(batch, "a", width).copy()
             own = [r for r, i in enumerate(names) if k[r] is None and i in places]
             rest = np.array([r for r, i in enumerate(names) if k[r] is None and i not in places], np.int64)
-            part = solve_small(upper.T, a[rest, left:right].T, True, False).T
-            part[~np.isfinite(part)] = 0.0
+            given = a[rest, left:right]
+            odd = np.zeros(len(names), bool)
+            if zero.any():
+                # Under a zero pivot the multiple is 0; what is left there must be rounding.
+                part = given.copy()
+                for c in range(right - left):
+                    part[:, c] -= part[:, :c] @ upper[:c, c]
+                    part[:, c] = 0.0 if zero[c] else part[:, c] / upper[c, c]
+                odd[rest] = (np.abs(given - part @ np.triu(upper)) > 2.0**-40 * (np.abs(given).max(initial=0.0) + np.abs(upper).max(initial=0.0))).any(axis=1)
+            else:
+                part = solve_small(upper.T, given.T, True, False).T
             a[rest, left:right] = part
-            a[rest, right:] -= part @ top
+            with np.errstate(all="ignore"):
+                a[rest, right:] -= part @ top
             for r in own:
                 a[r, left:] = x[places[names[r]], left:]
                 k[r] = left + places[names[r]]
-            yield pa.record_batch([batch.column("i"), pa.array(k, pa.int64()), arrays(a)], names=["i", "k", "a"])
+            yield pa.record_batch([batch.column("i"), pa.array(k, pa.int64()), arrays(a), pa.array(odd)], names=["i", "k", "a", "odd"])
 
     return run
 
@@ -316,7 +345,7 @@ def solve_narrow(t: Rows, b: np.ndarray, lower: bool, unit: bool = False, trans:
     """op(T)^-1 * B for a triangle of T and a narrow B.  T stays where it is and is not
     written again: for each panel, tasks multiply their rows with what is solved already,
     and only the panel's corner and these sums are gathered.  The other triangle is not used,
-    so packed factors will do."""
+    so packed factors will do.  A zero on the diagonal raises ArithmeticError."""
     n, k = b.shape
     x = b.astype(np.float64, copy=True)
     starts = list(range(0, n, panel))
@@ -355,6 +384,8 @@ def solve_narrow(t: Rows, b: np.ndarray, lower: bool, unit: bool = False, trans:
                 corner[r["i"] - left] = r["a"][: right - left]
                 if not trans:
                     off[r["i"] - left] = r["a"][right - left :]
+        if not unit:
+            no_zeros(np.diag(corner))
         x[left:right] = solve_small(corner.T if trans else corner, x[left:right] - off, forward, unit)
     return x
 
@@ -369,6 +400,8 @@ def solve_rows(t: Rows, b: Rows, lower: bool, unit: bool = False, panel: int = P
     for left in starts if lower else reversed(starts):
         right = min(left + panel, n)
         _, x = collect_small(state.where(F.col("i").between(left, right - 1)), n + k, right - left)
+        if not unit:
+            no_zeros(np.diag(x[:, left:right]))
         own = solve_small(x[:, left:right], x[:, n:], lower, unit)
 
         def step(i, a, left=left, right=right, own=own):

@@ -89,12 +89,18 @@ def count(a: Matrix) -> DataFrame:
     return a.df.agg(F.count("*").alias("value"))
 
 
-def spy(a: Matrix, most: int = 64) -> DataFrame:
-    """(i, line): x where a cell is stored, of the first rows and columns."""
-    held = a.df.where((F.col("i") < most) & (F.col("j") < most)).groupBy("i").agg(F.collect_set("j").alias("js"))
-    wide = a.df.sparkSession.range(min(most, a.rows)).select(F.col("id").alias("i")).join(held, "i", "left")
-    marks = F.transform(F.sequence(F.lit(0), F.lit(max(min(most, a.cols) - 1, 0))), lambda c: F.when(F.array_contains(F.coalesce("js", F.array().cast("array<bigint>")), c.cast("long")), "x").otherwise("."))
-    return wide.select("i", F.concat_ws("", marks).alias("line"))
+def spy(a: Matrix, top: int = 0, left: int = 0, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """(i, line): x where a cell is stored and a point where none is, of all rows and
+    columns, or of a window.  A row's stored columns are sorted; its line is made of the gaps
+    between them."""
+    rows, cols = a.rows - top if rows is None else rows, a.cols - left if cols is None else cols
+    inside = a.df.where(F.col("i").between(top, top + rows - 1) & F.col("j").between(left, left + cols - 1))
+    held = inside.groupBy("i").agg(F.array_sort(F.collect_set((F.col("j") - left).cast("int"))).alias("js"))
+    wide = a.df.sparkSession.range(top, top + rows).select(F.col("id").alias("i")).join(held, "i", "left")
+    js = F.coalesce("js", F.array().cast("array<int>"))
+    before = F.concat(F.array(F.lit(-1)), js)
+    marks = F.zip_with(js, F.slice(before, F.lit(1), F.size(js)), lambda j, p: F.concat(F.repeat(F.lit("."), j - p - 1), F.lit("x")))
+    return wide.select("i", F.rpad(F.concat_ws("", marks), cols, ".").alias("line"))
 
 
 def add(alpha: float, a: Matrix, beta: float, b: Matrix, trans_a: bool = False, trans_b: bool = False) -> Matrix:
@@ -125,13 +131,21 @@ scale_by = mult_diag
 spmv = mvmult
 
 
+def invertible(half: Matrix) -> None:
+    """ArithmeticError if a diagonal cell is not stored or 0."""
+    if half.df.where("i = j and v != 0").agg(F.count_distinct("i")).first()[0] < half.rows:
+        raise ArithmeticError("the triangle is singular: its diagonal has a zero")
+
+
 def solve_triangular(a: Matrix, b: Vector, alpha: float = 1.0, uplo: str = "lower", trans: bool = False, unit: bool = False) -> Vector:
     """alpha*op(A)^-1*b for a sparse triangle.  Up to `applied.SHARED_VECTOR` unknowns blocks
     of rows are substituted in tasks; beyond, x <- D^-1*(alpha*b - N*x) is swept over tables.
-    Either way until nothing changes."""
+    Either way until nothing changes.  A row without a diagonal raises ArithmeticError."""
     if a.rows != a.cols or b.size != a.rows:
         raise ShapeError((a.rows, a.cols, b.size))
     half = triangular(a, uplo, unit)
+    if not unit:
+        invertible(half)
     half = half.T if trans else half
     n = a.rows
     if fits(n):

@@ -261,51 +261,81 @@ def _bands(d: Vector | list, e: Vector | list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _below(d: np.ndarray, e: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each x how many eigenvalues of the tridiagonal (d, e) are below it."""
-    q, count, e2 = np.ones(len(x)), np.zeros(len(x), np.int64), np.concatenate(([0.0], e * e))
-    for m in range(len(d)):
-        q = np.where(np.abs(q) < 1e-290, -1e-290, q)
-        q = d[m] - x - e2[m] / q
-        count += q < 0
+    """For each x how many eigenvalues of the tridiagonal (d, e) are below it.  Pivots come
+    from quotients, e * (e / q), and never from squares, so with a largest element near 1
+    nothing over- or underflows that could change a count."""
+    q, count = np.ones(len(x)), np.zeros(len(x), np.int64)
+    beside = np.concatenate(([0.0], e))
+    with np.errstate(over="ignore", under="ignore", divide="ignore"):
+        for m in range(len(d)):
+            q = np.where(q == 0, -1e-307, q)
+            q = d[m] - x - beside[m] * (beside[m] / q)
+            count += q < 0
     return count
 
 
+def _unit(*parts: np.ndarray) -> float:
+    """The power of two that brings the largest of all elements to one half at least."""
+    top = max((np.abs(p).max(initial=0.0) for p in parts), default=0.0)
+    if not np.isfinite(top):
+        raise ArithmeticError("the matrix holds values that are not finite")
+    return float(np.ldexp(1.0, max(-1000, min(1000, -int(np.frexp(top)[1]))))) if top else 1.0
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order: neighbours differ by one."""
+    bits = np.ascontiguousarray(x, np.float64).view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
+
+
+def _doubles(places: np.ndarray) -> np.ndarray:
+    return np.where(places < 0, np.int64(-(2**63)) - places, places).view(np.float64)
+
+
+def _halved(low: float, high: float, above: np.ndarray, count) -> np.ndarray:
+    """For each k of `above` the least double with count(x) > k, down to neighbouring
+    doubles: small values keep all their digits."""
+    a, b = np.full(len(above), _places(np.array([low]))[0]), np.full(len(above), _places(np.array([high]))[0])
+    while len(a) and (b - a > 1).any():
+        x = a // 2 + b // 2 + (a & b & 1)
+        below = count(_doubles(x)) > above
+        b, a = np.where(below, x, b), np.where(below, a, x)
+    return _doubles(a)
+
+
 def _counts_below(d: np.ndarray, e: np.ndarray, x: np.ndarray):
-    return zip(x.tolist(), np.where(x == np.inf, len(d), np.where(x == -np.inf, 0, _below(d, e, np.nan_to_num(x)))).tolist(), strict=True)
+    return zip(x.tolist(), np.where(x == np.inf, len(d), np.where(x == -np.inf, 0, _below(d * _unit(d, e), e * _unit(d, e), np.nan_to_num(x) * _unit(d, e)))).tolist(), strict=True)
 
 
 def sturm_counts(spark, d: Vector | list, e: Vector | list, points: DataFrame) -> DataFrame:
     """(x, count): how many eigenvalues of the tridiagonal (d, e) are below each x of
     `points`; any number of points is one narrow pass."""
     diag, off = _bands(d, e)
+    unit = _unit(diag, off)
 
     def count(batches):
         for frame in batches:
-            yield pd.DataFrame({"x": frame["x"], "count": _below(diag, off, frame["x"].to_numpy(np.float64)).astype(np.int32)})
+            yield pd.DataFrame({"x": frame["x"], "count": _below(diag * unit, off * unit, frame["x"].to_numpy(np.float64) * unit).astype(np.int32)})
 
     return points.select(F.col("x").cast("double").alias("x")).mapInPandas(count, "x double, count int")
 
 
-def bisect(spark, d: Vector | list, e: Vector | list, first: int = 0, last: int | None = None, steps: int = 64) -> DataFrame:
+def bisect(spark, d: Vector | list, e: Vector | list, first: int = 0, last: int | None = None) -> DataFrame:
     """(i, v): eigenvalues first <= i < last of a symmetric tridiagonal matrix, ascending.
-    Each is a row with its own interval, which is halved `steps` times."""
+    Each is a row with its own interval, which is halved down to neighbouring doubles."""
     diag, off = _bands(d, e)
-    n = len(diag)
+    n, unit = len(diag), _unit(diag, off)
+    diag, off = diag * unit, off * unit
     last = n if last is None else last
     size = np.abs(off)
     reach = np.concatenate((size, [0.0])) + np.concatenate(([0.0], size)) if n else np.zeros(0)
-    wide = np.abs(diag).max(initial=0.0) + reach.max(initial=0.0)
-    low, high = (diag - reach).min(initial=0.0) - 1e-12 * wide - 1e-300, (diag + reach).max(initial=0.0) + 1e-12 * wide + 1e-300
+    wide = 1e-12 * (np.abs(diag).max(initial=0.0) + reach.max(initial=0.0)) + 1e-300
+    low, high = (diag - reach).min(initial=0.0) - wide, (diag + reach).max(initial=0.0) + wide
 
     def halve(batches):
         for frame in batches:
             k = frame["i"].to_numpy()
-            a, b = np.full(len(k), low), np.full(len(k), high)
-            for _ in range(steps):
-                x = (a + b) / 2
-                below = _below(diag, off, x) > k
-                b, a = np.where(below, x, b), np.where(below, a, x)
-            yield pd.DataFrame({"i": k, "v": (a + b) / 2})
+            yield pd.DataFrame({"i": k, "v": _halved(low, high, k, lambda x: _below(diag, off, x)) / unit})
 
     return spark.range(first, last).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
 
@@ -324,27 +354,24 @@ def tridiagonal_eigen(d: Vector, e: Vector, vectors: bool = True) -> Eigen:
     return _jacobi_eigen(_band(d, e, True), True)
 
 
-def bidiagonal_values(d: Vector, e: Vector, steps: int = 128) -> DataFrame:
-    """(i, v): singular values of the upper bidiagonal (d, e), descending.  They are the
-    upper half of the eigenvalues of the tridiagonal matrix with a zero diagonal and
-    d0, e0, d1, e1, ... beside it, whose Sturm counts keep small ones accurate; the
-    interval is halved until it is as narrow as the value's own rounding."""
+def bidiagonal_values(d: Vector, e: Vector) -> DataFrame:
+    """(i, v): singular values of the upper bidiagonal (d, e), descending, each a row of its
+    own and right to its last digits however small it is.
+
+    They are the upper half of the eigenvalues of the tridiagonal matrix with a zero diagonal
+    and d0, e0, d1, e1, ... beside it.  Its count of values below x is the differential
+    transform q <- -x - b * (b / q), which holds relative accuracy since nothing in it
+    cancels against a diagonal; scaling by a power of two keeps it in range."""
     diag, off = _bands(d, e)
-    n = len(diag)
+    n, unit = len(diag), _unit(diag, off)
     beside = np.zeros(max(2 * n - 1, 0))
-    beside[0::2], beside[1::2] = diag, off
-    zero, high = np.zeros(2 * n), 2 * np.abs(beside).max(initial=0.0)
+    beside[0::2], beside[1::2] = diag * unit, off * unit
+    zero, high = np.zeros(2 * n), 2 * np.abs(beside).max(initial=0.0) + 1e-300
 
     def halve(batches):
         for frame in batches:
             k = frame["i"].to_numpy()
-            a, b = np.zeros(len(k)), np.full(len(k), high)
-            for _ in range(steps):
-                # By the geometric mean once the lower end is known, so that small values keep their digits.
-                x = np.where(a > 0, np.sqrt(a) * np.sqrt(b), b / 16)
-                below = _below(zero, beside, x) > 2 * n - 1 - k
-                b, a = np.where(below, x, b), np.where(below, a, x)
-            yield pd.DataFrame({"i": k, "v": np.where(a > 0, (a + b) / 2, 0.0)})
+            yield pd.DataFrame({"i": k, "v": _halved(0.0, high, 2 * n - 1 - k, lambda x: _below(zero, beside, x)) / unit})
 
     return d.df.sparkSession.range(n).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.matrix import Matrix, mirrored, uniform
+from gridloom.operators.matrix import Matrix, ShapeError, mirrored, uniform
 from gridloom.operators.rows import small as array
 from gridloom.sources import json_matrix, matrix_market
 
@@ -50,3 +50,28 @@ def test_json(spark, sparse):
 def test_json_that_is_no_matrix(spark):
     texts = spark.createDataFrame([(1, "nonsense"), (2, '{"rows":1,"cols":1,"data":[[1,0,5.0],[0,0,2.0]]}'), (3, None)], "key long, json string")
     assert [(r["key"], r["v"]) for r in json_matrix.read(texts).collect()] == [(2, 2.0)]
+
+
+def test_json_faults_are_counted_or_raised(spark):
+    rows = [(1, "nonsense"), (2, '{"rows":1,"cols":1,"data":[[1,0,5.0],[0,0,2.0],[0,0]]}'), (3, None), (4, '{"rows":2,"cols":2,"data":[1,2,3]}'), (5, '{"rows":0,"cols":3,"data":[]}'), (None, '{"rows":1,"cols":2,"data":[1.5,2.5]}')]
+    texts = spark.createDataFrame(rows, "key long, json string")
+    got = {r["key"]: (r["matrix"], r["whole"], r["dropped"]) for r in json_matrix.faults(texts).collect()}
+    assert got == {1: (False, False, 0), 2: (True, True, 2), 4: (True, False, 0), 5: (True, True, 0), None: (True, True, 0)}
+    good = texts.where("key is null or key in (3, 5)")
+    assert sorted(r["v"] for r in json_matrix.read(good, strict=True).collect()) == [1.5, 2.5]
+    for key in (1, 2, 4):
+        with pytest.raises(Exception, match=f"no whole matrix: {key}"):
+            json_matrix.read(texts.where(F.col("key") == key), strict=True).collect()
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_json_documents_of_some_columns(spark, sparse):
+    a = uniform(spark, 4, 11, 5)
+    parts = json_matrix.write_parts(a, sparse, columns=3)
+    cells = json_matrix.read(parts, "part", strict=True).collect()
+    back = np.zeros((4, 11))
+    for r in cells:
+        back[r["i"], r["j"] + 3 * r["key"]] = r["v"]
+    assert parts.count() == 4 and np.allclose(back, array(a))
+    with pytest.raises(ShapeError):
+        json_matrix.write(a, sparse, most=40)
