@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import byte_cnn, chosen_path, mixing, pair_bpe, quality_rules
-from gridloom.llm.shared import written
+from gridloom.llm.shared import spent, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, one after another, each written and reread."""
-    docs = _table(spark, sf_dir, "documents")
+    """The stages over `documents`, one after another, each written and reread; a stage's
+    table is deleted once the next is written.  Null ids and sources, null, empty, very long
+    and repeated texts and an empty table are no errors: what each stage does with them is in
+    the docstring of its operator."""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        spent(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
