@@ -63,3 +63,17 @@ def test_core_does_not_need_the_training_data_part(tmp_path, left_out):
     assert done.returncode == 0, done.stderr
     names, count = done.stdout.splitlines()
     assert "lu" in names.split() and "pipeline" not in names.split() and not any(n.startswith("op") for n in names.split()) and int(count) > 200
+
+
+def test_a_broken_training_data_module_costs_only_that_part(tmp_path):
+    at = tmp_path / "copy"
+    shutil.copytree(entry.ROOT, at, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    broken = at / "gridloom" / "llm" / "queries.py"
+    if not broken.exists():
+        pytest.skip("the training-data part is not here")
+    broken.write_text("import a_module_that_is_not_there\n" + broken.read_text())
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONDONTWRITEBYTECODE": "1"}
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); print(len(e.oracle_sql()))"], cwd=at, env=env, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr
+    names, count = done.stdout.splitlines()
+    assert "lu" in names.split() and "pipeline" not in names.split() and not any(n.startswith("op") for n in names.split()) and int(count) > 200
