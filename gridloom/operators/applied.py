@@ -1,9 +1,9 @@
 """A sparse matrix as an operator on vectors that every task may hold.
 
 The cells are written once, dealt by row; a product sends the vector to the tasks and
-gathers one sum for each row, so an iteration is one narrow pass without a shuffle.  A
-triangle is dealt into blocks of neighbouring rows: a task substitutes inside its block,
-and sweeps go on until what blocks take from each other no longer changes.
+gathers one sum for each row, so an iteration is one narrow pass without a shuffle.
+Triangles and incomplete factors go by blocks of neighbouring rows, in waves that follow
+the pattern: a block starts when all that it takes from is done, and is done once.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cut import cut
+from ..functions.cut import cut, spent
 from .matrix import Matrix, Vector
 
 #: Most elements of a vector that is sent to every task (32 MB); longer ones stay tables.
 SHARED_VECTOR = 1 << 22
-#: Rows of a triangle that are substituted in one task.
+#: Rows of a block of a triangle or an incomplete factor.
 BLOCK = 8192
 
 
@@ -60,89 +60,193 @@ class Operator:
 
 
 class Triangle:
-    """b -> T^-1*b for the sparse triangle that `cells` hold, with or without its diagonal."""
+    """b -> T^-1*b for the sparse triangle that `cells` hold, with or without its diagonal.
+
+    Rows are dealt into blocks of neighbours, and blocks into waves: a block's wave comes
+    after those of all blocks whose rows it takes from, so each is done once.  Inside a block
+    rows are dealt into levels in the same way, and a level is a few numpy operations.
+    Both orders are made once and kept in the table."""
 
     def __init__(self, cells: Matrix, lower: bool, unit: bool, block: int = BLOCK):
-        self.n, self.lower, self.unit, self.block = cells.rows, lower, unit, block
-        own = cells.df.where(F.col("i") >= F.col("j") if lower else F.col("i") <= F.col("j"))
-        groups = own.groupBy(F.floor(F.col("i") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("c"))
-        self.df = cut(groups, "triangle")
-        self.blocks = -(-self.n // block)
+        n = self.n = cells.rows
+        self.lower, self.unit, self.block = lower, unit, block
+        # An upper triangle is a lower one when read from its end.
+        at = lambda c: F.col(c) if lower else n - 1 - F.col(c)
+        own = cells.df.where(F.col("i") >= F.col("j") if lower else F.col("i") <= F.col("j")).select(at("i").alias("i"), at("j").alias("j"), "v")
+        own = cut(own.withColumn("block", F.floor(F.col("i") / block)), "half")
+        self.waves = waves(own, block)
+        self.df = cut(own.groupBy("block").applyInArrow(lambda key, t: _levelled(t, block, n, unit), _LEVELLED), "triangle")
+        spent(own)
 
     def __call__(self, b: np.ndarray) -> np.ndarray:
-        x = b.astype(np.float64, copy=True) if self.unit else np.zeros(self.n)
-        lower, unit, size, n = self.lower, self.unit, self.block, self.n
+        b = b.astype(np.float64)
+        b = b if self.lower else b[::-1]
+        x, size, n = b.copy(), self.block, self.n
+        for wave in self.waves:
+            ends = [(k * size, min((k + 1) * size, n)) for k in wave]
+            right = {k: b[i:j] for k, (i, j) in zip(wave, ends, strict=True)}
+            known = x[: min(i for i, _ in ends)] if len(wave) == 1 else x
+
+            def run(batches, right=right, known=known):
+                for batch in batches:
+                    for r in range(batch.num_rows):
+                        k = batch.column("block")[r].as_py()
+                        get = lambda c, kind, r=r, batch=batch: np.frombuffer(batch.column(c)[r].as_buffer(), kind)
+                        own = _substituted(right[k], known, get)
+                        yield pa.record_batch([pa.array([k]), pa.array([own.tobytes()], pa.binary())], names=["block", "x"])
+
+            # A wave reads its own blocks only.
+            part = self.df if len(self.waves) == 1 else self.df.where(F.col("block").isin(wave))
+            for row in part.mapInArrow(run, "block long, x binary").collect():
+                i, j = row["block"] * size, min((row["block"] + 1) * size, n)
+                x[i:j] = np.frombuffer(row["x"])
+        return x if self.lower else x[::-1]
+
+
+_LEVELLED = "block long, far_rows binary, far_columns binary, far binary, rows binary, row_ends binary, starts binary, columns binary, near binary, diagonal binary"
+
+
+def waves(cells: DataFrame, block: int) -> list[list[int]]:
+    """Numbers of the blocks of a lower pattern (i, j, block) that have cells, dealt so that a block
+    comes after all that it takes from.  Pairs of blocks reach the driver, not cells."""
+    pairs = cells.select("block", F.floor(F.col("j") / block).alias("needs")).where("needs <= block").distinct()
+    needs: dict[int, list[int]] = {}
+    for row in pairs.collect():
+        needs.setdefault(row["block"], []).append(row["needs"])
+    when: dict[int, int] = {}
+    for b in sorted(needs):
+        when[b] = 1 + max((when.get(k, 0) for k in needs[b] if k < b), default=0)
+    out: list[list[int]] = [[] for _ in range(max(when.values(), default=0))]
+    for b, wave in when.items():
+        out[wave - 1].append(b)
+    return out
 
-        def run(batches):
-            for batch in batches:
-                for number, cells in zip(batch.column("block").to_pylist(), batch.column("c"), strict=True):
-                    c = cells.values
-                    i, j, v = (c.field(k).to_numpy() for k in range(3))
-                    left, right = number * size, min((number + 1) * size, n)
-                    own = x.copy()
-                    rows = np.unique(i)
-                    bounds = np.append(np.searchsorted(i, rows), len(i))
-                    for k in range(len(rows)) if lower else reversed(range(len(rows))):
-                        at = slice(bounds[k], bounds[k + 1])
-                        row, jj, vv = int(rows[k]), j[at], v[at]
-                        diag = jj == row
-                        rest = b[row] - vv[~diag] @ own[jj[~diag]]
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            own[row] = rest if unit else rest / vv[diag].sum()
-                    yield pa.record_batch([pa.array(rows), pa.array(own[rows])], names=["i", "x"])
-
-        # After as many sweeps as blocks nothing can change any more.
-        for _ in range(self.blocks):
-            got = self.df.mapInArrow(run, "i long, x double").toArrow()
-            new = x.copy()
-            new[got["i"].to_numpy()] = got["x"].to_numpy()
-            same = np.array_equal(new, x, equal_nan=True)
-            x = new
-            if same or self.blocks == 1:
-                break
-        return x
-
-
-def incomplete_lu(a: Matrix, block: int = BLOCK) -> Matrix | None:
-    """ILU(0) of a matrix whose cells every task may hold (None: it has too many).  A task
-    eliminates the rows of its blocks one after another, with what other blocks' rows were
-    at the last sweep; a block only needs those before it, so sweeps end exactly."""
-    spark, n = a.df.sparkSession, a.rows
-    if not fits(a.df.count()):
-        return None
-    cells = a.df.select("i", "j", "v").toArrow().sort_by([("i", "ascending"), ("j", "ascending")])
-    i, j, given = (cells[c].to_numpy() for c in ("i", "j", "v"))
-    bounds = np.searchsorted(i, np.arange(n + 1))
-    pivot = np.full(n, -1)
-    pivot[i[i == j]] = np.flatnonzero(i == j)
-    factor, blocks = given.copy(), -(-n // block)
-
-    def run(batches):
-        for batch in batches:
-            for number in batch.column("id").to_pylist():
-                own = factor.copy()
-                left, right = number * block, min((number + 1) * block, n)
-                for row in range(left, right):
-                    start, end = bounds[row], bounds[row + 1]
-                    columns, values = j[start:end], given[start:end].copy()
-                    for p in range(int(np.searchsorted(columns, row))):
-                        k = columns[p]
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            values[p] /= own[pivot[k]]
-                        behind = slice(pivot[k] + 1, bounds[k + 1])
-                        place = np.searchsorted(columns, j[behind])
-                        hit = (place < len(columns)) & (columns[np.minimum(place, len(columns) - 1)] == j[behind])
-                        values[place[hit]] -= values[p] * own[behind][hit]
-                    own[start:end] = values
-                at = slice(bounds[left], bounds[right])
-                yield pa.record_batch([pa.array(np.arange(at.start, at.stop)), pa.array(own[at])], names=["at", "v"])
-
-    for _ in range(blocks):
-        got = spark.range(0, blocks, 1, blocks).mapInArrow(run, "at long, v double").toArrow()
-        new = factor.copy()
-        new[got["at"].to_numpy()] = got["v"].to_numpy()
-        same = np.array_equal(new, factor, equal_nan=True)
-        factor = new
-        if same or blocks == 1:
-            break
-    return Matrix(spark.createDataFrame(pa.table({"i": i, "j": j, "v": factor})), n, a.cols)
+
+def levels(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Level of each of n rows of a strictly lower pattern: one more than the highest level
+    among the rows that its columns name.  Every cell is looked at once."""
+    level, open_ = np.zeros(n, np.int64), np.bincount(rows, minlength=n)
+    order = np.argsort(columns, kind="stable")
+    below, bounds = rows[order], np.searchsorted(columns[order], np.arange(n + 1))
+    front, at = np.flatnonzero(open_ == 0), 0
+    while len(front):
+        level[front] = at
+        sizes = bounds[front + 1] - bounds[front]
+        hit = below[np.repeat(bounds[front] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        np.subtract.at(open_, hit, 1)
+        hit = np.unique(hit)
+        front, at = hit[open_[hit] == 0], at + 1
+    return level
+
+
+def _levelled(table: pa.Table, block: int, n: int, unit: bool) -> pa.Table:
+    """A block's cells: those in columns before it by row, and those inside it by level."""
+    number = table["block"][0].as_py()
+    left, size = number * block, min(block, n - number * block)
+    i, j, v = (table[c].to_numpy() for c in ("i", "j", "v"))
+    i = i - left
+    order = np.lexsort((j, i))
+    i, j, v = i[order], j[order], v[order]
+    diagonal = np.ones(size)
+    if not unit:
+        at = j == i + left
+        diagonal = np.bincount(i[at], v[at], size)
+    far, near = j < left, (j >= left) & (j < i + left)
+    row, column, value = i[near], j[near] - left, v[near]
+    level = levels(row, column, size)
+    rows = np.argsort(level, kind="stable")
+    row_ends = np.cumsum(np.bincount(level, minlength=1))
+    place = np.empty(size, np.int64)
+    place[rows] = np.arange(size)
+    order = np.argsort(place[row], kind="stable")
+    starts = np.searchsorted(place[row][order], np.arange(size + 1))
+    parts = (i[far], j[far], v[far], rows, row_ends, starts, column[order], value[order], diagonal)
+    names = [c.split()[0] for c in _LEVELLED.split(", ")]
+    return pa.table([pa.array([number], pa.int64()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], names=names)
+
+
+def _substituted(b: np.ndarray, known: np.ndarray, get) -> np.ndarray:
+    """The unknowns of a block, level by level."""
+    far_rows, far_columns, far = get("far_rows", np.int64), get("far_columns", np.int64), get("far", np.float64)
+    rows, row_ends, starts = (get(c, np.int64) for c in ("rows", "row_ends", "starts"))
+    columns, near, diagonal = get("columns", np.int64), get("near", np.float64), get("diagonal", np.float64)
+    rest = b - np.bincount(far_rows, far * known[far_columns], len(b)) if len(far) else b
+    x, top = np.zeros(len(b)), 0
+    for end in row_ends.tolist():
+        own = rows[top:end]
+        at = starts[top : end + 1]
+        if at[-1] > at[0]:  # then all rows of the level have cells
+            cells = slice(at[0], at[-1])
+            x[own] = (rest[own] - np.add.reduceat(near[cells] * x[columns[cells]], at[:-1] - at[0])) / diagonal[own]
+        else:
+            x[own] = rest[own] / diagonal[own]
+        top = end
+    return x
+
+
+def incomplete_lu(a: Matrix, block: int = BLOCK) -> Matrix:
+    """ILU(0) on the pattern of A, whose diagonal is stored.  Blocks of rows are eliminated in
+    waves; a block is sent those finished rows that its columns name, and no others."""
+    n = a.rows
+    base = cut(a.df.select("i", "j", "v", F.floor(F.col("i") / block).alias("block")).repartitionByRange("block", "i").sortWithinPartitions("block", "i"), "pattern")
+    order = waves(base, block)
+    when = {b: k for k, wave in enumerate(order) for b in wave}
+    before = {(r["block"], r["needs"]) for r in base.select("block", F.floor(F.col("j") / block).alias("needs")).where("needs < block").distinct().collect()} if len(order) > 1 else set()
+    done: list[DataFrame] = []
+    for wave in order:
+        own = base if len(order) == 1 else base.where(F.col("block").isin(wave))
+        asked = {when[k] for b, k in before if b in set(wave)}
+        finished = None
+        for k in sorted(asked):
+            finished = done[k] if finished is None else finished.unionByName(done[k])
+        finished = base.limit(0) if finished is None else finished
+        needs = own.where(F.col("j") < F.col("block") * block).select("block", F.col("j").alias("i")).distinct()
+        rows = finished.where("j >= i").select("i", "j", "v").join(needs, "i").select(*[F.col(c).alias(c) for c in ("block", "i", "j", "v")])
+        step = own.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(lambda cells, given: _eliminated(cells, given, n), "i long, j long, v double, block long")
+        done.append(cut(step, "ilu"))
+    out = done[0] if done else base
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return Matrix(out.select("i", "j", "v"), n, a.cols)
+
+
+def _eliminated(cells: pa.Table, given: pa.Table, n: int) -> pa.Table:
+    """The factors of a block of rows.  All rows of a level take their p-th pivot together."""
+    empty = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("v", pa.float64()), ("block", pa.int64())]).empty_table()
+    if not cells.num_rows:
+        return empty
+    number, first = cells["block"][0], given.num_rows
+    i, j, v = (np.concatenate((given[c].to_numpy(), cells[c].to_numpy())) for c in ("i", "j", "v"))
+    # Given rows come before the block's, so by (i, j) they stay in front.
+    order = np.lexsort((j, i))
+    i, j, v = i[order], j[order], v[order].astype(np.float64)
+    key = i * n + j
+    names = np.unique(i)
+    bounds = np.append(np.searchsorted(i, names), len(i))
+    diagonal = np.searchsorted(key, names * n + names)
+    mine = np.searchsorted(names, i[first])  # the block's first row among names
+    low = np.flatnonzero((j < i) & (np.arange(len(i)) >= first))
+    pivot = np.searchsorted(names, j[low])  # row of each pivot among names
+    inner = pivot >= mine
+    rows = np.searchsorted(names, i[low])
+    level = levels(rows[inner] - mine, pivot[inner] - mine, len(names) - mine)
+    count = np.bincount(rows - mine, minlength=len(names) - mine)
+    start = np.searchsorted(low, bounds[mine:-1])
+    ranked = np.argsort(level, kind="stable")
+    ends = np.cumsum(np.bincount(level))
+    top = 0
+    for end in ends.tolist():
+        own, top = ranked[top:end], end
+        for p in range(int(count[own].max(initial=0))):
+            own = own[count[own] > p]
+            at, k = low[start[own] + p], pivot[start[own] + p]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                v[at] /= v[diagonal[k]]
+            sizes = bounds[k + 1] - diagonal[k] - 1
+            behind = np.repeat(diagonal[k] + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            wanted = np.repeat(i[at], sizes) * n + j[behind]
+            place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            hit = key[place] == wanted
+            v[place[hit]] -= np.repeat(v[at], sizes)[hit] * v[behind[hit]]
+    own = slice(first, None)
+    return pa.table([pa.array(i[own]), pa.array(j[own]), pa.array(v[own]), pa.array([number.as_py()] * (len(i) - first), pa.int64())], names=["i", "j", "v", "block"])

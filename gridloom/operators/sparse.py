@@ -1,10 +1,11 @@
 """Sparse matrices: layouts, sums, products, triangular solves and incomplete factors.
 
 A sparse matrix is the same coordinate table; its compressed forms are tables with one
-row for each major index.  Triangular solves and incomplete factorisations repeat a
-fixed-point sweep, a join and an aggregation over all rows at once; as the recurrences
-are triangular, the sweeps end with the exact result after as many steps as the longest
-chain of dependencies (two a row in a factorisation), and stop earlier once nothing changes.
+row for each major index.  Triangular solves and incomplete factorisations go by blocks
+of rows in the order of their dependencies (`applied`).  Where vectors are too long for that,
+and where a caller wants few sweeps, they repeat a fixed-point sweep, a join and an aggregation
+over all rows at once; as the recurrences are triangular, the sweeps end with the exact
+result after as many steps as the longest chain of dependencies (two a row in a factorisation).
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ def invertible(half: Matrix) -> None:
 
 def solve_triangular(a: Matrix, b: Vector, alpha: float = 1.0, uplo: str = "lower", trans: bool = False, unit: bool = False) -> Vector:
     """alpha*op(A)^-1*b for a sparse triangle.  Up to `applied.SHARED_VECTOR` unknowns blocks
-    of rows are substituted in tasks; beyond, x <- D^-1*(alpha*b - N*x) is swept over tables.
-    Either way until nothing changes.  A row without a diagonal raises ArithmeticError."""
+    of rows are substituted in waves; beyond, x <- D^-1*(alpha*b - N*x) is swept over tables.
+    until nothing changes.  A row without a diagonal raises ArithmeticError."""
     if a.rows != a.cols or b.size != a.rows:
         raise ShapeError((a.rows, a.cols, b.size))
     half = triangular(a, uplo, unit)
@@ -195,10 +196,10 @@ def _sweep(a: Matrix, limit: int | None, tolerance: float) -> Matrix:
     f_ij = (a_ij - sum_k<j f_ik*f_kj)/f_jj, else f_ij = a_ij - sum_k<i f_ik*f_kj.
 
     A chain of dependencies takes two steps a row, so 2*rows sweeps are always enough;
-    a smaller limit that is reached before nothing changes is an error.  Without a limit and
-    with cells that every task may hold, rows are eliminated in blocks instead."""
-    if limit is None and (made := incomplete_lu(a)) is not None:
-        return made
+    a smaller limit that is reached before nothing changes is an error.  Without a limit
+    rows are eliminated once, in blocks and waves."""
+    if limit is None:
+        return incomplete_lu(a)
     base = cut(a.df, "pattern")
     f = base
     enough = 2 * a.rows

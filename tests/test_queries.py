@@ -71,7 +71,7 @@ def test_a_broken_training_data_module_costs_only_that_part(tmp_path):
     broken = at / "gridloom" / "llm" / "queries.py"
     if not broken.exists():
         pytest.skip("the training-data part is not here")
-    broken.write_text("import a_module_that_is_not_there\n" + broken.read_text())
+    broken.write_text(broken.read_text() + "\nimport a_module_that_is_not_there\n")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONDONTWRITEBYTECODE": "1"}
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); print(len(e.oracle_sql()))"], cwd=at, env=env, capture_output=True, text=True, timeout=120, check=False)
     assert done.returncode == 0, done.stderr
