@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class Align:
     """block_bytes: of texts in a block (one longer text is a block).  salts: shares of
     the first sum of a pair.  expand: most links that are expanded at a time."""
 
-    block_bytes: int = 1 << 24
+    block_bytes: int = 1 << 23
     salts: int = 8
     expand: int = 1 << 20
     a: str | None = None
@@ -60,16 +61,21 @@ class Side:
     bytes_of: list[bytes]
 
     def __init__(self):
+        if len(self.bytes_of) > 1 << 16:
+            raise ValueError("ids beyond 16 bits")
         self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
         self.table = WordTable(self._encode, width=2)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.encode_words(words)
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-        flat = np.zeros((bounds[-1], 2), np.int32)
-        for k, (word, ids) in enumerate(zip(words, found, strict=True)):
-            flat[bounds[k] : bounds[k + 1], 0] = ids
-            flat[bounds[k] : bounds[k + 1], 1] = b"".join(map(self.bytes_of.__getitem__, ids)) != word.encode()
+        ids, bounds = self.encode_words(words)
+        flat = np.zeros((len(ids), 2), np.int32)
+        flat[:, 0] = ids
+        raw, sizes = [w.encode() for w in words], np.concatenate(([0], np.cumsum(self.sizes[ids])))[bounds]
+        # All words at once; one by one only if that shows a fault.
+        if b"".join(map(self.bytes_of.__getitem__, ids.tolist())) != b"".join(raw) or np.diff(sizes).tolist() != list(map(len, raw)):
+            for k, word in enumerate(raw):
+                own = slice(bounds[k], bounds[k + 1])
+                flat[own, 1] = b"".join(map(self.bytes_of.__getitem__, ids[own].tolist())) != word
         return flat, bounds
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,10 +104,9 @@ class ByteSide(Side):
         cuts = Pretokens(texts, attached=True)
         return cuts.words(), cuts.bounds
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         (got,) = self.made.encode_batch([words], is_pretokenized=True, add_special_tokens=False)
-        ids, at = np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
-        return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
 
 
 class PieceSide(Side):
@@ -146,9 +151,15 @@ class PieceSide(Side):
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         return words, np.searchsorted(starts, texts.offsets)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Behind a line feed a word is encoded as it stands; the space and the line feed before it go.
-        return [x[2:] for x in self.made.encode(["\n" + w for w in words], num_threads=1)]
+        found = self.made.encode(["\n" + w for w in words], num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(sizes)
+        keep = np.ones(ends[-1] if len(ends) else 0, bool)
+        keep[ends - sizes] = keep[ends - sizes + 1] = False
+        flat = np.fromiter(chain.from_iterable(found), np.int64, len(keep))
+        return flat[keep], np.concatenate(([0], np.cumsum(sizes - 2)))
 
 
 @lru_cache(maxsize=2)
@@ -163,15 +174,21 @@ def spaced(column: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
 
 
-def _decimal(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends): every id in decimal with its mark behind it (0: none)."""
-    width = max(1, len(str(int(ids.max(initial=0)))))
-    powers = 10 ** np.arange(width - 1, -1, -1)
-    digits = (ids[:, None] // powers % 10 + 48).astype(np.uint8)
+@lru_cache(maxsize=1)
+def _digits() -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of every id, and which of them it has."""
+    ids, powers = np.arange(1 << 16), 10 ** np.arange(4, -1, -1)
     shown = ids[:, None] >= powers
     shown[:, -1] = True
-    cells = np.concatenate((digits, marks[:, None]), axis=1)
-    keep = np.concatenate((shown, (marks > 0)[:, None]), axis=1)
+    return (ids[:, None] // powers % 10 + 48).astype(np.uint8), shown
+
+
+def _decimal(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends): every id in decimal with its mark behind it (0: none)."""
+    digits, shown = _digits()
+    cells, keep = np.empty((len(ids), 6), np.uint8), np.empty((len(ids), 6), bool)
+    cells[:, :5], cells[:, 5] = digits[ids], marks
+    keep[:, :5], keep[:, 5] = shown[ids], marks > 0
     return cells[keep], np.cumsum(keep.sum(axis=1))
 
 
@@ -185,8 +202,8 @@ class Aligned:
         self.ids_a, self.rows_a = _without(ids_a, rows_a, wrong)
         self.ids_b, self.rows_b = _without(ids_b, rows_b, wrong)
         self.ends_a, self.ends_b = np.cumsum(a.sizes[self.ids_a]), np.cumsum(b.sizes[self.ids_b])
-        # Every row ends in a common cut, so no group reaches over rows.
-        cuts = np.intersect1d(self.ends_a, self.ends_b)
+        # Tokens are not empty, so ends differ; every row ends in a common cut, so no group reaches over rows.
+        cuts = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(cuts, self.ends_a), np.searchsorted(cuts, self.ends_b)
         self.size_a, self.size_b = np.bincount(self.group_a, minlength=len(cuts)), np.bincount(self.group_b, minlength=len(cuts))
         self.first_a, self.first_b = np.cumsum(self.size_a) - self.size_a, np.cumsum(self.size_b) - self.size_b
@@ -295,7 +312,7 @@ def _encode(a: str, b: bytes, how: Align):
             names = pa.concat_arrays(keys)
             values = [
                 pa.array([part << 32 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), *(one(x, pa.int64()) for x in numbers),
-                one([h for x in hashes for h in x], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in (own[order], documents[order].astype(np.int32), np.concatenate(sizes).astype(np.int32), rank[inverse.ravel()], times.astype(np.int64 if times.max(initial=0) >= 1 << 31 else np.int32))),
+                one([h for x in hashes for h in x], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in (own[order].astype(np.int64), documents[order].astype(np.int32), np.concatenate(sizes).astype(np.int32), rank[inverse.ravel()], times)),
             ]
             number += 1
             return pa.record_batch(values, names=[c.split()[0] for c in _BLOCK.split(", ")])
@@ -304,7 +321,7 @@ def _encode(a: str, b: bytes, how: Align):
             for start, end, texts in Texts.of(spaced(batch.column("text"))).parts():
                 found = Aligned(texts, first, second)
                 row, pair, times = found.pairs(how.expand)
-                parts.append((batch.column("doc_id").slice(start, end - start), (np.diff(found.rows_a), np.diff(found.rows_b), found.n_groups, found.n_links), found.hashes(), np.bincount(row, minlength=texts.rows), pair, times))
+                parts.append((batch.column("doc_id").slice(start, end - start), (np.diff(found.rows_a), np.diff(found.rows_b), found.n_groups, found.n_links), found.hashes(), np.bincount(row, minlength=texts.rows), pair.astype(np.uint32), times if times.max(initial=0) >= 1 << 31 else times.astype(np.int32)))
                 held += len(texts.data)
                 if held >= how.block_bytes:
                     yield block()
