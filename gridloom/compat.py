@@ -6,6 +6,10 @@ dimensions and increments, which tables don't have; results are returned.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .functions.scalar import givens
 from .operators import elementwise as _e
 from .operators import factor as _f
 from .operators import products as _p
@@ -45,10 +49,12 @@ def rot(x: Vector, y: Vector, c: float, s: float) -> tuple[Vector, Vector]:
     return _e.rotate_vectors(x, y, c, s)
 
 
-def rotg(a: float, b: float) -> tuple[float, float, float]:
-    """(c, s, r)."""
+def rotg(a: float | Column, b: float | Column) -> tuple:
+    """(c, s, r) of two numbers, or of two columns as columns."""
     from math import hypot
 
+    if isinstance(a, Column) or isinstance(b, Column):
+        return givens(*(x if isinstance(x, Column) else F.lit(float(x)) for x in (a, b)))
     r = hypot(a, b)
     return (1.0, 0.0, a) if b == 0 else (0.0, 1.0, b) if a == 0 else (a / r, b / r, r)
 

@@ -79,15 +79,21 @@ def _norm_two(t: Tables):
     return rounded(rd.norm(mx.mirrored(_known(t), "lower"), "two"))
 
 
+#: Of the tables, in SQL: the number of suppliers' places and the sum of all labels.
+_SUPPLIERS, _LABELS = "(SELECT max(s_suppkey) + 1 FROM supplier)", "(SELECT sum(label) FROM embeddings)"
+
+
 def _drawn(make, low: float, high: float, mean: float, variance: float):
     """What holds for independent elements of a distribution: range, mean and variance within
     five deviations, quartiles, neighbours that don't correlate; and elements that only
     depend on their position and the seed."""
 
     def f(t: Tables):
-        a, n = make(t.spark, 200, 200, 7), 40000
+        # As many elements as the table of embeddings has, with a seed from its labels.
+        rows, cols, seed = t.n, WIDTH, int(t.labels)
+        a, n = make(t.spark, rows, cols, seed), rows * cols
         kurtosis = 1.8 if low == 0 else 3.0
-        other = mx.submatrix(make(t.spark, 250, 220, 7), 0, 0, 200, 200).df.select("i", "j", F.col("v").alias("x"))
+        other = mx.submatrix(make(t.spark, rows + 50, cols + 20, seed), 0, 0, rows, cols).df.select("i", "j", F.col("v").alias("x"))
         beside = a.df.select("i", (F.col("j") + 1).alias("j"), F.col("v").alias("y"))
         both = a.df.join(other, ["i", "j"], "left").join(beside, ["i", "j"], "left")
         near = lambda x, want, deviation: F.abs(x - want) < 5 * deviation
@@ -109,16 +115,16 @@ QUERIES = {
     "from_table": (lambda t: shown(t.s), cells("s", "SELECT * FROM s")),
     "from_arrays": (lambda t: shown(t.e), cells("e", "SELECT * FROM e")),
     "set_values_symmetric": (
-        lambda t: shown(mx.generate(t.spark, 40, 40, lambda i, j: 2.0 * i + 3.0 * j, symmetric=True)),
-        "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST(2.0 * greatest(a.r, b.r) + 3.0 * least(a.r, b.r) AS DOUBLE) AS v FROM range(40) a(r), range(40) b(r)",
+        lambda t: shown(mx.generate(t.spark, *[t.size("supplier", "s_suppkey")] * 2, lambda i, j: 2.0 * i + 3.0 * j + t.labels, symmetric=True)),
+        f"SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST(2.0 * greatest(a.r, b.r) + 3.0 * least(a.r, b.r) + {_LABELS} AS DOUBLE) AS v FROM range({_SUPPLIERS}) a(r), range({_SUPPLIERS}) b(r)",
     ),
     "set_values_unit_lower": (
-        lambda t: shown(mx.generate(t.spark, 30, 20, lambda i, j: i - 2.0 * j, uplo="lower", unit=True)),
-        "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST(CASE WHEN a.r = b.r THEN 1.0 ELSE a.r - 2.0 * b.r END AS DOUBLE) AS v FROM range(30) a(r), range(20) b(r) WHERE a.r >= b.r",
+        lambda t: shown(mx.generate(t.spark, t.size("supplier", "s_suppkey"), 20, lambda i, j: i - 2.0 * j + t.labels, uplo="lower", unit=True)),
+        f"SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST(CASE WHEN a.r = b.r THEN 1.0 ELSE a.r - 2.0 * b.r + {_LABELS} END AS DOUBLE) AS v FROM range({_SUPPLIERS}) a(r), range(20) b(r) WHERE a.r >= b.r",
     ),
-    "set_all": (lambda t: shown(mx.generate(t.spark, 30, 20, lambda i, j: F.lit(2.5))), "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, 2.5::DOUBLE AS v FROM range(30) a(r), range(20) b(r)"),
-    "uniform_elements": (_drawn(mx.uniform, 0.0, 1.0, 0.5, 1 / 12), "SELECT CAST(40000 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same"),
-    "normal_elements": (_drawn(mx.normal, -7.0, 7.0, 0.0, 1.0), "SELECT CAST(40000 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same"),
+    "set_all": (lambda t: shown(mx.generate(t.spark, t.size("supplier", "s_suppkey"), 20, lambda i, j: F.lit(t.labels + 0.5))), f"SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, CAST({_LABELS} + 0.5 AS DOUBLE) AS v FROM range({_SUPPLIERS}) a(r), range(20) b(r)"),
+    "uniform_elements": (_drawn(mx.uniform, 0.0, 1.0, 0.5, 1 / 12), "SELECT CAST((max(vec_id) + 1) * 64 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same FROM embeddings"),
+    "normal_elements": (_drawn(mx.normal, -7.0, 7.0, 0.0, 1.0), "SELECT CAST((max(vec_id) + 1) * 64 AS BIGINT) AS n, true AS inside, true AS mean, true AS variance, true AS spread, true AS apart, true AS same FROM embeddings"),
     "set_at": (lambda t: shown(mx.set_at(t.g, 200, -1.5)), cells("g", "SELECT i, j, CASE WHEN i = 8 AND j = 3 THEN -1.5 ELSE v END AS v FROM g")),
     "make_triangular": (lambda t: shown(mx.make_triangular(t.g, "lower")), cells("g", "SELECT * FROM g WHERE i >= j")),
     "make_triangular_unit": (lambda t: shown(mx.make_triangular(t.g, "upper", unit=True)), cells("g", "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE v END AS v FROM g WHERE i <= j")),

@@ -248,6 +248,13 @@ def _c0(t: Tables) -> Vector:
     return column_of(t.g, 0)
 
 
+def _swapped(t: Tables):
+    """Both vectors after the swap: the first, then the second column."""
+    x, y = compat.swap(t.w, _c0(t))
+    put = lambda v, j: v.df.select("i", F.lit(j).cast("long").alias("j"), "v")
+    return shown(Matrix(put(x, 0).unionByName(put(y, 1)), WIDTH, 2))
+
+
 _GH = cells("g h", "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM h a JOIN g b ON a.j = b.i GROUP BY 1, 2")
 _MV = "SELECT {0} AS i, sum(a.v * w.v) AS v FROM {1} a JOIN w ON {2} = w.i GROUP BY 1"
 _UPPER = "(SELECT * FROM g WHERE i <= j)"
@@ -263,13 +270,13 @@ QUERIES = {
     "rq_solve_transposed": (_solved("rq", True), _NORMAL),
     # customary names
     "compat_axpy": (lambda t: shown(compat.axpy(2.0, t.w, _c0(t))), entries("g w", "SELECT g.i, g.v + 2.0 * w.v AS v FROM g JOIN w ON g.i = w.i WHERE g.j = 0")),
-    "compat_scal": (lambda t: shown(compat.scal(-3.0, t.w)), entries("w", "SELECT i, -3.0 * v AS v FROM w")),
-    "compat_copy": (lambda t: shown(compat.copy(t.w)), entries("w", "SELECT * FROM w")),
-    "compat_swap": (lambda t: shown(compat.swap(t.w, _c0(t))[1]), entries("w", "SELECT * FROM w")),
+    "compat_scal": (lambda t: shown(compat.scal(-3.0, _c0(t))), entries("g", "SELECT i, -3.0 * v AS v FROM g WHERE j = 0")),
+    "compat_copy": (lambda t: shown(compat.copy(_c0(t))), entries("g", "SELECT i, v FROM g WHERE j = 0")),
+    "compat_swap": (_swapped, cells("g w", "SELECT i, 0 AS j, v FROM g WHERE j = 0 UNION ALL SELECT i, 1 AS j, v FROM w")),
     "compat_rot": (lambda t: shown(compat.rot(t.w, _c0(t), 0.6, 0.8)[0]), entries("g w", "SELECT w.i, 0.6 * w.v + 0.8 * g.v AS v FROM g JOIN w ON g.i = w.i WHERE g.j = 0")),
     "compat_rotg": (
-        lambda t: t.spark.createDataFrame([(k, *map(float, compat.rotg(float(k), 4.0))) for k in range(4)], "k long, c double, s double, r double").select("k", *[F.round(x, 6).alias(x) for x in "csr"]),
-        "SELECT CAST(q AS BIGINT) AS k, round(q / sqrt(q * q + 16.0), 6) AS c, round(4.0 / sqrt(q * q + 16.0), 6) AS s, round(sqrt(q * q + 16.0), 6) AS r FROM range(4) t(q)",
+        lambda t: t.table("part").select(F.col("p_partkey").cast("long").alias("k"), *[F.round(x, 6).alias(n) for x, n in zip(compat.rotg(F.col("p_size") - 25.0, F.col("p_retailprice") * 1.0), "csr", strict=True)]),
+        "SELECT CAST(p_partkey AS BIGINT) AS k, round(CASE WHEN b = 0 THEN 1.0 ELSE a / sqrt(a * a + b * b) END, 6) AS c, round(CASE WHEN b = 0 THEN 0.0 ELSE b / sqrt(a * a + b * b) END, 6) AS s, round(CASE WHEN b = 0 THEN a WHEN a = 0 THEN b ELSE sqrt(a * a + b * b) END, 6) AS r FROM (SELECT p_partkey, p_size - 25.0::DOUBLE AS a, p_retailprice AS b FROM part) q",
     ),
     "compat_asum": (lambda t: rounded(compat.asum(_c0(t))), number("g", "(SELECT sum(abs(v)) FROM g WHERE j = 0)")),
     "compat_nrm2": (lambda t: rounded(compat.nrm2(_c0(t))), number("g", "(SELECT sqrt(sum(v * v)) FROM g WHERE j = 0)")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, extended
 from ..operators import products as pr
-from ..operators.matrix import Matrix, Vector, column_of, make_triangular, triangle
+from ..operators.matrix import Matrix, Vector, column_of, make_triangular, triangle, vector_from
 from ..operators.rows import gram as row_gram
 from ..operators.rows import matrix_of, times_small
 from ..operators.rows import from_rows as rows_matrix
@@ -55,20 +55,30 @@ def _huge(t: Tables) -> Vector:
     return Vector(_flat(t).df.select((F.col("i") + 2).alias("i"), "v").unionByName(more), 4100)
 
 
+def _whole(t: Tables) -> Vector:
+    """Sums of the labels of every 64th embedding."""
+    return vector_from(t.table("embeddings"), F.col("vec_id") % 64, "label", 64)
+
+
 def _near(t: Tables, offset: float = 0.0) -> Vector:
-    """2^30 + i."""
-    return Vector(t.w.df.select("i", (F.col("v") - 1 + offset).alias("v")), 64)
+    """2^30 more than _whole."""
+    return Vector(_whole(t).df.select("i", (F.col("v") + offset).alias("v")), 64)
 
 
 def _against(t: Tables, times: float) -> Matrix:
-    """-(2^60 + (i + j) * 2^30) * times."""
-    ij = (F.col("i") + F.col("j")).cast("double")
-    return Matrix(t.g.df.select("i", "j", (-times * (2.0**60 + ij * 2.0**30)).alias("v")), 64, 64)
+    """-(2^60 + (x_i + x_j) * 2^30) * times, x being _whole."""
+    x = _whole(t).df
+    both = t.g.df.select("i", "j").join(x.select("i", F.col("v").alias("x")), "i").join(x.select(F.col("i").alias("j"), F.col("v").alias("y")), "j")
+    return Matrix(both.select("i", "j", (-times * (2.0**60 + (F.col("x") + F.col("y")) * 2.0**30)).alias("v")), 64, 64)
 
 
 _MI = ", mi AS (SELECT i, j, CAST(round(v) AS HUGEINT) + CASE WHEN (i + j) % 2 = 0 THEN 1125899906842624 ELSE -1125899906842624 END AS v FROM g), wi AS (SELECT CAST(r AS BIGINT) AS i, CAST(1 + r // 2 AS HUGEINT) AS v FROM range(64) z(r)), wide AS (SELECT i, CAST(k AS BIGINT) AS j, v * (k + 1) AS v FROM wi, range(3) y(k))"
 
 
+#: _whole in SQL.
+_WHOLE = "(SELECT CAST(vec_id % 64 AS BIGINT) AS i, CAST(sum(label) AS DOUBLE) AS v FROM embeddings GROUP BY 1)"
+
+
 def _exact(body: str) -> str:
     """body over mi, wi and wide, whose v are integers, however large."""
     names = "i, j, " if " j," in body.split(" FROM")[0] or ".j," in body.split(" FROM")[0] else "i, "
@@ -113,7 +123,7 @@ QUERIES = {
         lambda t: shown(pr.mvupdate2_sym(1.0, t.g, 1.0, t.w, _c0(t))),
         cells("g w", "SELECT g.i, g.j, g.v + CASE WHEN g.i >= g.j THEN a.v * d.v + c.v * b.v ELSE 0.0 END AS v FROM g JOIN w a ON a.i = g.i JOIN w b ON b.i = g.j JOIN g c ON c.i = g.i AND c.j = 0 JOIN g d ON d.i = g.j AND d.j = 0"),
     ),
-    "mvupdate_trm": (lambda t: shown(pr.mvupdate(0.0, make_triangular(t.g, "upper"), 1.0, t.w, t.w, "upper")), cells("w", "SELECT a.i, b.i AS j, a.v * b.v AS v FROM w a JOIN w b ON a.i <= b.i")),
+    "mvupdate_trm": (lambda t: shown(pr.mvupdate(-0.5, make_triangular(t.g, "upper"), 1.0, t.w, _c0(t), "upper")), cells("g w", "SELECT g.i, g.j, w.v * c.v - 0.5 * g.v AS v FROM g JOIN w ON g.i = w.i JOIN g c ON c.i = g.j AND c.j = 0 WHERE g.i <= g.j")),
     # extended precision
     "ext_sum": (lambda t: rounded(extended.total(_flat(t), 2.0)), _exact_number("(SELECT 2 * sum(v) FROM mi)")),
     "ext_asum": (lambda t: rounded(extended.total(_flat(t), absolute=True)), _exact_number("(SELECT sum(abs(v)) FROM mi)")),
@@ -135,14 +145,14 @@ QUERIES = {
     "ext_mvmult": (lambda t: shown(extended.mvmult(1.0, _m(t), _wi(t))), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i GROUP BY 1")),
     "ext_mvmult_sym": (lambda t: shown(extended.mvmult_sym(1.0, make_triangular(_m(t), "upper"), _wi(t), uplo="upper")), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i GROUP BY 1")),
     "ext_mvmult_trm": (lambda t: shown(extended.mvmult_trm(1.0, _m(t), _wi(t))), _exact("SELECT mi.i, sum(mi.v * wi.v) AS v FROM mi JOIN wi ON mi.j = wi.i WHERE mi.i >= mi.j GROUP BY 1")),
-    "ext_mvupdate": (lambda t: shown(extended.mvupdate(1.0, _against(t, 1.0), 1.0, _near(t, 2.0**30), _near(t, 2.0**30))), cells("w", "SELECT a.i, b.i AS j, (a.v - 1) * (b.v - 1) AS v FROM w a, w b")),
+    "ext_mvupdate": (lambda t: shown(extended.mvupdate(1.0, _against(t, 1.0), 1.0, _near(t, 2.0**30), _near(t, 2.0**30))), cells("", f"SELECT a.i, b.i AS j, a.v * b.v AS v FROM {_WHOLE} a, {_WHOLE} b")),
     "ext_mvupdate_trm": (
         lambda t: shown(extended.mvupdate_trm(1.0, make_triangular(_against(t, 1.0), "upper"), 1.0, _near(t, 2.0**30), _near(t, 2.0**30), "upper")),
-        cells("w", "SELECT a.i, b.i AS j, (a.v - 1) * (b.v - 1) AS v FROM w a, w b WHERE a.i <= b.i"),
+        cells("", f"SELECT a.i, b.i AS j, a.v * b.v AS v FROM {_WHOLE} a, {_WHOLE} b WHERE a.i <= b.i"),
     ),
     "ext_mvupdate2_sym": (
         lambda t: shown(Matrix(extended.mvupdate2_sym(1.0, _against(t, 2.0), 1.0, _near(t, 2.0**30), _near(t, 2.0**30)).df.where(triangle("lower")), 64, 64)),
-        cells("w", "SELECT a.i, b.i AS j, 2 * (a.v - 1) * (b.v - 1) AS v FROM w a, w b WHERE a.i >= b.i"),
+        cells("", f"SELECT a.i, b.i AS j, 2 * a.v * b.v AS v FROM {_WHOLE} a, {_WHOLE} b WHERE a.i >= b.i"),
     ),
     "ext_mult": (lambda t: shown(extended.mult(1.0, _m(t), _wide(t))), _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i GROUP BY 1, 2")),
     "ext_mult_sym": (lambda t: shown(extended.mult_sym(1.0, make_triangular(_m(t), "lower"), _wide(t))), _exact("SELECT mi.i, wide.j, sum(mi.v * wide.v) AS v FROM mi JOIN wide ON mi.j = wide.i GROUP BY 1, 2")),

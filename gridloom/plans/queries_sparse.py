@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import iterative, sparse
 from ..operators.matrix import Matrix, Vector, append, from_table, vector_from
-from ..operators.products import mvmult, mvmult_sym, mvmult_trm
+from ..operators.products import mult, mvmult, mvmult_sym, mvmult_trm, triangular
 from .tables import Tables, shown, sql
 
 #: Users by day of the month: the number of their events.
@@ -89,12 +89,24 @@ def _ic(t: Tables):
 def _ilu(t: Tables):
     a = _nations(t)
     f = sparse.ilu0(a)
-    from ..operators.products import mult, triangular
-
     whole = mult(1.0, triangular(f, "lower", True), triangular(f, "upper", False))
     return shown(Matrix(whole.df.join(a.df.select("i", "j"), ["i", "j"], "left_semi"), 25, 25))
 
 
+def _pattern_product(t: Tables, symmetric: bool):
+    """On the ring of all orders: L*U (L*L^T) on the pattern of A, which it must give back."""
+    a = _orders_ring(t)[0]
+    if symmetric:
+        low = sparse.ic0(a)
+        whole, pattern = sparse.spgemm(1.0, low, low, trans_b=True), a.df.where("i >= j")
+    else:
+        f = sparse.ilu0(a)
+        whole, pattern = mult(1.0, triangular(f, "lower", True), triangular(f, "upper", False)), a.df
+    return shown(Matrix(whole.df.join(pattern.select("i", "j"), ["i", "j"], "left_semi"), a.rows, a.cols))
+
+
+_RING = "SELECT i, (i + d + n) % n AS j, CASE WHEN d = 0 THEN 6.0 + i % 3 ELSE -1.0 END AS v FROM (SELECT CAST(o_orderkey AS BIGINT) AS i, (SELECT CAST(max(o_orderkey) + 1 AS BIGINT) FROM orders) AS n FROM orders) o, (VALUES (-1), (0), (1)) q(d)"
+
 QUERIES = {
     "sparse_at": (lambda t: shown(Matrix(sparse.at(_u(t), 17), _u(t).rows, 32)), f"WITH {_U} SELECT i, j, v FROM (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS n FROM u) q WHERE n = 17"),
     "sparse_stored": (lambda t: sparse.stored(_nations(t), 0, 24).unionByName(sparse.stored(_nations(t), 0, 2)), "SELECT true AS value UNION ALL SELECT false AS value"),
@@ -149,6 +161,10 @@ QUERIES = {
     ),
     "sparse_ilu0": (_ilu, f"WITH {_R} SELECT i, j, round(v, 6) + 0.0 AS v FROM r"),
     "sparse_ic0": (_ic, f"WITH {_R} SELECT i, j, round(v, 6) + 0.0 AS v FROM r WHERE i >= j"),
+    "sparse_ilu0_orders": (lambda t: _pattern_product(t, False), f"SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM ({_RING}) r"),
+    "sparse_ic0_orders": (lambda t: _pattern_product(t, True), f"SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM ({_RING}) r WHERE i >= j"),
+    "preconditioned_cg_orders": (_orders_back(lambda a, b: iterative.conjugate_gradient(a, b, None, sparse.ic_preconditioner(a), iterative.Control(smult=1e-12)).x), _ORDERS),
+    "preconditioned_gmres_orders": (_orders_back(lambda a, b: iterative.gmres(a, b, sparse.ilu_preconditioner(a), iterative.Control(smult=1e-12)).x), _ORDERS),
     "conjugate_gradient": (lambda t: _back(t, lambda a, b: iterative.conjugate_gradient(a, b, control=iterative.Control(smult=1e-9)).x), _RHS),
     "preconditioned_cg": (lambda t: _back(t, lambda a, b: iterative.conjugate_gradient(a, b, precondition=sparse.ic_preconditioner(a), control=iterative.Control(smult=1e-7)).x), _RHS),
     "cgnr": (lambda t: _back(t, lambda a, b: iterative.cgnr(a, b, iterative.Control(smult=1e-8)).x), _RHS),

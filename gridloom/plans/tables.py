@@ -34,6 +34,11 @@ class Tables:
     def n(self) -> int:
         return self.size("embeddings", "vec_id")
 
+    @cached_property
+    def labels(self) -> float:
+        """The sum of all labels."""
+        return float(self.table("embeddings").agg(F.coalesce(F.sum("label"), F.lit(0))).first()[0])
+
     @cached_property
     def e(self) -> Matrix:
         return from_arrays(self.table("embeddings"), "vec_id", "embedding", self.n, WIDTH)
@@ -91,7 +96,7 @@ def sql(uses: str, select: str) -> str:
     """`select` after the tables named in `uses` and those that they need."""
     names = uses.split()
     wanted = {n for u in names for n in (*NEEDS[u], u)}
-    return "WITH " + ", ".join(text for name, text in CTE.items() if name in wanted) + " " + select
+    return ("WITH " if wanted else "") + ", ".join(text for name, text in CTE.items() if name in wanted) + " " + select
 
 
 def cells(uses: str, body: str) -> str:
@@ -136,9 +141,9 @@ def checked(uses: str, body: str) -> str:
     return cells(uses, f"{body} UNION ALL SELECT -1 AS i, -1 AS j, 0.0 AS v")
 
 
-def where_not(a: Matrix, wrong) -> DataFrame:
-    """How many cells are not 0 where `wrong` holds."""
-    return a.df.where(wrong).where(F.abs("v") > 1e-9).agg(F.count("*").alias("n"))
+def where_not(a: Matrix, wrong, most: float = 1e-9) -> DataFrame:
+    """How many cells are not 0, up to rounding, where `wrong` holds."""
+    return a.df.where(wrong).where(F.abs("v") > most).agg(F.count("*").alias("n"))
 
 
 def not_orthonormal(q: Matrix, rows: bool = False) -> DataFrame:
