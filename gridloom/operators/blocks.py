@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .matrix import Matrix, ShapeError
+from .rows import Rows, arrays
 
 SIDE = 256
 #: Most bytes of the tiles of either factor in one cell of the grid, on average.
@@ -53,6 +54,38 @@ def to_blocks(a: Matrix, side: int = SIDE) -> Blocks:
     return Blocks(cells.groupBy("bi", "bj").applyInArrow(run, _SCHEMA), rows, cols, side)
 
 
+def of_rows(a: Rows, side: int = SIDE) -> Blocks:
+    """Tiles of a table in row layout: one shuffle of the rows, by bands of `side` rows."""
+    rows, cols = a.rows, a.cols
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bi = int(key[0].as_py())
+        i, flat = table["i"].to_numpy() - bi * side, table["a"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        band = np.zeros((min(side, rows - bi * side), cols))
+        band[i] = flat.reshape(len(i), cols)
+        return pa.Table.from_batches([_batch([(bi, j // side, np.ascontiguousarray(band[:, j : j + side])) for j in range(0, cols, side)])])
+
+    return Blocks(a.df.select(F.floor(F.col("i") / side).cast("int").alias("bi"), "i", "a").groupBy("bi").applyInArrow(run, _SCHEMA), a.rows, cols, side)
+
+
+def to_rows(b: Blocks) -> Rows:
+    """Row layout again: a task holds a band of `side` rows."""
+    side, rows, cols = b.side, b.rows, b.cols
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bi = int(key[0].as_py())
+        band = np.zeros((min(side, rows - bi * side), cols))
+        for bj, nr, nc, data in zip(*(table[c] for c in _NAMES[1:]), strict=True):
+            at = bj.as_py() * side
+            band[: nr.as_py(), at : at + nc.as_py()] = np.frombuffer(data.as_buffer()).reshape(nr.as_py(), nc.as_py())
+        return pa.table([pa.array(bi * side + np.arange(len(band))), arrays(band)], names=["i", "a"])
+
+    # Bands without a tile are zero.
+    spark = b.df.sparkSession
+    every = spark.range(-(-b.rows // side)).select(F.col("id").cast("int").alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("nr"), F.lit(0).alias("nc"), F.lit(b"").alias("data"))
+    return Rows(b.df.unionByName(every).groupBy("bi").applyInArrow(run, "i long, a array<double>"), b.rows, cols)
+
+
 def from_blocks(b: Blocks) -> Matrix:
     """Cells that are not 0."""
     side = b.side

@@ -1,9 +1,11 @@
 """Eigenvalues and singular values.
 
-The long side of a matrix stays distributed: it is reduced by TSQR to a triangle with
-the short side's size.  Symmetric matrices of any size, and matrices with both sides
-long, are decomposed by block Jacobi sweeps over pairs of row blocks; single eigenvalues
-come from a tridiagonal form by bisection, where each is a row of its own.
+The long side of a matrix stays distributed: it is reduced by a tree of reflectors to a
+triangle with the short side's size.  Symmetric matrices, and matrices with both sides
+long, are split at values of their spectrum until the parts fit one task (`split`);
+tridiagonal ones are torn in two and joined by the secular equation.  Single
+eigenvalues come from a tridiagonal form by bisection, where each is a row of its own.
+Block Jacobi sweeps serve bidiagonal matrices, whose small values they keep.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut, spent
+from . import blocks, qr_tree, split
 from .matrix import Matrix, ShapeError, Vector, mirrored
 from .orthogonal import qr_rows, tsqr
-from .rows import Rows, check_shared, from_rows, map_rows, matrix_of, times_small, to_rows
+from .rows import Rows, arrays, check_shared, from_rows, map_rows, matrix_of, times_small, to_rows
 from .sorting import ranked
 
 #: Most columns of a triangle that is left by TSQR and decomposed in one piece; beyond it
@@ -66,7 +70,7 @@ def svd(a: Matrix | Rows, vectors: bool = True) -> SVD:
         f = svd(a.T, vectors)
         return SVD(f.v, f.s, f.u)
     if a.cols > SMALL:
-        return _jacobi_svd(a, vectors)
+        return _split_svd(to_rows(a), vectors)
     spark, rows = a.df.sparkSession, to_rows(a)
     if not vectors:
         return SVD(None, vector_of(spark, np.linalg.svd(tsqr(rows), compute_uv=False)), None)
@@ -76,15 +80,51 @@ def svd(a: Matrix | Rows, vectors: bool = True) -> SVD:
     return SVD(from_rows(times_small(q, u * sign)), vector_of(spark, s), matrix_of(spark, vt.T * sign))
 
 
+def _split_svd(a: Rows, vectors: bool, leaf: int = SMALL, panel: int = qr_tree.PANEL, side: int = blocks.SIDE) -> SVD:
+    """SVD with both sides long: A = W*H by its polar factor, H = V*diag(s)*V^T by splitting,
+    U = W*V.  Where s is 0 to working precision, columns of U fill up the others to an
+    orthonormal set."""
+    spark, m, n = a.df.sparkSession, a.rows, a.cols
+    a = Rows(cut(a.df.select("i", "a"), "rows"), m, n)
+    w = split.polar(a, panel, side)
+    h = split._times(w, a, trans_a=True, side=side)
+    h = Rows(cut(h.df, "polar"), n, n)
+    both = split._sum(0.5, h, 0.5, blocks.to_rows(blocks.transpose(blocks.of_rows(h, side))))
+    values, v = split.eigen(both, vectors, leaf, panel, side)
+    rank = np.argsort(-values, kind="stable")
+    s = np.maximum(values[rank], 0.0)
+    if not vectors:
+        return SVD(None, vector_of(spark, s), None)
+    v = Rows(cut(map_rows(v.df, n, lambda _, x: x[:, rank]), "vectors"), n, n)
+    missing = np.flatnonzero(s <= max(m, n) * 2.0**-50 * s.max(initial=0.0)).tolist()
+    u = from_rows(Rows(cut(split._times(w, v, side=side).df, "vectors"), m, n)).where(~F.col("j").isin(missing) if missing else F.lit(True))
+    v = from_rows(v)
+    signs = cut(_signs(v), "signs")
+    return SVD(_turned(_completed(u, missing), signs), vector_of(spark, s), _turned(v, signs))
+
+
 def singular_values(a: Matrix | Rows) -> DataFrame:
     return svd(a, vectors=False).s.df
 
 
 def eigen_sym(a: Matrix, uplo: str = "lower", vectors: bool = True) -> Eigen:
-    """All eigenvalues of a symmetric matrix from one triangle."""
+    """All eigenvalues of a symmetric matrix from one triangle.  Up to SMALL rows it is
+    decomposed in one piece; a larger one is split at values of its spectrum until its parts are."""
     if a.rows != a.cols:
         raise ShapeError((a.rows, a.cols))
-    return _jacobi_eigen(mirrored(a, uplo), vectors)
+    if not a.rows:
+        return Eigen(vector_of(a.df.sparkSession, np.zeros(0)), a if vectors else None)
+    return _ordered(a.df.sparkSession, *split.eigen(to_rows(mirrored(a, uplo)), vectors, SMALL))
+
+
+def _ordered(spark, values: np.ndarray, vectors: Rows | None) -> Eigen:
+    """Values ascending, and their vectors with the largest component positive."""
+    rank = np.argsort(values, kind="stable")
+    out = vector_of(spark, values[rank])
+    if vectors is None:
+        return Eigen(out, None)
+    v = from_rows(Rows(cut(map_rows(vectors.df, vectors.cols, lambda _, x: x[:, rank]), "vectors"), vectors.rows, vectors.cols))
+    return Eigen(out, _turned(v, _signs(v)))
 
 
 def eigen_sym_selected(a: Matrix, uplo: str = "lower", first: int | None = None, last: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -348,10 +388,73 @@ def _band(d: Vector, e: Vector, symmetric: bool) -> Matrix:
 
 def tridiagonal_eigen(d: Vector, e: Vector, vectors: bool = True) -> Eigen:
     """Of the symmetric tridiagonal matrix (d, e): values by bisection if they are all that
-    is wanted, else both by Jacobi sweeps."""
+    is wanted, else both by tearing it in two."""
     if not vectors:
         return Eigen(Vector(bisect(d.df.sparkSession, d, e), d.size), None)
-    return _jacobi_eigen(_band(d, e, True), True)
+    return _ordered(d.df.sparkSession, *_torn(d.df.sparkSession, *_bands(d, e)))
+
+
+#: Rows of a tridiagonal matrix that is decomposed in one task.
+LEAF = 512
+
+
+def _torn(spark, d: np.ndarray, e: np.ndarray, leaf: int = LEAF, side: int = blocks.SIDE) -> tuple[np.ndarray, Rows]:
+    """(values, vectors as columns) by divide and conquer: without its middle element off the
+    diagonal the matrix is two, and that element is a rank-one matrix beside them.
+
+    The leaves are decomposed all at once, a row each.  Two neighbours are joined by the
+    eigenvectors of diag(values) + rho*z*z^T, z being the last row of one's and the first of
+    the other's vectors; theirs are multiplied by these as tiles."""
+    n = len(d)
+    check_shared(n, 8)
+    if not np.isfinite(d).all() or not np.isfinite(e).all():
+        raise ArithmeticError("the matrix holds values that are not finite")
+    cuts = [0, *(k * n // -(-n // leaf) for k in range(1, -(-n // leaf))), n] if n else [0, 0]
+    rho, d = [abs(float(e[c - 1])) for c in cuts[1:-1]], d.copy()
+    for c, r in zip(cuts[1:-1], rho, strict=True):
+        d[c - 1] -= r
+        d[c] -= r
+
+    def solve(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                a, b = cuts[k], cuts[k + 1]
+                own = np.diag(d[a:b]) + np.diag(e[a : b - 1], 1) + np.diag(e[a : b - 1], -1)
+                values, v = np.linalg.eigh(own)
+                yield pa.record_batch([pa.array(np.full(b - a, k)), pa.array(np.arange(b - a)), arrays(np.hstack((v, values[:, None])))], names=["leaf", "i", "a"])
+
+    count = len(cuts) - 1
+    table = cut(spark.range(0, count, 1, count).mapInArrow(solve, "leaf long, i long, a array<double>"), "leaves")
+    last = {(r["leaf"], r["i"]): r for r in table.select("leaf", "i", F.element_at("a", -1).alias("value")).collect()}
+    parts = []
+    for k in range(count):
+        size = cuts[k + 1] - cuts[k]
+        values = np.array([last[k, i]["value"] for i in range(size)])
+        own = table.where(F.col("leaf") == k).select("i", F.slice("a", 1, size).alias("a"))
+        parts.append((values, Rows(own, size, size), float(np.sign(e[cuts[k + 1] - 1])) if k + 1 < count else 1.0, rho[k] if k + 1 < count else 0.0))
+    while len(parts) > 1:
+        joined = [_join(spark, *parts[k : k + 2], side) for k in range(0, len(parts) - 1, 2)]
+        parts = joined + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0][0], parts[0][1]
+
+
+def _join(spark, left: tuple, right: tuple, side: int) -> tuple:
+    """Two torn neighbours (values, vectors, sign and size of the element after it) as one."""
+    (x, p, sign, rho), (y, q, *after) = left, right
+    m, n = len(x), len(y)
+    row = lambda v, k: np.array(v.df.where(F.col("i") == k).first()["a"])
+    z = np.concatenate((row(p, m - 1), sign * row(q, 0)))
+    f = rank_one_eigen(spark, np.concatenate((x, y)), z, rho)
+    values = np.zeros(m + n)
+    for r in f.values.df.collect():
+        values[r["i"]] = r["v"]
+    # The rows of one part have nothing in the other's columns: two products, not one of twice the size.
+    w = cut(to_rows(f.vectors).df, "rank-one")
+    top = split._times(p, Rows(w.where(F.col("i") < m), m, m + n), side=side)
+    low = split._times(q, Rows(w.where(F.col("i") >= m).select((F.col("i") - m).alias("i"), "a"), n, m + n), side=side)
+    v = cut(top.df.unionByName(low.df.select((F.col("i") + m).alias("i"), "a")), "joined")
+    spent(w)
+    return values, Rows(v, m + n, m + n), *after
 
 
 def bidiagonal_values(d: Vector, e: Vector) -> DataFrame:
