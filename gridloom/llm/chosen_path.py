@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import Texts, mix, shingle_sets
-from .components import components
+from .components import components, thinned
 from .shared import aside, back, spent, written
 
 SKETCH = 128
@@ -395,7 +395,7 @@ def _linked(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     sets = described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.count("*").alias("copies"), first)
     sets = written(sets.select("sid", "rep", "row_key", "copies", "f.*"), "sets")
     near = _candidates(sets, join)
-    groups = components(near)
+    groups = components(thinned(near, "b"))
     spent(near)
 
     # Exact comparison inside each candidate group, on full sets.  A set is found again
@@ -410,7 +410,7 @@ def _linked(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     lone, several = _pair_up(full, "group", ["sid", "copies", "tokens"])
     shape = "sid binary, root binary, links long"
     found = written(lone.mapInArrow(_exact(join), shape).unionByName(several.mapInArrow(_exact(join), shape)), "links")
-    final = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    final = components(thinned(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), "a"))
     spent(known, size, known_parts)
 
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))

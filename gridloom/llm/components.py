@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import spent, written
 
+#: Edges that `thinned` looks at together.
+TOGETHER = 1 << 19
+
+
+def _forest(batches):
+    """mapInArrow: of each TOGETHER edges (a, b) as many as connect the same vertices, each to
+    one vertex of its component."""
+
+    def forest(parts):
+        a, b = (pa.concat_arrays([p.column(c) for p in parts]) for c in ("a", "b"))
+        coded = pa.concat_arrays([a, b]).dictionary_encode()
+        x, y = coded.indices.to_numpy()[: len(a)], coded.indices.to_numpy()[len(a) :]
+        label = np.arange(len(coded.dictionary))
+        while True:
+            least = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return pa.record_batch([pc.take(coded.dictionary, pa.array(own)), pc.take(coded.dictionary, pa.array(label[own]))], names=["a", "b"])
+
+    parts, held = [], 0
+    for batch in batches:
+        parts.append(batch.select(["a", "b"]))
+        held += batch.num_rows
+        if held >= TOGETHER:
+            yield forest(parts)
+            parts, held = [], 0
+    if held:
+        yield forest(parts)
+
+
+def thinned(edges: DataFrame, by: str) -> DataFrame:
+    """Fewer edges with the same components.  Tasks hold all edges of their vertices of column
+    `by`, of which none should have very many, and keep a forest of them: where those vertices
+    share their neighbours, as the members of a large group do, one edge is left of each."""
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.where(F.col("a") != F.col("b")).select("a", "b").repartition(by).mapInArrow(_forest, f"a {kind}, b {kind}")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): every vertex of `edges` (a, b) with the smallest vertex of its component.

@@ -289,3 +289,25 @@ def test_centroids_equal_sql(spark):
     got = centroids.query(spark, path)
     assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())
+
+
+# Components
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+@pytest.mark.parametrize("together", [3, 1 << 19])
+def test_thinned_edges_connect_the_same(spark, monkeypatch, kind, together):
+    from gridloom.llm import components as c
+
+    monkeypatch.setattr(c, "TOGETHER", together)
+    rng = random.Random(8)
+    pairs = [(rng.randrange(60), 100 + rng.randrange(4)) for _ in range(300)] + [(k, k) for k in range(5)] + [(300, 301), (301, 300)]
+    made = (lambda v: v) if kind == "long" else (lambda v: str(v).encode())
+    edges = spark.createDataFrame([(made(a), made(b)) for a, b in pairs], f"a {kind}, b {kind}").repartition(5)
+    few = c.thinned(edges, "a").collect()
+    assert len(few) < 200 if together == 3 else len(few) <= 64 + 4 * 5
+    want = {r["v"]: r["c"] for r in c.components(edges).collect()}
+    got = {r["v"]: r["c"] for r in c.components(spark.createDataFrame(few, f"a {kind}, b {kind}")).collect()}
+    apart = {made(a) for a, b in pairs if a == b} - {made(a) for a, b in pairs if a != b}
+    assert {v: c for v, c in want.items() if v not in apart} == got
+    assert c.thinned(edges.limit(0), "a").count() == 0
