@@ -36,7 +36,7 @@ class Blocks:
 
 def _batch(tiles: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     columns = [pa.array([t[0] for t in tiles], pa.int32()), pa.array([t[1] for t in tiles], pa.int32())]
-    columns += [pa.array([t[2].shape[k] for t in tiles], pa.int32()) for k in (0, 1)]
+    columns += [pa.array([t[2].shape[k] for t in tiles], pa.int32()) for k in (-2, -1)]
     return pa.record_batch([*columns, pa.array([t[2].tobytes() for t in tiles], pa.binary())], names=_NAMES)
 
 
@@ -132,6 +132,78 @@ def grid(a: Blocks, b: Blocks, tasks: int) -> tuple[int, int, int]:
 
 def mult(a: Blocks, b: Blocks, alpha: float = 1.0) -> Blocks:
     """alpha*A*B."""
+    return Blocks(_multiplied(a, b, lambda u, v: (alpha * (u @ v))[None]), a.rows, b.cols, a.side)
+
+
+def mult_pairs(a: Blocks, b: Blocks) -> DataFrame:
+    """(i, j, s, c) of A*B as if in twice the precision: s is the rounded element, c what that
+    lost.  Cells that have a product of two elements that are not 0."""
+    side = a.side
+    tiles = _multiplied(a, b, sliced, 3)
+
+    def run(batches):
+        for batch in batches:
+            for bi, bj, nr, nc, data in zip(*(batch.column(c) for c in _NAMES), strict=True):
+                s, c, n = np.frombuffer(data.as_buffer()).reshape(3, nr.as_py(), nc.as_py())
+                i, j = np.nonzero(n)
+                yield pa.record_batch([pa.array(i + bi.as_py() * side), pa.array(j + bj.as_py() * side), pa.array(s[i, j]), pa.array(c[i, j])], names=["i", "j", "s", "c"])
+
+    return tiles.mapInArrow(run, "i long, j long, s double, c double")
+
+
+def _two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+#: Bits below the largest of a row or column that a sliced product regards.
+KEPT_BITS = 110
+
+
+def _slices(x: np.ndarray, axis: int, bits: int) -> list[np.ndarray]:
+    """Parts of x that add up to it, as far as KEPT_BITS reach: in each, the elements of a row
+    (axis 1) or column are `bits`-bit multiples of one power of two."""
+    out = []
+    for _ in range(-(-KEPT_BITS // bits)):
+        top = np.abs(x).max(axis=axis, keepdims=True, initial=0.0)
+        if not top.any():
+            break
+        # Adding and taking away 1.5 * 2^(e + 52 - bits) rounds to multiples of 2^(e - bits).
+        shift = np.ldexp(1.5, np.frexp(top)[1] + 52 - bits)
+        part = (x + shift) - shift
+        out.append(part)
+        x = x - part
+    return out
+
+
+def sliced(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(rounded product, its error, number of products) by element, in twice the precision.
+
+    Slices are so narrow that the product of two has no rounding at all in floating point;
+    these exact products are added up in pairs of numbers.  Rows and columns are scaled by
+    powers of two first, so nothing leaves the range."""
+    count = (u != 0).astype(np.float64) @ (v != 0)
+    if not (np.isfinite(u).all() and np.isfinite(v).all()):
+        return np.stack((u @ v, np.zeros(count.shape), count))
+    up = np.frexp(np.abs(u).max(axis=1, keepdims=True, initial=0.0))[1]
+    across = np.frexp(np.abs(v).max(axis=0, keepdims=True, initial=0.0))[1]
+    bits = (52 - max(1, u.shape[1]).bit_length()) // 2
+    left, right = _slices(np.ldexp(u, -up), 1, bits), _slices(np.ldexp(v, -across), 0, bits)
+    high, low = np.zeros(count.shape), np.zeros(count.shape)
+    for order in range(len(left) + len(right) - 1):
+        if order * bits > KEPT_BITS:
+            break
+        for p in range(max(0, order - len(right) + 1), min(order + 1, len(left))):
+            high, e = _two_sum(high, left[p] @ right[order - p])
+            low += e
+    high, low = _two_sum(high, low)
+    return np.stack((np.ldexp(high, up + across), np.ldexp(low, up + across), count))
+
+
+def _multiplied(a: Blocks, b: Blocks, kernel, planes: int = 1) -> DataFrame:
+    """Tiles of A*B, of which `kernel` makes those of a cell of the grid from its matrices: one
+    plane, or the three of `sliced`."""
     if a.cols != b.rows or a.side != b.side:
         raise ShapeError((a.rows, a.cols, b.rows, b.cols))
     side, rows, cols, inner = a.side, a.rows, b.cols, a.cols
@@ -164,29 +236,35 @@ def mult(a: Blocks, b: Blocks, alpha: float = 1.0) -> Blocks:
         low, high = max(k0, l0) * side, min(k0 * side + u.shape[1], l0 * side + v.shape[0])
         if low >= high:
             return pa.Table.from_batches([empty])
-        w = alpha * (u[:, low - k0 * side : high - k0 * side] @ v[low - l0 * side : high - l0 * side])
-        tiles = [(i0 + i // side, j0 + j // side, np.ascontiguousarray(w[i : i + side, j : j + side])) for i in range(0, w.shape[0], side) for j in range(0, w.shape[1], side)]
+        w = kernel(u[:, low - k0 * side : high - k0 * side], v[low - l0 * side : high - l0 * side])
+        tiles = [(i0 + i // side, j0 + j // side, np.ascontiguousarray(w[:, i : i + side, j : j + side])) for i in range(0, w.shape[1], side) for j in range(0, w.shape[2], side)]
         return pa.Table.from_batches([_batch(tiles)])
 
     keys = ("p", "q", "s")
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, _SCHEMA)
     if s == 1:
-        return Blocks(parts, rows, cols, side)
+        return parts
 
     def summed(batches):
         held = None
         for batch in batches:
             for bi, bj, nr, nc, data in zip(*(batch.column(c) for c in _NAMES), strict=True):
-                place, tile = (bi.as_py(), bj.as_py()), np.frombuffer(data.as_buffer()).reshape(nr.as_py(), nc.as_py())
+                place, tile = (bi.as_py(), bj.as_py()), np.frombuffer(data.as_buffer()).reshape(planes, nr.as_py(), nc.as_py())
+                full = np.zeros((planes, min(side, rows - place[0] * side), min(side, cols - place[1] * side)))
+                full[:, : tile.shape[1], : tile.shape[2]] = tile
                 if held is not None and held[0] == place:
-                    held[1][: tile.shape[0], : tile.shape[1]] += tile
+                    own = held[1]
+                    if planes == 1:
+                        own += full
+                    else:
+                        own[0], e = _two_sum(own[0], full[0])
+                        own[1] += e + full[1]
+                        own[2] += full[2]
                     continue
                 if held is not None:
                     yield _batch([(*held[0], held[1])])
-                full = np.zeros((min(side, rows - place[0] * side), min(side, cols - place[1] * side)))
-                full[: tile.shape[0], : tile.shape[1]] = tile
                 held = (place, full)
         if held is not None:
             yield _batch([(*held[0], held[1])])
 
-    return Blocks(parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(summed, _SCHEMA), rows, cols, side)
+    return parts.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(summed, _SCHEMA)

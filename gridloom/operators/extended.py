@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.eft import sumk, two_prod, two_sum
+from . import blocks
 from .factor import solve_triangular as plain_solve
 from .matrix import Matrix, ShapeError, Vector, as_column, mirrored, triangle
 from .products import triangular
@@ -103,20 +104,26 @@ def axpby(beta: float, y: Vector, alpha: float, x: Vector) -> Vector:
 
 
 def mult(alpha: float, a: Matrix, b: Matrix, beta: float = 0.0, c: Matrix | None = None, trans_a: bool = False, trans_b: bool = False, uplo: str | None = None) -> Matrix:
-    """beta*C + alpha*op(A)*op(B), each element folded as pairs and rounded once; on a
-    triangle only with uplo."""
+    """beta*C + alpha*op(A)*op(B), each element from a sum in twice the precision and rounded
+    once; on a triangle only with uplo.
+
+    Dense tiles are multiplied in slices whose products are exact (`blocks.sliced`); the pairs
+    of numbers that are an element so far are what tasks exchange, not its products."""
     a, b = (a.T if trans_a else a), (b.T if trans_b else b)
     if a.cols != b.rows:
         raise ShapeError((a.rows, a.cols, b.rows, b.cols))
-    both = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k").where(triangle(uplo))
-    p, e = two_prod(alpha * F.col("x"), F.col("y"))
-    pairs = both.select("i", "j", F.col("k").alias("at"), p.alias("s"), e.alias("c"))
-    n = a.cols
-    if c is not None and beta != 0:
+    pairs = blocks.mult_pairs(blocks.to_blocks(a), blocks.to_blocks(b)).where(triangle(uplo))
+    p, e = two_prod(F.lit(float(alpha)), F.col("s"))
+    pairs = pairs.select("i", "j", p.alias("p"), (e + alpha * F.col("c")).alias("e"))
+    if c is None or beta == 0:
+        out = Matrix(pairs.select("i", "j", (F.col("p") + F.col("e")).alias("v")), a.rows, b.cols)
+    else:
         q, f = two_prod(F.lit(float(beta)), F.col("v"))
-        pairs = pairs.unionByName(c.df.where(triangle(uplo)).select("i", "j", F.lit(n).cast("long").alias("at"), q.alias("s"), f.alias("c")))
-        n += 1
-    out = Matrix(fold(pairs, ["i", "j"], n), a.rows, b.cols)
+        given = c.df.where(triangle(uplo)).select("i", "j", q.alias("q"), f.alias("f"))
+        zero = lambda n: F.coalesce(n, F.lit(0.0)).alias(n)
+        both = pairs.join(given, ["i", "j"], "full").select("i", "j", *map(zero, "peqf"))
+        s, g = two_sum(F.col("p"), F.col("q"))
+        out = Matrix(both.select("i", "j", (s + (g + (F.col("e") + F.col("f")))).alias("v")), a.rows, b.cols)
     if c is not None and uplo is not None:
         return Matrix(out.df.unionByName(c.df.where(~triangle(uplo))), a.rows, b.cols)
     return out

@@ -75,3 +75,61 @@ def test_twice_a_product(spark):
     x, y = array(a), array(b)
     assert np.allclose(array(products.update2_sym(1.5, a, b)), np.tril(1.5 * (x @ y.T + y @ x.T)))
     assert np.allclose(array(products.update2_sym(1.5, a, b, uplo="upper", trans=True)), np.triu(1.5 * (x.T @ y + y.T @ x)))
+
+
+def exact(x, y):
+    from fractions import Fraction
+
+    return np.array([[float(sum((Fraction(a) * Fraction(b) for a, b in zip(r, c, strict=True)), Fraction(0))) for c in y.T] for r in x])
+
+
+@pytest.mark.parametrize("kind", ["cancelling", "wide range", "huge", "tiny", "zero rows"])
+def test_sliced_products_are_right_to_the_last_bit(kind):
+    from gridloom.operators.blocks import sliced
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(6, 40)), rng.normal(size=(40, 5))
+    if kind == "cancelling":
+        x[:, 20:] = -x[:, :20]
+        y[20:] = y[:20] * (1 + 2.0**-50)
+    if kind == "wide range":
+        x *= 2.0 ** rng.integers(-15, 15, x.shape)
+    if kind == "huge":
+        x, y = x * 1e250, y * 1e-200
+    if kind == "tiny":
+        x, y = x * 1e-140, y * 1e-140
+    if kind == "zero rows":
+        x[2], y[:, 3] = 0, 0
+    s, c, n = sliced(x, y)
+    want = exact(x, y)
+    assert np.array_equal(s + c, want) and np.array_equal(n, (x != 0).astype(float) @ (y != 0))
+    if kind == "cancelling":
+        assert not np.array_equal(x @ y, want)
+
+
+def test_sliced_products_over_slabs(spark):
+    """Several tiles of the inner index are added up as pairs."""
+    from gridloom.operators import blocks, extended
+    from gridloom.operators.rows import matrix_of
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(7, 60))
+    y = np.vstack((rng.normal(size=(30, 4)), np.zeros((30, 4))))
+    x[:, 30:], y[30:] = -x[:, :30], y[:30] * (1 + 2.0**-51)
+    tiles = lambda v: blocks.to_blocks(matrix_of(spark, v), 4)
+    got = blocks.mult_pairs(tiles(x), tiles(y))
+    # Pairs hold 106 bits, of which this sum cancels 51.
+    want = exact(x, y)
+    assert np.abs(array(Matrix(got.selectExpr("i", "j", "s + c as v"), 7, 4)) - want).max() <= 2.0**-48 * np.abs(want).max() < np.abs(x @ y - want).max()
+    z = rng.normal(size=(7, 4))
+    both = array(extended.mult(0.5, matrix_of(spark, x), matrix_of(spark, y), -3.0, matrix_of(spark, z)))
+    want = exact(np.hstack((0.5 * x, -3.0 * np.eye(7))), np.vstack((y, z)))
+    assert np.allclose(both, want, rtol=2.0**-52, atol=0)
+
+
+def test_values_that_are_not_finite_go_through():
+    from gridloom.operators.blocks import sliced
+
+    x, y = np.array([[np.inf, 1.0], [1.0, 2.0]]), np.eye(2)
+    s, _, _ = sliced(x, y)
+    assert s[0, 0] == np.inf and s[1, 1] == 2.0
