@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import Texts
-from .pretokens import Pretokens, WordTable, gather, library, tokenizer_text
+from .pretokens import Pretokens, WordTable, check_known, gather, library, tokenizer_text
 from .shared import written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -93,6 +93,7 @@ class ByteSide(Side):
     """A byte-level file of the tokenizers library; special tokens' strings are plain text."""
 
     def __init__(self, tokenizer_json: str):
+        check_known(tokenizer_json, True)
         self.made = library(tokenizer_json)
         self.made.encode_special_tokens = True
         letters, special = byte_alphabet(), {k for k, t in self.made.get_added_tokens_decoder().items() if t.special}

@@ -225,13 +225,13 @@ def _train(net: Network, x, owner, y, use, rng) -> None:
 
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
-    """All columns of `documents` but one named score, plus score (double, 0 to 1).
+    """All columns of `documents` but one named score, in whatever case, plus score (double, 0 to 1).
 
     Null and empty texts are scored as one chunk of zeros.  A text of any length is
     scored from all of its chunks; it is then a piece of its own.  Repeated rows are
     scored one by one, alike.
     """
-    frame = documents.select(*[c for c in documents.columns if c != "score"])
+    frame = documents.select(*[c for c in documents.columns if c.lower() != "score"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + ", score double"
 
     def run(batches):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most bytes of the texts of one label that a classifier is fitted on.
+CLASS_BYTES = 48 << 20
+
+
 def held_out_flag(column: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, class_bytes: int = CLASS_BYTES) -> DataFrame:
     """(doc_id, text, y) of at most `per_class` labelled ids for each of y = 0 and y = 1.
 
     Held-out ids never take part.  Ids labelled twice with different values,
@@ -19,7 +23,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     hash of the id, so reruns agree.  `per_class` bounds the ids, which makes
     the label side safe to broadcast.  Of the rows of a repeated doc_id one is taken,
     by a hash of the text; that is settled before the shuffle, so an id with a third
-    of all rows sends one of each task.  Texts are whole.
+    of all rows sends one of each task.  Texts are whole: of each label those are taken, in the
+    order of the hash, whose bytes add up to `class_bytes` at most, which bounds what a driver
+    may gather; a text that alone has more is left out.
     """
     clean = (
         labels.select("doc_id", F.col(label).alias("y"))
@@ -33,9 +39,13 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     for y in (0, 1):
         part = clean.where(F.col("y") == y).orderBy("order", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")
-    return found.groupBy("doc_id", "y").agg(one).select("doc_id", "m.text", "y")
+    size = F.coalesce(F.octet_length("m.text"), F.lit(0)).cast("long")
+    rows = found.groupBy("doc_id", "y", "order").agg(one).select("doc_id", "m.text", "y", "order", size.alias("size")).where(F.col("size") <= class_bytes)
+    # At most per_class rows of each label.
+    running = Window.partitionBy("y").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= class_bytes).select("doc_id", "text", "y")
 
 
 def class_shares(labels: DataFrame, label: str) -> tuple[int, int]:

@@ -263,9 +263,9 @@ def extract(pages: DataFrame, model: TreeModel, column: str = "html") -> DataFra
 
     Null and empty pages give empty texts.  Rows are kept one for one, repeated ones alike;
     a page of any length is worked through whole, in time that follows its length; an
-    element at exactly one half is content.  Columns named text or n_chars are replaced.
+    element at exactly one half is content.  Columns named text or n_chars, in whatever case, are replaced.
     """
-    rest = [c for c in pages.columns if c not in (column, "text", "n_chars")]
+    rest = [c for c in pages.columns if c.lower() not in (column.lower(), "text", "n_chars")]
     frame = pages.select(*rest, column)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != column), "text string, n_chars long"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import Texts
-from .pretokens import Pretokens, WordTable, rows_with, special_strings, tokenizer_text
+from .pretokens import Pretokens, WordTable, check_known, rows_with, special_strings, tokenizer_text
 
 
 def byte_letters() -> list[str]:
@@ -151,6 +151,7 @@ class PairTokenizer:
     def __init__(self, tokenizer_json: str):
         import regex
 
+        check_known(tokenizer_json, False)
         self.merges = Merges.of(tokenizer_json)
         self.special = special_strings(tokenizer_json)
         self.table = WordTable(lambda words: apply_merges(words, self.merges))

@@ -191,6 +191,32 @@ def library(tokenizer_json: str):
     return made
 
 
+#: What the two public files say of normalising and cutting; `Pretokens` does
+#: the cutting, with and without attached spaces.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+KNOWN = {
+    True: (None, _BYTE_LEVEL, None),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        "</w>",
+    ),
+}
+
+
+def check_known(tokenizer_json: str, attached: bool) -> None:
+    """ValueError for a tokenizer file that normalises, cuts or merges in another way than is
+    built in here: its ids would be wrong."""
+    import json
+
+    told = json.loads(tokenizer_json)
+    model = told.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    odd = any(t.get(k) for t in told.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if (told.get("normalizer"), told.get("pre_tokenizer"), model.get("end_of_word_suffix")) != KNOWN[attached] or not plain or odd or told.get("post_processor"):
+        raise ValueError("this tokenizer file normalises, cuts or merges in a way that is not built in")
+
+
 def special_strings(tokenizer_json: str) -> tuple[str, ...]:
     """Strings that the library takes out of a text before anything else."""
     import json
@@ -205,6 +231,7 @@ class ByteTokenizer:
     """
 
     def __init__(self, tokenizer_json: str):
+        check_known(tokenizer_json, True)
         self.made = library(tokenizer_json)
         self.special = special_strings(tokenizer_json)
         self.table = WordTable(self._encode)

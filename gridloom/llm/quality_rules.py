@@ -250,12 +250,12 @@ def score(documents: DataFrame, model: RuleModel) -> DataFrame:
     prob (double) and kept (boolean).
 
     Null and empty texts have no words, fail the base rules and are not kept.
-    Columns named like the results are replaced by them.  A text of any length is
+    Columns named like the results, in whatever case, are replaced by them.  A text of any length is
     counted and scored whole; it is then a piece of its own.  A probability equal to
     the threshold is kept.  Repeated rows are scored one by one, alike.
     """
     made = [*(c.split()[0] for c in BASE_COLUMNS.split(", ")), "prob", "kept"]
-    rest = [c for c in documents.columns if c not in made]
+    rest = [c for c in documents.columns if c.lower() not in made]
     frame = documents.select(*rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + f", {BASE_COLUMNS}, prob double, kept boolean"
 

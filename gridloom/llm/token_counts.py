@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import Texts
-from .pretokens import Pretokens, WordTable, library, rows_with, special_strings, tokenizer_text
+from .pretokens import Pretokens, WordTable, check_known, library, rows_with, special_strings, tokenizer_text
 
 RULES = ("most", "first", "last")
 
@@ -40,6 +40,7 @@ class Spans:
 
     def __init__(self, tokenizer_json: str):
         self.made = library(tokenizer_json)
+        check_known(tokenizer_json, True)
         self.special = special_strings(tokenizer_json)
         self.table = WordTable(self._encode, width=3)
 

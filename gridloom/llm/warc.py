@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,33 +56,42 @@ def _table(column) -> list[dict | None]:
     return [None if x is None else dict(x) for x in column.to_pylist()]
 
 
+#: Equal rows that one task makes from their one.
+EQUALS = 1000
+
+
 def responses(pages: DataFrame, crawl: Crawl = Crawl()) -> DataFrame:
     """Response records of (page_id, url, html), with page_id.  A null html is an empty
     payload, a null url leaves the record without a target.
 
-    A record's id is made from page_id, url and the payload's digest.  Rows that are
-    repeated in all three also enter their place in the input, so no two records share
-    an id; they are found by counting narrow keys, and without any nothing is joined.
+    A record's id is made from page_id, url and the payload's digest.  Of rows that are
+    equal in all three all but the first also enter their number among these, so no two records
+    share an id, and the ids do not depend on how the input is split.  Such rows are found by
+    counting narrow keys, and without any nothing is joined; they are counted as one row and
+    made again from it, EQUALS at a time, so many of them do not meet in one task.
     """
     frame = pages.select("page_id", "url", "html")
     key = F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", F.coalesce("html", F.lit("")))
     again = written(frame.groupBy(key.alias("row_key")).count().where("count > 1").select("row_key", F.lit(True).alias("again")), "repeated")
     n = again.count()
     if n:
-        frame = frame.withColumn("row_key", key).join(again.hint("broadcast" if n <= crawl.shared else "merge"), "row_key", "left").select("page_id", "url", "html", F.coalesce("again", F.lit(False)).alias("again"))
+        frame = frame.withColumn("row_key", key).join(again.hint("broadcast" if n <= crawl.shared else "merge"), "row_key", "left")
+        equal = frame.where("again").groupBy("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).agg(F.count("*").alias("n"))
+        last = F.col("n") - 1
+        share = equal.withColumn("share", F.explode(F.sequence(F.lit(0), F.floor(last / EQUALS)))).repartition("page_id", "url", "share")
+        number = F.explode(F.sequence(F.col("share") * EQUALS, F.least((F.col("share") + 1) * EQUALS - 1, last)))
+        frame = frame.where("again is null").select("page_id", "url", "html", F.lit(0).cast("long").alias("number")).unionByName(share.select("page_id", "url", "html", number.alias("number")))
     else:
-        frame = frame.withColumn("again", F.lit(False))
+        frame = frame.withColumn("number", F.lit(0).cast("long"))
 
     def run(batches):
-        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for key, url, page, again in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "again")), strict=True):
-                at += 1
+            for key, url, page, number in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "number")), strict=True):
                 payload = (page or "").encode()
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: {crawl.content_type}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                 headers = {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block)}
-                name = record_id("response", key, url, headers["WARC-Payload-Digest"], *([part, at] if again else []))
+                name = record_id("response", key, url, headers["WARC-Payload-Digest"], *([number] if number else []))
                 rows.append({"record_id": name, "type": "response", "date": crawl.date, "target_uri": url, "headers": headers, "block": block})
             out = _batch(rows)
             yield pa.record_batch([batch.column("page_id"), *out.columns], names=["page_id", *_ARROW.names])
@@ -93,19 +101,25 @@ def responses(pages: DataFrame, crawl: Crawl = Crawl()) -> DataFrame:
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bool]:
     """Status line, header fields and payload of an HTTP response block, and whether the
-    payload's encoding could be undone.  Of a broken one what comes before the fault is left."""
+    payload's encodings could all be undone, the last first.  Of a broken one what comes before
+    the fault is left; one that is not known (`CODINGS`) stays, with those before it."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap and not block.startswith(b"HTTP/"):
         return "", [], block, True
     lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("latin-1").split("\r\n")
     fields = [(a.strip(), b.strip()) for a, sep, b in (x.partition(":") for x in lines[1:]) if sep]
-    names = {a.lower(): b.lower() for a, b in fields}
-    if names.get("transfer-encoding") == "chunked":
-        payload = _unchunk(payload)
-    right = True
-    if names.get("content-encoding") in ("gzip", "x-gzip", "deflate"):
-        payload, right = _inflate(payload)
-    return lines[0], fields, payload, right
+    names: dict[str, str] = {}
+    for a, b in fields:  # a field that is repeated is one list
+        names[a.lower()] = f"{names[a.lower()]}, {b.lower()}" if a.lower() in names else b.lower()
+    # A message is coded for its content first, and for its transfer over that.
+    codings = [c for field in ("content-encoding", "transfer-encoding") for c in re.split(r"[\s,]+", names.get(field, "")) if c]
+    for coding in reversed(codings):
+        if coding not in CODINGS:
+            return lines[0], fields, payload, False
+        payload, right = CODINGS[coding](payload)
+        if not right:
+            return lines[0], fields, payload, False
+    return lines[0], fields, payload, True
 
 
 def _inflate(data: bytes) -> tuple[bytes, bool]:
@@ -130,18 +144,43 @@ def _inflate(data: bytes) -> tuple[bytes, bool]:
     return b"".join(out), True
 
 
-def _unchunk(data: bytes) -> bytes:
+def _unzstd(data: bytes) -> tuple[bytes, bool]:
+    """All frames of a zstd stream."""
+    import zstandard
+
+    out, rest = [], data
+    while rest:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            for k in range(0, len(rest), 4096):
+                out.append(frame.decompress(rest[k : k + 4096]))
+                if frame.eof:
+                    rest = frame.unused_data + rest[k + 4096 :]
+                    break
+            else:
+                return b"".join(out), False
+        except zstandard.ZstdError:
+            return b"".join(out), False
+    return b"".join(out), True
+
+
+def _unchunk(data: bytes) -> tuple[bytes, bool]:
+    """The chunks on end, and whether the last, empty one is there."""
     out, at = [], 0
     while (end := data.find(b"\r\n", at)) >= 0:
         try:
             size = int(data[at:end].split(b";")[0], 16)
         except ValueError:
-            return data
+            return (b"".join(out), False) if out else (data, False)
         if not size:
-            break
+            return b"".join(out), True
         out.append(data[end + 2 : end + 2 + size])
         at = end + 4 + size
-    return b"".join(out)
+    return b"".join(out), False
+
+
+#: Codings of a payload that can be undone; others, as br and compress, are not.
+CODINGS = {"identity": lambda x: (x, True), "chunked": _unchunk, "gzip": _inflate, "x-gzip": _inflate, "deflate": _inflate, "zstd": _unzstd}
 
 
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([\w-]+)""", re.I)
@@ -192,7 +231,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two records (RECORD) for each record of type response, with the other columns of
     `records`; records of other types have none."""
     own = _ARROW.names
-    rest = [c for c in records.columns if c not in own]
+    rest = [c for c in records.columns if c.lower() not in own]
     frame = records.where(F.col("type") == "response").select(*rest, *own)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in rest), RECORD])
 

@@ -311,3 +311,106 @@ def test_thinned_edges_connect_the_same(spark, monkeypatch, kind, together):
     apart = {made(a) for a, b in pairs if a == b} - {made(a) for a, b in pairs if a != b}
     assert {v: c for v, c in want.items() if v not in apart} == got
     assert c.thinned(edges.limit(0), "a").count() == 0
+
+
+# Repeated pages, encodings, names in another case, tokenizer files, samples
+
+
+def test_ids_of_equal_pages_do_not_depend_on_the_split(spark, monkeypatch):
+    from gridloom.llm import warc
+
+    monkeypatch.setattr(warc, "EQUALS", 4)
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(6)] + [(1, "http://h/1", "<p>1</p>")] * 10 + [(9, None, None), (9, None, ""), (9, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ids = [sorted(r["record_id"] for r in warc.responses(frame.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(rows)
+    once = [r["record_id"] for r in warc.responses(frame.limit(6)).collect()]
+    assert set(once) <= set(ids[0])
+
+
+def test_encodings_by_list():
+    import gzip
+    import zlib
+
+    import zstandard
+
+    from gridloom.llm import warc
+
+    body = b"<p>text</p>" * 50
+    chunk = lambda x: b"%x\r\n%s\r\n0\r\n\r\n" % (len(x), x)
+    cases = [
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunk(gzip.compress(body)), body, True),
+        ("Transfer-Encoding: gzip, chunked", chunk(gzip.compress(body)), body, True),
+        ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(body)), body, True),
+        ("Content-Encoding: zstd", zstandard.compress(body), body, True),
+        ("Content-Encoding: identity", body, body, True),
+        ("Content-Encoding: br", b"packed", b"packed", False),
+        ("Content-Encoding: br\r\nTransfer-Encoding: chunked", chunk(b"packed"), b"packed", False),
+        ("Content-Encoding: zstd", b"broken", b"", False),
+        ("Transfer-Encoding: chunked", b"5\r\nabcde\r\n", b"abcde", False),
+        ("Content-Encoding: gzip\r\nContent-Encoding: deflate", zlib.compress(gzip.compress(body)), body, True),
+    ]
+    for head, payload, want, right in cases:
+        _, _, got, told = warc.http_parts(f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload)
+        assert (got, told) == (want, right), head
+
+
+def test_columns_in_another_case_are_replaced(spark):
+    from gridloom.llm import byte_cnn, labelled_pages, main_text, quality_rules, warc
+
+    frame = docs(spark, [prose(random.Random(k), 60) for k in range(30)]).withColumn("Score", F.lit("own")).withColumn("KEPT", F.lit("own")).withColumn("N_words", F.lit("own"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert byte_cnn.score(frame, byte_cnn.fit(frame, labels)).select("score").count() == 30
+    assert quality_rules.keep(frame, frame, labels).columns == frame.columns
+    pages = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(labelled_pages.made(3, 1))], "page_id long, url string, html string").withColumn("Text", F.lit("own"))
+    assert main_text.extract(pages, main_text.fit()).select("text").count() == 3
+    records = warc.responses(pages).withColumn("extra", F.lit(1)).withColumnRenamed("block", "Block")
+    assert warc.derivatives(records).select("block", "extra").count() == 6
+
+
+def test_unknown_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from gridloom.llm import pair_bpe
+
+    for file, made in ((alignment.A_FILE, pretokens.ByteTokenizer), (pair_bpe.WORD_FILE, pair_bpe.PairTokenizer)):
+        told = json.loads(pretokens.tokenizer_text(None, file))
+        made(json.dumps(told))
+        for part, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "Whitespace"})):
+            with pytest.raises(ValueError, match="not built in"):
+                made(json.dumps(told | {part: value}))
+        with pytest.raises(ValueError, match="not built in"):
+            made(json.dumps(told | {"model": told["model"] | {"dropout": 0.1}}))
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from gridloom.llm.labelled import training_rows
+
+    frame = docs(spark, ["x" * (100 * k) for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    every = training_rows(frame, labels, "quality", 1000, 1).collect()
+    few = training_rows(frame, labels, "quality", 1000, 1, class_bytes=5000).collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r["text"]) for r in few if r["y"] == y) <= 5000 < sum(len(r["text"]) for r in every if r["y"] == y)
+    assert {r["doc_id"] for r in few} < {r["doc_id"] for r in every}
+
+
+def test_sections_of_documents_by_hand(spark):
+    """op3's lines: start, end, whole and crossing tokens of each, from offsets of the library."""
+    from gridloom.llm import token_counts
+
+    texts = ["one two\nthree\n\n four", "a\n", "\n\n", "don't\nstop — ok\n" * 3, "x", "日本\n語 é\n"]
+    library = pretokens.library(pretokens.tokenizer_text(None, "byte_bpe_50k.json"))
+    frame = docs(spark, texts)
+    frame.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/op3-documents/documents.parquet")
+    got = {}
+    for r in token_counts.query(spark, path.rsplit("/", 1)[0]).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for k, text in enumerate(texts):
+        total = len(library.encode(text, add_special_tokens=False).ids)
+        rows = sorted(got.get(k, []), key=lambda r: r["start"])
+        assert sum(r["n_tokens"] for r in rows) == total
+        lines = [m for m in text.split("\n")]
+        for r in rows:
+            assert 0 <= r["start"] <= r["end"] <= len(text) and r["n_crossing"] <= r["n_tokens"] + 1
+        assert "".join(text[r["start"] : r["end"]] for r in rows).replace("\n", "") == "".join(lines)
