@@ -204,6 +204,53 @@ def update_qr(f: Reflectors, c: Matrix, side: str = "left", trans: bool = False)
     return plus(1.0, c, -1.0, mult(1.0, f.y, mult(1.0, t, mult(1.0, f.y, c, trans_a=True))))
 
 
+@dataclass(frozen=True)
+class WholeForm:
+    """A = Q*F of any form with all of the square Q, which is a product of reflectors: those of
+    the QR of A, A^T or one of these read backwards.  factor is the triangle, as in `Orthogonal`;
+    in the square form it stands above zeros (qr), below (ql), before (lq) or behind them (rq)."""
+
+    base: Reflectors
+    form: str
+    factor: Matrix
+    rows: int
+    cols: int
+
+    @property
+    def size(self) -> int:
+        return self.rows if self.form in ("qr", "ql") else self.cols
+
+    def padded(self) -> Matrix:
+        """F with A's shape, so that A = Q*F (qr, ql) or F*Q (lq, rq)."""
+        i = F.col("i") + (self.rows - self.factor.rows if self.form == "ql" else 0)
+        j = F.col("j") + (self.cols - self.factor.cols if self.form == "rq" else 0)
+        return Matrix(self.factor.df.select(i.alias("i"), j.alias("j"), "v"), self.rows, self.cols)
+
+
+def whole(a: Matrix, form: str) -> WholeForm:
+    """All of Q of one of the four forms: `mult_whole` applies it, and no n x n matrix is made."""
+    given = {"qr": lambda: a, "ql": lambda: _flip(a, False, True), "lq": lambda: a.T, "rq": lambda: _flip(a, True, False).T}[form]()
+    base = reflectors(given)
+    factor = {"qr": lambda r: r, "ql": lambda r: _flip(r, True, True), "lq": lambda r: r.T, "rq": lambda r: _flip(r.T, True, True)}[form](base.r)
+    return WholeForm(base, form, factor, a.rows, a.cols)
+
+
+def mult_whole(f: WholeForm, c: Matrix, side: str = "left", trans: bool = False) -> Matrix:
+    """Q*C, Q^T*C, C*Q or C*Q^T with all of Q.  With B the product of the base's reflectors and J
+    the reversal of an order, Q is B (qr), B*J (ql), B^T (lq) or J*B^T (rq)."""
+    if side == "right":
+        return mult_whole(f, c.T, "left", not trans).T
+    if c.rows != f.size:
+        raise ShapeError((f.size, c.rows, c.cols))
+    turned = trans != (f.form in ("lq", "rq"))
+    if f.form in ("qr", "lq"):
+        return update_qr(f.base, c, trans=turned)
+    # J stands on the side of B that A's long side is not on.
+    if (f.form == "ql") != trans:
+        return update_qr(f.base, _flip(c, True, False), trans=turned)
+    return _flip(update_qr(f.base, c, trans=turned), True, False)
+
+
 # Reflectors
 
 

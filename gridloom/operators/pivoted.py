@@ -19,10 +19,10 @@ from ..functions.cut import cut, spent
 from .factor import _reversed, relabel, solve_triangular
 from .matrix import Matrix, ShapeError, Vector, identity, mirrored
 from .products import mult
-from .rows import Rows, arrays, block, check_shared, collect_small, from_rows, map_rows, to_rows
+from .rows import SHARED_BYTES, Rows, arrays, block, check_shared, collect_small, from_rows, map_rows, to_rows
 
-#: Pivots of one panel.
-PANEL = 16
+#: Most pivots of one panel; with many rows there are fewer, since a panel's columns are vectors.
+PANEL = 128
 #: Fixed value: the bound (1 + sqrt(17)) / 8 that keeps growth least.
 BK = (1 + np.sqrt(17)) / 8
 
@@ -52,8 +52,9 @@ class _Panel:
     """The rows of a symmetric matrix while its pivots are taken out."""
 
     def __init__(self, a: Matrix, panel: int):
-        self.n, self.panel = a.rows, panel
-        check_shared(self.n, 2 * panel + 2)
+        # Two columns of each pivot and three rows that are fetched for it, within SHARED_BYTES.
+        self.n, self.panel = a.rows, max(1, min(panel, SHARED_BYTES // (8 * 6 * max(a.rows, 1))))
+        check_shared(self.n, 2 * self.panel + 2)
         self.spark = a.df.sparkSession
         self.state = cut(to_rows(a).df.select("i", "a", F.array().cast("array<double>").alias("l")), "rows")
         self.alive = np.ones(self.n, bool)
@@ -75,6 +76,8 @@ class _Panel:
         fetched with it."""
         if p not in self.held:
             wanted = [p, *[int(q) for q in likely() if q != p and q not in self.held]][: self.panel]
+            if len(self.held) + len(wanted) > 3 * self.panel:
+                self.held = {}
             names, x = collect_small(self.state.where(F.col("i").isin(wanted)), self.n, len(wanted))
             self.held |= dict(zip(names.tolist(), x, strict=True))
         x = self.held[p] - self.l[:, : self.c] @ self.w[p, : self.c]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import compat
-from ..operators import butterfly, factor, orthogonal, pivoted
+from ..operators import butterfly, factor, orthogonal, pivoted, spectral
 from ..operators.elementwise import mult_diag, plus
 from ..operators.matrix import Matrix, Vector, column_of, make_triangular
 from ..operators.products import mult, mult_trm, mvmult_trm
 from ..operators.rows import matrix_of
-from .tables import WIDTH, Tables, cells, checked, entries, faults, number, rounded, shown, sql, where_not
+from .tables import WIDTH, Tables, cells, checked, entries, faults, not_orthonormal, number, rounded, shown, sql, where_not
 
 _G, _H, _B, _I = (cells(u, f"SELECT * FROM {u}") for u in ("g", "h", "b", "eye"))
 _E = cells("e", "SELECT * FROM e")
@@ -259,7 +259,63 @@ _GH = cells("g h", "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM h a JOIN g b ON a.
 _MV = "SELECT {0} AS i, sum(a.v * w.v) AS v FROM {1} a JOIN w ON {2} = w.i GROUP BY 1"
 _UPPER = "(SELECT * FROM g WHERE i <= j)"
 
+def _deficient(t: Tables) -> Matrix:
+    """e with column 5 again as column 9, and column 20 left out."""
+    again = t.e.df.where("j = 5").select("i", F.lit(9).cast("long").alias("j"), "v")
+    return Matrix(t.e.df.where("j not in (9, 20)").unionByName(again), t.n, WIDTH)
+
+
+_DEFICIENT = "SELECT i, j, v FROM e WHERE j NOT IN (9, 20) UNION ALL SELECT i, 9 AS j, v FROM e WHERE j = 5"
+
+
+def _deficient_form(form: str):
+    """The product of the factors of a matrix without full rank, and how far Q is from orthonormal."""
+
+    def make(t: Tables):
+        tall = form in ("qr", "ql")
+        f = orthogonal.FORMS[form](_deficient(t) if tall else _deficient(t).T)
+        a = orthogonal.product(f)
+        a = Matrix((a if tall else a.T).df.where("j != 20"), t.n, WIDTH)
+        return faults(shown(a), not_orthonormal(f.q, rows=not tall))
+
+    return make
+
+
+def _deficient_solve(t: Tables):
+    """A*x for the x that is nearest to labels + 1 of a matrix without full rank: A^T*(A*x - b) is 0,
+    so A^T*A*x is A^T*b."""
+    a = _deficient(t)
+    b = Matrix(t.x.df.select("i", F.lit(0).cast("long").alias("j"), "v"), t.n, 1)
+    x = orthogonal.least_squares(a, b)
+    return shown(mult(1.0, a, mult(1.0, a, x), trans_a=True)).where("i != 20")
+
+
+def _deficient_svd(t: Tables):
+    f = spectral.svd(_deficient(t))
+    a = mult(1.0, mult_diag(f.u, 1.0, f.s, "right"), f.v, trans_b=True)
+    return faults(shown(Matrix(a.df.where("j != 20"), t.n, WIDTH)), not_orthonormal(f.u), not_orthonormal(f.v))
+
+
+def _whole(form: str):
+    """A from all of Q and the padded triangle, and a column of ones from Q^T*(Q*ones)."""
+
+    def make(t: Tables):
+        a = t.e if form in ("qr", "ql") else t.e.T
+        f = orthogonal.whole(a, form)
+        ones = Matrix(t.spark.range(f.size).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1.0).alias("v")), f.size, 1)
+        back = orthogonal.mult_whole(f, orthogonal.mult_whole(f, ones), trans=True)
+        moved = back.df.where(F.abs(F.col("v") - 1.0) > 1e-9).agg(F.count("*").alias("n"))
+        long = back.df.agg((F.lit(f.size) - F.count("*")).alias("n"))
+        return faults(shown(orthogonal.mult_whole(f, f.padded(), "left" if form in ("qr", "ql") else "right")), moved, long)
+
+    return make
+
+
 QUERIES = {
+    **{f"{form}_deficient": (_deficient_form(form), checked("e", _DEFICIENT)) for form in ("qr", "ql", "lq", "rq")},
+    "least_squares_deficient": (_deficient_solve, cells("e x", f"SELECT a.j AS i, 0 AS j, sum(a.v * x.v) AS v FROM ({_DEFICIENT}) a JOIN x ON x.i = a.i GROUP BY 1")),
+    "svd_deficient": (_deficient_svd, checked("e", _DEFICIENT)),
+    **{f"{form}_whole": (_whole(form), checked("e", "SELECT * FROM e" if form in ("qr", "ql") else "SELECT j AS i, i AS j, v FROM e")) for form in ("qr", "ql", "lq", "rq")},
     "qr_reflectors": (_reflectors, checked("e", "SELECT * FROM e")),
     "qr_update_right": (_update_right, _ET),
     "qr_solve_form": (_solved("qr", False), _NORMAL),

@@ -177,3 +177,35 @@ def test_the_whole_of_a_sparse_pattern(spark):
     assert [r["line"] for r in sorted(sparse.spy(a, 69, 2, 2, 4).collect())] == ["....", ".xx."]
 
 
+
+
+@pytest.mark.parametrize("form", ["qr", "ql", "lq", "rq"])
+@pytest.mark.parametrize("rank", ["full", "deficient"])
+def test_all_of_q(spark, form, rank):
+    x = RNG.normal(size=(14, 6)) if rank == "full" else deficient(14, 6)
+    x = x if form in ("qr", "ql") else x.T
+    f = orthogonal.whole(matrix_of(spark, x), form)
+    eye = matrix_of(spark, np.eye(14))
+    q = array(orthogonal.mult_whole(f, eye))
+    assert q.shape == (14, 14) and orthonormal(q)
+    assert np.allclose(array(orthogonal.mult_whole(f, eye, trans=True)), q.T, atol=1e-12)
+    c = RNG.normal(size=(14, 3))
+    assert np.allclose(array(orthogonal.mult_whole(f, matrix_of(spark, c), trans=True)), q.T @ c, atol=1e-12)
+    assert np.allclose(array(orthogonal.mult_whole(f, matrix_of(spark, c.T), "right")), c.T @ q, atol=1e-12)
+    t = array(f.padded())
+    assert np.allclose(q @ t if form in ("qr", "ql") else t @ q, x, atol=1e-12)
+    assert np.allclose(np.tril(t, -1) if form == "qr" else np.triu(t, 1) if form == "lq" else np.triu(t[-6:], 1) if form == "ql" else np.tril(t[:, -6:], -1), 0, atol=1e-12)
+
+
+@pytest.mark.parametrize("panel", [8, 128])
+def test_pivots_are_fetched_by_panels(spark, monkeypatch, panel):
+    from gridloom.operators import pivoted
+
+    calls, plain = [], pivoted.collect_small
+    monkeypatch.setattr(pivoted, "collect_small", lambda *a: calls.append(1) or plain(*a))
+    x = RNG.normal(size=(40, 40))
+    x = x @ x.T + np.diag(np.linspace(0, 60, 40))
+    f = pivoted.cholesky(matrix_of(spark, x), panel=panel)
+    low = array(f.factor)
+    assert np.allclose(low @ low.T, x[np.ix_(f.order, f.order)], atol=1e-9) and (np.diff(np.diag(low)) <= 1e-9).all()
+    assert len(calls) <= (3 if panel == 128 else 25)
