@@ -164,3 +164,65 @@ def test_op9(spark, tables):
         found.sort()
         assert [k for k, *_ in found] == [1, 2, 3, 4, 5] and [v for _, v, _ in found] == [v for v, _ in want[q]]
         assert np.allclose([s for *_, s in found], [s for _, s in want[q]], rtol=0, atol=1e-14)
+
+
+def test_op11_and_op12(spark, tables):
+    from test_later_operators import components_by_hand, print_by_hand
+
+    rows = tables[1]
+    prints = [print_by_hand(t) for _, t, *_ in rows]
+    want = components_by_hand(prints, [k for k, *_ in rows])
+    got = result(spark, tables, "op11_simhash")
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == sorted((str(k), f"{p:016x}", str(c)) for (k, *_), p, c in zip(rows, prints, want, strict=True))
+    got = result(spark, tables, "op12_alignment")
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, *_ in rows)
+    assert all((r["n_a"] == 0) == (r["groups_sha256"] == "") and r["n_best"] <= r["n_links"] <= r["count_sum"] for r in got) and sum(r["n_links"] for r in got) > 10_000
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_pipeline(spark, tables, plain):
+    """Every stage's decisions, made again from the operators' own results, on all hard rows, and
+    on the smallest of the test tables, of which some rows go all the way."""
+    import os
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.001" if plain else tables[0]
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    library = pretokens.library(pretokens.tokenizer_text(None, "word_bpe_49k.json"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "gridloom"
+    before = set(shared.glob("pipeline-*")) if shared.exists() else set()
+    got = corpus_pipeline.run(spark, at).collect()
+    # The tables of the stages before the last but one are deleted.
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.glob("pipeline-*")) - before} == {"pipeline-mixing"}
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    stage = docs
+    for name, f in corpus_pipeline.STAGES[:3]:
+        kept, given = f(spark, stage, at), stage.collect()
+        assert kept.columns == docs.columns
+        if name == "quality_rules":
+            verdict = queries()["op10_quality_rules"](spark, at).where("kept").collect()
+            key = lambda t: (len(WORD.findall(t or "")), sum(map(len, WORD.findall(t or ""))))
+            assert sorted((str(r["doc_id"]), *key(r["text"])) for r in kept.collect()) == sorted((str(r["doc_id"]), r["n_words"], r["word_chars"]) for r in verdict)
+        if name == "quality_classifier":
+            good = {(r["doc_id"], r["text"]) for r in kept.collect()}
+            assert len(kept.collect()) == sum((r["doc_id"], r["text"]) in good for r in given)
+        if name == "jaccard_join":
+            names, _ = by_hand([r["text"] for r in given], [r["doc_id"] for r in given])
+            assert kept.count() == len({str(n) for n in names})
+        stage = kept
+    survivors = [(str(r["doc_id"]), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in stage.collect()]
+    taken = {}
+    for r in got:
+        taken[str(r["doc_id"])] = taken.get(str(r["doc_id"]), 0) + 1
+    assert {(str(r["doc_id"]), r["n_tokens"]) for r in got} <= set(survivors) and all(n <= 3 * sum(k == x for k, _ in survivors) for x, n in taken.items())
+    assert got or not plain
+    assert all(len(r["token_ids"]) == r["n_tokens"] for r in got)
+
+
+def test_pipeline_of_empty_tables(spark, tables):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, f"{tables[0]}/empty").count() == 0
