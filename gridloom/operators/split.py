@@ -121,7 +121,7 @@ def _bases(p: Rows, k: int, panel: int, side: int) -> tuple[Rows, Rows]:
 def _small(a: Rows) -> np.ndarray:
     check_shared(a.rows, a.cols)
     out = np.zeros((a.rows, a.cols))
-    for r in a.df.select("i", "a").toLocalIterator():
+    for r in a.df.select("i", "a").collect():
         out[r["i"]] = r["a"]
     return (out + out.T) / 2
 
@@ -131,7 +131,6 @@ def eigen(a: Rows, vectors: bool = True, leaf: int = LEAF, panel: int = qr_tree.
     triangles must be given.  Values are a vector on the driver, checked."""
     n, spark = a.rows, a.df.sparkSession
     check_shared(n)
-    a = _kept(a, "symmetric")
     if n <= leaf:
         own = _small(a)
         if not np.isfinite(own).all():
@@ -141,6 +140,7 @@ def eigen(a: Rows, vectors: bool = True, leaf: int = LEAF, panel: int = qr_tree.
             return values, None
         where = spark.range(n).select(F.col("id").alias("i"), F.array(F.lit(0.0)).alias("a"))
         return values, Rows(map_rows(where, 1, lambda i, _: v[i]), n, n)
+    a = _kept(a, "symmetric")
     diagonal = np.array(sorted((r["i"], r["d"]) for r in a.df.select("i", F.get("a", F.col("i").cast("int")).alias("d")).collect()))[:, 1]
     whole = a.df.agg(F.sqrt(F.sum(F.aggregate("a", F.lit(0.0), lambda t, x: t + x * x)))).first()[0]
     for shift in (float(np.median(diagonal)), float(diagonal.mean())):
