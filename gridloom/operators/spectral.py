@@ -145,6 +145,23 @@ def eigen_sym_selected(a: Matrix, uplo: str = "lower", first: int | None = None,
     return frame.where(F.col("v") <= high) if high is not None else frame
 
 
+def eigen_sym_selected_vectors(a: Matrix, uplo: str = "lower", first: int | None = None, last: int | None = None, low: float | None = None, high: float | None = None) -> Eigen:
+    """Eigenvalues with index in [first, last) and value in [low, high], numbered from 0, and their
+    vectors as columns.  All of them are decomposed first: those that are close to each
+    other are only orthogonal if they are found together."""
+    f = eigen_sym(a, uplo)
+    n, first = a.rows, first or 0
+    values = np.sort(_numbers(f.values))
+    inside = np.ones(n, bool)
+    inside[: max(first, 0)] = False
+    inside[n if last is None else last :] = False
+    inside &= (values >= (-np.inf if low is None else low)) & (values <= (np.inf if high is None else high))
+    at, count = int(inside.argmax()), int(inside.sum())
+    j = F.col("j")
+    vectors = Matrix(f.vectors.df.where(j.between(at, at + count - 1)).select("i", (j - at).alias("j"), "v"), n, count)
+    return Eigen(vector_of(a.df.sparkSession, values[inside]), vectors)
+
+
 # Block Jacobi for long short sides
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import condensed, small, spectral
 from ..operators.elementwise import mult_diag
-from ..operators.matrix import Matrix, Vector, diagonal, make_triangular, row_of, vector_from
+from ..operators.matrix import Matrix, Vector, diagonal, make_triangular, mirrored, row_of, vector_from
 from ..operators.products import mult, mvmult, mvupdate, mvupdate2_sym
 from .queries_factor import _eye
 from .tables import WIDTH, Tables, cells, checked, faults, not_orthonormal, power_means, power_means_sql, shown, where_not
@@ -94,6 +94,14 @@ def _suppliers(t: Tables) -> tuple[Vector, Vector]:
     return vector_from(t.spark.range(n), "id", F.lit(a), n), vector_from(t.spark.range(n - 1), "id", F.lit(b), n - 1)
 
 
+def _selected(t: Tables, **wanted):
+    """V^T*A*V of the selected vectors V: their values on the diagonal."""
+    a = _known(t)
+    v = spectral.eigen_sym_selected_vectors(a, **wanted).vectors
+    inner = mult(1.0, v, mult(1.0, mirrored(a, "lower"), v), trans_a=True)
+    return faults(shown(inner).where("i = j"), where_not(inner, F.col("i") != F.col("j"), 1e-8), not_orthonormal(v))
+
+
 def _toeplitz(t: Tables, n: int = 200) -> tuple[Vector, Vector]:
     """2 on the diagonal, -1 beside it."""
     return vector_from(t.spark.range(n), "id", F.lit(2.0), n), vector_from(t.spark.range(n - 1), "id", F.lit(-1.0), n - 1)
@@ -154,6 +162,8 @@ QUERIES = {
         lambda t: spectral.eigen_sym_selected(_known(t), low=30.5, high=40.5).select("i", (F.round("v", 6) + 0.0).alias("v")),
         "SELECT CAST(r AS BIGINT) AS i, r + 1.0::DOUBLE AS v FROM range(30, 40) t(r)",
     ),
+    "eigen_selected_vectors": (lambda t: _selected(t, first=10, last=20), checked("", "SELECT CAST(r AS BIGINT) AS i, CAST(r AS BIGINT) AS j, r + 11.0::DOUBLE AS v FROM range(10) t(r)")),
+    "eigen_selected_vectors_range": (lambda t: _selected(t, low=30.5, high=40.5), checked("", "SELECT CAST(r AS BIGINT) AS i, CAST(r AS BIGINT) AS j, r + 31.0::DOUBLE AS v FROM range(10) t(r)")),
     "eigen_by_label": (_by_label, _BY_LABEL),
     "hessenberg": (_hessenberg, checked("h", _SKEW)),
     "tridiagonal_lower": (_tridiagonal("lower"), checked("h", "SELECT * FROM h")),

@@ -209,3 +209,15 @@ def test_pivots_are_fetched_by_panels(spark, monkeypatch, panel):
     low = array(f.factor)
     assert np.allclose(low @ low.T, x[np.ix_(f.order, f.order)], atol=1e-9) and (np.diff(np.diag(low)) <= 1e-9).all()
     assert len(calls) <= (3 if panel == 128 else 25)
+
+
+def test_selected_vectors(spark):
+    x = RNG.normal(size=(12, 12))
+    x = x + x.T
+    values, v = np.linalg.eigh(x)
+    f = spectral.eigen_sym_selected_vectors(matrix_of(spark, np.tril(x)), first=2, last=9, low=float(values[4]) - 1e-9)
+    got = array(f.vectors)
+    assert np.allclose([r["v"] for r in sorted(f.values.df.collect())], values[4:9]) and got.shape == (12, 5)
+    assert np.allclose(np.abs((got * v[:, 4:9]).sum(axis=0)), 1)
+    none = spectral.eigen_sym_selected_vectors(matrix_of(spark, x), low=float(values[-1]) + 1)
+    assert none.values.size == 0 and none.vectors.df.count() == 0
