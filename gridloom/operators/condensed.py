@@ -1,10 +1,13 @@
 """Hessenberg, tridiagonal and bidiagonal forms of one large matrix.
 
-The matrix stays in row layout.  A reflector needs the product of the whole remaining
-matrix with one vector: a pass over its rows that returns one number for each.  Inside a
-panel the matrix is left as it is and products are corrected by the panel's own vectors
-(sides n and PANEL, checked, the only thing that every task gets); after the panel all
-rows are updated where they lie and written once.  Rows that are done are not read again.
+The tri- and bidiagonal forms go by way of a band (`banded`), which needs two passes over the
+matrix for each panel of columns.
+
+A Hessenberg reflector needs the product of the whole matrix with one vector: a pass over its
+rows that returns one number for each.  Inside a panel the matrix is left as it is and
+products are corrected by the panel's own vectors (sides n and PANEL, checked, the only
+thing that every task gets); after the panel all rows are updated where they lie and
+written once.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cut import cut, spent
+from .banded import Turned, chased, reflector, symmetric_band, times, upper_band, weighted, width_of
 from .matrix import Matrix, ShapeError, Vector, mirrored
-from .rows import SHARED_BYTES, Rows, block, check_shared, collect_small, from_rows, levels, map_rows, matrix_of, to_rows
+from .rows import Rows, check_shared, from_rows, map_rows, to_rows
 
-#: Reflectors of one panel.
+#: Reflectors of one panel of the Hessenberg form.
 PANEL = 16
 
 
@@ -48,135 +51,23 @@ class Condensed:
         return Matrix(out.unionByName(up if self.q.rows >= self.p.rows else low), n, n)
 
 
-def reflector(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(v, tau, beta) with (I - tau*v*v^T)*x = (beta, 0, ...) and v[0] = 1."""
-    top = np.abs(x).max(initial=0.0)
-    rest = top * np.linalg.norm(x[1:] / top) if top else 0.0
-    if rest == 0:
-        return np.eye(1, len(x))[0], 0.0, float(x[0])
-    beta = -np.copysign(np.hypot(x[0], rest), x[0])
-    v = x / (x[0] - beta)
-    v[0] = 1.0
-    return v, float((beta - x[0]) / beta), float(beta)
-
-
-def compact(v: np.ndarray, taus: np.ndarray) -> np.ndarray:
-    """T with H1*H2*... = I - V*T*V^T."""
-    k = len(taus)
-    inner, t = v.T @ v, np.zeros((k, k))
-    for c in range(k):
-        t[:c, c] = -taus[c] * (t[:c, :c] @ inner[:c, c])
-        t[c, c] = taus[c]
-    return t
-
-
-def times(state: DataFrame, n: int, x: np.ndarray, rows: int) -> np.ndarray:
-    """A*X for a narrow X: rows x k, zero where `state` has no row."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                y = block(b, "a", n) @ x
-                yield pa.record_batch([b.column("i"), *(pa.array(np.ascontiguousarray(y[:, c])) for c in range(y.shape[1]))], names=["i", *(f"y{c}" for c in range(y.shape[1]))])
-
-    got = state.select("i", "a").mapInArrow(run, "i long, " + ", ".join(f"y{c} double" for c in range(x.shape[1]))).toArrow()
-    out = np.zeros((rows, x.shape[1]))
-    for c in range(x.shape[1]):
-        out[got["i"].to_numpy(), c] = got[f"y{c}"].to_numpy()
-    return out
-
-
-def weighted(state: DataFrame, n: int, w: np.ndarray, change=None) -> np.ndarray:
-    """W^T*A for a narrow W: k x n, summed in tasks and over a tree.  change(i, a), if
-    given, is done to the rows first."""
-    k = w.shape[1]
-    check_shared(k, n)
-
-    def local(batches):
-        total = np.zeros((k, n))
-        for b in batches:
-            if b.num_rows:
-                i, a = b.column("i").to_numpy(), block(b, "a", n)
-                total += w[i].T @ (change(i, a) if change else a)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    def join(batches):
-        total = np.zeros((k, n))
-        for b in batches:
-            for m in b.column("m").to_pylist():
-                total += np.frombuffer(m).reshape(k, n)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    parts = state.select("i", "a").mapInArrow(local, "m binary")
-    for count in levels(state, 8) if int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 8 else []:
-        parts = parts.repartition(count).mapInArrow(join, "m binary")
-    return sum((np.frombuffer(r["m"]).reshape(k, n) for r in parts.collect()), np.zeros((k, n)))
-
-
-def _orthogonal(spark, n: int, panels: list[tuple[np.ndarray, np.ndarray]]) -> Matrix:
-    """The product of the panels' reflectors: rows of the identity, each turned where it is
-    made.  As many panels go together as may be sent to every task."""
-    state = spark.range(n).select(F.col("id").alias("i"), F.array(F.lit(0.0)).alias("a"))
-    group, held, first = [], 0, True
-
-    def turned(frame, own, start):
-        def f(i, a):
-            if start:
-                a = np.zeros((len(i), n))
-                a[np.arange(len(i)), i] = 1.0
-            for v, t in own:
-                a = a - ((a @ v) @ t) @ v.T
-            return a
-
-        return map_rows(frame, 1 if start else n, f)
-
-    for v, t in panels:
-        if group and held + v.nbytes > SHARED_BYTES:
-            state, first = cut(turned(state, group, first), "q"), False
-            group, held = [], 0
-        group.append((v, t))
-        held += v.nbytes
-    if group or first:
-        state = turned(state, group, first)
-    return from_rows(Rows(cut(state, "q"), n, n))
-
-
 def _vector(spark, x: np.ndarray) -> Vector:
     """A vector from the driver, where a side of the matrix fits."""
     return Vector(spark.createDataFrame(pa.table({"i": np.arange(len(x), dtype=np.int64), "v": np.asarray(x, np.float64)})), len(x))
 
 
-def tridiagonal(a: Matrix, uplo: str = "lower", panel: int = PANEL, vectors: bool = True) -> Condensed:
-    """A = Q*T*Q^T of a symmetric matrix of which one triangle is given; without vectors Q
-    is left the identity."""
+def tridiagonal(a: Matrix, uplo: str = "lower", panel: int | None = None, vectors: bool = True) -> Condensed:
+    """A = Q*T*Q^T of a symmetric matrix of which one triangle is given, by way of a band of
+    `panel` columns (by default what memory allows, 64 at most); without vectors Q is left the
+    identity."""
     if a.rows != a.cols:
         raise ShapeError((a.rows, a.cols))
     n, spark = a.rows, a.df.sparkSession
-    check_shared(n, 2 * panel)
-    state, panels = cut(to_rows(mirrored(a, uplo)).df, "rows"), []
-    d, e = np.zeros(n), np.zeros(max(n - 1, 0))
-    for left in range(0, max(n - 2, 0), panel):
-        right = min(left + panel, n - 2)
-        _, x = collect_small(state.where(F.col("i").between(left, right - 1)), n, right - left)
-        v, w, taus = np.zeros((n, right - left)), np.zeros((n, right - left)), np.zeros(right - left)
-        for c, j in enumerate(range(left, right)):
-            column = x[c] - v[:, :c] @ w[j, :c] - w[:, :c] @ v[j, :c]
-            d[j] = column[j]
-            v[j + 1 :, c], taus[c], e[j] = reflector(column[j + 1 :])
-            if taus[c]:
-                y = times(state, n, v[:, c : c + 1], n)[:, 0] - v[:, :c] @ (w[:, :c].T @ v[:, c]) - w[:, :c] @ (v[:, :c].T @ v[:, c])
-                w[:, c] = taus[c] * (y - taus[c] / 2 * (y @ v[:, c]) * v[:, c])
-        panels.append((v, compact(v, taus)))
-        old, state = state, cut(map_rows(state.where(F.col("i") >= right), n, lambda i, r, v=v, w=w: r - v[i] @ w.T - w[i] @ v.T), "panel")
-        spent(old)
-    _, x = collect_small(state.where(F.col("i") >= max(n - 2, 0)), n, 2)
-    for k, row in enumerate(x):
-        j = max(n - 2, 0) + k
-        d[j] = row[j]
-        if j + 1 < n:
-            e[j] = row[j + 1]
-    q = _orthogonal(spark, n, panels if vectors else [])
-    return Condensed(q, q, d=_vector(spark, d), e=_vector(spark, e))
+    q = Turned(spark, n)
+    band = symmetric_band(to_rows(mirrored(a, uplo)), panel or width_of(n), q if vectors else None)
+    d, e = chased(spark, band, True, q if vectors else None)
+    whole = q.matrix()
+    return Condensed(whole, whole, d=_vector(spark, d), e=_vector(spark, e))
 
 
 def hessenberg(a: Matrix, panel: int = PANEL) -> Condensed:
@@ -185,7 +76,7 @@ def hessenberg(a: Matrix, panel: int = PANEL) -> Condensed:
         raise ShapeError((a.rows, a.cols))
     n, spark = a.rows, a.df.sparkSession
     check_shared(n, 2 * panel)
-    state, panels = cut(to_rows(a).df, "rows"), []
+    state, turned = cut(to_rows(a).df, "rows"), Turned(spark, n)
     for left in range(0, max(n - 2, 0), panel):
         right = min(left + panel, n - 2)
         columns = times(state, n, np.eye(n)[:, left:right], n)
@@ -209,48 +100,26 @@ def hessenberg(a: Matrix, panel: int = PANEL) -> Condensed:
 
         old, state = state, cut(map_rows(state, n, both), "panel")
         spent(old)
-        panels.append((v, t))
-    q = _orthogonal(spark, n, panels)
+        turned.add(0, v, t)
+    q = turned.matrix()
     return Condensed(q, q, h=from_rows(Rows(state, n, n)))
 
 
-def bidiagonal(a: Matrix, panel: int = PANEL) -> Condensed:
-    """A = Q*B*P^T: B upper bidiagonal if rows >= cols, else lower.  A tall matrix is brought
-    to the triangle of its QR form first, so only the short side has panels."""
+def bidiagonal(a: Matrix, panel: int | None = None) -> Condensed:
+    """A = Q*B*P^T: B upper bidiagonal if rows >= cols, else lower, by way of a band of `panel`
+    columns (by default what memory allows, 64 at most).  A tall matrix is brought to the
+    triangle of its QR form first, so only the short side has panels."""
     if a.rows < a.cols:
         f = bidiagonal(a.T, panel)
         return Condensed(f.p, f.q, d=f.d, e=f.e)
     spark, n = a.df.sparkSession, a.cols
     if a.rows > n:
-        from .orthogonal import qr_rows
+        from .orthogonal import qr
         from .products import mult
 
-        q, r = qr_rows(to_rows(a))
-        f = bidiagonal(matrix_of(spark, np.triu(r)), panel)
-        return Condensed(mult(1.0, from_rows(q), f.q), f.p, d=f.d, e=f.e)
-    check_shared(n, 4 * panel)
-    state, left_panels, right_panels = cut(to_rows(a).df, "rows"), [], []
-    d, e = np.zeros(n), np.zeros(max(n - 1, 0))
-    for left in range(0, n, panel):
-        right = min(left + panel, n)
-        k = right - left
-        _, rows = collect_small(state.where(F.col("i").between(left, right - 1)), n, k)
-        columns = times(state, n, np.eye(n)[:, left:right], n)
-        v, y, x, u = (np.zeros((n, k)) for _ in range(4))
-        tq, tp = np.zeros(k), np.zeros(k)
-        for c, j in enumerate(range(left, right)):
-            column = columns[:, c] - v[:, :c] @ y[j, :c] - x[:, :c] @ u[j, :c]
-            v[j:, c], tq[c], d[j] = reflector(column[j:])
-            if tq[c]:
-                y[:, c] = tq[c] * (weighted(state, n, v[:, c : c + 1])[0] - y[:, :c] @ (v[:, :c].T @ v[:, c]) - u[:, :c] @ (x[:, :c].T @ v[:, c]))
-            if j + 1 < n:
-                row = rows[c] - y[:, : c + 1] @ v[j, : c + 1] - u[:, :c] @ x[j, :c]
-                u[j + 1 :, c], tp[c], e[j] = reflector(row[j + 1 :])
-                if tp[c]:
-                    x[:, c] = tp[c] * (times(state, n, u[:, c : c + 1], n)[:, 0] - v[:, : c + 1] @ (y[:, : c + 1].T @ u[:, c]) - x[:, :c] @ (u[:, :c].T @ u[:, c]))
-        left_panels.append((v, compact(v, tq)))
-        right_panels.append((u, compact(u, tp)))
-        if right < n:
-            old, state = state, cut(map_rows(state.where(F.col("i") >= right), n, lambda i, r, v=v, y=y, x=x, u=u: r - v[i] @ y.T - x[i] @ u.T), "panel")
-            spent(old)
-    return Condensed(_orthogonal(spark, n, left_panels), _orthogonal(spark, n, right_panels), d=_vector(spark, d), e=_vector(spark, e))
+        tall = qr(a)
+        f = bidiagonal(tall.factor, panel)
+        return Condensed(mult(1.0, tall.q, f.q), f.p, d=f.d, e=f.e)
+    q, p = Turned(spark, n), Turned(spark, n)
+    d, e = chased(spark, upper_band(to_rows(a), panel or width_of(n), q, p), False, q, p)
+    return Condensed(q.matrix(), p.matrix(), d=_vector(spark, d), e=_vector(spark, e))
