@@ -496,11 +496,34 @@ def bidiagonal_values(d: Vector, e: Vector) -> DataFrame:
     return d.df.sparkSession.range(n).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
 
 
-def bidiagonal_svd(d: Vector, e: Vector, vectors: bool = True) -> SVD:
-    """Of the upper bidiagonal matrix (d, e)."""
-    if not vectors:
-        return SVD(None, Vector(bidiagonal_values(d, e), d.size), None)
-    return _jacobi_svd(_band(d, e, False), True)
+def bidiagonal_svd(d: Vector, e: Vector, vectors: bool = True, leaf: int = LEAF, panel: int = qr_tree.PANEL, side: int = blocks.SIDE) -> SVD:
+    """Of the upper bidiagonal matrix B = (d, e), values descending.
+
+    The tridiagonal matrix of `bidiagonal_values` is torn for its vectors, which hold v and u
+    in turns.  Where s is small, v and u of one vector need not be of equal length, and v's of
+    equal s not orthogonal; so V is the Q of the v's in this order, U that of B*V.  Columns
+    that are lost to rounding, as where s is 0, come out of the reflectors orthonormal."""
+    spark, n = d.df.sparkSession, d.size
+    s = Vector(bidiagonal_values(d, e), n)
+    if not vectors or not n:
+        return SVD(None, s, None)
+    diag, off = _bands(d, e)
+    unit = _unit(diag, off)
+    beside = np.zeros(2 * n - 1)
+    beside[0::2], beside[1::2] = diag * unit, off * unit
+    values, both = _torn(spark, np.zeros(2 * n), beside, leaf, side)
+    rank = np.argsort(-values, kind="stable")[:n]
+    even = both.df.where(F.col("i") % 2 == 0).select((F.col("i") / 2).cast("long").alias("i"), "a")
+    halves = Rows(map_rows(even, 2 * n, lambda _, x: x[:, rank]), n, n)
+    v = Rows(cut(qr_tree.thin_q(qr_tree.factor(halves, panel)).df, "right"), n, n)
+    band = spark.createDataFrame(pa.table({"i": np.arange(n), "d": beside[0::2], "e": np.append(beside[1::2], 0.0)}))
+    after = v.df.select((F.col("i") - 1).alias("i"), F.col("a").alias("b"))
+    own, next_ = F.transform("a", lambda x: x * F.col("d")), F.zip_with("a", "b", lambda x, y: x * F.col("d") + y * F.col("e"))
+    image = v.df.join(band, "i").join(after, "i", "left").select("i", F.when(F.col("b").isNull(), own).otherwise(next_).alias("a"))
+    u = cut(qr_tree.thin_q(qr_tree.factor(Rows(image, n, n), panel)).df, "left")
+    right = from_rows(v)
+    signs = cut(_signs(right), "signs")
+    return SVD(_turned(from_rows(Rows(u, n, n)), signs), s, _turned(right, signs))
 
 
 # The secular equation: eigenvalues of diag(d) + rho*z*z^T
@@ -565,7 +588,8 @@ def _offsets(spark, p: _Secular) -> tuple[np.ndarray, np.ndarray]:
             a, b = np.where(right, -gap / 2, 0.0), np.where(right, 0.0, np.where(k < len(base) - 1, gap / 2, gap))
             for _ in range(160):
                 # Towards a pole by the geometric mean, so that a small offset keeps its digits.
-                near = np.where(right, -np.sqrt(np.maximum(a * np.minimum(b, -1e-300), 0.0)), np.sqrt(np.maximum(b * np.maximum(a, 1e-300), 0.0)))
+                # Roots are taken first: the product of two small offsets may be 0.
+                near = np.where(right, -np.sqrt(np.maximum(-a, 0.0)) * np.sqrt(np.maximum(-b, 1e-300)), np.sqrt(np.maximum(b, 0.0)) * np.sqrt(np.maximum(a, 1e-300)))
                 wide = np.where(right, a < 4 * b, b > 4 * a)
                 x = np.where(wide, near, (a + b) / 2)
                 f = value(pole, x)
