@@ -397,12 +397,6 @@ def bisect(spark, d: Vector | list, e: Vector | list, first: int = 0, last: int
     return spark.range(first, last).select(F.col("id").alias("i")).mapInPandas(halve, "i long, v double")
 
 
-def _band(d: Vector, e: Vector, symmetric: bool) -> Matrix:
-    up = e.df.select("i", (F.col("i") + 1).alias("j"), "v")
-    out = d.df.select("i", F.col("i").alias("j"), "v").unionByName(up)
-    return Matrix(out.unionByName(up.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")) if symmetric else out, d.size, d.size)
-
-
 def tridiagonal_eigen(d: Vector, e: Vector, vectors: bool = True) -> Eigen:
     """Of the symmetric tridiagonal matrix (d, e): values by bisection if they are all that
     is wanted, else both by tearing it in two."""
