@@ -414,3 +414,14 @@ def test_sections_of_documents_by_hand(spark):
         for r in rows:
             assert 0 <= r["start"] <= r["end"] <= len(text) and r["n_crossing"] <= r["n_tokens"] + 1
         assert "".join(text[r["start"] : r["end"]] for r in rows).replace("\n", "") == "".join(lines)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_simhash_ids_of_other_types_and_columns_in_another_case(spark, kind):
+    texts = ["a b c d", None, "A b c D", "other words here", ""]
+    frame = docs(spark, texts, ids=[7, 5, 3, 9, 6]).select(F.col("doc_id").cast(kind).alias("Doc_ID"), F.col("text").alias("TEXT"))
+    got = simhash.near_duplicates(frame)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.schema["component_id"].dataType.simpleString() == kind
+    prints = [f"{print_by_hand(t):016x}" for t in texts]
+    want = zip(["7", "5", "3", "9", "6"], prints, ["3", "5", "3", "9", "5"], strict=True)
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got.collect()) == sorted(want)
