@@ -103,20 +103,24 @@ def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
 
     A step ends at the first row that no longer fits; the next goes on behind it with what
     is lacking.  Such rows get smaller from step to step, so in a permuted order the steps are few.
-    As before, only block sums and the rows of one block are ordered."""
+    As before, only block sums and the rows of one block are ordered.  A step has two joins, as
+    each of these small ones is a broadcast that the driver holds."""
     done, far = None, 2**31 - 1
     while True:
-        fits = spare.join(state, "s").where(_behind(F.col("from_place"), F.col("from_rank")) & (F.col("mix_size") <= F.col("lack")))
+        fits = _behind(F.col("from_place"), F.col("from_rank")) & (F.col("mix_size") <= F.col("lack"))
+        own = ["lack", "from_place", "from_rank"]
         upto = Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        sums = fits.groupBy("s", "place").agg(F.sum("mix_size").alias("words"), F.first("lack").alias("lack")).withColumn("end", F.sum("words").over(upto))
+        sums = spare.join(state, "s").where(fits).groupBy("s", "place", *own).agg(F.sum("mix_size").alias("words")).withColumn("end", F.sum("words").over(upto))
         over = F.when(F.col("end") > F.col("lack"), F.struct("place", (F.col("end") - F.col("words")).alias("start")))
-        ends = written(sums.groupBy("s").agg(F.min(over).alias("m"), F.max("end").alias("whole")).select("s", "whole", F.col("m.place").alias("to_place"), F.col("m.start").alias("start")), "ends")
+        ends = written(sums.groupBy("s", *own).agg(F.min(over).alias("m"), F.max("end").alias("whole")).select("s", *own, "whole", F.col("m.place").alias("to_place"), F.col("m.start").alias("start")), "ends")
         ranks = Window.partitionBy("s").orderBy("mix_rank").rowsBetween(Window.unboundedPreceding, 0)
-        last = fits.join(ends.where("start is not null").select("s", F.col("to_place").alias("place"), "start"), ["s", "place"]).withColumn("run", F.col("start") + F.sum("mix_size").over(ranks))
-        last = last.where(F.col("run") <= F.col("lack")).groupBy("s").agg(F.max("mix_rank").alias("to_rank"), F.max("run").alias("run"))
+        last = spare.join(ends.where("start is not null").withColumn("place", F.col("to_place")), ["s", "place"]).where(fits).withColumn("run", F.col("start") + F.sum("mix_size").over(ranks))
+        last = last.where(F.col("run") <= F.col("lack")).select(*ends.columns, F.col("mix_rank").alias("to_rank"), "run")
+        none = [F.lit(None).cast(last.schema[c].dataType).alias(c) for c in ("to_rank", "run")]
+        last = ends.select("*", *none).unionByName(last).groupBy(*ends.columns).agg(F.max("to_rank").alias("to_rank"), F.max("run").alias("run"))
         used = F.when(F.col("start").isNull(), F.col("whole")).otherwise(F.coalesce("run", "start"))
         rank = F.coalesce("to_rank", F.when(F.col("to_place") == F.col("from_place"), F.col("from_rank")).otherwise(0))
-        step = state.join(ends, "s").join(last, "s", "left").select("s", "lack", "from_place", "from_rank", F.coalesce("to_place", F.lit(far)).alias("to_place"), rank.alias("to_rank"), (F.col("lack") - used).alias("left"))
+        step = last.select("s", "lack", "from_place", "from_rank", F.coalesce("to_place", F.lit(far)).alias("to_place"), rank.alias("to_rank"), (F.col("lack") - used).alias("left"))
         step = written(step, "steps")
         done = step if done is None else done.unionByName(step)
         state = step.where(F.col("to_place") < far).select("s", F.col("left").alias("lack"), F.col("to_place").alias("from_place"), F.col("to_rank").alias("from_rank"))

@@ -425,3 +425,27 @@ def test_simhash_ids_of_other_types_and_columns_in_another_case(spark, kind):
     prints = [f"{print_by_hand(t):016x}" for t in texts]
     want = zip(["7", "5", "3", "9", "6"], prints, ["3", "5", "3", "9", "5"], strict=True)
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got.collect()) == sorted(want)
+
+
+def test_rounds_and_steps_have_two_joins(spark, monkeypatch):
+    """Small joins are broadcasts, which the driver of the pipeline holds all at once."""
+    from gridloom.llm import components, mixing
+
+    kind, joins, made = type(spark.range(1)), [], []
+    monkeypatch.setattr(kind, "join", lambda self, *a, f=kind.join: joins.append(1) or f(self, *a))
+    for module in (components, mixing):
+        monkeypatch.setattr(module, "written", lambda frame, name, f=module.written: made.append(name) or f(frame, name))
+    edges = [(k, k + 1) for k in range(40)] + [(70, 60), (61, 60)]
+    got = {r["v"]: r["c"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 if k <= 40 else 60 for k in (*range(41), 60, 61, 70)}
+    rounds = (made.count("labels") - 1) // 2
+    assert rounds > 1 and len(joins) <= 2 * rounds and len(made) <= 2 * rounds + 2
+
+    joins.clear(), made.clear()
+    spare = spark.createDataFrame([(1, 1, 3, 9), (1, 1, 4, 50), (1, 2, 1, 30), (1, 2, 2, 8), (1, 3, 1, 2), (2, 1, 1, 70), (3, 5, 2, 4)], "s int, place int, mix_rank int, mix_size long")
+    state = spark.createDataFrame([(1, 18, 1, 2), (2, 60, 1, 0), (3, 4, 5, 1), (4, 9, 1, 1)], "s int, lack long, from_place int, from_rank int")
+    got = sorted(tuple(r) for r in mixing._steps(spare, state).collect())
+    far = 2**31 - 1
+    assert got == [(1, 18, 1, 2, 3, 0, 1), (3, 4, 5, 1, far, 0, 0)]
+    steps = made.count("steps")
+    assert steps > 1 and len(joins) == 2 * steps
