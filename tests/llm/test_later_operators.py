@@ -449,3 +449,26 @@ def test_rounds_and_steps_have_two_joins(spark, monkeypatch):
     assert got == [(1, 18, 1, 2, 3, 0, 1), (3, 4, 5, 1, far, 0, 0)]
     steps = made.count("steps")
     assert steps > 1 and len(joins) == 2 * steps
+
+
+def test_forests_of_one_group_have_one_root_and_edges_are_made_once(spark, monkeypatch):
+    """Members of a group that all hang on the same few vertices: a star, so two rounds do."""
+    from gridloom.llm import components as c
+
+    made = []
+    monkeypatch.setattr(c, "written", lambda frame, name, f=c.written: made.append(name) or f(frame, name))
+    pairs = [(1000 - k, 5000 + h) for k in range(300) for h in range(4)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    few = c.thinned(edges, "a")
+    assert {r["b"] for r in few.collect()} == {5000}
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = {r["v"]: r["c"] for r in c.components(few.mapInArrow(count, few.schema)).collect()}
+    assert got == {v: 701 for v in (*range(701, 1001), *range(5000, 5004))}
+    assert made.count("labels") == 1 + 2 * 2
+    assert seen.value == few.count()
