@@ -166,6 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Netw
     if not (y == 1).any() or not (y == 0).any():
         return net
     texts = Texts.of(table["text"].cast(pa.large_string()))
+    del table
     x, owner = _chunks(texts, shape)
     # Filters start as detectors of windows seen in the training texts, half from each label.
     for f in range(shape.filters):

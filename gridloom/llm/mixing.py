@@ -124,7 +124,7 @@ def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
         step = written(step, "steps")
         done = step if done is None else done.unionByName(step)
         state = step.where(F.col("to_place") < far).select("s", F.col("left").alias("lack"), F.col("to_place").alias("from_place"), F.col("to_rank").alias("from_rank"))
-        if not state.limit(1).count():
+        if state.isEmpty():
             return done
 
 
@@ -144,32 +144,31 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     # it that still fit, then the one row outside that brings the source nearest to its target.
     open_ = blocks.where(~whole & (F.col("rest") > 0))
     outside = rows.alias("r").join(open_.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("mix_block") == F.col("block")))
-    outside = outside.select("s", "o.source", "block", "place", "mix_rank", "mix_size", "rest", "start", inside.alias("inside"), (inside & (F.col("start") + F.col("mix_words") <= F.col("rest"))).alias("taken"))
+    outside = outside.select("s", "o.source", "block", "full", "place", "mix_rank", "mix_size", "rest", "start", inside.alias("inside"), (inside & (F.col("start") + F.col("mix_words") <= F.col("rest"))).alias("taken"))
     cut = written(
-        outside.where("inside").groupBy("s", "source", "block", "place").agg(
+        outside.where("inside").groupBy("s", "source", "block", "full", "place").agg(
             F.count(F.when(F.col("taken"), 1)).cast("int").alias("high"),
             (F.first("rest") - F.first("start") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("mix_size"))), F.lit(0))).alias("lack"),
         ),
         "cuts",
     )
-    spare = open_rows = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "place", "mix_rank", "mix_size"), "spare")
+    spare = open_rows = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "full", "place", "mix_rank", "mix_size"), "spare")
     steps = _steps(spare, cut.select("s", "lack", F.col("place").alias("from_place"), F.col("high").alias("from_rank"))).groupBy("s")
     steps = cut.select("s", F.col("lack").alias("first")).join(steps.agg(F.min("left").alias("left"), F.collect_list(F.struct("lack", "from_place", "from_rank", "to_place", "to_rank")).alias("steps")), "s", "left")
     fits = F.exists("steps", lambda t: (F.col("mix_size") <= t["lack"]) & _behind(t["from_place"], t["from_rank"]) & ~_behind(t["to_place"], t["to_rank"]))
-    spare = spare.join(steps, "s").select("s", "source", "block", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
+    spare = spare.join(steps, "s").select("s", "source", "block", "full", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
     spare = fitted = written(spare, "fitted")
     spent(open_rows)
     # Ranks that follow each other are one range.
     apart = F.col("mix_rank") - F.row_number().over(Window.partitionBy("s", "block").orderBy("mix_rank"))
-    fill = spare.where("taken").withColumn("apart", apart).groupBy("s", "source", "block", "apart").agg(F.min("mix_rank").alias("low"), F.max("mix_rank").alias("high")).drop("apart")
+    fill = spare.where("taken").withColumn("apart", apart).groupBy("s", "source", "block", "full", "apart").agg(F.min("mix_rank").alias("low"), F.max("mix_rank").alias("high")).drop("apart")
     gap = F.abs(F.col("mix_size") - F.col("lack"))
-    top = spare.where("not taken").where(gap < F.col("lack")).groupBy("s", "source").agg(F.min(F.struct(gap.alias("gap"), "block", F.col("mix_rank").alias("low"))).alias("m")).select("s", "source", "m.block", "m.low", F.col("m.low").alias("high"))
+    top = spare.where("not taken").where(gap < F.col("lack")).groupBy("s", "source", "full").agg(F.min(F.struct(gap.alias("gap"), "block", F.col("mix_rank").alias("low"))).alias("m")).select("s", "source", "m.block", "full", "m.low", F.col("m.low").alias("high"))
 
     passes = F.sequence(F.lit(1), F.col("full") + whole.cast("int"))
     units = blocks.where(F.col("full") + whole.cast("int") > 0).select("s", "source", "block", F.explode(passes).alias("pass"), F.lit(1).alias("low"), F.col("rows").alias("high"), F.lit(True).alias("whole"))
-    last = goals.select("s", (F.col("full") + 1).alias("pass"))
-    for part in (cut.where("high > 0").select("s", "source", "block", F.lit(1).alias("low"), "high"), fill, top):
-        units = units.unionByName(part.join(last, "s").select("s", "source", "block", "pass", "low", "high", F.lit(False).alias("whole")))
+    for part in (cut.where("high > 0").select("s", "source", "block", "full", F.lit(1).alias("low"), "high"), fill, top):
+        units = units.unionByName(part.select("s", "source", "block", (F.col("full") + 1).alias("pass"), "low", "high", F.lit(False).alias("whole")))
     units = written(units, "units")
     spent(blocks, cut, fitted)
     return units

@@ -192,6 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Rule
         prior = float(np.log((yes + 1) / (no + 1)))
         return RuleModel(np.zeros((2, size // 2), np.float32), 0.0, 0.0, prior, rules)
     (ids, bounds), (share, _) = _flat(rows["ids"], "<i4"), _flat(rows["shares"], "<f4")
+    del rows  # the driver holds their counts once
     fold = np.arange(n) // 2 % 5 == 4  # a text and its extract stay together
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold = np.zeros(n, dtype=bool)

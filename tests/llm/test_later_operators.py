@@ -472,3 +472,24 @@ def test_forests_of_one_group_have_one_root_and_edges_are_made_once(spark, monke
     assert got == {v: 701 for v in (*range(701, 1001), *range(5000, 5004))}
     assert made.count("labels") == 1 + 2 * 2
     assert seen.value == few.count()
+
+
+def test_units_of_a_mix_have_four_joins_besides_the_steps(spark, monkeypatch):
+    """Small joins are broadcasts, which the driver of the pipeline holds all at once."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(k, " ".join("x" * rng.randint(1, 40)), rng.choice(["a", "b", None])) for k in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = mixing.Mix(least_blocks=8)
+    ranked = mixing._rows(documents, how, 8)
+    goals = mixing.targets(ranked.groupBy("source").agg(F.sum("mix_size").alias("source_size")), how)
+    kind, joins, made = type(documents), [], []
+    monkeypatch.setattr(kind, "join", lambda self, *a, f=kind.join: joins.append(1) or f(self, *a))
+    monkeypatch.setattr(mixing, "written", lambda frame, name, f=mixing.written: made.append(name) or f(frame, name))
+    units = mixing._units(ranked, goals, how).collect()
+    assert len(joins) == 4 + 2 * made.count("steps")
+    passes = {r["s"]: int(r["target"] // r["source_size"]) for r in goals.collect()}
+    assert units and all(u["pass"] == passes[u["s"]] + 1 for u in units if not u["whole"])
