@@ -421,7 +421,8 @@ def _linked(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     spent(known, size, known_parts)
 
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    per_set = sets.select("sid", "rep", "copies").join(final.withColumnRenamed("v", "sid"), "sid", "left").join(links, "sid", "left")
+    # One row for each set on all sides, which is one stage if they are merged.
+    per_set = sets.select("sid", "rep", "copies").join(final.withColumnRenamed("v", "sid").hint("merge"), "sid", "left").join(links.hint("merge"), "sid", "left")
     per_set = written(per_set.select("sid", F.coalesce("c", "sid").alias("c"), "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
     names = written(per_set.groupBy("c").agg(F.min("rep").alias("class_id")), "names")
     named = written(per_set.join(names, "c").select("sid", "c", "class_id", "n_links"), "named")
@@ -493,11 +494,11 @@ def _candidates(sets: DataFrame, join: Join) -> DataFrame:
             for q in range(k + 1, join.pivots):
                 edges.append(mask.where(bit(F.col("mask"), k) & bit(F.col("mask"), q)).select(F.col("pivots")[k]["sid"].alias("a"), F.col("pivots")[q]["sid"].alias("b")))
         used += [stars, judged]
-        states = {r["state"]: r["most"] for r in judged.groupBy("state").agg(F.max("size").alias("most")).collect()}
-        if "compare" in states:
+        states = judged.agg(F.max(F.when(F.col("state") == "compare", F.col("size"))).alias("most"), F.max(F.col("state") == "split").alias("split")).first()
+        if states["most"] is not None:
             compare.append(large.join(judged.where("state = 'compare'").select("node"), "node").select("sid", "node", "size"))
-            most = max(most, states["compare"])
-        if "split" not in states:
+            most = max(most, states["most"])
+        if not states["split"]:
             break
         # The children of different nodes differ, so no path comes twice.
         again = large.join(judged.where("state = 'split'").select("node"), "node").groupBy("sid").agg(F.collect_list("node").alias("nodes"))

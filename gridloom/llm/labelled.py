@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: Most bytes of the texts of one label that a classifier is fitted on.
 CLASS_BYTES = 48 << 20
 
+#: Tasks that a sample is dealt over: what they return reaches the driver one by one.
+TASKS = 64
+
 
 def held_out_flag(column: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; null ids are not held out."""
@@ -25,7 +28,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     by a hash of the text; that is settled before the shuffle, so an id with a third
     of all rows sends one of each task.  Texts are whole: of each label those are taken, in the
     order of the hash, whose bytes add up to `class_bytes` at most, which bounds what a driver
-    may gather; a text that alone has more is left out.
+    may gather; a text that alone has more is left out.  The window leaves a label's rows in one
+    task, whose result the driver would have to hold in one piece, so they are dealt anew.
     """
     clean = (
         labels.select("doc_id", F.col(label).alias("y"))
@@ -45,7 +49,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     rows = found.groupBy("doc_id", "y", "order").agg(one).select("doc_id", "m.text", "y", "order", size.alias("size")).where(F.col("size") <= class_bytes)
     # At most per_class rows of each label.
     running = Window.partitionBy("y").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= class_bytes).select("doc_id", "text", "y")
+    rows = rows.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= class_bytes).select("doc_id", "text", "y")
+    return rows.repartition(TASKS, "doc_id")
 
 
 def class_shares(labels: DataFrame, label: str) -> tuple[int, int]:

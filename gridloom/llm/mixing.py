@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import aside, back, spent, written
+from .shared import aside, among, back, spent, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,13 +34,15 @@ class Mix:
     """weights repeat over the sources in code point order, null last.  most_repeats
     bounds how often a document is taken.  least_blocks: blocks of a source at least.
     levels: log2 of the number of shards.  shared: rows of the table of blocks that may be
-    broadcast; a larger one is joined by a shuffle of the rows it meets."""
+    broadcast; a larger one is joined by a shuffle of the rows it meets.  few: the same for
+    tables of a row for each source."""
 
     weights: tuple = (1, 2, 3)
     most_repeats: int = 3
     least_blocks: int = 256
     levels: int = 4
     shared: int = 200_000
+    few: int = 1 << 14
     seed: int = 17
 
     def blocks(self, rows: int) -> int:
@@ -97,24 +99,24 @@ def _behind(place, rank):
     return (F.col("place") > place) | ((F.col("place") == place) & (F.col("mix_rank") > rank))
 
 
-def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
+def _steps(spare: DataFrame, state: DataFrame, few: bool = False) -> DataFrame:
     """(s, lack, from_place, from_rank, to_place, to_rank, left): a source takes its rows of at
     most `lack` words behind one rank and not behind another, and then lacks `left`.
 
     A step ends at the first row that no longer fits; the next goes on behind it with what
     is lacking.  Such rows get smaller from step to step, so in a permuted order the steps are few.
     As before, only block sums and the rows of one block are ordered.  A step has two joins, as
-    each of these small ones is a broadcast that the driver holds."""
+    each of these small ones is a broadcast that the driver holds.  few: `state` has few rows."""
     done, far = None, 2**31 - 1
     while True:
         fits = _behind(F.col("from_place"), F.col("from_rank")) & (F.col("mix_size") <= F.col("lack"))
         own = ["lack", "from_place", "from_rank"]
         upto = Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        sums = spare.join(state, "s").where(fits).groupBy("s", "place", *own).agg(F.sum("mix_size").alias("words")).withColumn("end", F.sum("words").over(upto))
+        sums = spare.join(among(state, few), "s").where(fits).groupBy("s", "place", *own).agg(F.sum("mix_size").alias("words")).withColumn("end", F.sum("words").over(upto))
         over = F.when(F.col("end") > F.col("lack"), F.struct("place", (F.col("end") - F.col("words")).alias("start")))
         ends = written(sums.groupBy("s", *own).agg(F.min(over).alias("m"), F.max("end").alias("whole")).select("s", *own, "whole", F.col("m.place").alias("to_place"), F.col("m.start").alias("start")), "ends")
         ranks = Window.partitionBy("s").orderBy("mix_rank").rowsBetween(Window.unboundedPreceding, 0)
-        last = spare.join(ends.where("start is not null").withColumn("place", F.col("to_place")), ["s", "place"]).where(fits).withColumn("run", F.col("start") + F.sum("mix_size").over(ranks))
+        last = spare.join(among(ends.where("start is not null").withColumn("place", F.col("to_place")), few), ["s", "place"]).where(fits).withColumn("run", F.col("start") + F.sum("mix_size").over(ranks))
         last = last.where(F.col("run") <= F.col("lack")).select(*ends.columns, F.col("mix_rank").alias("to_rank"), "run")
         none = [F.lit(None).cast(last.schema[c].dataType).alias(c) for c in ("to_rank", "run")]
         last = ends.select("*", *none).unionByName(last).groupBy(*ends.columns).agg(F.max("to_rank").alias("to_rank"), F.max("run").alias("run"))
@@ -128,12 +130,13 @@ def _steps(spare: DataFrame, state: DataFrame) -> DataFrame:
             return done
 
 
-def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
-    """(s, source, block, pass, low, high, whole): what each unit takes of its block, by rank."""
+def _units(rows: DataFrame, goals: DataFrame, mix: Mix, few: bool = False) -> DataFrame:
+    """(s, source, block, pass, low, high, whole): what each unit takes of its block, by rank.
+    few: `goals` has few rows."""
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goals = goals.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     blocks = rows.groupBy("source", F.col("mix_block").alias("block")).agg(F.sum("mix_size").alias("words"), F.count("*").cast("int").alias("rows"))
-    blocks = blocks.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("s", "b.source", "block", "words", "rows", "full", "rest")
+    blocks = blocks.alias("b").join(among(goals, few).alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("s", "b.source", "block", "words", "rows", "full", "rest")
     order = Window.partitionBy("s").orderBy(F.xxhash64("s", "block", F.lit(mix.seed + 2)), "block")
     blocks = blocks.withColumn("end", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = written(blocks.withColumn("place", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("words")), "blocks")
@@ -153,10 +156,10 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
         "cuts",
     )
     spare = open_rows = written(outside.where("not taken and mix_size > 0").select("s", "source", "block", "full", "place", "mix_rank", "mix_size"), "spare")
-    steps = _steps(spare, cut.select("s", "lack", F.col("place").alias("from_place"), F.col("high").alias("from_rank"))).groupBy("s")
-    steps = cut.select("s", F.col("lack").alias("first")).join(steps.agg(F.min("left").alias("left"), F.collect_list(F.struct("lack", "from_place", "from_rank", "to_place", "to_rank")).alias("steps")), "s", "left")
+    steps = _steps(spare, cut.select("s", "lack", F.col("place").alias("from_place"), F.col("high").alias("from_rank")), few).groupBy("s")
+    steps = cut.select("s", F.col("lack").alias("first")).join(among(steps.agg(F.min("left").alias("left"), F.collect_list(F.struct("lack", "from_place", "from_rank", "to_place", "to_rank")).alias("steps")), few), "s", "left")
     fits = F.exists("steps", lambda t: (F.col("mix_size") <= t["lack"]) & _behind(t["from_place"], t["from_rank"]) & ~_behind(t["to_place"], t["to_rank"]))
-    spare = spare.join(steps, "s").select("s", "source", "block", "full", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
+    spare = spare.join(among(steps, few), "s").select("s", "source", "block", "full", "mix_rank", "mix_size", F.coalesce("left", "first").alias("lack"), F.coalesce(fits, F.lit(False)).alias("taken"))
     spare = fitted = written(spare, "fitted")
     spent(open_rows)
     # Ranks that follow each other are one range.
@@ -175,37 +178,46 @@ def _units(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _tree(quotas: DataFrame, mix: Mix) -> DataFrame:
-    """(s, shard, q) from (s, q): one level of the splitting tree after another.  A node's
-    group holds one row for each source."""
+    """(s, shard, q) from (s, q): two levels of the splitting tree after another.  A node's
+    group holds one row for each source and leaves four."""
     seed = mix.seed
 
-    def split(key, frame):
-        import numpy as np
-        import pandas as pd
-
-        node = int(key[0])
-        frame = frame.sort_values("s")
-        q = frame["q"].to_numpy(np.int64)
-        total = int(q.sum())
-        left = np.random.default_rng([seed, node]).multivariate_hypergeometric(q, total // 2, method="marginals") if total else q
-        s = frame["s"].to_numpy()
-        return pd.DataFrame({"node": np.repeat([2 * node, 2 * node + 1], len(s)), "s": np.tile(s, 2), "q": np.concatenate([left, q - left])})
+    def split(levels):
+        def run(key, frame):
+            import numpy as np
+            import pandas as pd
+
+            frame = frame.sort_values("s")
+            s = frame["s"].to_numpy()
+            nodes = {int(key[0]): frame["q"].to_numpy(np.int64)}
+            for _ in range(levels):
+                below = {}
+                for node, q in nodes.items():
+                    total = int(q.sum())
+                    left = np.random.default_rng([seed, node]).multivariate_hypergeometric(q, total // 2, method="marginals") if total else q
+                    below |= {2 * node: left, 2 * node + 1: q - left}
+                nodes = below
+            return pd.DataFrame({"node": np.repeat(list(nodes), len(s)), "s": np.tile(s, len(nodes)), "q": np.concatenate(list(nodes.values()))})
+
+        return run
 
     table = quotas.select(F.lit(1).cast("long").alias("node"), F.col("s").cast("long").alias("s"), F.col("q").cast("long").alias("q"))
-    for _ in range(mix.levels):
-        table = table.groupBy("node").applyInPandas(split, "node long, s long, q long")
+    for level in range(0, mix.levels, 2):
+        table = table.groupBy("node").applyInPandas(split(min(2, mix.levels - level)), "node long, s long, q long")
     return written(table.select("s", (F.col("node") - (1 << mix.levels)).cast("int").alias("shard"), "q").where("q > 0"), "quotas")
 
 
 def _draws(rows: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     """(source, block, draws): for each block its units as structs (pass, shard, low, high, whole)."""
-    units = _units(rows, goals, mix)
+    few = goals.count() <= mix.few
+    units = _units(rows, goals, mix, few)
     quotas = _tree(units.groupBy("s").agg(F.count("*").alias("q")), mix)
     upto = F.sum("q").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = quotas.withColumn("upto", upto).select("s", "shard", F.explode(F.sequence(F.col("upto") - F.col("q") + 1, F.col("upto"))).alias("place"))
+    ends = quotas.withColumn("upto", upto).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
     order = Window.partitionBy("s").orderBy(F.xxhash64("s", "pass", "block", "low", F.lit(mix.seed + 3)), "pass", "block", "low")
     placed = units.withColumn("place", F.row_number().over(order).cast("long")).withColumn("s", F.col("s").cast("long"))
-    found = placed.join(ranges, ["s", "place"])
+    # A place belongs to the first shard that ends at it or behind.
+    found = placed.join(among(ends, few), "s").withColumn("shard", F.filter("ends", lambda e: e["upto"] >= F.col("place"))[0]["shard"])
     draws = written(found.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "low", "high", "whole"))).alias("draws")), "draws")
     spent(units)
     return draws

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,16 +184,18 @@ def fit(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Rule
     """
     rows = training_rows(documents, labels, "quality", rules.per_class, rules.seed)
     rows = rows.mapInArrow(_features(rules), "doc_id long, y int, part int, ids binary, shares binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("part", "ascending")])
+    order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("part", "ascending")])
     no, yes = class_shares(labels, "quality")
-    y = np.asarray(rows["y"].to_numpy(), dtype=np.int64)
+    y = np.asarray(rows["y"].take(order).to_numpy(), dtype=np.int64)
     size = 2 << rules.bits
     n = len(y)
     if not (y == 1).any() or not (y == 0).any():
         prior = float(np.log((yes + 1) / (no + 1)))
         return RuleModel(np.zeros((2, size // 2), np.float32), 0.0, 0.0, prior, rules)
-    (ids, bounds), (share, _) = _flat(rows["ids"], "<i4"), _flat(rows["shares"], "<f4")
-    del rows  # the driver holds their counts once
+    ids, bounds = _flat(rows["ids"].take(order), "<i4")
+    rows = rows.drop_columns(["ids"])
+    share, _ = _flat(rows["shares"].take(order), "<f4")
+    del rows  # the driver holds their counts once, and one column twice while it is sorted
     fold = np.arange(n) // 2 % 5 == 4  # a text and its extract stay together
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold = np.zeros(n, dtype=bool)

@@ -493,3 +493,105 @@ def test_units_of_a_mix_have_four_joins_besides_the_steps(spark, monkeypatch):
     assert len(joins) == 4 + 2 * made.count("steps")
     passes = {r["s"]: int(r["target"] // r["source_size"]) for r in goals.collect()}
     assert units and all(u["pass"] == passes[u["s"]] + 1 for u in units if not u["whole"])
+
+
+def planned(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_tables_meet_without_shuffles(spark, monkeypatch):
+    """Each stage of a shuffle is work and memory of the pipeline's driver, however few its rows are.
+    The threshold is that of a store where Spark cannot tell how small a table is."""
+    from gridloom.llm import chosen_path, components, mixing
+
+    plans = {}
+    for module in (components, mixing, chosen_path):
+        monkeypatch.setattr(module, "written", lambda frame, name, f=module.written: plans.setdefault(name, []).append(planned(frame)) or f(frame, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
+        assert {(r["v"], r["c"]) for r in components.components(edges).collect()} == {(k, 0) for k in range(10)}
+        first, *rest = plans["labels"]
+        assert len(rest) > 2 and first.count("Exchange hash") == 1
+        assert [p.count("Exchange hash") for p in rest] == [0, 1] * (len(rest) // 2)
+        monkeypatch.setattr(components, "FEW", 9)
+        plans.clear()
+        assert {(r["v"], r["c"]) for r in components.components(edges).collect()} == {(k, 0) for k in range(10)}
+        assert [p.count("Exchange hash") for p in plans["labels"][1:]] == [2, 3] * (len(rest) // 2)
+
+        rows = [(k, " ".join("x" * (1 + k * 7 % 40)), "ab"[k % 2]) for k in range(300)]
+        documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {}
+        for few in (2, 1):
+            plans.clear()
+            how = mixing.Mix(least_blocks=8, few=few)
+            got[few] = sorted(map(str, mixing.assign(documents, how).select("doc_id", "draws").collect()))
+            assert ["SortMergeJoin" in p for p in plans["ends"]] == [few == 1] * len(plans["ends"]) and plans["ends"]
+            assert ("SortMergeJoin" in plans["fitted"][0]) == (few == 1)
+        assert got[1] == got[2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans.clear()
+    docs_ = spark.createDataFrame([(k, f"a b c d e f g {k // 2}") for k in range(10)], "doc_id long, text string")
+    assert {r["class_id"] for r in chosen_path.classes(docs_).collect()} == {0, 2, 4, 6, 8}
+    assert plans["linked"][0].count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plans["linked"][0]
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3, 4])
+def test_the_tree_takes_two_levels_at_once(spark, monkeypatch, levels):
+    import numpy as np
+
+    from gridloom.llm import mixing
+
+    plans = []
+    monkeypatch.setattr(mixing, "written", lambda frame, name, f=mixing.written: plans.append(planned(frame)) or f(frame, name))
+    mix = mixing.Mix(levels=levels)
+    want = {1: np.array([700, 3, 0, 41])}
+    for _ in range(levels):
+        below = {}
+        for node, q in want.items():
+            below[2 * node] = np.random.default_rng([mix.seed, node]).multivariate_hypergeometric(q, int(q.sum()) // 2, method="marginals") if q.sum() else q
+            below[2 * node + 1] = q - below[2 * node]
+        want = below
+    quotas = spark.createDataFrame([(3, 0), (1, 700), (4, 41), (2, 3)], "s long, q long")
+    got = {(r["shard"], r["s"]): r["q"] for r in mixing._tree(quotas, mix).collect()}
+    assert got == {(n - (1 << levels), s + 1): int(x) for n, q in want.items() for s, x in enumerate(q) if x}
+    assert plans[0].count("FlatMapGroupsInPandas") == (levels + 1) // 2
+
+
+def test_a_sample_reaches_the_driver_in_small_pieces(spark):
+    """The window over a label's sizes leaves all of its texts in one task."""
+    from gridloom.llm import labelled
+
+    documents = docs(spark, [f"text {k} " * 20 for k in range(600)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, quality int")
+    rows = labelled.training_rows(documents, labels, "quality", 200, 1)
+    own = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(own) == 400 and max(own) < 40
+
+
+def test_draws_give_each_shard_its_quota(spark, monkeypatch):
+    """Places of a source are no rows that are joined: its shards' ends are one row."""
+    from gridloom.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(k, " ".join("x" * rng.randint(1, 30)), rng.choice(["a", "b", None])) for k in range(500)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen, plans = {}, {}
+
+    def kept(frame, name, f=mixing.written):
+        plans[name] = planned(frame)
+        out = f(frame, name)
+        seen[name] = [r.asDict() for r in out.collect()] if name in ("units", "quotas", "draws") else []
+        return out
+
+    monkeypatch.setattr(mixing, "written", kept)
+    mix = mixing.Mix(least_blocks=8)
+    ranked = mixing._rows(documents, mix, 8)
+    mixing._plan(ranked, mix)
+    source = {u["source"]: u["s"] for u in seen["units"]}
+    drawn = [(source[r["source"]], d["shard"]) for r in seen["draws"] for d in r["draws"]]
+    assert len(drawn) == len(seen["units"])
+    assert {(q["s"], q["shard"]): q["q"] for q in seen["quotas"]} == {k: drawn.count(k) for k in set(drawn)}
+    assert "explode" not in plans["draws"].lower() and "Generate" not in plans["draws"]
