@@ -538,6 +538,31 @@ def test_small_tables_meet_without_shuffles(spark, monkeypatch):
     assert plans["linked"][0].count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plans["linked"][0]
 
 
+def test_few_rows_take_few_tasks(spark):
+    """op7 where a session asks for many partitions and nothing merges them: what is known to be
+    small is not dealt over all of them, and the classes are the same."""
+    from gridloom.llm import chosen_path
+
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t {k // 8} {'u v w' if k % 2 else ''}") for k in range(64)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = sorted(chosen_path.classes(documents, chosen_path.Join(small=4)).collect())
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("few rows", "")
+        assert sorted(chosen_path.classes(documents, chosen_path.Join(small=4)).collect()) == want
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few rows") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks)
+    assert tasks < 1000
+
+
 @pytest.mark.parametrize("levels", [0, 1, 3, 4])
 def test_the_tree_takes_two_levels_at_once(spark, monkeypatch, levels):
     import numpy as np
