@@ -8,12 +8,11 @@ single time and gathers the ids of all others from that table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, lru_cache
-from itertools import chain
+from functools import cache, cached_property, lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from .bytesplit import Texts
 
@@ -149,7 +148,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.flat, self.bounds = self.none, np.zeros(1, np.int64)
 
     def look_up(self, words: pa.Array) -> np.ndarray:
@@ -159,14 +158,15 @@ class WordTable:
         if len(self.known) > self.most:
             self._clear()
         coded = words.dictionary_encode()
-        own = coded.dictionary
-        place = pc.index_in(own, value_set=self.known)
-        new = own.filter(place.is_null())
-        place = place.fill_null(-1).to_numpy().astype(np.int64)
-        if len(new):
-            flat, bounds = self.encode(new.to_numpy(zero_copy_only=False).tolist())
-            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known = pa.concat_arrays([self.known, new])
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A piece costs what its own words do, however many the table holds.
+        place = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
+        new = [own[k] for k in np.flatnonzero(place < 0)]
+        if new:
+            flat, bounds = self.encode(new)
+            at = range(len(self.known), len(self.known) + len(new))
+            place[place < 0] = at
+            self.known.update(zip(new, at, strict=True))
             self.bounds = np.concatenate((self.bounds, bounds[1:] + self.bounds[-1]))
             self.flat = np.concatenate((self.flat, flat))
         return place[coded.indices.to_numpy()]
@@ -231,14 +231,36 @@ class ByteTokenizer:
     """
 
     def __init__(self, tokenizer_json: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         check_known(tokenizer_json, True)
-        self.made = library(tokenizer_json)
+        self.json = tokenizer_json
+        # Words are cut already, so this one does not look for the pattern again.
+        self.cut = library(tokenizer_json)
+        self.cut.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = special_strings(tokenizer_json)
+        # A character of a byte-level token is a byte; an added one is its own text.
+        known = self.cut.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(known.values(), default=-1) + 1, np.int64)
+        for token, k in known.items():
+            self.size[k] = len(token.encode()) if token in self.special else len(token)
         self.table = WordTable(self._encode)
 
+    @cached_property
+    def made(self):
+        return library(self.json)
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # One encoding of all words, which are cut already; each token names its word.
-        (got,) = self.made.encode_batch([words], is_pretokenized=True, add_special_tokens=False)
+        # One encoding of all words, without offsets: the bytes of the
+        # tokens tell where a word ends, as long as they are all of its bytes.
+        (got,) = self.cut.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.int32)
+        ends = np.concatenate(([0], np.cumsum(self.size[ids])))
+        heads = np.cumsum([0, *map(len, map(str.encode, words))])
+        if ends[-1] == heads[-1]:
+            return ids, np.searchsorted(ends, heads)
+        # A file without some bytes drops them; each token names its word.
+        (got,) = self.cut.encode_batch([words], is_pretokenized=True, add_special_tokens=False)
         return np.array(got.ids, np.int32), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:

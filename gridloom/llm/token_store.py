@@ -130,7 +130,7 @@ def _write(tokenizer_json: str, store: Store):
 
     def run(batches):
         made = byte_tokenizer(tokenizer_json)
-        width = 2 if max(made.made.get_vocab_size(with_added_tokens=True), store.end + 1) <= 1 << 16 else 4
+        width = 2 if max(made.cut.get_vocab_size(with_added_tokens=True), store.end + 1) <= 1 << 16 else 4
         part, before = TaskContext.get().partitionId(), 0
         keys, parts, sizes, held = [], [], [], 0
 
@@ -169,18 +169,16 @@ def write(documents: DataFrame, store: Store = Store()) -> DataFrame:
     return written(frame.mapInArrow(_write(tokenizer_text(store.tokenizer, "byte_bpe_50k.json"), store), _SCHEMA), "segments")
 
 
-def read(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document's ids as little-endian 4-byte integers.
-
-    start counts the ids of all documents before it: those of earlier ranges (one
-    row for each partition of one stage, so it may be broadcast), of earlier
-    segments of its range and of earlier documents of its segment.
-    """
+def _documents(segments: DataFrame, of, schema: str) -> DataFrame:
+    """(doc_id, start, n_tokens) and a column more of every document: of(ids) of a segment's
+    documents, each as little-endian 4-byte integers, in the task that reads the segment.
+    schema: of that column, as "name type"."""
     from pyspark.sql import Window
 
     total = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     ahead = total.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("ahead"))
     placed = segments.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("before")).alias("base"), "doc_ids", "image")
+    name = schema.split()[0]
 
     def run(batches):
         for batch in batches:
@@ -188,13 +186,27 @@ def read(segments: DataFrame) -> DataFrame:
                 ids, ends = unpack(image.as_py())
                 ends = ends.all()
                 starts = np.concatenate(([0], ends[:-1]))
-                wide = ids.astype("<u4")
-                yield pa.record_batch(
-                    [keys.values, pa.array(starts + base.as_py()), pa.array(ends - starts), pa.array([wide[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                last = of(raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True))
+                yield pa.record_batch([keys.values, pa.array(starts + base.as_py()), pa.array(ends - starts), last], names=["doc_id", "start", "n_tokens", name])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {schema}")
+
+
+def read(segments: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document's ids as little-endian 4-byte integers.
+
+    start counts the ids of all documents before it: those of earlier ranges (one
+    row for each partition of one stage, so it may be broadcast), of earlier
+    segments of its range and of earlier documents of its segment.
+    """
+    return _documents(segments, lambda own: pa.array([x.tobytes() for x in own], pa.binary()), "ids binary")
+
+
+def sums(segments: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32): `read` with a checksum in place of each
+    document's ids, which then do not leave the task that reads them."""
+    return _documents(segments, lambda own: pa.array([zlib.crc32(x) for x in own], pa.int64()), "ids_crc32 long")
 
 
 def export(segments: DataFrame, uri: str) -> DataFrame:
@@ -223,11 +235,4 @@ def export(segments: DataFrame, uri: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: start, length and checksum of every document's ids, from the segments read back."""
-
-    def sums(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    segments = write(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read(segments).mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return sums(write(spark.read.parquet(f"{sf_dir}/documents.parquet")))

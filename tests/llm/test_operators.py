@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import os
+import json
 import random
 import re
 import struct
@@ -140,6 +141,16 @@ def test_segments_round_trip(spark, tmp_path):
     assert len(paths) == made.count() and open(paths[0], "rb").read()[:6] == token_store.MAGIC
 
 
+def test_sums_are_made_where_segments_are_read(spark, tmp_path):
+    """Ids do not go to the JVM and back for their checksum."""
+    frame = docs(spark, [*ODD, *fuzz(60, 8)])
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = token_store.query(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = token_store.read(token_store.write(frame)).collect()
+    assert sorted(map(tuple, got.collect())) == sorted((r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in want)
+
+
 def test_no_documents_no_segments(spark):
     assert token_store.read(token_store.write(docs(spark, []))).count() == 0
 
@@ -364,6 +375,18 @@ def test_byte_level_equals_the_library():
     assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_byte_level_file_without_some_bytes():
+    """The library drops such bytes, so tokens do not add up to their words."""
+    told = json.loads(pretokens.tokenizer_text(None, "byte_bpe_50k.json"))
+    told["model"]["merges"] = []
+    told["model"]["vocab"] = {k: v for k, v in told["model"]["vocab"].items() if len(k) == 1 and k != "e"}
+    source = json.dumps(told)
+    made, library = pretokens.ByteTokenizer(source), pretokens.library(source)
+    texts = ["", "e", "eee the tree", "a b", " e x e", "text"]
+    flat, bounds = made.ids(Texts.of(texts))
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 7: Jaccard join
 
 
