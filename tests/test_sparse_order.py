@@ -108,3 +108,61 @@ def test_preconditioned_solvers_over_several_blocks(spark, monkeypatch):
             x[r["i"]] = r["v"]
         assert made.converged and np.allclose(array(a) @ x, b, atol=1e-9)
     assert len(applied.Triangle(a, True, False).waves) > 1
+
+
+def ring(spark, n):
+    frame = spark.range(n).selectExpr("id as i", "explode(array(-1, 0, 1)) as d").selectExpr("i", f"pmod(i + d, {n}) as j", "CASE WHEN d = 0 THEN 6D + i % 3 ELSE -1D END AS v")
+    return Matrix(frame, n, n)
+
+
+def counted(monkeypatch, owner, name):
+    calls, own = [], getattr(owner, name)
+    monkeypatch.setattr(owner, name, lambda *a, **b: (calls.append(1), own(*a, **b))[1])
+    return calls
+
+
+def test_a_ring_takes_few_rounds_and_is_exact(spark, monkeypatch):
+    """20 blocks that each need the one before: two rounds over all, and the bits of one row after another."""
+    n = 1000
+    done, waves = counted(monkeypatch, applied.Triangle, "_done"), counted(monkeypatch, applied, "_in_waves")
+    x = array(ring(spark, n))
+    want = ilu_by_hand(x, x != 0)
+    got = applied.incomplete_lu(ring(spark, n), 50)
+    assert not waves and np.array_equal(array(got), want)
+    t, b = applied.Triangle(ring(spark, n), True, False, 50), np.random.default_rng(3).normal(size=n)
+    assert len(t.waves) == 20
+    y = t(b)
+    by_hand = np.zeros(n)
+    for i in range(n):
+        by_hand[i] = (b[i] - x[i, 0] * by_hand[0] - x[i, i - 1] * by_hand[i - 1] if i == n - 1 else b[i] - (x[i, i - 1] * by_hand[i - 1] if i else 0.0)) / x[i, i]
+    assert len(done) == 2 and np.allclose(y, by_hand, rtol=1e-15, atol=0)
+
+
+def test_what_does_not_settle_goes_in_waves(spark, monkeypatch):
+    """Sums of all rows before: nothing is forgotten on the way."""
+    n = 200
+    frame = spark.range(n).selectExpr("id as i", "explode(array(id - 1, id)) as j").selectExpr("i", "j", "CASE WHEN i = j THEN 1D ELSE -1D END AS v").where("j >= 0")
+    t, b = applied.Triangle(Matrix(frame, n, n), True, False, 25), np.arange(1.0, n + 1)
+    for _ in range(2):
+        assert np.array_equal(t(b), np.cumsum(b))
+    waves = counted(monkeypatch, applied, "_in_waves")
+    rng = np.random.default_rng(8)
+    cells = [(i, j, 2.0 if i == j else -rng.random()) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]
+    x = array(matrix(spark, cells, n))
+    x[range(1, n), range(n - 1)] *= -30  # pivots that grow and shrink
+    cells = [(i, j, x[i, j]) for i, j, _ in cells]
+    assert np.allclose(array(applied.incomplete_lu(matrix(spark, cells, n), 40)), ilu_by_hand(x, x != 0), rtol=1e-13)
+    monkeypatch.setattr(applied, "ROUNDS", 1)
+    assert np.allclose(array(applied.incomplete_lu(matrix(spark, cells, n), 40)), ilu_by_hand(x, x != 0), rtol=1e-13) and waves
+
+
+@pytest.mark.parametrize("sweeps", [0, 3, 128])
+def test_deep_blocks_with_and_without_sweeps(spark, monkeypatch, sweeps):
+    monkeypatch.setattr(applied, "SHALLOW", 2)
+    monkeypatch.setattr(applied, "SWEEPS", sweeps)
+    n = 80
+    cells = scattered(n, 3, 4)
+    a, x = matrix(spark, cells, n), array(matrix(spark, cells, n))
+    assert np.allclose(array(applied.incomplete_lu(a, 30)), ilu_by_hand(x, x != 0), atol=1e-13)
+    b = np.random.default_rng(2).normal(size=n)
+    assert np.allclose(np.tril(x) @ applied.Triangle(a, True, False, 30)(b), b, atol=1e-12)
