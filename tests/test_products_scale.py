@@ -133,3 +133,33 @@ def test_values_that_are_not_finite_go_through():
     x, y = np.array([[np.inf, 1.0], [1.0, 2.0]]), np.eye(2)
     s, _, _ = sliced(x, y)
     assert s[0, 0] == np.inf and s[1, 1] == 2.0
+
+
+@pytest.mark.parametrize("uplo", [None, "lower", "upper"])
+@pytest.mark.parametrize("piece", [3, 1 << 10])
+def test_large_results_by_groups_of_rows(spark, monkeypatch, piece, uplo):
+    """One row with half of all cells is dealt over tasks; all others are whole in one, and no partial sums are shuffled."""
+    monkeypatch.setattr(gustavson, "DENSE", 0)
+    monkeypatch.setattr(gustavson, "CHUNK", 20)
+    monkeypatch.setattr(gustavson, "HELD", 30)
+    monkeypatch.setattr(gustavson, "PIECE", piece)
+    some, other = sparse(spark, 50, 90, 90, 1), sparse(spark, 35, 90, 120, 2).T
+    hot = spark.range(90).select(F.lit(60).cast("long").alias("i"), F.col("id").alias("j"), (F.col("id") % 3 - 1.5).alias("v"))
+    a = Matrix(some.df.unionByName(hot), 70, 90)
+    keep = {None: lambda w: w, "lower": np.tril, "upper": np.triu}[uplo]
+    x, y = array(a), array(other)
+    held = lambda p, q: (keep((np.abs(p) > 0).astype(float) @ (np.abs(q) > 0)) > 0).sum()
+    for b, w in ((other.df, y), (None, x.T)):
+        got = gustavson.product(a.df, b, 70, 90, w.shape[1], 0.5, uplo, 4)
+        assert np.allclose(array(Matrix(got, 70, w.shape[1])), keep(0.5 * x @ w)) and got.count() == held(x, w)
+    even = gustavson.product(some.df, other.df, 50, 90, 35, 1.0, uplo, 1 << 21)
+    assert np.allclose(array(Matrix(even, 50, 35)), keep(array(some) @ y))
+    assert "Aggregate" not in even._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_results_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(gustavson, "DENSE", 0)
+    a = Matrix(spark.createDataFrame([(0, 0, 1.0)], "i long, j long, v double"), 3, 4)
+    none = spark.createDataFrame([], "i long, j long, v double")
+    apart = Matrix(spark.createDataFrame([(2, 1, 1.0)], "i long, j long, v double"), 4, 3)
+    assert not gustavson.product(a.df, apart.df, 3, 4, 3).count() and not gustavson.product(none, None, 3, 4, 3, 1.0, "lower").count()
