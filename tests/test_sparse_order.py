@@ -166,3 +166,21 @@ def test_deep_blocks_with_and_without_sweeps(spark, monkeypatch, sweeps):
     assert np.allclose(array(applied.incomplete_lu(a, 30)), ilu_by_hand(x, x != 0), atol=1e-13)
     b = np.random.default_rng(2).normal(size=n)
     assert np.allclose(np.tril(x) @ applied.Triangle(a, True, False, 30)(b), b, atol=1e-12)
+
+
+@pytest.mark.parametrize("restart", [4, 30])
+def test_gmres_over_tables_writes_a_table_a_step(spark, monkeypatch, restart):
+    monkeypatch.setattr(applied, "SHARED_VECTOR", 1)
+    n = 40
+    written = []
+    own = iterative.cut
+    monkeypatch.setattr(iterative, "cut", lambda frame, name="step", by=None: (written.append(name), own(frame, name, by))[1])
+    b = np.arange(n) % 7 + 1.0
+    made = iterative.gmres(ring(spark, n), vector_of(spark, b), control=iterative.Control(smult=1e-12, restart=restart))
+    x = np.zeros(n)
+    for r in made.x.df.collect():
+        x[r["i"]] = r["v"]
+    assert made.converged and np.allclose(array(ring(spark, n)) @ x, b, atol=1e-9)
+    assert written.count("basis") == made.iterations and len(written) < made.iterations + 4 + 2 * -(-made.iterations // restart)
+    none = iterative.gmres(ring(spark, n), vector_of(spark, np.zeros(n)))
+    assert none.converged and none.iterations == 0
